@@ -9,6 +9,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from loomspan.llm.bpe import with_ids
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    out = with_ids(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep_ids=False)
+    return out.withColumnRenamed("id", "doc_id")
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from loomspan.llm.token_files import read_corpus, write_corpus
+
+    manifest = write_corpus(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_corpus(manifest, tokens=False).withColumnRenamed("id", "doc_id")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm.ngram_join import jaccard_components
 
@@ -32,6 +51,8 @@ from documents d left join n using (doc_id) join (select a, min(b) as c from rea
 """
 
 QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe,
+    "op5_token_files": op5_token_files,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
 }
 
