@@ -9,6 +9,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.html_extract import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -19,6 +25,18 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.pii import digest, find
+
+    return digest(find(_table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -28,6 +46,18 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_corpus(manifest, tokens=False).withColumnRenamed("id", "doc_id")
 
 
+def op6_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), lambda id_: id_ % 20 == 0).withColumnRenamed("id", "vec_id")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm.ngram_join import jaccard_components
 
@@ -35,6 +65,13 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("id as doc_id", "n_shingles", "component as component_id")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomspan.llm.decontam import contaminated
+
+    found = contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
+
+
 OP8_SQL = r"""
 with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents
@@ -51,9 +88,15 @@ from documents d left join n using (doc_id) join (select a, min(b) as c from rea
 """
 
 QUERIES = {
+    "op1_line_blocks": op1_line_blocks,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_pii": op3_pii,
+    "op4_language_id": op4_language_id,
     "op5_token_files": op5_token_files,
+    "op6_kmeans_tree": op6_kmeans_tree,
+    "op7_quality": op7_quality,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLE_SQL = {"op8_ngram_jaccard_join": OP8_SQL}
