@@ -17,7 +17,7 @@ def open_new(uri: str):
     """A stream into a new file; its folder is made first. Names differ by attempt, so that a task run twice leaves a spare file and nothing else."""
     system, path = _resolve(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)
 
 
 def open_range(uri: str):

@@ -65,6 +65,16 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("id as doc_id", "n_shingles", "component as component_id")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from loomspan.llm.warc import archive, lookup, url_key
+
+    pages = _table(spark, sf_dir, "pages")
+    read = lookup(archive(pages), pages.select(url_key(F.col("url")).alias("key")), payload=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm.decontam import contaminated
 
@@ -72,6 +82,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
 
 
+OP9_SQL = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) else page_id end as first from p)
+select page_id, payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id <> first then first end as refers_to from f
+"""
+
 OP8_SQL = r"""
 with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents
@@ -96,7 +113,8 @@ QUERIES = {
     "op6_kmeans_tree": op6_kmeans_tree,
     "op7_quality": op7_quality,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL = {"op8_ngram_jaccard_join": OP8_SQL}
+ORACLE_SQL = {"op8_ngram_jaccard_join": OP8_SQL, "op9_warc": OP9_SQL}
