@@ -113,12 +113,12 @@ class Bpe:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-def with_ids(documents: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = True, keep_ids: bool = True) -> DataFrame:
-    """``(id, n_tokens, ids, ids_sha256, decoded, decoded_sha256)`` for every row.
+def with_ids(documents: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """``(id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded])`` for every row.
 
     ``ids`` are those of every whole text without special tokens, ``decoded`` the bytes that they decode to. Null and
-    empty texts have no ids. Rows repeat as they come; ids may be null; other columns are not read. ``keep_ids=False``
-    leaves out the two large columns.
+    empty texts have no ids. Rows repeat as they come; ids may be null; other columns are not read. ``keep`` names
+    the large columns to return.
     """
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
@@ -134,15 +134,18 @@ def with_ids(documents: DataFrame, path: str, pattern: str, id_col: str = "doc_i
                 digests.append(hashlib.sha256(packed).hexdigest())
                 back = bpe.decode(got)
                 more.append(hashlib.sha256(back).hexdigest())
-                if keep_ids:
-                    ids.append(got)
-                    bytes_.append(back)
+                ids.append(packed)
+                bytes_.append(back if "decoded" in keep else None)
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(more, pa.string())]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(bytes_, pa.binary())]
-                names += ["ids", "decoded"]
+            if "ids" in keep:
+                cuts = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
+                names.append("ids")
+            if "decoded" in keep:
+                columns.append(pa.array(bytes_, pa.binary()))
+                names.append("decoded")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * keep_ids
+    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ("ids" in keep) + ", decoded binary" * ("decoded" in keep)
     return docs.mapInArrow(encode, schema)

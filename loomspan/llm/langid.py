@@ -158,7 +158,7 @@ def train(labelled: DataFrame, rows: int = ROWS) -> Network | None:
 
 
 def predict(documents: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``(id, lang_pred, score[, columns of carry])`` of every row, from the whole text.
+    """``(id, lang_pred, score)`` of every row, from the whole text; with ``carry``, also text and those columns.
 
     ``lang_pred`` is a learned language, or ``und`` with score 0 for null texts and texts without a letter. Repeated
     rows and null ids stay.
@@ -195,11 +195,11 @@ def predict(documents: DataFrame, net: Network | None, id_col: str = "doc_id", t
                 sure = total[np.arange(b - a), best] / np.maximum(total.sum(axis=1), 1e-12)
                 langs += [known.classes[k] if s else "und" for k, s in zip(best, some, strict=True)]
                 scores += np.where(some, np.clip(sure, 0, 1), 0.0).tolist()
-            columns = [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *batch.columns[2:]]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "lang_pred", "score", *(carry or [])])
+            columns = [*batch.columns[:2], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *batch.columns[2:]] if carry else [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "lang_pred", "score", *carry] if carry else ["id", "lang_pred", "score"])
 
     kinds = dict(docs.dtypes)
-    return docs.mapInArrow(score, ", ".join([f"id {kinds['id']}", "lang_pred string", "score double", *(f"`{c}` {kinds[c]}" for c in carry or [])]))
+    return docs.mapInArrow(score, ", ".join([f"id {kinds['id']}", *(["text string"] if carry else []), "lang_pred string", "score double", *(f"`{c}` {kinds[c]}" for c in carry or [])]))
 
 
 def identify(documents: DataFrame) -> DataFrame:

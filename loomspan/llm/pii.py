@@ -115,14 +115,14 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     return each.groupBy(F.xxhash64("term").alias("h")).agg(F.count("*").alias("df"))
 
 
-def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, generalise: float = 0.6, remove: float = 0.8, support: int = 3) -> DataFrame:
-    """``(id, base, added[, text])``: per row the base spans and the spans that the method adds.
+def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: tuple[str, ...] = (), generalise: float = 0.6, remove: float = 0.8, support: int = 3) -> DataFrame:
+    """``(id, base, added[, text][, columns of carry])``: per row the base spans and the spans that the method adds.
 
     ``base`` is as from ``base_spans``; ``added`` holds ``struct<start, end, kind>`` with kind ``term`` (generalise) or
     ``reveal`` (remove), by start, none inside a base span. Null and empty texts have none. Repeated rows and null ids
     stay; other columns are not read.
     """
-    docs = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry)
     based = docs.withColumn("key", F.monotonically_increasing_id()).withColumn("base", base_spans(F.col("text")))
     based = based.withColumn("near", F.when(F.size("base") > 0, _terms(F.col("text"), "base")))
     based = written(based if keep_text else based.drop("text"), "base")  # keys are fixed here
@@ -144,7 +144,7 @@ def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     inside = lambda a: F.exists("base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"]))
     empty = F.expr("cast(array() as array<struct<start:int,end:int,kind:string>>)")
     out = out.withColumn("added", F.coalesce(F.filter("added", lambda a: ~inside(a)), empty))
-    return out.select("id", "base", "added", *(["text"] if keep_text else []))
+    return out.select("id", "base", "added", *(["text"] if keep_text else []), *carry)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def sanitised(found: DataFrame) -> DataFrame:
-    """``(id, text)`` with base spans replaced by their kind in brackets, terms by ``[TERM]``, revealing terms by nothing. Of overlapping spans the first counts."""
+    """The found rows, without spans, and ``text`` with base spans replaced by their kind in brackets, terms by ``[TERM]``, revealing terms by nothing. Of overlapping spans the first counts."""
     every = F.array_sort(F.concat(F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("to"))), F.transform("added", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["kind"] == "term", "[TERM]").otherwise("").alias("to")))))
 
     def step(acc, x):
@@ -164,4 +164,4 @@ def sanitised(found: DataFrame) -> DataFrame:
         return F.when(x["start"] < acc["pos"], acc).otherwise(F.struct(x["end"].alias("pos"), F.concat(acc["out"], kept, x["to"]).alias("out")))
 
     done = F.aggregate(every, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["pos"] + 1, F.char_length("text"))))
-    return found.select("id", F.when(F.size(every) > 0, done).otherwise(F.col("text")).alias("text"))
+    return found.withColumn("text", F.when(F.size(every) > 0, done).otherwise(F.col("text"))).drop("base", "added")

@@ -21,7 +21,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomspan.llm.bpe import with_ids
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    out = with_ids(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep_ids=False)
+    out = with_ids(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=())
     return out.withColumnRenamed("id", "doc_id")
 
 
