@@ -1,6 +1,6 @@
 """All registered queries of the library's own operators."""
 
-from loomspan.plans import names_and_findings, ranks_and_changes, references  # noqa: F401
+from loomspan.plans import contracts, names_and_findings, ranks_and_changes, references  # noqa: F401
 from loomspan.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
