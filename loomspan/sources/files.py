@@ -9,7 +9,10 @@ from loomspan.functions import scalars as S
 
 
 def scan_files(spark: SparkSession, path: str, extensions: list[str], excluded: list[str] = S.EXCLUDED) -> DataFrame:
-    """``(file, content, size, mtime)`` of all files under a path with one of the extensions, outside excluded directories."""
+    """``(file, content, size, mtime)`` of all files under a path with one of the extensions, outside excluded directories.
+
+    Spark's readers pass over files whose names begin with an underscore or a dot; read those from a table of contents.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     wanted = raw.where(S.extension(F.col("path")).isin(*(e.lower() for e in extensions)) & ~S.is_excluded(F.col("path"), excluded))
     return wanted.select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))

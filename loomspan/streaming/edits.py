@@ -33,6 +33,14 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def run_stateful(stream: DataFrame) -> DataFrame:
+    """What a stream in update mode gives, batch by batch, in the shared folder; a batch that runs again replaces its own folder."""
+    spark = stream.sparkSession
+    out = new_path(spark, "stateful")
+    run_batches(stream, lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}"), "update")
+    return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
+
+
 def run_batches(stream: DataFrame, upsert: Callable[[DataFrame, int], None], mode: str = "update") -> None:
     """Runs ``upsert`` for each batch of all the data there is."""
     checkpoint = new_path(stream.sparkSession, "checkpoint")
