@@ -31,6 +31,8 @@ MOST_MATCHES = 4
 ORDERED = 1 << 17
 #: Shingles counted at a time, and the count in such a stretch from which a shingle is reported.
 STRETCH, REPEATS = 1 << 21, 4
+#: Bits of the filter that picks the documents of candidate pairs.
+BITS = 1 << 23
 #: Cost of verifying a candidate against that of reading one posting.
 VERIFY_COST = 8.0
 
@@ -79,42 +81,78 @@ def _prefix(x: np.ndarray, tokens: np.ndarray, counts: np.ndarray, percent: int)
     return x[:upto], base, int(np.argmin(cost)) + 1, share
 
 
+def _digest(x: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums that tell sets apart."""
+    return int(mixed(x).sum()), int(mixed(x ^ np.uint64(0x5851F42D4C957F2D)).sum())
+
+
+def _digests(k: int):
+    def make(batches):
+        for batch in batches:
+            sets = [(_digest(x), len(x)) for x in shingle_sets(batch.column(1), k)]
+            both = np.array([d for d, _ in sets], dtype=np.uint64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_signed(both[:, 0])), pa.array(_signed(both[:, 1])), pa.array([n for _, n in sets], pa.int32())], names=["id", "h1", "h2", "n"])
+
+    return make
+
+
 def _make_prefixes(order, k: int, percent: int):
     def make(batches):
         tokens, counts = order.value
         for batch in batches:
-            digests, sizes, matches, shares, bases, values, cuts = [], [], [], [], [], [], [0]
-            for x in shingle_sets(batch.column(1), k):
-                digests.append((mixed(x).sum(), mixed(x ^ np.uint64(0x5851F42D4C957F2D)).sum()))
-                sizes.append(len(x))
-                got = _prefix(x, tokens, counts, percent) if len(x) else (x, 0, 1, 0)
-                values.append(got[0])
-                bases.append(got[1])
-                matches.append(got[2])
-                shares.append(got[3])
-                cuts.append(cuts[-1] + len(got[0]))
-            both = np.array(digests, dtype=np.uint64).reshape(-1, 2)
-            flat = np.concatenate(values) if values else np.zeros(0, np.uint64)
-            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(_signed(flat)))
+            rows, digests, more, values, cuts = [], [], [], [], [0]
+            for i, x in enumerate(shingle_sets(batch.column(1), k)):
+                if len(x):
+                    prefix, base, matches, share = _prefix(x, tokens, counts, percent)
+                    rows.append(i)
+                    digests.append(_digest(x))
+                    more.append((len(x), base, matches, share))
+                    values.append(prefix)
+                    cuts.append(cuts[-1] + len(prefix))
+            if not rows:
+                continue
+            both = np.array(digests, dtype=np.uint64)
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(_signed(np.concatenate(values))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(_signed(both[:, 0])), pa.array(_signed(both[:, 1])), *(pa.array(c, pa.int32()) for c in (sizes, bases, matches, shares)), lists],
+                [batch.column(0).take(pa.array(rows)), pa.array(_signed(both[:, 0])), pa.array(_signed(both[:, 1])), *(pa.array(c, pa.int32()) for c in zip(*more, strict=True)), lists],
                 names=["id", "h1", "h2", "n", "base", "matches", "share", "prefix"],
             )
 
     return make
 
 
-def _make_sets(k: int):
+def _make_sets(k: int, wanted):
     def make(batches):
+        bits = wanted.value
         for batch in batches:
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            if not batch.num_rows:
+                continue
             values = list(shingle_sets(batch.column(1), k))
             cuts = np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int32)
-            flat = np.concatenate(values) if values else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cuts), pa.array(_signed(flat)))], names=["id", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cuts), pa.array(_signed(np.concatenate(values))))], names=["id", "items"])
 
     return make
 
 
+def _place(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(BITS))
+
+
+def _sets_of(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The full sets of all documents in ``pairs``, and of the few that share a bit with one: a filter of fixed size instead of a shuffle of texts."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(_place("id").alias("bit")).distinct()
+    parts = ends.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    bits = np.zeros(BITS // 8 + 4096, np.uint8)
+    for part in parts:
+        start = (part["bucket"] - 1) * 4096 if part["bucket"] > 0 else 0
+        bits[start : start + 4096] |= np.frombuffer(part["bits"], np.uint8)
+    kind = docs.schema["id"].dataType.simpleString()
+    placed = docs.where("id is not null").withColumn("bit", _place("id")).select("id", "text", F.expr("greatest(bitmap_bucket_number(bit) - 1, 0) * 32768 + bitmap_bit_position(bit)").alias("at"))
+    return written(placed.mapInArrow(_make_sets(k, docs.sparkSession.sparkContext.broadcast(bits)), f"id {kind}, items array<bigint>"), "sets")
+
+
 def shingle_order(docs: DataFrame, k: int = 5):
     """The broadcast ``(tokens, counts)``, sorted by token, of the shingles that repeat within stretches of the corpus; at most ``ORDERED``."""
     spark = docs.sparkSession
@@ -125,8 +163,19 @@ def shingle_order(docs: DataFrame, k: int = 5):
     return spark.sparkContext.broadcast((tokens[order], rows["n"].to_numpy(np.int64)[order]))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _may_link(n_a: str, n_b: str, matches: str, percent: int) -> str:
+    """Whether the sizes and c common shingles in the prefixes for ``matches`` still allow the similarity.
+
+    The set whose prefix ends first in the global order has all other common shingles behind that prefix.
+    """
+    rest = [f"greatest(0, (({percent} * {n} + 99) div 100) - {matches})" for n in (n_a, n_b)]
+    return f"100 * least({n_a}, {n_b}) >= {percent} * greatest({n_a}, {n_b}) and (100 + {percent}) * (c + greatest({rest[0]}, {rest[1]})) >= {percent} * ({n_a} + {n_b})"
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have the asked similarity."""
+    pairs = written(pairs, "pairs")
+    sets = _sets_of(pairs, docs, k)
     one = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     both = one.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
     common = F.size(F.array_intersect("x", "y"))
@@ -145,30 +194,33 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     order = shingle_order(docs, k)
-    listed = written(docs.mapInArrow(_make_prefixes(order, k, percent), f"id {kind}, h1 long, h2 long, n int, base int, matches int, share int, prefix array<bigint>"), "prefixes")
-    some = listed.where("n > 0 and id is not null")
-    nodes = written(some.groupBy("h1", "h2", "n").agg(F.min("id").alias("node")), "nodes")
+    listed = written(docs.mapInArrow(_digests(k), f"id {kind}, h1 long, h2 long, n int"), "digests")
+    nodes = written(listed.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("node")), "nodes")
 
-    # One row for each shingle of a node's prefix; `entry` is the number of matches from which it counts.
-    own = some.join(nodes.select("h1", "h2", "n", F.col("node").alias("id")), ["h1", "h2", "n", "id"], "left_semi")
+    # One row for each shingle of a node's prefix; `entry` is the number of matches from which it counts. Sizes and
+    # places are packed into one number: a row of this shuffle, the largest, is then three.
+    prefixes = docs.where("id is not null").mapInArrow(_make_prefixes(order, k, percent), f"id {kind}, h1 long, h2 long, n int, base int, matches int, share int, prefix array<bigint>")
+    own = prefixes.join(nodes.select("h1", "h2", "n", F.col("node").alias("id")), ["h1", "h2", "n", "id"], "left_semi")
     exploded = own.select("id", "n", "base", "matches", "share", F.posexplode("prefix").alias("pos", "token"))
-    entry = F.greatest(F.lit(1), F.col("pos") - F.col("base") + 2)
-    packed = ((F.col("n").cast("long") * 256 + F.col("share")) * 8 + entry) * 8 + F.col("matches")
+    packed = F.col("n").cast("long")
+    for column, size in ((F.col("pos"), 1 << 24), (F.col("share"), 1 << 8), (F.greatest(F.lit(1), F.col("pos") - F.col("base") + 2), 8), (F.col("matches"), 8)):
+        packed = packed * size + column
     postings = exploded.select("token", "id", packed.alias("info"))
     by_token = Window.partitionBy("token")
     hub = F.max(F.struct(F.expr("info div 64 % 256").alias("share"), F.col("id"))).over(by_token)
     shared = written(
         postings.select("*", F.count("*").over(by_token).alias("many"), hub.alias("hub"))
         .where("many > 1")
-        .selectExpr("token", "id", "info div 16384 as n", "info div 8 % 8 as entry", "info % 8 as matches", "hub.id as hub"),
+        .selectExpr("token", "id", f"info div {1 << 38} as n", f"info div {1 << 14} % {1 << 24} as pos", "info div 8 % 8 as entry", "info % 8 as matches", "hub.id as hub"),
         "shared",
     )
-    docs_in = docs.join(shared.select("id").distinct(), "id", "left_semi")
-    sets = written(docs_in.mapInArrow(_make_sets(k), f"id {kind}, items array<bigint>"), "sets")
 
     # Every node against the hub that it shares most with.
-    best = shared.where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("c")).groupBy("id").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
-    near = written(_verified(best.select(F.col("hub").alias("a"), F.col("id").alias("b")), sets, percent), "near")
+    size = shared.select("id", "n").distinct()
+    met = shared.where("id <> hub").groupBy("id", "hub", "n").agg(F.count("*").alias("c"))
+    best = met.groupBy("id", "n").agg(F.max(F.struct("c", "hub")).alias("best")).select("id", "n", "best.hub", "best.c")
+    best = best.join(size.select(F.col("id").alias("hub"), F.col("n").alias("hub_n")), "hub").where(_may_link("n", "hub_n", "1", percent))
+    near = written(_verified(best.select(F.col("hub").alias("a"), F.col("id").alias("b")), docs, k, percent), "near")
     first = written(connected_components(near), "first")
 
     # All pairs of nodes that are not connected yet.
@@ -184,9 +236,16 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         & (100 * F.col("y.n") >= percent * F.col("x.n"))
         & (F.col("x.entry") <= F.col("x.matches"))
         & (F.col("y.entry") <= F.col("x.matches"))
+        # Each of the first m common shingles has at most the rest of either set behind it.
+        & ((100 + percent) * (F.col("x.matches") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) - 1) >= percent * (F.col("x.n") + F.col("y.n")))
     )
-    pairs = x.join(y, meet).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("c"), F.min("x.matches").alias("m")).where("c >= m").select("a", "b")
-    more = _verified(pairs, sets, percent)
+    counted = x.join(y, meet).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("c"), F.min("x.matches").alias("m"))
+    found = written(counted.where("c >= m").select("a", "b"), "met")
+    # All common shingles of the longest prefixes bound the similarity before full sets are fetched.
+    lists = left_over.groupBy("id").agg(F.collect_set("token").alias("tokens"), F.first("n").alias("n"))  # no longer than a prefix
+    both = found.join(lists.select(F.col("id").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na")), "a").join(lists.select(F.col("id").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb")), "b")
+    close = both.withColumn("c", F.size(F.array_intersect("ta", "tb"))).where(_may_link("na", "nb", "1", percent)).select("a", "b")
+    more = _verified(close, docs, k, percent)
     joined = written(connected_components(near.unionByName(more)), "components")
 
     of_nodes = nodes.join(joined, "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("component"))
