@@ -24,8 +24,8 @@ def _carried(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def _restored(df: DataFrame, names: dict[str, str], columns: list[str]) -> DataFrame:
-    back = {n: c for c, n in names.items()} | {"id": "doc_id"}
-    return df.withColumnsRenamed(back).select(*(f"`{c}`" for c in columns))
+    back = names | {"doc_id": "id", "text": "text"}
+    return df.select(*(F.col(back[c]).alias(c) for c in columns))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

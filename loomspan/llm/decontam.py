@@ -20,8 +20,7 @@ from loomspan.operators.tables import written
 
 #: Masks over words: 1 is hashed, 0 ignored.
 SEEDS = ("11111111", "110110111011", "101101101111", "1110010110111")
-#: Items of fewer words than a mask are hashed whole, by a mask of their own length.
-SHORT = min(map(len, SEEDS))
+# Items of fewer words than the longest mask are hashed whole as well, by a mask of their own length.
 PENALTY = 2.0
 #: Bits of the filter of benchmark hashes.
 BITS = 1 << 26
@@ -54,7 +53,7 @@ def _rows(texts: pa.Array):
         yield (a, b, *word_hashes(data[part[0] : part[-1]], part - part[0]))
 
 
-def _index(short: list[int]):
+def _index(short: list[int], least: int):
     """Benchmark rows to (item, hash, pos) and, with no hash, (item, words)."""
     found = masks(short)
 
@@ -70,7 +69,7 @@ def _index(short: list[int]):
                     places.append(None)
                     lists.append(own.view(np.int64).tolist())
                     for number, mask in enumerate(found):
-                        if number >= len(SEEDS) and len(mask) != len(own):
+                        if len(own) < least or (number >= len(SEEDS) and len(mask) != len(own)):
                             continue
                         got, _ = seed_hashes(own, np.array([0, len(own)]), mask, number)
                         items += [key] * len(got)
@@ -134,7 +133,7 @@ def _verify(min_share: float, min_words: int):
                 words, item, diagonals = (np.asarray(x.values) for x in row)
                 best = max((overlap(words, item, int(d)) for d in diagonals), key=lambda x: (x[2], -x[1], -x[0]), default=(0, 0, 0))
                 share = best[2] / max(1, len(item))
-                if best[2] >= min(min_words, len(item)) and (share >= min_share or best[2] >= 4 * min_words):
+                if best[2] >= min_words and (share >= min_share or best[2] >= 4 * min_words):
                     keep.append(i)
                     for to, x in zip((starts, lengths, equal, shares), (*best, share), strict=True):
                         to.append(x)
@@ -148,8 +147,8 @@ def _verify(min_share: float, min_words: int):
 def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_share: float = 0.5, min_words: int = 6) -> DataFrame:
     """``(id, item, start_word, n_words, n_equal, item_share)``: each document and benchmark item that overlap, with their best stretch.
 
-    A pair counts if its stretch has ``min_words`` equal words (or the whole of a shorter item) that are ``min_share``
-    of the item's words or four times ``min_words``. Words are split at ASCII white space, A-Z lower-cased. Null, empty
+    A pair counts if its stretch has ``min_words`` equal words that are ``min_share`` of the item's words or four times
+    ``min_words``. Items of fewer words say nothing and meet nothing. Words are split at ASCII white space, A-Z lower-cased. Null, empty
     and blank texts or items meet nothing; an item with a null id counts as item null; repeated documents give repeated
     rows; either table may be empty. Other columns are not read. The benchmark's hashes reach executors only as a
     filter of fixed size; what passes it is joined exactly.
@@ -158,8 +157,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     bench = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
     kinds = {c: t for c, t in (*docs.dtypes, *bench.dtypes)}
     n_words = F.size(F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), x -> x <> '')"))
-    short = [r["n"] for r in bench.where("text is not null").select(n_words.alias("n")).where(f"n > 0 and n < {max(map(len, SEEDS))}").distinct().collect()]  # a few lengths
-    index = written(bench.mapInArrow(_index(short), f"item {kinds['item']}, hash long, pos int, words array<bigint>"), "seeds")
+    short = [r["n"] for r in bench.where("text is not null").select(n_words.alias("n")).where(f"n >= {min_words} and n < {max(map(len, SEEDS))}").distinct().collect()]  # a few lengths
+    index = written(bench.mapInArrow(_index(short, min_words), f"item {kinds['item']}, hash long, pos int, words array<bigint>"), "seeds")
     seeds = index.where("hash is not null").select("item", "hash", "pos")
     place = F.col("hash").bitwiseAND(F.lit(BITS - 1))
     parts = seeds.select(place.alias("bit")).distinct().groupBy(F.expr("bit div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("bit % 32768")).alias("bits")).collect()

@@ -98,8 +98,8 @@ def _terms(text: Column, spans: str) -> Column:
     def of(x):
         at = F.greatest(F.lit(0), x["start"] - NEAR_CHARS)
         left, right = F.substring(text, at + 1, x["start"] - at), F.substring(text, x["end"] + 1, F.lit(NEAR_CHARS))
-        word = r"[^\s]+"
-        keep = lambda found, base: F.transform(found, lambda w: F.struct(F.lower(F.regexp_replace(w["hit"], r"^\P{L}+|\P{L}+$", "")).alias("term"), (w["start"] + base).alias("start"), (w["end"] + base).alias("end")))
+        word = r"[\p{L}\p{M}]+"
+        keep = lambda found, base: F.transform(found, lambda w: F.struct(F.lower(w["hit"]).alias("term"), (w["start"] + base).alias("start"), (w["end"] + base).alias("end")))
         before = F.slice(F.reverse(_matches(left, word)), 1, NEAR_WORDS)
         after = F.slice(_matches(right, word), 1, NEAR_WORDS)
         words = F.concat(keep(before, at), keep(after, x["end"]))
@@ -110,7 +110,7 @@ def _terms(text: Column, spans: str) -> Column:
 
 def document_frequency(docs: DataFrame) -> DataFrame:
     """``(h, df)``: for each term of three letters or more, by hash, the number of documents that hold it."""
-    words = F.array_distinct(F.split(F.lower("text"), r"[\s\p{P}\p{S}\p{N}]+"))
+    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}]+"))
     each = docs.select(F.explode(words).alias("term")).where(F.char_length("term") >= 3)
     return each.groupBy(F.xxhash64("term").alias("h")).agg(F.count("*").alias("df"))
 
@@ -132,9 +132,9 @@ def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     seen = near.select("entity", "context", "term").distinct()
     of_entity = seen.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support)
     together = seen.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    counted = together.join(of_entity, "entity").withColumn("h", F.xxhash64("term")).join(document_frequency(docs), "h", "left")
+    counted = together.join(of_entity, "entity").withColumn("h", F.xxhash64("term")).join(document_frequency(docs), "h")
     total = int(n_docs.first()["n"])
-    pmi = F.log2((F.col("both") / F.col("contexts")) * F.lit(float(total)) / F.coalesce("df", F.lit(1)))
+    pmi = F.log2((F.col("both") / F.col("contexts")) * F.lit(float(total)) / F.col("df"))
     content = F.log2(F.lit(float(total)) / F.col("contexts"))
     told = counted.select("entity", "term", F.when(content > 0, pmi / content).otherwise(0.0).alias("told")).where(F.col("told") >= generalise)
     kind = F.when(F.col("told") >= remove, "reveal").otherwise("term")
