@@ -69,7 +69,7 @@ def _fields(spark, sf_dir):
     return f.withColumns({"owner": F.expr("concat(owner, '_', case side when 0 then 'A' else 'a' end)"), "field": F.expr("case when side = 0 and required = 1 then upper(field) else field end")})
 
 
-@query("select * from p", ("fl", _FIELDS), ("nf", _NF), ("p", _PAIRS))
+@query("select * from p", ("fl", _FIELDS), ("nf", _NF), ("p", _PAIRS), doubles=("overlap",))
 def match_models(spark, sf_dir):
     return C.match_models(_fields(spark, sf_dir))
 
@@ -98,6 +98,7 @@ def type_compatibility_score(spark, sf_dir):
     "select p.owner, p.model, c as coverage, cast(greatest(0, 100 - case when c < 0.8 then 20 else 0 end - 10 * (select count(*) from d where d.owner = p.owner and d.model = p.model and x like 'type%')) as bigint) as score from p join (select p.owner, p.model, "
     "(select count(*) from nf a join nf b on a.f = b.f where a.owner = p.owner and b.owner = p.model and a.side = 0 and b.side = 1) / greatest((select count(*) from nf where owner = p.owner and side = 0), (select count(*) from nf where owner = p.model and side = 1)) as c from p) q on q.owner = p.owner and q.model = p.model",
     ("fl", _FIELDS), ("nf", _NF), ("p", _PAIRS), ("d", _DIFF),
+    doubles=("coverage",),
 )
 def field_coverage(spark, sf_dir):
     fields = _fields(spark, sf_dir)

@@ -144,7 +144,8 @@ def builtins_filter(spark, sf_dir):
 
 @query(
     "select doc_id, s >= 2 or (s >= 1 and todo) as planned, least(95.0, 60 + s * 15) as confidence from (select doc_id, todo, cast(todo as int) + cast(n_chars < 100 as int) + cast(doc_id % 4 = 0 as int) + case when named then 0.5 else 0 end as s "
-    "from (select *, regexp_matches(text, '(?i)license') as todo, regexp_matches(source, '(?i)new|upcoming|planned|future|next|v[0-9]+|version[0-9]+|1') as named from documents))"
+    "from (select *, regexp_matches(text, '(?i)license') as todo, regexp_matches(source, '(?i)new|upcoming|planned|future|next|v[0-9]+|version[0-9]+|1') as named from documents))",
+    doubles=("confidence",),
 )
 def planned_feature(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -297,7 +298,8 @@ def confidence_table(spark, sf_dir):
 
 @query(
     "select p_partkey as id, case when p_brand = p_name then 1.0 when a like '%' || b || '%' or b like '%' || a || '%' then 0.8 else greatest(cp / least(length(a), length(b)) * 0.7 + cp / greatest(length(a), length(b)) * 0.3, 1 - levenshtein(a, b) / greatest(length(a), length(b))) end as similarity, cast(cp as int) as prefix "
-    "from (select *, coalesce(list_position(list_transform(range(1, least(length(a), length(b)) + 1), lambda i: a[i] <> b[i]), true) - 1, least(length(a), length(b))) as cp from (select *, lower(p_type) as a, lower(p_name) as b from part))"
+    "from (select *, coalesce(list_position(list_transform(range(1, least(length(a), length(b)) + 1), lambda i: a[i] <> b[i]), true) - 1, least(length(a), length(b))) as cp from (select *, lower(p_type) as a, lower(p_name) as b from part))",
+    doubles=("similarity",),
 )
 def segment_similarity(spark, sf_dir):
     p = table(spark, sf_dir, "part")
@@ -310,7 +312,7 @@ def line_of_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.line_of(F.col("text"), F.lit(3)).alias("third"), S.line_of(F.col("text"), F.lit(1)).alias("first"))
 
 
-@query("select o_orderkey as id, (epoch_us(timestamp '2024-02-01') - epoch_us(o_orderdate)) / 86400000000 as days from orders")
+@query("select o_orderkey as id, (epoch_us(timestamp '2024-02-01') - epoch_us(o_orderdate)) / 86400000000 as days from orders", doubles=("days",))
 def days_since(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), S.days_between(F.expr("timestamp'2024-02-01'"), F.col("o_orderdate")).alias("days"))
 

@@ -50,7 +50,7 @@ def high_impact_changes(spark, sf_dir):
     return G.high_impact_changes(_seeds(spark, sf_dir).join(names, "seed"), table(spark, sf_dir, "v_edges"), _nations(spark, sf_dir))
 
 
-@query("select dst as node, count(distinct src) as dependents, count(distinct src) / (select count(*) from (select src from v_edges union select dst from v_edges)) as centrality from v_edges group by 1 order by dependents desc, node limit 5")
+@query("select dst as node, count(distinct src) as dependents, count(distinct src) / (select count(*) from (select src from v_edges union select dst from v_edges)) as centrality from v_edges group by 1 order by dependents desc, node limit 5", doubles=("centrality",))
 def hubs(spark, sf_dir):
     return G.hubs(table(spark, sf_dir, "v_edges"))
 
@@ -81,12 +81,12 @@ def _related(spark, sf_dir):
     return G.related_symbols(table(spark, sf_dir, "v_edges"), co)
 
 
-@query("select * from rel", ("co", _CO), ("rel", _RELATED))
+@query("select * from rel", ("co", _CO), ("rel", _RELATED), doubles=("score",))
 def related_symbols(spark, sf_dir):
     return _related(spark, sf_dir)
 
 
-@query("select related, round(sum(score), 9) as score from rel where symbol % 3 = 0 group by 1 order by 2 desc, 1 limit 20", ("co", _CO), ("rel", _RELATED))
+@query("select related, round(sum(score), 9) as score from rel where symbol % 3 = 0 group by 1 order by 2 desc, 1 limit 20", ("co", _CO), ("rel", _RELATED), doubles=("score",))
 def relevant_symbols(spark, sf_dir):
     imported = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("symbol"))
     related = _related(spark, sf_dir).withColumn("score", F.col("score").cast("decimal(20,10)"))
@@ -121,7 +121,8 @@ def levenshtein_neighbours(spark, sf_dir):
 
 @query(
     "select symbol, round(sum(score), 9) as score, list(distinct reason order by reason) as reasons from ((select symbol, least(0.4, n / 100) as score, 'popularity' as reason from (select symbol_id as symbol, count(*) as n from v_usages group by 1 order by n desc, symbol limit 100)) "
-    "union all select distinct symbol_id, 1.0, 'imported' from v_imports union all select distinct p_partkey, 0.7, 'current' from part where p_brand = 'Brand#11' union all select distinct symbol_id, 0.6, 'recent' from v_usages where file % 500 = 0) group by 1 having sum(score) >= 0.3 - 1e-9 order by 2 desc, 1 limit 200"
+    "union all select distinct symbol_id, 1.0, 'imported' from v_imports union all select distinct p_partkey, 0.7, 'current' from part where p_brand = 'Brand#11' union all select distinct symbol_id, 0.6, 'recent' from v_usages where file % 500 = 0) group by 1 having sum(score) >= 0.3 - 1e-9 order by 2 desc, 1 limit 200",
+    doubles=("score",),
 )
 def score_relevance(spark, sf_dir):
     usages, as_symbol = table(spark, sf_dir, "v_usages"), lambda df, c: df.select(F.col(c).alias("symbol"))
@@ -139,7 +140,7 @@ def _history(spark, sf_dir):
     return U.file_history(table(spark, sf_dir, "v_commit_files"), F.expr("timestamp'2024-02-01'"))
 
 
-@query("select file, frequency from h where frequency >= 0.001 order by frequency desc, file limit 20", ("h", _HISTORY))
+@query("select file, frequency from h where frequency >= 0.001 order by frequency desc, file limit 20", ("h", _HISTORY), doubles=("frequency",))
 def hotspots(spark, sf_dir):
     return K.hotspots(_history(spark, sf_dir), 0.001).select("file", "frequency")
 
@@ -160,6 +161,7 @@ def recently_modified(spark, sf_dir):
 @query(
     "select file, round(least(1.0, coalesce(0.8 - 0.05 * place, 0) + case when hot.file is not null then 0.4 else 0 end + least(0.2, commits / 100)), 9) as score from h left join recent using (file) left join (select file from h where frequency >= 0.001 order by frequency desc, file limit 20) hot using (file)",
     ("h", _HISTORY), ("recent", _RECENT),
+    doubles=("score",),
 )
 def lineage_score(spark, sf_dir):
     history = _history(spark, sf_dir)

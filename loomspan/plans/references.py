@@ -195,7 +195,7 @@ def scope_metrics(spark, sf_dir):
     return metrics(closure(spark, sf_dir), scope_symbols(spark, sf_dir))
 
 
-@query("select distinct a.page_id as src, b.page_id as dst, a.path as name, cast(0.9 as double) as confidence from v_paths a join v_paths b on a.path = b.path and a.page_id <> b.page_id where b.page_id % 3 = 0 and b.path like '/%'")
+@query("select distinct a.page_id as src, b.page_id as dst, a.path as name, cast(0.9 as double) as confidence from v_paths a join v_paths b on a.path = b.path and a.page_id <> b.page_id where b.page_id % 3 = 0 and b.path like '/%'", doubles=("confidence",))
 def bridge_edges(spark, sf_dir):
     paths = table(spark, sf_dir, "v_paths").select(F.col("path").alias("name"), F.col("page_id").alias("file"))
     return R.bridge_edges(paths.where("file % 3 = 0"), paths)
@@ -277,7 +277,8 @@ def project_summary(spark, sf_dir):
 
 
 @query(
-    "select file, count(distinct commit_id) as commits, count(distinct author) as authors, max(ts) as last_modified, (list(commit_id order by ts desc, commit_id desc))[1:5] as newest, case when max(ts) < timestamp '2024-02-01' then count(distinct commit_id) / ((epoch_us(timestamp '2024-02-01') - epoch_us(max(ts))) / 86400000000) else 0.0 end as frequency from v_commit_files group by 1"
+    "select file, count(distinct commit_id) as commits, count(distinct author) as authors, max(ts) as last_modified, (list(commit_id order by ts desc, commit_id desc))[1:5] as newest, case when max(ts) < timestamp '2024-02-01' then count(distinct commit_id) / ((epoch_us(timestamp '2024-02-01') - epoch_us(max(ts))) / 86400000000) else 0.0 end as frequency from v_commit_files group by 1",
+    doubles=("frequency",),
 )
 def file_history(spark, sf_dir):
     return U.file_history(table(spark, sf_dir, "v_commit_files"), F.expr("timestamp'2024-02-01'"))
@@ -305,7 +306,7 @@ def co_occurrence(spark, sf_dir):
     return U.co_occurrence(table(spark, sf_dir, "v_usages").select("file", "symbol_id"))
 
 
-@query("select symbol, expected, frequency, cast(confidence as double) as confidence from rituals", ("fsym", _FILE_SYMBOLS), ("co", _CO), ("uses", _USE), ("rituals", _RITUALS))
+@query("select symbol, expected, frequency, cast(confidence as double) as confidence from rituals", ("fsym", _FILE_SYMBOLS), ("co", _CO), ("uses", _USE), ("rituals", _RITUALS), doubles=("frequency", "confidence",))
 def usage_rituals(spark, sf_dir):
     return _rituals(spark, sf_dir)
 

@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from pyspark.sql import functions as F
+
 from loomspan.plans.views import oracle
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, *extra: tuple[str, str], recursive: bool = False):
-    """Registers a function ``(spark, sf_dir) -> DataFrame`` under its name, with the SQL that gives the same rows."""
+def query(sql: str | None = None, *extra: tuple[str, str], recursive: bool = False, doubles: tuple[str, ...] = ()):
+    """Registers a function ``(spark, sf_dir) -> DataFrame`` under its name, with the SQL that gives the same rows.
+
+    ``doubles`` are rounded to six places on both sides, as two engines add up in other orders.
+    """
 
     def register(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def rounded(spark, sf_dir):
+            return f(spark, sf_dir).withColumns({c: F.round(F.col(c).cast("double"), 6) for c in doubles})
+
+        QUERIES[f.__name__] = rounded if doubles else f
         if sql:
-            ORACLES[f.__name__] = oracle(sql, *extra, recursive=recursive)
-        return f
+            full = oracle(sql, *extra, recursive=recursive)
+            shown = ", ".join(f"round(cast({c} as double), 6) as {c}" for c in doubles)
+            ORACLES[f.__name__] = f"select * replace ({shown}) from ({full})" if doubles else full
+        return QUERIES[f.__name__]
 
     return register

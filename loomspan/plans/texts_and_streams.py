@@ -118,7 +118,8 @@ def recent_intent(spark, sf_dir):
 
 
 @query(
-    "select agent, path, greatest(0.5, 1 - 0.1 * (row_number() over (partition by agent order by r) - 1))::double as relevance from (select agent, path, min(r) as r from (select *, row_number() over (partition by agent order by ts desc, event_id desc) as r from v_edits where ts > timestamp '2024-01-20' - interval 14400 minute and ts <= timestamp '2024-01-20') where r <= 50 group by 1, 2)"
+    "select agent, path, greatest(0.5, 1 - 0.1 * (row_number() over (partition by agent order by r) - 1))::double as relevance from (select agent, path, min(r) as r from (select *, row_number() over (partition by agent order by ts desc, event_id desc) as r from v_edits where ts > timestamp '2024-01-20' - interval 14400 minute and ts <= timestamp '2024-01-20') where r <= 50 group by 1, 2)",
+    doubles=("relevance",),
 )
 def file_relevance(spark, sf_dir):
     edits = table(spark, sf_dir, "v_edits").withColumn("ts", F.col("ts").cast("timestamp"))
