@@ -60,7 +60,7 @@ def similar_route(services: DataFrame, routes: DataFrame, least: float = 0.7) ->
         return F.when(x == y, 1.0).when(param(x) | param(y), 0.6).when(near >= 0.5, near).otherwise(0.0)
 
     mean = F.aggregate(F.zip_with("x", "y", score), F.lit(0.0), lambda acc, v: acc + v) / F.col("n")
-    pairs = a.join(b, "n").withColumn("similarity", F.when(F.col("p") == F.col("q"), 1.0).otherwise(mean)).where(F.col("similarity") >= least)
+    pairs = a.join(b, "n").withColumn("similarity", F.when(F.col("p") == F.col("q"), 1.0).otherwise(F.round(mean, 9))).where(F.col("similarity") >= least)
     best = pairs.groupBy("service").agg(F.min_by(F.struct("route", "similarity", (F.col("p") == F.col("q")).alias("same_path")), F.struct(-F.col("similarity"), F.col("route"))).alias("b"))
     return best.select("service", "b.*")
 

@@ -45,12 +45,27 @@ def unmatched_routes(spark, sf_dir):
     return C.unmatched_routes(routes, C.match_endpoints(services, routes), services).select("method", "path")
 
 
-@query()
+_SEGMENTS = (
+    "select service, route, same, unnest(x) as a, unnest(y) as b from (select service, r.path as route, sp = rp as same, string_split(sp, '/') as x, string_split(rp, '/') as y from (select service, " + _STRIP + " as sp from s) s join (select distinct path, " + _STRIP + " as rp from routes) r on len(string_split(sp, '/')) = len(string_split(rp, '/')))"
+)
+_NEAR = (
+    "select service, route, same, case when same then 1.0 else round(sum(case when a = b then 1.0 when regexp_matches(a, '^[{<:$]') or regexp_matches(b, '^[{<:$]') then 0.6 when near >= 0.5 then near else 0 end) / count(*), 9) end as similarity from (select *, case when a = '' or b = '' then 0.0 "
+    "when lower(a) like '%' || lower(b) || '%' or lower(b) like '%' || lower(a) || '%' then 0.8 else greatest(cp / least(length(a), length(b)) * 0.7 + cp / greatest(length(a), length(b)) * 0.3, 1 - levenshtein(lower(a), lower(b)) / greatest(length(a), length(b))) end as near "
+    "from (select *, coalesce(list_position(list_transform(range(1, least(length(a), length(b)) + 1), lambda i: lower(a)[i] <> lower(b)[i]), true) - 1, least(length(a), length(b))) as cp from seg)) group by 1, 2, 3"
+)
+_BEST = "select service, b.route as route, b.similarity as similarity, b.same as same_path from (select service, arg_min({'route': route, 'similarity': similarity, 'same': same}, (-similarity, route)) as b from near where similarity >= 0.7 group by 1)"
+
+
+@query("select * from best", ("s", _SERVICES + " where page_id % 2 = 0"), ("routes", "select * from v_routes"), ("seg", _SEGMENTS), ("near", _NEAR), ("best", _BEST), doubles=("similarity",))
 def similar_route(spark, sf_dir):
     return C.similar_route(_services(spark, sf_dir).where("service % 2 = 0"), table(spark, sf_dir, "v_routes"))
 
 
-@query()
+@query(
+    "select m.service, case when m.route is not null or same_path then 'methodMismatch' when b.route is not null then 'pathMismatch' else 'notFound' end as finding, case when m.route is not null or same_path then 'critical' when b.route is not null then 'high' else 'critical' end as severity, "
+    "cast(case when m.route is not null or same_path then 95 when b.route is not null then 90 else 95 end as int) as confidence from m left join best b on b.service = m.service where m.route is null or m.tier > 4",
+    ("s", _SERVICES), ("routes", "select * from v_routes where method in ('GET', 'PUT')"), ("m", _MATCHES.replace("from v_routes)", "from routes)")), ("seg", _SEGMENTS), ("near", _NEAR), ("best", _BEST),
+)
 def unmatched_services(spark, sf_dir):
     services, routes = _services(spark, sf_dir), table(spark, sf_dir, "v_routes").where("method in ('GET', 'PUT')")
     return C.unmatched_services(C.match_endpoints(services, routes), C.similar_route(services, routes))
@@ -135,7 +150,12 @@ def query_param_diff(spark, sf_dir):
     return C.query_param_diff(spark.sql(_SENT), spark.sql(_DECL))
 
 
-@query()
+@query(
+    "select service, unnest(list_filter([case when method <> route_method then 'methodMismatch' end, case when len(x) <> len(y) or len(list_filter(list_zip(x, y), lambda z: not (z[1] = z[2] or regexp_matches(z[1], '^[{<:$]') or regexp_matches(z[2], '^[{<:$]')))) > 0 then 'pathMismatch' end, "
+    "case when p < r then 'missingParam' end, case when p > r then 'extraParam' end, case when named <> method then 'suspiciousMethod' end], lambda f: f is not null)) as finding from (select *, string_split(" + _STRIP + ", '/') as x, string_split(" + _STRIP.replace("(path", "(route") + ", '/') as y, "
+    "cast(regexp_matches(path, ':num|\\{id\\}') as int) as p, cast(regexp_matches(route, ':num|\\{id\\}') as int) as r, case service % 4 when 0 then 'GET' when 1 then 'POST' when 2 then 'DELETE' end as named from m where route is not null)",
+    ("s", _SERVICES), ("m", _MATCHES),
+)
 def path_compat(spark, sf_dir):
     named = F.expr("case service % 4 when 0 then 'getThing' when 1 then 'createThing' when 2 then 'removeThing' else 'thing' end")
     return C.path_compat(_matches(spark, sf_dir).withColumn("name", named))
