@@ -121,14 +121,16 @@ def _logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(at[0], 1e-3)), float(at[1])
 
 
-def train(labelled: DataFrame) -> tuple[np.ndarray, float]:
+def train(labelled: DataFrame, sample_of=None) -> tuple[np.ndarray, float]:
     """Weights by bucket and intercept, so that the score is the logistic of their sum over a set by the root of its size.
 
     ``labelled`` has text, label (0 or 1) and a hash h. All of its rows are counted for the ratios; at most ``ROWS``,
-    those with the smallest hashes, fit the model. With one class only, its share alone is learned.
+    those with the smallest hashes, fit the model. ``sample_of(limit)`` gives the rows with ``h % 2**30 <= limit`` where
+    there is a cheaper way to them. With one class only, its share alone is learned.
     """
-    labelled = labelled.where("label in (0, 1)").select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"), "h")
-    counts = labelled.select("text", "label").mapInArrow(_counts, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
+    shaped = lambda df: df.where("label in (0, 1)").select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"), "h")
+    sample_of = sample_of or (lambda limit: labelled.where(F.pmod("h", F.lit(1 << 30)) <= limit))
+    counts = shaped(labelled).select("text", "label").mapInArrow(_counts, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
     sums = np.zeros((2, BUCKETS + 1))
     sums[:, counts["bucket"]] = counts[["n0", "n1"]].to_numpy().T
     rows = sums[:, -1]
@@ -137,7 +139,7 @@ def train(labelled: DataFrame) -> tuple[np.ndarray, float]:
     freq = sums[:, :-1] + SMOOTH
     ratio = np.log(freq[1] / freq[1].sum() / (freq[0] / freq[0].sum()))
     limit = int(min(1.0, ROWS * 1.2 / rows.sum()) * (1 << 30))
-    sample = labelled.where(F.pmod("h", F.lit(1 << 30)) <= limit).mapInArrow(_sets, "x binary, label int, h long").collect()  # about ROWS rows
+    sample = shaped(sample_of(limit)).mapInArrow(_sets, "x binary, label int, h long").collect()  # about ROWS rows
     sample = sorted(sample, key=lambda r: (r["h"] % (1 << 30), r["h"], r["x"]))[:ROWS]
     x = [np.frombuffer(r["x"], np.uint16) for r in sample]
     y = np.array([1.0 if r["label"] else -1.0 for r in sample])
@@ -172,6 +174,9 @@ def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
     """``(doc_id, held_out, score, predicted)``: learns from labels of documents with crc32(doc_id) mod 5 other than 0."""
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     known = labels.where(fold != 0).select("doc_id", F.col("quality").alias("label"), F.xxhash64("doc_id").alias("h"))
-    out = score(documents, train(documents.select("doc_id", "text").join(known, "doc_id")))
+    texts = documents.select("doc_id", "text")
+    # Labels grow with the documents, so they meet by sorting; the sample's labels are bounded by ROWS and go everywhere.
+    few = lambda limit: texts.join(F.broadcast(known.where(F.pmod("h", F.lit(1 << 30)) <= limit)), "doc_id")
+    out = score(documents, train(texts.join(known.hint("merge"), "doc_id"), few))
     held = F.coalesce(F.crc32(F.col("id").cast("string")) % 5 == 0, F.lit(False))
     return out.select(F.col("id").alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
