@@ -76,8 +76,9 @@ def _prefix(x: np.ndarray, tokens: np.ndarray, counts: np.ndarray, percent: int)
         order = np.lexsort((x, weight))
         x, weight = x[order], weight[order]
     upto = base - 1 + most
-    drawn = np.cumsum(weight[:upto] + 1)[base - 1 :]
-    cost = drawn * (1 + VERIFY_COST / np.arange(1, most + 1) ** 2)
+    matches = np.arange(1, most + 1)
+    drawn = np.cumsum(weight[:upto])[base - 1 :]
+    cost = base - 1 + matches + drawn * (1 + VERIFY_COST / matches**2)
     return x[:upto], base, int(np.argmin(cost)) + 1, share
 
 
@@ -228,7 +229,12 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     open_ = written(open_, "open")
     mixed_tokens = open_.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     left_over = written(open_.join(mixed_tokens, "token", "left_semi"), "left-over")
-    x, y = left_over.alias("x"), left_over.alias("y")
+    # Shingles of a prefix that are shared with no one are in no intersection: behind a posting lie at most the set's
+    # other shared ones and what follows its prefix.
+    of_set = Window.partitionBy("id", "n")
+    behind = F.count("*").over(of_set) - F.row_number().over(of_set.orderBy("pos")) + F.expr(f"({percent} * n + 99) div 100") - 1
+    known = left_over.withColumn("behind", behind)
+    x, y = known.alias("x"), known.alias("y")
     meet = (
         (F.col("x.token") == F.col("y.token"))
         & (F.col("x.component") != F.col("y.component"))
@@ -236,15 +242,16 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         & (100 * F.col("y.n") >= percent * F.col("x.n"))
         & (F.col("x.entry") <= F.col("x.matches"))
         & (F.col("y.entry") <= F.col("x.matches"))
-        # Each of the first m common shingles has at most the rest of either set behind it.
+        # Each of the first m common shingles has at most the rest of either set behind it, and no more than one set's shared ones.
+        & ((100 + percent) * (F.col("x.matches") + F.greatest("x.behind", "y.behind")) >= percent * (F.col("x.n") + F.col("y.n")))
         & ((100 + percent) * (F.col("x.matches") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) - 1) >= percent * (F.col("x.n") + F.col("y.n")))
     )
-    counted = x.join(y, meet).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("c"), F.min("x.matches").alias("m"))
-    found = written(counted.where("c >= m").select("a", "b"), "met")
+    counted = x.join(y, meet).groupBy(F.col("x.id").alias("a"), F.col("x.n").alias("na"), F.col("y.id").alias("b"), F.col("y.n").alias("nb")).agg(F.count("*").alias("c"), F.min("x.matches").alias("m"))
+    found = written(counted.where("c >= m").select("a", "na", "b", "nb"), "met")
     # All common shingles of the longest prefixes bound the similarity before full sets are fetched.
-    lists = left_over.groupBy("id").agg(F.collect_set("token").alias("tokens"), F.first("n").alias("n"))  # no longer than a prefix
-    both = found.join(lists.select(F.col("id").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na")), "a").join(lists.select(F.col("id").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb")), "b")
-    close = both.withColumn("c", F.size(F.array_intersect("ta", "tb"))).where(_may_link("na", "nb", "1", percent)).select("a", "b")
+    lists = left_over.groupBy("id", "n").agg(F.collect_set("token").alias("tokens"))  # no longer than a prefix
+    both = found.join(lists.selectExpr("id as a", "n as na", "tokens as ta"), ["a", "na"]).join(lists.selectExpr("id as b", "n as nb", "tokens as tb"), ["b", "nb"])
+    close = both.withColumn("c", F.size(F.array_intersect("ta", "tb"))).where(_may_link("na", "nb", "1", percent)).select("a", "b").distinct()
     more = _verified(close, docs, k, percent)
     joined = written(connected_components(near.unionByName(more)), "components")
 
