@@ -3,7 +3,8 @@
 Markup is stripped so that each block element is a line. A line counts with the length of its text; lines of menus,
 notices, forms and the like, of link lists, and, where the page marks its article, of anything outside it count
 nothing. The sums over sliding windows of ``WINDOW`` lines surge where the main text begins and dive to nothing where
-it ends; the lines between a surge and the dive after it are kept.
+it ends; the lines between a surge and the dive after it are kept. Inside a marked article, where paragraphs and
+headings count ``PARAGRAPH`` more, each line must be in a window that reaches the surge by itself.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-#: Characters in a window at a surge, for pages with and without a marked article.
-SURGE_MARKED, SURGE = 1, 90
-#: Share of link text from which a line is a link list, where no article is marked.
+#: Characters in a window at a surge.
+SURGE = 90
+#: What a paragraph or heading of a marked article counts besides its text: three of them are a surge, however short.
+PARAGRAPH = SURGE // WINDOW
+#: Share of link text from which a line is a link list.
 LINKS = 0.5
 
 # Element names of HTML, and words of class, id and role that name what is no main text.
@@ -28,6 +31,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 CONTAINERS = frozenset("html body head div section article main nav header footer aside form ul ol dl table tbody thead tfoot tr figure fieldset menu dialog select details center blockquote hgroup address search".split())
 SKIPPED = frozenset("head nav footer aside form menu dialog select button fieldset search title".split())
+PARAGRAPHS = frozenset("p pre h1 h2 h3 h4 h5 h6".split())
 WORDS = frozenset(
     "ad ads adv advert advertisement adverts advertising alert aside banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disqus footer gdpr hidden login masthead menu menus modal "
     "nav navbar navigation newsletter notice notices notification overlay pagination popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
@@ -46,22 +50,22 @@ def _names(attributes: str) -> set[str]:
     return {w for x in _NAMES.findall(attributes) for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", x).lower()) if w}
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, bool, bool, int]], bool]:
-    """Lines ``(text, skipped, in article, link characters)`` of a page, and whether it marks an article."""
-    lines: list[tuple[str, bool, bool, int]] = []
+def lines_of(page: str) -> tuple[list[tuple[str, bool, bool, int, bool]], bool]:
+    """Lines ``(text, skipped, in article, link characters, paragraph or heading)`` of a page, and whether it marks an article."""
+    lines: list[tuple[str, bool, bool, int, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # name, skipped, in article: of the element and all around it
     opened: Counter[str] = Counter()
     held: list[str] = []
-    links, in_link, off, marked = 0, 0, False, False
+    links, in_link, off, paragraph, marked = 0, 0, False, False, False
     at, n = 0, len(page)
 
     def flush():
-        nonlocal held, links, off
+        nonlocal held, links, off, paragraph
         if held:
             text = " ".join(html.unescape("".join(held)).split())
-            lines.append((text, off or bool(stack and stack[-1][1]), bool(stack and stack[-1][2]), links))
+            lines.append((text, off or bool(stack and stack[-1][1]), bool(stack and stack[-1][2]), links, paragraph))
             held, links = [], 0
-        off = False
+        off = paragraph = False
 
     while at < n:
         open_ = page.find("<", at)
@@ -131,7 +135,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, bool, int]], bool]:
             stack.append((name, skipped or named, inside))
             opened[name] += 1
         else:
-            off = named
+            off, paragraph = named, name in PARAGRAPHS
     flush()
     return lines, marked
 
@@ -141,19 +145,15 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines, marked = lines_of(page)
+    if marked:
+        return "\n".join(_dense([x for x in lines if x[2] and not x[1] and x[0]]))
 
-    def weight(text, skipped, inside, links):
-        if skipped or (marked and not inside) or (not marked and links > LINKS * len(text)):
-            return 0
-        return len(text)
-
-    weights = [weight(*x) for x in lines]
-    surge = SURGE_MARKED if marked else SURGE
+    weights = [0 if skipped or links > LINKS * len(text) else len(text) for text, skipped, _, links, _ in lines]
     kept: list[str] = []
     running = False
     for i in range(len(lines)):
         window = sum(weights[i : i + WINDOW])
-        running = window > 0 if running else window >= surge
+        running = window > 0 if running else window >= SURGE
         if running and weights[i]:
             kept.append(lines[i][0])
     if not kept:
@@ -161,6 +161,16 @@ def main_text(page: str | None) -> str:
     return "\n".join(kept)
 
 
+def _dense(lines: list[tuple[str, bool, bool, int, bool]]) -> list[str]:
+    """Of an article's lines but its link lists, those in a window that reaches the surge; where none does, all of them, and the link lists if there is nothing else."""
+    own = [(x[0], len(x[0]) + PARAGRAPH * x[4]) for x in lines if x[3] <= LINKS * len(x[0])]
+    kept: dict[int, str] = {}
+    for i in range(max(1, len(own) - WINDOW + 1)):
+        if sum(w for _, w in own[i : i + WINDOW]) >= SURGE:
+            kept |= {j: own[j][0] for j in range(i, min(i + WINDOW, len(own)))}
+    return list(kept.values()) or [t for t, _ in own] or [x[0] for x in lines]
+
+
 def extract(pages: DataFrame, html_col: str = "html", carry: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """``carry`` and ``text``, ``n_chars`` of every row of pages. Null and empty html give an empty text; rows repeat as they come; only the named columns are read."""
     some = pages.select(*carry, F.col(html_col).alias("__html"))

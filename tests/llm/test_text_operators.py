@@ -48,6 +48,18 @@ def test_surge_and_dive_without_article():
     assert text.split("\n")[0].startswith("Sentence of the story number 0") and text.endswith("End.") and "Item" not in text
 
 
+def test_windows_decide_inside_a_marked_article():
+    """No class or tag tells these lines apart: link lists and runs of short lines go, short paragraphs stay."""
+    body = "".join(f"<p>Sentence of the story number {i}, which is rather long so that it counts for much.</p><p>Short.</p>" for i in range(3))
+    links = '<p><a href="/s">Share</a> | <a href="/t">Tweet</a></p><div><a href="/1">Read this one too</a></div>'
+    short = "".join(f"<div>{x}</div>" for x in ("Like", "Send", "Print", "Top", "Next", "Back"))
+    text = html_extract.main_text(f"<body><article><h1>Title</h1>{links}{body}<p>End.</p>{links}{short}</article></body>").split("\n")
+    assert text[:3] == ["Title", "Sentence of the story number 0, which is rather long so that it counts for much.", "Short."]
+    assert text[6:] == ["Short.", "End."]
+    assert html_extract.main_text("<main>" + "<p>La.</p>" * 30 + "</main>") == "\n".join(["La."] * 30)
+    assert html_extract.main_text('<main><li><a href="/">Only link</a></li></main>') == "Only link"
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 6), (2, None, None, 6), (None, "v", "", 7)], "page_id long, url string, html string, text int")
     got = html_extract.extract(pages).collect()
