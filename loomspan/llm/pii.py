@@ -1,17 +1,19 @@
-"""Personal data: base patterns, and information-theoretic sanitisation of the words around them. DataFrame functions only.
+"""Personal data: base patterns, and information-theoretic sanitisation of the words beside them. DataFrame functions only.
 
 Base spans are emails, IP addresses, payment cards and phone numbers. Each distinct value is a protected entity. Words
-near an entity may give it away as well: with ``p(e)`` the share of documents that contexts of the entity make up,
-``IC(e) = -log2 p(e)`` is what naming it tells, and ``PMI(t; e) = log2(p(t | e) / p(t))`` what the term tells about it,
-from the share of the entity's distinct contexts and of all documents that hold the term. A term that tells
-``remove`` of an entity's information content or more is removed, one that tells ``generalise`` or more is replaced by
-its class. Contexts count once however often they are copied, and fewer than ``support`` of them show nothing.
+of the same texts may give it away as well: with ``p(e)`` the share of texts that hold the entity, ``IC(e) = -log2 p(e)``
+is what naming it tells, and ``PMI(t; e) = log2(p(t | e) / p(t))`` what the term tells about it, from the share of the
+entity's texts and of all texts that hold the term. ``p(t | e)`` is smoothed: ``support`` further texts are added to the
+entity's, with the term as often as anywhere, so that few texts show less. A term that tells ``remove`` of an entity's
+information content or more is removed wherever it stands in a text with the entity, one that tells ``generalise`` or
+more is replaced by its class. Equal texts that hold an entity count once everywhere.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomspan.operators.tables import written
 
@@ -24,8 +26,8 @@ PATTERNS = {
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Words on either side of a span that make up its context, and the characters searched for them.
-NEAR_WORDS, NEAR_CHARS = 5, 160
+#: What a term is made of.
+WORD = r"[\p{L}\p{M}]+"
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -92,29 +94,33 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def _terms(text: Column, spans: str) -> Column:
-    """array<struct<entity, context, words: array<struct<term, start, end>>>>: the words on either side of each span."""
-
-    def of(x):
-        at = F.greatest(F.lit(0), x["start"] - NEAR_CHARS)
-        left, right = F.substring(text, at + 1, x["start"] - at), F.substring(text, x["end"] + 1, F.lit(NEAR_CHARS))
-        word = r"[\p{L}\p{M}]+"
-        keep = lambda found, base: F.transform(found, lambda w: F.struct(F.lower(w["hit"]).alias("term"), (w["start"] + base).alias("start"), (w["end"] + base).alias("end")))
-        before = F.slice(F.reverse(_matches(left, word)), 1, NEAR_WORDS)
-        after = F.slice(_matches(right, word), 1, NEAR_WORDS)
-        words = F.concat(keep(before, at), keep(after, x["end"]))
-        return F.struct(F.lower(x["hit"]).alias("entity"), F.xxhash64(F.transform(words, lambda w: w["term"])).alias("context"), F.filter(words, lambda w: F.char_length(w["term"]) >= 3).alias("words"))
-
-    return F.transform(F.col(spans), of)
+def _terms(text: Column) -> Column:
+    """The distinct terms of three letters or more of a text."""
+    return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{M}]+")), lambda w: F.char_length(w) >= 3)
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
     """``(h, df)``: for each term of three letters or more, by hash, the number of documents that hold it."""
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{M}]+"))
-    each = docs.select(F.explode(words).alias("term")).where(F.char_length("term") >= 3)
+    each = docs.select(F.explode(_terms(F.col("text"))).alias("term"))
     return each.groupBy(F.xxhash64("term").alias("h")).agg(F.count("*").alias("df"))
 
 
+def _told(both: Column, texts: Column, df: Column, total: int, support: int) -> Column:
+    """Share of an entity's information content that a term tells, from the texts with both, with the entity and with the term."""
+    share = (both + support * df / F.lit(float(total))) / (texts + support)
+    content = F.log2(F.lit(float(total)) / texts)
+    return F.when(content > 0, F.log2(share * F.lit(float(total)) / df) / content).otherwise(0.0)
+
+
+def _places(texts: DataFrame) -> DataFrame:
+    """``(d, term, start, end)`` of all words of the texts ``(d, text)``, in code points."""
+    whole = F.lit(rf"(?s)(.*?)(?:({WORD})|\z)")
+    steps = F.arrays_zip(F.regexp_extract_all("text", whole, F.lit(1)).alias("gap"), F.regexp_extract_all("text", whole, F.lit(2)).alias("hit"))
+    each = texts.select("d", F.posexplode(steps).alias("pos", "x")).select("d", "pos", F.char_length("x.gap").alias("gap"), F.col("x.hit").alias("hit"))
+    end = F.sum(F.col("gap") + F.char_length("hit")).over(Window.partitionBy("d").orderBy("pos")).cast("int")
+    return each.select("d", F.lower("hit").alias("term"), (end - F.char_length("hit")).alias("start"), end.alias("end"))
+
+
 def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: tuple[str, ...] = (), generalise: float = 0.6, remove: float = 0.8, support: int = 3) -> DataFrame:
     """``(id, base, added[, text][, columns of carry])``: per row the base spans and the spans that the method adds.
 
@@ -124,23 +130,26 @@ def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     """
     docs = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry)
     based = docs.withColumn("key", F.monotonically_increasing_id()).withColumn("base", base_spans(F.col("text")))
-    based = based.withColumn("near", F.when(F.size("base") > 0, _terms(F.col("text"), "base")))
-    based = written(based if keep_text else based.drop("text"), "base")  # keys are fixed here
-
-    near = based.where("near is not null").select("key", F.explode("near").alias("n")).select("key", "n.entity", "n.context", F.explode("n.words").alias("w")).select("key", "entity", "context", "w.*")
-    n_docs = docs.agg(F.count("*").alias("n"))
-    seen = near.select("entity", "context", "term").distinct()
-    of_entity = seen.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= support)
-    together = seen.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    counted = together.join(of_entity, "entity").withColumn("h", F.xxhash64("term")).join(document_frequency(docs), "h")
-    total = int(n_docs.first()["n"])
-    pmi = F.log2((F.col("both") / F.col("contexts")) * F.lit(float(total)) / F.col("df"))
-    content = F.log2(F.lit(float(total)) / F.col("contexts"))
-    told = counted.select("entity", "term", F.when(content > 0, pmi / content).otherwise(0.0).alias("told")).where(F.col("told") >= generalise)
-    kind = F.when(F.col("told") >= remove, "reveal").otherwise("term")
-    marked = near.join(told, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("told").alias("told"))
-    added = marked.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", kind.alias("kind")))).alias("added"))
-    out = based.join(added, "key", "left")
+    based = written(based if keep_text else based.withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "base")  # keys are fixed here
+
+    held = based.where(F.size("base") > 0).select("key", "text", F.xxhash64("text").alias("d"), F.array_distinct(F.transform("base", lambda x: F.lower(x["hit"]))).alias("entities"))
+    once = written(held.groupBy("d").agg(F.first("text").alias("text"), F.first("entities").alias("entities"), (F.count("*") - 1).alias("copies")), "held")
+    total = based.count() - int(once.agg(F.sum("copies")).first()[0] or 0)
+    names = once.select("d", F.explode("entities").alias("entity"))
+    names = names.join(names.groupBy("entity").agg(F.count("*").alias("texts")), "entity")
+    terms = once.select("d", "copies", F.explode(_terms(F.col("text"))).alias("term")).withColumn("h", F.xxhash64("term"))
+    spare = terms.where("copies > 0").groupBy("h").agg(F.sum("copies").alias("spare"))
+    frequency = document_frequency(docs).join(spare, "h", "left").select("h", (F.col("df") - F.coalesce("spare", F.lit(0))).alias("df"))
+    terms = terms.join(frequency, "h").select("d", "term", "df")
+    told = lambda both: _told(both, F.col("texts"), F.col("df"), total, support)
+    # A term tells most if all of the entity's texts hold it: pairs that would tell too little even so are never counted.
+    pairs = written(names.join(terms, "d").where(told(F.col("texts")) >= generalise), "pairs")
+    judged = pairs.groupBy("entity", "term", "texts", "df").agg(F.count("*").alias("both")).select("entity", "term", told(F.col("both")).alias("told")).where(F.col("told") >= generalise)
+    kind = F.when(F.max("told") >= remove, "reveal").otherwise("term")
+    marked = written(pairs.join(judged, ["entity", "term"]).groupBy("d", "term").agg(kind.alias("kind")), "marked")
+    places = _places(once.join(marked.select("d").distinct(), "d", "left_semi").select("d", "text"))
+    spans = places.join(marked, ["d", "term"]).groupBy("d").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("added"))
+    out = based.join(held.select("key", "d").join(spans, "d").select("key", "added"), "key", "left")
     inside = lambda a: F.exists("base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"]))
     empty = F.expr("cast(array() as array<struct<start:int,end:int,kind:string>>)")
     out = out.withColumn("added", F.coalesce(F.filter("added", lambda a: ~inside(a)), empty))

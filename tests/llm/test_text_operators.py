@@ -140,6 +140,17 @@ def test_pii_revealing_terms_and_sanitising(spark):
     assert "reveal:29:37" in spans[0] and "email" in spans[0] and spans[100] == ""
 
 
+def test_pii_terms_of_whole_texts(spark):
+    """One text with the address, copied: its name is far from it and stands twice; a text without the address keeps the name."""
+    far = "plain words of the day go on and on " * 30
+    text = f"Zorvane wrote. {far}q.x@mail.org {far}And 🙂 ZORVANE again."
+    rows = [(1, text), (2, text), (3, text)] + [(100 + i, f"{far}Wrote and again number {i}.") for i in range(300)]
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string"), keep_text=True)
+    texts = {r["id"]: r["text"] for r in pii.sanitised(found).collect()}
+    want = f"[TERM] wrote. {far}[EMAIL] {far}And 🙂 [TERM] again."
+    assert texts[1] == texts[2] == texts[3] == want and all(texts[i] == t for i, t in rows[3:])
+
+
 def test_pii_odd_rows(docs):
     got = pii.digest(pii.find(docs))
     assert got.count() == len(DOCS) and got.where("spans <> ''").count() == 0
