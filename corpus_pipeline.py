@@ -13,8 +13,11 @@ from pyspark.sql.window import Window
 from loomspan.llm import bpe, decontam, langid, ngram_join, pii
 from loomspan.operators.tables import ship, written
 
-#: A document goes only if it has no letter or its best language has less than this.
-LEAST_LANGUAGE_SCORE = 0.25
+#: A document goes if it has no letter, or if its best language's score times the share of its trigrams that learning met
+#: is less than this part of the value that all but one in a thousand of the labelled texts kept from learning have.
+LANGUAGE_PART, LANGUAGE_QUANTILE = 0.6, 0.001
+#: Bytes of a text from which it is judged; shorter ones show too little and stay.
+LANGUAGE_BYTES = 64
 
 
 def _carried(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -34,8 +37,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
     net = langid.train(docs.where(fold != 1).select("text", "lang", F.xxhash64("doc_id").alias("h")))
     moved, names = _carried(docs)
+    sure = F.col("score") * F.col("known")
+    held_out = langid.predict(docs.where((fold == 1) & F.col("lang").isNotNull()).select("doc_id", "text", "lang"), net, carry=["lang"])
+    low = held_out.where("lang_pred = lang").agg(F.percentile_approx(sure, F.lit(LANGUAGE_QUANTILE), F.lit(10_000))).first()[0]
     found = langid.predict(moved, net, carry=list(names.values()))
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    kept = found.where((F.col("lang_pred") != "und") & ((sure >= LANGUAGE_PART * (low or 0.0)) | (F.octet_length("text") < LANGUAGE_BYTES)))
     return _restored(kept.withColumn(names["lang"], F.coalesce(names["lang"], "lang_pred")), names, docs.columns)
 
 

@@ -46,6 +46,12 @@ def windows_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return folded[np.where(inside, place, len(data))], row
 
 
+def trigrams_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All trigrams of folded windows ``x`` as numbers, and whether a letter stands in their middle."""
+    wide = x.astype(np.int32)
+    return wide[:, :-2] << 16 | wide[:, 1:-1] << 8 | wide[:, 2:], x[:, 1:-1] != 0x20
+
+
 class Network:
     """Filters ``w[k, byte, filter]`` of the widest width with zeros beyond each filter's own, and the softmax on top."""
 
@@ -56,6 +62,7 @@ class Network:
         self.bias = np.zeros(total, np.float32)
         self.top = rng.normal(0, 0.3, (total, len(classes))).astype(np.float32)
         self.base = np.zeros(len(classes), np.float32)
+        self.seen = np.zeros(0, np.int32)  # trigrams of the windows that it is fitted on
 
     def prepared(self) -> Network:
         """Adds tables of the filters over pairs of bytes."""
@@ -63,6 +70,17 @@ class Network:
         self.pairs = [(w[k][:, None, :] + w[k + 1][None, :, :]).reshape(1 << 16, -1) for k in (0, 2)]
         return self
 
+    def known(self, x: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        """For each of ``rows`` texts, with windows ``x`` of texts ``row``, the share of its trigrams that learning met."""
+        table = np.zeros(1 << 24, bool)
+        table[self.seen] = True
+        met, every = np.zeros(rows), np.zeros(rows)
+        for i in range(0, len(x), 4096):
+            code, inside = trigrams_of(x[i : i + 4096])
+            met += np.bincount(row[i : i + 4096], (table[code] & inside).sum(axis=1), rows)
+            every += np.bincount(row[i : i + 4096], inside.sum(axis=1), rows)
+        return met / np.maximum(every, 1)
+
     def responses(self, x: np.ndarray) -> np.ndarray:
         """The filters' responses at all places of windows ``x``; places over the end see white space."""
         wide = np.concatenate([x, np.full((len(x), max(WIDTHS) - 1), 0x20, np.uint8)], axis=1)
@@ -148,6 +166,9 @@ def train(labelled: DataFrame, rows: int = ROWS) -> Network | None:
                 x.append(got)
                 y += [classes.index(r["lang"])] * len(got)
     net = Network(classes, rng)
+    if x:
+        code, inside = trigrams_of(np.concatenate(x))
+        net.seen = np.unique(code[inside])
     if len(classes) > 1:
         x, y = np.concatenate(x), np.array(y)
         short = x.copy()  # short texts are windows that are mostly white space
@@ -158,7 +179,8 @@ def train(labelled: DataFrame, rows: int = ROWS) -> Network | None:
 
 
 def predict(documents: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``(id, lang_pred, score)`` of every row, from the whole text; with ``carry``, also text and those columns.
+    """``(id, lang_pred, score)`` of every row, from the whole text; with ``carry``, also text, those columns, and ``known``,
+    the share of the text's trigrams that learning met: scores only compare the learned languages.
 
     ``lang_pred`` is a learned language, or ``und`` with score 0 for null texts and texts without a letter. Repeated
     rows and null ids stay.
@@ -170,7 +192,7 @@ def predict(documents: DataFrame, net: Network | None, id_col: str = "doc_id", t
         known = shared.value
         known = known.prepared() if known else None
         for batch in batches:
-            langs, scores = [], []
+            langs, scores, met = [], [], []
             texts = batch.column(1)
             data, offsets = raw(texts)
             for a, b in pieces(offsets):
@@ -180,8 +202,10 @@ def predict(documents: DataFrame, net: Network | None, id_col: str = "doc_id", t
                 if not known or not len(x):
                     langs += ["und"] * (b - a)
                     scores += [0.0] * (b - a)
+                    met += [0.0] * (b - a)
                     continue
                 p = np.concatenate([known.probabilities(x[i : i + 128]) for i in range(0, len(x), 128)])
+                met += known.known(x, row, b - a).tolist() if carry else []
                 weight = (x != 0x20).sum(axis=1) + 1e-3
                 total = np.zeros((b - a, len(known.classes)))
                 np.add.at(total, row, p * weight[:, None])
@@ -195,11 +219,11 @@ def predict(documents: DataFrame, net: Network | None, id_col: str = "doc_id", t
                 sure = total[np.arange(b - a), best] / np.maximum(total.sum(axis=1), 1e-12)
                 langs += [known.classes[k] if s else "und" for k, s in zip(best, some, strict=True)]
                 scores += np.where(some, np.clip(sure, 0, 1), 0.0).tolist()
-            columns = [*batch.columns[:2], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *batch.columns[2:]] if carry else [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "lang_pred", "score", *carry] if carry else ["id", "lang_pred", "score"])
+            columns = [*batch.columns[:2], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(met, pa.float64()), *batch.columns[2:]] if carry else [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "lang_pred", "score", "known", *carry] if carry else ["id", "lang_pred", "score"])
 
     kinds = dict(docs.dtypes)
-    return docs.mapInArrow(score, ", ".join([f"id {kinds['id']}", *(["text string"] if carry else []), "lang_pred string", "score double", *(f"`{c}` {kinds[c]}" for c in carry or [])]))
+    return docs.mapInArrow(score, ", ".join([f"id {kinds['id']}", *(["text string"] if carry else []), "lang_pred string", "score double", *(["known double"] if carry else []), *(f"`{c}` {kinds[c]}" for c in carry or [])]))
 
 
 def identify(documents: DataFrame) -> DataFrame:
