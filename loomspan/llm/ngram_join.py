@@ -72,7 +72,7 @@ def _prefix(x: np.ndarray, tokens: np.ndarray, counts: np.ndarray, percent: int)
     at[at == len(tokens)] = 0
     weight = np.where(tokens[at] == x, counts[at], 0) if len(tokens) else np.zeros(n, np.int64)
     share = int(255 * np.count_nonzero(weight) // n)
-    if share:
+    if weight.any():
         order = np.lexsort((x, weight))
         x, weight = x[order], weight[order]
     upto = base - 1 + most

@@ -268,3 +268,10 @@ def test_pipeline_rejects_languages_that_it_did_not_learn(spark):
     kept = {r["doc_id"] for r in cp.language_id(spark, docs.unionByName(more), SF).collect()}
     lettered = {r["doc_id"] for r in docs.where("text rlike '[a-zA-Z]'").collect()}
     assert kept == lettered
+
+
+def test_one_frequent_shingle_of_a_large_set_comes_last():
+    """Its share of 255 rounds to nothing, and still the set keeps the global order of its partners."""
+    x = np.arange(1, 401, dtype=np.uint64)
+    prefix, base, _, share = ngram_join._prefix(x, np.array([1], np.uint64), np.array([1000]), 75)
+    assert share == 0 and base == 101 and 1 not in prefix.tolist() and prefix[0] == 2
