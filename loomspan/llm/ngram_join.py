@@ -1,87 +1,46 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
-Each text is a set of word shingles. All sets are ordered by one global order: shingles that repeat within some stretch
-of the corpus come last, by their count, all others first, by hash. Two sets of similarity t or more share at least o
-shingles, o = ceil(t * size), so the first ``size - o + m`` of each hold at least m common ones. m = 1 gives the
-shortest prefix. Where a prefix holds frequent shingles, so that it would draw many candidates, a longer one with a
-larger m is cheaper: each document takes the m with the least estimated cost, and its partners must then share m prefix
-shingles before anything is verified.
-
-Equal sets are one node. Before candidates are paired, every node is verified against one hub it shares prefix
-shingles with; nodes so connected need no further pair among themselves, which keeps large groups of near copies
-linear. All other pairs go the full way, so no link between two components is lost. Every surviving pair is verified
-on the full sets.
+Each text is a set of word shingles. All sets are ordered by one global order: by the number of documents that hold a
+shingle, counted exactly, then by hash. Two sets of similarity t or more share at least o shingles, o = ceil(t * size),
+so the first ``size - o + m`` of each hold at least m common ones. m = 1 gives the shortest prefix. Where a prefix holds
+frequent shingles, so that it would draw many candidates, a longer one with a larger m is cheaper: each document takes
+the m with the least estimated cost, and its partners must then share m prefix shingles before anything is verified.
+
+Shingles that no other document holds are in no intersection. A first pass therefore counts, in packed blocks, how many
+shingles of each text stand alone, and texts with too many of these, which can't have a partner, go no further; the
+rest are counted and ordered exactly among themselves. Equal sets are one node.
+
+Before candidates are paired, every node is verified against one hub it shares prefix shingles with. Nodes so connected
+need no further pair among themselves; of the others, a pair has at least one end outside the largest connected part
+that holds the shingle, so that large groups of near copies stay linear. No link between two components is lost, and
+every surviving pair is verified on the full sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomspan.llm.words import mixed, shingle_sets
 from loomspan.operators.components import connected_components
 from loomspan.operators.tables import written
 
-#: Most matches that an adaptive prefix may ask for.
-MOST_MATCHES = 4
-#: Entries of the table of frequent shingles that orders the rest; it only orders, so that its size never changes a result.
-ORDERED = 1 << 17
-#: Shingles counted at a time, and the count in such a stretch from which a shingle is reported.
-STRETCH, REPEATS = 1 << 21, 4
-#: Bits of the filter that picks the documents of candidate pairs.
-BITS = 1 << 23
+#: Matches that the prefix of any set may ask for, and further ones for every so many shingles of the set.
+MATCHES, MATCHES_EVERY = 4, 64
+#: Shingles and texts of a chunk of the first pass, and shingles of one of its buckets.
+CHUNK_SHINGLES, CHUNK_TEXTS, BUCKET = 1 << 21, 1 << 16, 1 << 20
 #: Cost of verifying a candidate against that of reading one posting.
 VERIFY_COST = 8.0
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def _count_repeats(k: int):
-    def count(batches):
-        held, n = [], 0
-
-        def report():
-            token, times = np.unique(np.concatenate(held), return_counts=True)
-            often = times >= REPEATS
-            return pa.RecordBatch.from_arrays([pa.array(_signed(token[often])), pa.array(times[often])], names=["token", "n"])
-
-        for batch in batches:
-            for x in shingle_sets(batch.column(0), k):
-                held.append(x)
-                n += len(x)
-                if n >= STRETCH:
-                    yield report()
-                    held, n = [], 0
-        if n:
-            yield report()
-
-    return count
-
-
-def _prefix(x: np.ndarray, tokens: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int, int, int]:
-    """The longest prefix that any partner may ask for, the length for one match, the matches chosen, and the share of frequent shingles of 255."""
-    n = len(x)
-    overlap = -(-percent * n // 100)
-    base, most = n - overlap + 1, min(MOST_MATCHES, overlap)
-    at = np.searchsorted(tokens, x)
-    at[at == len(tokens)] = 0
-    weight = np.where(tokens[at] == x, counts[at], 0) if len(tokens) else np.zeros(n, np.int64)
-    share = int(255 * np.count_nonzero(weight) // n)
-    if weight.any():
-        order = np.lexsort((x, weight))
-        x, weight = x[order], weight[order]
-    upto = base - 1 + most
-    matches = np.arange(1, most + 1)
-    drawn = np.cumsum(weight[:upto])[base - 1 :]
-    cost = base - 1 + matches + drawn * (1 + VERIFY_COST / matches**2)
-    return x[:upto], base, int(np.argmin(cost)) + 1, share
-
-
 def _digest(x: np.ndarray) -> tuple[int, int]:
     """Two 64-bit sums that tell sets apart."""
     return int(mixed(x).sum()), int(mixed(x ^ np.uint64(0x5851F42D4C957F2D)).sum())
@@ -92,76 +51,162 @@ def _digests(k: int):
         for batch in batches:
             sets = [(_digest(x), len(x)) for x in shingle_sets(batch.column(1), k)]
             both = np.array([d for d, _ in sets], dtype=np.uint64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_signed(both[:, 0])), pa.array(_signed(both[:, 1])), pa.array([n for _, n in sets], pa.int32())], names=["id", "h1", "h2", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_signed(both[:, 0])), pa.array(_signed(both[:, 1])), pa.array([n for _, n in sets], pa.int64())], names=["id", "h1", "h2", "n"])
 
     return make
 
 
-def _make_prefixes(order, k: int, percent: int):
-    def make(batches):
-        tokens, counts = order.value
+def _packed(chunk: str, sets: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """One chunk's distinct shingles by bucket: those of one text with the text's number, those of several texts alone; and, in the last row, the texts' digests."""
+    tokens = np.concatenate(sets)
+    order = np.argsort(tokens, kind="stable")
+    tokens, of = tokens[order], np.repeat(np.arange(len(sets), dtype=np.uint16), [len(x) for x in sets])[order]
+    first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+    single = np.diff(np.append(first, len(tokens))) == 1
+    tokens, of = tokens[first], of[first]
+    bucket = ((tokens >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # grows with the token
+    low = (tokens & _LOW).astype(np.uint32)
+    used, starts = np.unique(bucket, return_index=True)
+    rows = []
+    for b, i, j in zip(used.tolist(), starts, np.append(starts[1:], len(tokens)), strict=True):
+        own = single[i:j]
+        rows.append((b, low[i:j][own].tobytes(), of[i:j][own].tobytes(), low[i:j][~own].tobytes()))
+    digests = np.array([(*_digest(x), len(x)) for x in sets], dtype=np.uint64)
+    rows.append((buckets + int(digests[0, 0] % np.uint64(buckets)), digests.tobytes(), None, None))
+    bucket, low, of, more = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array([chunk] * len(rows)), *(pa.array(c, pa.binary()) for c in (low, of, more))], names=["bucket", "chunk", "tokens", "texts", "more"])
+
+
+def _pack(k: int, buckets: int):
+    def pack(batches):
+        part, seq, held, n = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
-            rows, digests, more, values, cuts = [], [], [], [], [0]
-            for i, x in enumerate(shingle_sets(batch.column(1), k)):
+            for x in shingle_sets(batch.column(0), k):
                 if len(x):
-                    prefix, base, matches, share = _prefix(x, tokens, counts, percent)
-                    rows.append(i)
-                    digests.append(_digest(x))
-                    more.append((len(x), base, matches, share))
-                    values.append(prefix)
-                    cuts.append(cuts[-1] + len(prefix))
-            if not rows:
-                continue
-            both = np.array(digests, dtype=np.uint64)
-            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(_signed(np.concatenate(values))))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows)), pa.array(_signed(both[:, 0])), pa.array(_signed(both[:, 1])), *(pa.array(c, pa.int32()) for c in zip(*more, strict=True)), lists],
-                names=["id", "h1", "h2", "n", "base", "matches", "share", "prefix"],
-            )
+                    held.append(x)
+                    n += len(x)
+                if n >= CHUNK_SHINGLES or len(held) == CHUNK_TEXTS:
+                    yield _packed(f"{part}-{seq}", held, buckets)
+                    held, n, seq = [], 0, seq + 1
+        if held:
+            yield _packed(f"{part}-{seq}", held, buckets)
+
+    return pack
+
+
+def _alone(table: pa.Table) -> pa.Table:
+    """Of one bucket: for each chunk, its texts with shingles that occur nowhere else, and how many. Rows of digests pass."""
+    chunks, texts, numbers, digests = [], [], [], []
+    rows = list(zip(*(table.column(c) for c in ("chunk", "tokens", "texts", "more")), strict=True))
+    for chunk, tokens, of, _ in rows:
+        if not of.is_valid:
+            chunks.append(chunk.as_py())
+            texts.append(None)
+            numbers.append(None)
+            digests.append(tokens.as_py())
+    rows = [r for r in rows if r[2].is_valid]
+    if rows:
+        single = [np.frombuffer(r[1].as_buffer(), np.uint32) for r in rows]
+        every = np.sort(np.concatenate([*single, *(np.frombuffer(r[3].as_buffer(), np.uint32) for r in rows)]))
+        again = every[1:] == every[:-1]
+        once = every[~(np.append(False, again) | np.append(again, False))]
+        for (chunk, _, of, _), own in zip(rows, single, strict=True):
+            at = np.searchsorted(once, own)
+            at[at == len(once)] = 0
+            lone = once[at] == own if len(once) else np.zeros(len(own), bool)
+            which, many = np.unique(np.frombuffer(of.as_buffer(), np.uint16)[lone], return_counts=True)
+            if len(which):
+                chunks.append(chunk.as_py())
+                texts.append(which.tobytes())
+                numbers.append(many.astype(np.uint32).tobytes())
+                digests.append(None)
+    return pa.Table.from_arrays([pa.array(chunks, pa.string()), *(pa.array(c, pa.binary()) for c in (texts, numbers, digests))], names=["chunk", "texts", "many", "digests"])
+
+
+def _without_partner(percent: int):
+    def judge(table: pa.Table) -> pa.Table:
+        """The digests of a chunk's texts of which fewer than ``percent`` of a hundred shingles occur elsewhere."""
+        known = [x for x in table.column("digests") if x.is_valid]
+        digests = np.frombuffer(known[0].as_buffer(), np.uint64).reshape(-1, 3) if known else np.zeros((0, 3), np.uint64)
+        alone = np.zeros(len(digests), np.int64)
+        if known:
+            for texts, many in zip(table.column("texts"), table.column("many"), strict=True):
+                if texts.is_valid:
+                    alone[np.frombuffer(texts.as_buffer(), np.uint16)] += np.frombuffer(many.as_buffer(), np.uint32)
+        n = digests[:, 2].astype(np.int64)
+        gone = digests[100 * (n - alone) < percent * n]
+        return pa.Table.from_arrays([pa.array(_signed(gone[:, i])) for i in range(3)], names=["h1", "h2", "n"])
+
+    return judge
+
+
+def _lonely(docs: DataFrame, k: int, percent: int, shingles: int) -> DataFrame:
+    """``(h1, h2, n)`` of sets that can have no partner but an equal set.
+
+    A shingle travels as 32 bits beside its bucket, once a chunk however many texts hold it, so that frequent ones don't
+    gather in one task. Two shingles that are taken for one, or a chunk that a repeated attempt has cut differently,
+    only leave more sets to the exact count that follows.
+    """
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shingles // BUCKET))
+    packed = docs.where("id is not null").select("text").mapInArrow(_pack(k, buckets), "bucket long, chunk string, tokens binary, texts binary, more binary")
+    alone = packed.groupBy("bucket").applyInArrow(_alone, "chunk string, texts binary, many binary, digests binary")
+    return alone.groupBy("chunk").applyInArrow(_without_partner(percent), "h1 long, h2 long, n long").distinct()
 
-    return make
 
+def _sets(k: int):
+    """(id, text, key, h1, h2, n, times) to (key, n, times, items) where the text's set is the one that is asked for."""
 
-def _make_sets(k: int, wanted):
     def make(batches):
-        bits = wanted.value
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
-            if not batch.num_rows:
-                continue
-            values = list(shingle_sets(batch.column(1), k))
-            cuts = np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cuts), pa.array(_signed(np.concatenate(values))))], names=["id", "items"])
+            h1, h2 = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            rows, values = [], []
+            for i, x in enumerate(shingle_sets(batch.column(1), k)):
+                if (np.array(_digest(x), np.uint64).view(np.int64) == (h1[i], h2[i])).all():
+                    rows.append(i)
+                    values.append(x)
+            if rows:
+                some = batch.take(pa.array(rows))
+                cuts = np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([some.column(2), some.column(5), some.column(6), pa.ListArray.from_arrays(pa.array(cuts), pa.array(_signed(np.concatenate(values))))], names=["key", "n", "times", "items"])
 
     return make
 
 
-def _place(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(BITS))
+def _most(n: int) -> int:
+    """Matches up to which a set of n shingles answers."""
+    return MATCHES + n // MATCHES_EVERY
 
 
-def _sets_of(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The full sets of all documents in ``pairs``, and of the few that share a bit with one: a filter of fixed size instead of a shuffle of texts."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(_place("id").alias("bit")).distinct()
-    parts = ends.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-    bits = np.zeros(BITS // 8 + 4096, np.uint8)
-    for part in parts:
-        start = (part["bucket"] - 1) * 4096 if part["bucket"] > 0 else 0
-        bits[start : start + 4096] |= np.frombuffer(part["bits"], np.uint8)
-    kind = docs.schema["id"].dataType.simpleString()
-    placed = docs.where("id is not null").withColumn("bit", _place("id")).select("id", "text", F.expr("greatest(bitmap_bucket_number(bit) - 1, 0) * 32768 + bitmap_bit_position(bit)").alias("at"))
-    return written(placed.mapInArrow(_make_sets(k, docs.sparkSession.sparkContext.broadcast(bits)), f"id {kind}, items array<bigint>"), "sets")
+def _prefix(n: int, df: np.ndarray, percent: int) -> tuple[int, int, int]:
+    """Of a set of n shingles with counts ``df``, rising, of those that others hold too: how many of these are in the longest prefix, the length for one match, and the matches chosen."""
+    overlap = -(-percent * n // 100)
+    base, alone = n - overlap + 1, n - len(df)
+    upto = min(n, base - 1 + _most(n)) - alone
+    most = min(overlap, _most(overlap))  # the smallest partner has `overlap` shingles
+    matches = np.arange(1, most + 1)
+    sums = np.concatenate([[0], np.cumsum(df)])
+    drawn = sums[np.clip(base - 1 + matches - alone, 0, len(df))]
+    cost = base - 1 + matches + drawn * (1 + VERIFY_COST / matches**2)
+    return max(0, upto), base, int(np.argmin(cost)) + 1
 
 
-def shingle_order(docs: DataFrame, k: int = 5):
-    """The broadcast ``(tokens, counts)``, sorted by token, of the shingles that repeat within stretches of the corpus; at most ``ORDERED``."""
-    spark = docs.sparkSession
-    found = docs.select("text").mapInArrow(_count_repeats(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.desc("n"), "token").limit(ORDERED).toPandas()
-    tokens = rows["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    return spark.sparkContext.broadcast((tokens[order], rows["n"].to_numpy(np.int64)[order]))
+def _postings(percent: int):
+    """(key, n, items, df) to (token, key, n, pos, entry, matches, share): one row for each shingle of the longest prefix; ``entry`` is the number of matches from which it counts."""
+
+    def make(batches):
+        for batch in batches:
+            columns: list[list[np.ndarray]] = [[] for _ in range(7)]
+            for key, n, items, df in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                df = df.values.to_numpy()
+                m, base, matches = _prefix(n, df, percent)
+                pos = np.arange(n - len(df), n - len(df) + m)
+                row = (items.values.to_numpy()[:m], np.full(m, key), np.full(m, n), pos, np.maximum(1, pos - base + 2), np.full(m, matches), np.full(m, 255 * len(df) // n))
+                for column, x in zip(columns, row, strict=True):
+                    column.append(x)
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in columns], names=["token", "key", "n", "pos", "entry", "matches", "share"])
+
+    return make
 
 
 def _may_link(n_a: str, n_b: str, matches: str, percent: int) -> str:
@@ -173,14 +218,42 @@ def _may_link(n_a: str, n_b: str, matches: str, percent: int) -> str:
     return f"100 * least({n_a}, {n_b}) >= {percent} * greatest({n_a}, {n_b}) and (100 + {percent}) * (c + greatest({rest[0]}, {rest[1]})) >= {percent} * ({n_a} + {n_b})"
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have the asked similarity."""
-    pairs = written(pairs, "pairs")
-    sets = _sets_of(pairs, docs, k)
-    one = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    both = one.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
+def _verified(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have the asked similarity. ``ordered`` lacks only shingles that no other set holds."""
+    side = lambda to, items, n: ordered.select(F.col("key").alias(to), F.col("items").alias(items), F.col("n").alias(n))
+    both = pairs.join(side("a", "x", "na"), "a").join(side("b", "y", "nb"), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("s")).where(f"(100 + {percent}) * c >= {percent} * s").select("a", "b")
+    return both.select("a", "b", common.alias("c"), (F.col("na") + F.col("nb")).alias("s")).where(f"(100 + {percent}) * c >= {percent} * s").select("a", "b")
+
+
+def _ordered(sets: DataFrame, percent: int) -> DataFrame:
+    """``(key, n, items, df)``: the shingles of each set that other sets hold too, by their number of sets; sets with too few of them have no partner and go."""
+    each = sets.select("key", "n", F.explode("items").alias("token"))
+    counts = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    shared = each.join(counts, "token").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("x"))  # no longer than the text
+    return shared.where(f"100 * size(x) >= {percent} * n").select("key", "n", F.col("x.token").alias("items"), F.col("x.df").alias("df"))
+
+
+def _across(shared: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """The candidate pairs (a, b) of nodes that ``first`` (node, component) doesn't connect: they share as many prefix shingles as the larger one asks for, at places that allow the similarity."""
+    open_ = written(shared.join(first.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")), "open")
+    parts = open_.groupBy("token", "component").agg(F.count("*").alias("many"))
+    major = parts.groupBy("token").agg(F.max(F.struct("many", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    mixed_ = written(open_.join(major.select("token", F.col("top.component").alias("major")), "token"), "mixed")
+    u, v = mixed_.where("component <> major").alias("u"), mixed_.alias("v")
+    u_larger = (F.col("u.n") > F.col("v.n")) | ((F.col("u.n") == F.col("v.n")) & (F.col("u.key") > F.col("v.key")))
+    asked = F.when(u_larger, F.col("u.matches")).otherwise(F.col("v.matches"))
+    meet = (
+        (F.col("u.token") == F.col("v.token"))
+        & (F.col("u.component") != F.col("v.component"))
+        & ((F.col("v.component") == F.col("v.major")) | (F.col("u.key") < F.col("v.key")))
+        & (100 * F.least("u.n", "v.n") >= percent * F.greatest("u.n", "v.n"))
+        & (F.greatest("u.entry", "v.entry") <= asked)
+        # Behind each of the first m common shingles there is at most the rest of either set.
+        & ((100 + percent) * (asked + F.least(F.col("u.n") - F.col("u.pos"), F.col("v.n") - F.col("v.pos")) - 1) >= percent * (F.col("u.n") + F.col("v.n")))
+    )
+    met = u.join(v, meet).select(F.least("u.key", "v.key").alias("a"), F.greatest("u.key", "v.key").alias("b"), asked.alias("m"))
+    return met.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("m").alias("m")).where("c >= m").select("a", "b")
 
 
 def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -189,74 +262,48 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     Two ids link when ``100 * |intersection| >= percent * |union|`` of their sets of k-word shingles; ``component`` is
     the smallest id reachable over links. A text of fewer than k words is one shingle. Null, empty and blank texts have
     an empty set, link with nothing, and are their own component. Rows with one id are one node, linked if any of
-    their texts is; a null id keeps its row with a null component and links nothing. Repeated rows stay. Other columns
+    their texts is; a null id keeps its row with a null component and links nothing. Repeated rows stay, ties in any
+    order give the same result, and an empty table gives an empty one. Very long texts are one set each. Other columns
     are not read.
     """
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    order = shingle_order(docs, k)
-    listed = written(docs.mapInArrow(_digests(k), f"id {kind}, h1 long, h2 long, n int"), "digests")
-    nodes = written(listed.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("node")), "nodes")
-
-    # One row for each shingle of a node's prefix; `entry` is the number of matches from which it counts. Sizes and
-    # places are packed into one number: a row of this shuffle, the largest, is then three.
-    prefixes = docs.where("id is not null").mapInArrow(_make_prefixes(order, k, percent), f"id {kind}, h1 long, h2 long, n int, base int, matches int, share int, prefix array<bigint>")
-    own = prefixes.join(nodes.select("h1", "h2", "n", F.col("node").alias("id")), ["h1", "h2", "n", "id"], "left_semi")
-    exploded = own.select("id", "n", "base", "matches", "share", F.posexplode("prefix").alias("pos", "token"))
-    packed = F.col("n").cast("long")
-    for column, size in ((F.col("pos"), 1 << 24), (F.col("share"), 1 << 8), (F.greatest(F.lit(1), F.col("pos") - F.col("base") + 2), 8), (F.col("matches"), 8)):
-        packed = packed * size + column
-    postings = exploded.select("token", "id", packed.alias("info"))
-    by_token = Window.partitionBy("token")
-    hub = F.max(F.struct(F.expr("info div 64 % 256").alias("share"), F.col("id"))).over(by_token)
-    shared = written(
-        postings.select("*", F.count("*").over(by_token).alias("many"), hub.alias("hub"))
-        .where("many > 1")
-        .selectExpr("token", "id", f"info div {1 << 38} as n", f"info div {1 << 14} % {1 << 24} as pos", "info div 8 % 8 as entry", "info % 8 as matches", "hub.id as hub"),
-        "shared",
-    )
-
+    listed = written(docs.mapInArrow(_digests(k), f"id {kind}, h1 long, h2 long, n long"), "digests")
+    digest = ["h1", "h2", "n"]
+    rows = listed.where("n > 0 and id is not null").groupBy(*digest, "id").agg(F.count("*").alias("times"))
+    nodes = written(rows.groupBy(*digest).agg(F.min(F.struct("id", "times")).alias("x")).select(*digest, "x.id", "x.times"), "nodes")
+    shingles = int(listed.agg(F.sum("n")).first()[0] or 0)
+
+    lonely = written(_lonely(docs, k, percent, shingles), "lonely")
+    # Keys are fixed by writing them. Nodes of one id with several texts have a key each.
+    live = written(nodes.join(lonely, digest, "left_anti").select("id", F.monotonically_increasing_id().alias("key"), *digest, "times"), "live")
+    asked = docs.join(live, "id").select("id", "text", "key", "h1", "h2", "n", "times")
+    sets = written(asked.mapInArrow(_sets(k), "key long, n long, times long, items array<bigint>"), "sets")
+    sets = sets.where("times = 1").unionByName(sets.where("times > 1").dropDuplicates(["key"]))
+    ordered = written(_ordered(sets, percent), "ordered")
+
+    postings = written(ordered.mapInArrow(_postings(percent), "token long, key long, n long, pos long, entry long, matches long, share long"), "postings")
+    hubs = postings.groupBy("token").agg(F.count("*").alias("many"), F.max(F.struct("share", "key", "n")).alias("hub")).where("many > 1")
+    shared = written(postings.drop("share").join(hubs.select("token", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n")), "token"), "shared")
     # Every node against the hub that it shares most with.
-    size = shared.select("id", "n").distinct()
-    met = shared.where("id <> hub").groupBy("id", "hub", "n").agg(F.count("*").alias("c"))
-    best = met.groupBy("id", "n").agg(F.max(F.struct("c", "hub")).alias("best")).select("id", "n", "best.hub", "best.c")
-    best = best.join(size.select(F.col("id").alias("hub"), F.col("n").alias("hub_n")), "hub").where(_may_link("n", "hub_n", "1", percent))
-    near = written(_verified(best.select(F.col("hub").alias("a"), F.col("id").alias("b")), docs, k, percent), "near")
+    met = shared.where("key <> hub").groupBy("key", "n", "hub", "hub_n").agg(F.count("*").alias("c"))
+    best = met.groupBy("key", "n").agg(F.max(F.struct("c", "hub", "hub_n")).alias("best")).select(F.col("key").alias("b"), "n", F.col("best.hub").alias("a"), "best.hub_n", "best.c")
+    near = written(_verified(best.where(_may_link("n", "hub_n", "1", percent)).select("a", "b"), ordered, percent), "near")
     first = written(connected_components(near), "first")
-
     # All pairs of nodes that are not connected yet.
-    open_ = shared.drop("hub").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = written(open_, "open")
-    mixed_tokens = open_.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    left_over = written(open_.join(mixed_tokens, "token", "left_semi"), "left-over")
-    # Shingles of a prefix that are shared with no one are in no intersection: behind a posting lie at most the set's
-    # other shared ones and what follows its prefix.
-    of_set = Window.partitionBy("id", "n")
-    behind = F.count("*").over(of_set) - F.row_number().over(of_set.orderBy("pos")) + F.expr(f"({percent} * n + 99) div 100") - 1
-    known = left_over.withColumn("behind", behind)
-    x, y = known.alias("x"), known.alias("y")
-    meet = (
-        (F.col("x.token") == F.col("y.token"))
-        & (F.col("x.component") != F.col("y.component"))
-        & ((F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.id") < F.col("x.id"))))
-        & (100 * F.col("y.n") >= percent * F.col("x.n"))
-        & (F.col("x.entry") <= F.col("x.matches"))
-        & (F.col("y.entry") <= F.col("x.matches"))
-        # Each of the first m common shingles has at most the rest of either set behind it, and no more than one set's shared ones.
-        & ((100 + percent) * (F.col("x.matches") + F.greatest("x.behind", "y.behind")) >= percent * (F.col("x.n") + F.col("y.n")))
-        & ((100 + percent) * (F.col("x.matches") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) - 1) >= percent * (F.col("x.n") + F.col("y.n")))
-    )
-    counted = x.join(y, meet).groupBy(F.col("x.id").alias("a"), F.col("x.n").alias("na"), F.col("y.id").alias("b"), F.col("y.n").alias("nb")).agg(F.count("*").alias("c"), F.min("x.matches").alias("m"))
-    found = written(counted.where("c >= m").select("a", "na", "b", "nb"), "met")
-    # All common shingles of the longest prefixes bound the similarity before full sets are fetched.
-    lists = left_over.groupBy("id", "n").agg(F.collect_set("token").alias("tokens"))  # no longer than a prefix
-    both = found.join(lists.selectExpr("id as a", "n as na", "tokens as ta"), ["a", "na"]).join(lists.selectExpr("id as b", "n as nb", "tokens as tb"), ["b", "nb"])
-    close = both.withColumn("c", F.size(F.array_intersect("ta", "tb"))).where(_may_link("na", "nb", "1", percent)).select("a", "b").distinct()
-    more = _verified(close, docs, k, percent)
-    joined = written(connected_components(near.unionByName(more)), "components")
-
-    of_nodes = nodes.join(joined, "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("component"))
+    across = written(_across(shared.drop("hub", "hub_n"), first, percent), "across")
+    more = _verified(across, ordered, percent)
+
+    of_key = live.select("key", "id")
+    links = near.unionByName(more).join(of_key.select(F.col("key").alias("a"), F.col("id").alias("x")), "a").join(of_key.select(F.col("key").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
+    # An id with several texts is in the sets of all of them.
+    several = rows.groupBy("id").agg(F.count("*").alias("texts")).where("texts > 1").select("id")
+    own = rows.join(several, "id").select(*digest, F.col("id").alias("x")).join(nodes.select(*digest, F.col("id").alias("y")), digest).select("x", "y")
+    joined = written(connected_components(links.unionByName(own), "x", "y"), "components")
+
+    of_nodes = nodes.join(joined.withColumnRenamed("node", "id"), "id", "left").select(*digest, F.coalesce("component", "id").alias("component"))
     of_nodes = written(of_nodes, "of-nodes")
-    rows = listed.select("id", "h1", "h2", "n").join(of_nodes, ["h1", "h2", "n"], "left")
-    out = rows.select("id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
-    return out
+    out = listed.join(of_nodes, digest, "left")
+    empty = listed.where("n = 0 and id is not null").select(F.col("id").alias("node")).distinct().join(joined, "node").select("node", F.col("component").alias("other"))
+    out = out.join(empty, (F.col("id") == F.col("node")) & (F.col("n") == 0), "left")
+    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "other", "id")).alias("component"))

@@ -184,11 +184,58 @@ def test_join_odd_tables(spark):
 
 
 def test_adaptive_prefix_lengthens_for_frequent_shingles():
-    x = np.sort(np.random.default_rng(0).integers(0, 2**63, 100).astype(np.uint64))
-    none = np.zeros(0, np.uint64)
-    assert ngram_join._prefix(x, none, none.astype(np.int64), 75)[2] == 1
-    prefix, base, matches, share = ngram_join._prefix(x, x, np.full(100, 1000), 75)
-    assert base == 26 and matches > 1 and len(prefix) == base - 1 + ngram_join.MOST_MATCHES and share == 255
+    none = np.zeros(0, np.int64)
+    assert ngram_join._prefix(100, none, 75)[0] == 0  # nothing is shared
+    assert ngram_join._prefix(100, np.full(100, 2), 75)[:2] == (25 + ngram_join._most(100), 26) and ngram_join._prefix(100, np.full(75, 2), 75)[2] == 1
+    upto, base, matches = ngram_join._prefix(1000, np.full(1000, 5000), 75)
+    assert base == 251 and matches > 4 and upto == 250 + ngram_join._most(1000)
+    # Shingles that stand alone come first: the prefix holds fewer others.
+    assert ngram_join._prefix(100, np.full(80, 3), 75)[0] == 25 + ngram_join._most(100) - 20
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_join_is_exact_on_long_sets_near_the_threshold(spark, seed):
+    """Sets of over 255 shingles, most of them a passage of many texts, with similarities around 0.75."""
+    r = random.Random(100 + seed)
+    vocabulary = [f"w{i}" for i in range(6000)]
+    words_of = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    passages = [words_of(240) for _ in range(3)]
+    texts = []
+    for passage in passages:
+        for _ in range(10):
+            base = passage[: r.randint(200, 240)] + words_of(r.randint(20, 70))
+            for _ in range(r.randint(1, 4)):
+                copy = list(base)
+                for _ in range(r.randint(0, 12)):
+                    copy[r.randrange(len(copy))] = r.choice(vocabulary)
+                texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    got = {x["id"]: x["component"] for x in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
+def test_join_of_ids_with_several_texts(spark):
+    one, two = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, one), (5, one), (5, two), (9, two + " more"), (7, one), (7, None), (8, "c d e f g h"), (8, "")]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_components(rows)
+    assert len(got) == len(rows) and all(x["component"] == want[x["id"]] for x in got) and want[9] == 1
+
+
+def test_first_pass_drops_the_same_sets_in_any_layout(spark):
+    """Sets without a partner are found however the rows are dealt; chunks that end anywhere lose nothing."""
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    gone = [{tuple(r) for r in ngram_join._lonely(docs.repartition(n), 5, 75, 1).collect()} for n in (1, 7, 40)]
+    assert gone[0] == gone[1] == gone[2] and gone[0]
+    counts = {}
+    rows = [(r["text"]) for r in docs.collect()]
+    sets = [frozenset(x.tolist()) for x in words.shingle_sets(__import__("pyarrow").array(rows))]
+    for x in sets:
+        for token in x:
+            counts[token] = counts.get(token, 0) + 1
+    want = {x for x in sets if x and 100 * sum(counts[t] > 1 for t in x) < 75 * len(x)}
+    assert len(gone[0]) == len(want)
 
 
 def test_shingle_hashes_count_like_text():
@@ -268,10 +315,3 @@ def test_pipeline_rejects_languages_that_it_did_not_learn(spark):
     kept = {r["doc_id"] for r in cp.language_id(spark, docs.unionByName(more), SF).collect()}
     lettered = {r["doc_id"] for r in docs.where("text rlike '[a-zA-Z]'").collect()}
     assert kept == lettered
-
-
-def test_one_frequent_shingle_of_a_large_set_comes_last():
-    """Its share of 255 rounds to nothing, and still the set keeps the global order of its partners."""
-    x = np.arange(1, 401, dtype=np.uint64)
-    prefix, base, _, share = ngram_join._prefix(x, np.array([1], np.uint64), np.array([1000]), 75)
-    assert share == 0 and base == 101 and 1 not in prefix.tolist() and prefix[0] == 2
