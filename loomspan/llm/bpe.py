@@ -4,9 +4,12 @@ An element is a stretch of text with its ids. Joining two neighbours re-encodes
 window grows, on either side, until it ends at a place where the split pattern has a match border whatever stands
 around it: a border between a letter, number or symbol and white space after it, or between two of these three kinds
 (an apostrophe apart, which contractions tie to letters). Matches are encoded one by one and the scan looks at nothing
-before a match, so the ids outside such a window are final. Inside one endless run of letters, numbers or symbols there
-is no such place. There the window is one of tokens, and grows until its outer tokens are stable next to their
-neighbours: a sequence of byte pair tokens is the encoding of its bytes exactly if each adjacent pair encodes to itself.
+before a match, so the ids outside such a window are final.
+
+A long run of white space, letters, numbers or symbols has no such place inside. It is one match, whose ends follow from
+the characters beside it, and is a tree of its own: there the window is one of tokens, and grows until its outer tokens
+are stable next to their neighbours, as a sequence of byte pair tokens is the encoding of its bytes exactly if each
+adjacent pair encodes to itself.
 
 Decoding joins the bytes of the leaves up the same kind of tree.
 """
@@ -20,13 +23,14 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Code points of a leaf, and of the first window on each side of a border.
-LEAF, WINDOW = 4096, 48
-#: Beyond this the run around a border counts as endless.
-RUN = 4096
+LEAF, WINDOW = 512, 48
+#: A run is long if it holds a whole block of so many characters that begins at a multiple of it. Bytes of a leaf in a run.
+BLOCK, PIECE = 1024, 512
 #: Ids of a leaf when decoding.
 DECODE_LEAF = 1 << 14
 
@@ -58,15 +62,53 @@ def _border(a: str, b: str) -> bool:
     return x != y and "?" not in (x, y) and x != "W"
 
 
+# The white space of the split pattern, and its contractions.
+_WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_CONTRACTED = ("s", "t", "re", "ve", "m", "ll", "d")
+_RUN_OF = [regex.compile(c) for c in (rf"[{_WHITE}]++", r"\p{L}++", r"\p{N}++", rf"[^{_WHITE}\p{{L}}\p{{N}}]++")]
+_SYMBOL = _RUN_OF[3]
+
+
+def long_runs(text: str):
+    """``(start, end)`` of the matches of the split pattern that long runs of one kind are."""
+    done, n = 0, len(text)
+    for block in range(0, n - BLOCK + 1, BLOCK):
+        if block < done:
+            continue
+        kind = next((k for k, run in enumerate(_RUN_OF) if run.fullmatch(text, block, block + BLOCK)), None)
+        if kind is None:
+            continue
+        i, j = block, _RUN_OF[kind].match(text, block).end()
+        while i > done and _RUN_OF[kind].match(text[i - 1]):
+            i -= 1
+        done = j
+        if kind == 0:
+            yield i, j - (j < n)  # the last blank before something belongs to what follows
+            continue
+        before = text[i - 1 : i]
+        if before == " ":
+            i -= 1
+        elif _RUN_OF[0].match(before):
+            yield i - 1, i  # a match of its own, and not the end of the blanks before it
+        elif before == "'" and kind == 1 and text[i - 2 : i - 1] != " " and not (i > 1 and _SYMBOL.match(text[i - 2])):
+            i += next((len(c) for c in _CONTRACTED if text.startswith(c, i)), 0)
+        yield i, j
+
+
 class Bpe:
     """Encodes and decodes by the ranks at ``path``, cut into matches of ``pattern``."""
 
     def __init__(self, path: str, pattern: str, leaf: int = LEAF):
         self.encoding, self.leaf = load(path, pattern), max(2, leaf)
         self._ids = self.encoding.encode_ordinary
+        self._single, self._piece = self.encoding.decode_single_token_bytes, self.encoding._encode_single_piece
 
     def encode(self, text: str) -> list[int]:
-        return self._tree(text, 0, len(text))
+        out, at = [], 0
+        for i, j in long_runs(text):
+            out += [*self._tree(text, at, i), *self._run(text[i:j].encode())]
+            at = j
+        return out + self._tree(text, at, len(text)) if at else self._tree(text, 0, len(text))
 
     def _tree(self, text: str, start: int, end: int) -> list[int]:
         if end - start <= self.leaf:
@@ -83,28 +125,25 @@ class Bpe:
             b = end if b is None and middle + width >= end else b
             if a is not None and b is not None:
                 break
-            if width >= RUN and (joined := self._join_run(text, start, middle, end, left, right)) is not None:
-                return joined
             width *= 4
         keep = len(left) - len(self._ids(text[a:middle])) if a > start else 0
         drop = len(self._ids(text[middle:b])) if b < end else len(right)
         return [*left[:keep], *self._ids(text[a:b]), *right[drop:]]
 
-    def _join_run(self, text: str, start: int, middle: int, end: int, left: list[int], right: list[int]) -> list[int] | None:
-        """The join inside one run of letters or numbers that reaches ``RUN`` to both sides; None if this is no such place."""
-        near = text[max(start, middle - RUN) : min(end, middle + RUN)]
-        if _kind(near[0]) not in "LN" or len({_kind(c) for c in near}) > 1:
-            return None
-        single, piece = self.encoding.decode_single_token_bytes, self.encoding._encode_single_piece
-        stable = lambda p, q: piece(single(p) + single(q)) == [p, q]
+    def _run(self, data: bytes) -> list[int]:
+        """The ids of one match, from those of its halves."""
+        if len(data) <= PIECE:
+            return self._piece(data) if data else []
+        middle = len(data) // 2
+        left, right = self._run(data[:middle]), self._run(data[middle:])
+        stable = lambda p, q: self._piece(self._single(p) + self._single(q)) == [p, q]
         width = 4
-        while width < min(len(left), len(right)) and width * 8 < RUN:
-            middle_bytes = b"".join(map(single, (*left[-width:], *right[:width])))
-            ids = piece(middle_bytes)
-            if stable(left[-width - 1], ids[0]) and stable(ids[-1], right[width]):
+        while True:
+            ids = self._piece(b"".join(map(self._single, (*left[-width:], *right[:width]))))
+            done = width >= len(left) or stable(left[-width - 1], ids[0])
+            if done and (width >= len(right) or stable(ids[-1], right[width])):
                 return [*left[:-width], *ids, *right[width:]]
-            width *= 2
-        return None
+            width *= 4
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= DECODE_LEAF:

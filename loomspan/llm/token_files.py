@@ -12,7 +12,9 @@ u16 exceptions a block, u64 block starts (one more than blocks), packed bits, u1
 
 from __future__ import annotations
 
+import array
 import functools
+import json
 import os
 import re
 import struct
@@ -119,8 +121,18 @@ def read_file(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 
 
+# The normalizer and the pre-tokenizer of a file whose words can be encoded one by one.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
 class WordEncoder:
-    """Encodes by a tokenizers file whose white space only separates words, keeping what it has encoded."""
+    """Encodes as the tokenizers library does with a file, without adding special tokens; those that a text spells out keep their ids.
+
+    Where white space only separates words (the normalizer and pre-tokenizer above) words are encoded once and kept;
+    words that hold a special token go to the library. With any other file every text goes to the library.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -128,8 +140,12 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self.kind = "<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4"
+        plan = json.loads(self.whole.to_str())
+        added = plan["added_tokens"]
+        whole_words = plan["normalizer"] == _NORMALIZER and plan["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]} and plan["model"]["type"] == "BPE" and not plan["post_processor"]
+        self.by_word = whole_words and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].split() != [t["content"]] for t in added)
+        self.special = [t["content"] for t in added]
+        self.kind = "u2" if max(self.whole.get_vocab_size(), *(t["id"] + 1 for t in added), 0, 0) <= 1 << 16 else "u4"
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
@@ -139,17 +155,27 @@ class WordEncoder:
 
     def _part(self, part: str) -> bytes:
         if (got := self.parts.get(part)) is None:
-            shown = part.encode().decode("latin-1").translate(self.letters)
-            got = self.parts[part] = np.array([x.id for x in self.whole.model.tokenize(shown)], self.kind).tobytes()
+            shown = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+            got = self.parts[part] = self._packed([x.id for x in self.whole.model.tokenize(shown)])
         return got
 
+    def _packed(self, ids: list[int]) -> bytes:
+        return array.array("H" if self.kind == "u2" else "I", ids).tobytes()
+
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        if _PLAIN.fullmatch(text):
-            return b"".join(map(self._part, self.cut(text.lower())))
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        if not _PLAIN.fullmatch(text) or any(t in text for t in self.special):
+            return self._packed(self.whole.encode(text, add_special_tokens=False).ids)
+        text = text.lower()
+        if text.isalpha():
+            return self._part(text)
+        if text[:-1].isalpha():  # and a symbol or digit
+            return self._part(text[:-1]) + self._part(text[-1])
+        return b"".join(map(self._part, self.cut(text)))
 
     def __call__(self, text: bytes) -> np.ndarray:
+        if not self.by_word:
+            return np.array(self.whole.encode(text.decode(), add_special_tokens=False).ids, self.kind)
         words, kept = text.split(), self.words
         try:
             got = b"".join([kept[w] for w in words])

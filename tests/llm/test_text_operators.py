@@ -83,6 +83,30 @@ def test_bpe_joins_anywhere():
         assert bpe.Bpe(PATH, PATTERN).encode(text) == small.encoding.encode_ordinary(text)
 
 
+def test_bpe_long_runs_between_anything():
+    """Runs beyond a block of every kind, beside what changes their ends."""
+    whole, r = bpe.Bpe(PATH, PATTERN), random.Random(2)
+    kinds = [" ", "\n", "\u3000", "a", "é", "7", "!", "'", "\u200b", "-="]
+    beside = ["", "'", "s", "'s", "ll", "x'", " '", "\n's", " ", "\n", "  ", " a", "abc", "!'", "7", "\n're", "''", "word word, "]
+    for _ in range(150):
+        text = ""
+        for _ in range(r.randint(1, 5)):
+            kind = r.choice(kinds)
+            text += "".join(r.choice(kind) for _ in range(r.choice([900, 1023, 1024, 2047, 2048, 2500, 4000]) * r.randint(0, 1))) + r.choice(beside) * r.randint(0, 3)
+        assert whole.encode(text) == whole.encoding.encode_ordinary(text)
+
+
+def test_bpe_endless_runs():
+    """Millions of blanks or symbols: each long run is one match and needs no scan of the whole text."""
+    whole = bpe.Bpe(PATH, PATTERN)
+    single = whole.encoding._encode_single_piece
+    for run in (" " * 5_000_000, "!" * 5_000_000, "-=" * 500_000):
+        ids = whole.encode("so" + run + "x")
+        piece, rest = (run[:-1], " x") if run[0] == " " else (run, "x")
+        assert ids == [*single(b"so"), *single(piece.encode()), *single(rest.encode())]
+        assert whole.decode(ids) == f"so{run}x".encode()
+
+
 def test_bpe_rows(docs):
     encoding = bpe.load(PATH, PATTERN)
     got = bpe.with_ids(docs, PATH, PATTERN).collect()
@@ -173,16 +197,32 @@ def test_blocks_round_trip():
 
 
 def test_word_encoder_is_the_library():
-    e, r = token_files.WordEncoder(WORDS), random.Random(3)
-    parts = ["a", "É", " ", "\n", "'", "'s", "'RE", "1", "ß", "ñ", "!", "́", "\xa0", "​", "the", "\x1c", "\x85", "İ", "ẞ", "　", "ﬁ", "Σ", "ς", "²", "×"]
+    from tokenizers import Tokenizer
+
+    e, r, whole = token_files.WordEncoder(WORDS), random.Random(3), Tokenizer.from_file(WORDS)
+    assert e.by_word
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "a", "É", " ", "\n", "'", "'s", "'RE", "1", "ß", "ñ", "!", "́", "\xa0", "​", "the", "\x1c", "\x85", "İ", "ẞ", "　", "ﬁ", "Σ", "ς", "²", "×"]
     for _ in range(3000):
         text = "".join(r.choice(parts) for _ in range(r.randint(0, 30)))
-        assert e(text.encode()).tolist() == e.whole.encode(text, add_special_tokens=False).ids
+        assert e(text.encode()).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_word_encoder_of_any_other_file_is_the_library(tmp_path):
+    from tokenizers import Tokenizer, normalizers
+
+    other = Tokenizer.from_file(WORDS)
+    other.normalizer = normalizers.NFC()
+    other.save(str(tmp_path / "other.json"))
+    e = token_files.WordEncoder(str(tmp_path / "other.json"))
+    text = "The  CAT\nsat <|endoftext|>"
+    assert not e.by_word and e(text.encode()).tolist() == other.encode(text, add_special_tokens=False).ids
 
 
 def test_token_files(docs, monkeypatch):
     monkeypatch.setattr(token_files, "FILE_TOKENS", 500)
-    whole = token_files.WordEncoder(WORDS).whole
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(WORDS)
     got = sorted(token_files.read_corpus(token_files.write_corpus(docs, WORDS, 2)).collect(), key=lambda r: r["start"])
     want = sorted(DOCS, key=lambda d: (d[0] is not None, d[0] or 0))
     at = 0
