@@ -20,14 +20,26 @@ from loomspan.operators.tables import written
 
 #: Masks over words: 1 is hashed, 0 ignored.
 SEEDS = ("11111111", "110110111011", "101101101111", "1110010110111")
-# Items of fewer words than the longest mask are hashed whole as well, by a mask of their own length.
+#: Items of so many words up to the longest mask are also hashed whole and whole with any one place left out; shorter ones only whole.
+LEAVE_OUT = 7
 PENALTY = 2.0
 #: Bits of the filter of benchmark hashes.
 BITS = 1 << 26
 
 
 def masks(short: list[int]) -> list[list[int]]:
-    return [[i for i, c in enumerate(seed) if c == "1"] for seed in SEEDS] + [list(range(n)) for n in sorted(short)]
+    """The places of each mask: the seeds, and for every length of a short item its whole-item masks."""
+    found = [[i for i, c in enumerate(seed) if c == "1"] for seed in SEEDS]
+    for n in sorted(short):
+        found.append(list(range(n)))
+        if n >= LEAVE_OUT:
+            found += [[i for i in range(n) if i != gap] for gap in range(1, n - 1)]
+    return found
+
+
+def spans(short: list[int]) -> list[int | None]:
+    """For each mask the length of the items that it is for; None if for all."""
+    return [None] * len(SEEDS) + [n for n in sorted(short) for _ in range(n - 1 if n >= LEAVE_OUT else 1)]
 
 
 def seed_hashes(words: np.ndarray, offsets: np.ndarray, mask: list[int], number: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,9 +65,9 @@ def _rows(texts: pa.Array):
         yield (a, b, *word_hashes(data[part[0] : part[-1]], part - part[0]))
 
 
-def _index(short: list[int], least: int):
+def _index(short: list[int]):
     """Benchmark rows to (item, hash, pos) and, with no hash, (item, words)."""
-    found = masks(short)
+    found, only = masks(short), spans(short)
 
     def index(batches):
         for batch in batches:
@@ -69,7 +81,7 @@ def _index(short: list[int], least: int):
                     places.append(None)
                     lists.append(own.view(np.int64).tolist())
                     for number, mask in enumerate(found):
-                        if len(own) < least or (number >= len(SEEDS) and len(mask) != len(own)):
+                        if only[number] not in (None, len(own)):
                             continue
                         got, _ = seed_hashes(own, np.array([0, len(own)]), mask, number)
                         items += [key] * len(got)
@@ -113,16 +125,19 @@ def _probe(short: list[int], filter_):
 
 
 def overlap(words: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-    """Start in the document, length and equal words of the best stretch with the item laid from word ``diagonal`` on."""
+    """Start in the document, length and equal words of the best stretch with the item laid from word ``diagonal`` on; of equal scores, that with most equal words."""
     a, b = max(0, -diagonal), min(len(item), len(words) - diagonal)
     if a >= b:
         return 0, 0, 0
     same = words[diagonal + a : diagonal + b] == item[a:b]
     sums = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -PENALTY))])
     low = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - low))
-    start = int(np.argmin(sums[: end + 1])) if end else 0
-    return diagonal + a + start, end - start, int(same[start:end].sum())
+    first = np.searchsorted(-low, -low)  # for each end, the first place of the lowest sum before it
+    ends = np.flatnonzero(sums - low == (sums - low).max())
+    counts = np.concatenate([[0], np.cumsum(same)])
+    end = int(ends[np.argmax((counts[ends] - counts[first[ends]]))])
+    start = int(first[end])
+    return diagonal + a + start, end - start, int(counts[end] - counts[start])
 
 
 def _verify(min_share: float, min_words: int):
@@ -133,7 +148,7 @@ def _verify(min_share: float, min_words: int):
                 words, item, diagonals = (np.asarray(x.values) for x in row)
                 best = max((overlap(words, item, int(d)) for d in diagonals), key=lambda x: (x[2], -x[1], -x[0]), default=(0, 0, 0))
                 share = best[2] / max(1, len(item))
-                if best[2] >= min_words and (share >= min_share or best[2] >= 4 * min_words):
+                if best[2] >= min(min_words, len(item)) and (share >= min_share or best[2] >= 4 * min_words):
                     keep.append(i)
                     for to, x in zip((starts, lengths, equal, shares), (*best, share), strict=True):
                         to.append(x)
@@ -148,17 +163,19 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """``(id, item, start_word, n_words, n_equal, item_share)``: each document and benchmark item that overlap, with their best stretch.
 
     A pair counts if its stretch has ``min_words`` equal words that are ``min_share`` of the item's words or four times
-    ``min_words``. Items of fewer words say nothing and meet nothing. Words are split at ASCII white space, A-Z lower-cased. Null, empty
-    and blank texts or items meet nothing; an item with a null id counts as item null; repeated documents give repeated
-    rows; either table may be empty. Other columns are not read. The benchmark's hashes reach executors only as a
-    filter of fixed size; what passes it is joined exactly.
+    ``min_words``. An item of fewer words counts where all of its words stand in a row; one of ``LEAVE_OUT`` words or more
+    may have any one inner word substituted, and from the longest mask on whatever a seed survives. Words are split at
+    ASCII white space, A-Z lower-cased. Null, empty and blank texts or items meet nothing; an item with a null id counts
+    as item null; of several items with one text, and of rows with one item id, each is met; repeated documents give
+    repeated rows, very long ones are read whole; either table may be empty. Other columns are not read. The benchmark's
+    hashes reach executors only as a filter of fixed size; what passes it is joined exactly.
     """
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     bench = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
     kinds = {c: t for c, t in (*docs.dtypes, *bench.dtypes)}
     n_words = F.size(F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), x -> x <> '')"))
-    short = [r["n"] for r in bench.where("text is not null").select(n_words.alias("n")).where(f"n >= {min_words} and n < {max(map(len, SEEDS))}").distinct().collect()]  # a few lengths
-    index = written(bench.mapInArrow(_index(short, min_words), f"item {kinds['item']}, hash long, pos int, words array<bigint>"), "seeds")
+    short = [r["n"] for r in bench.where("text is not null").select(n_words.alias("n")).where(f"n > 0 and n < {max(map(len, SEEDS))}").distinct().collect()]  # a few lengths
+    index = written(bench.mapInArrow(_index(short), f"item {kinds['item']}, hash long, pos int, words array<bigint>"), "seeds")
     seeds = index.where("hash is not null").select("item", "hash", "pos")
     place = F.col("hash").bitwiseAND(F.lit(BITS - 1))
     parts = seeds.select(place.alias("bit")).distinct().groupBy(F.expr("bit div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("bit % 32768")).alias("bits")).collect()

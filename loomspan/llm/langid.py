@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomspan.llm.words import pieces, raw
 
@@ -21,8 +22,8 @@ FILTERS = 8
 #: Labelled rows of each language, and windows of each row, that the network is fitted on.
 ROWS, ROW_WINDOWS = 800, 2
 EPOCHS, BATCH, RATE, SEED = 12, 64, 0.02, 7
-#: Most languages that are learned: the ones with the most labelled rows.
-LANGUAGES = 256
+#: Rows of all languages together that it is fitted on, at least one each: many languages share them.
+MOST_ROWS = 50_000
 
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -144,16 +145,20 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def train(labelled: DataFrame, rows: int = ROWS) -> Network | None:
     """The network fitted on at most ``rows`` rows of each language of ``labelled`` (text, lang, and a hash ``h``).
 
-    The rows with the smallest share of hashes are taken, a bounded sample; windows are drawn from anywhere in them.
-    None if nothing is labelled.
+    Every language that labels a text is learned. The rows with the smallest share of hashes are taken, a sample bounded
+    by ``rows`` a language and ``MOST_ROWS`` in all; windows are drawn from anywhere in them. None if nothing is labelled.
     """
     some = labelled.where("lang is not null and text is not null and length(text) > 0")
-    counts = some.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = some.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row a language
     if not counts:
         return None
+    rows = max(1, min(rows, MOST_ROWS // len(counts)))
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, 1.2 * rows / r["n"] + 20 / r["n"]))))
     taken = some.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * float(1 << 20))
     spots = [F.expr(f"substring(text, 1 + cast(pmod(xxhash64(h, {i}), greatest(1, length(text) - {WINDOW} + 1)) as int), {WINDOW})") for i in range(ROW_WINDOWS)]
+    # Rows with one hash, such as those of one id, are cut before they are collected.
+    first = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 20)), "h", F.xxhash64("text"))
+    taken = taken.withColumn("r", F.row_number().over(first)).where(f"r <= {rows}")
     found = taken.select("lang", "h", F.array(*spots).alias("spots")).collect()  # bounded by rows, languages and windows
     rng = np.random.default_rng(SEED)
     classes = sorted(r["lang"] for r in counts)
@@ -227,7 +232,12 @@ def predict(documents: DataFrame, net: Network | None, id_col: str = "doc_id", t
 
 
 def identify(documents: DataFrame) -> DataFrame:
-    """``(doc_id, held_out, lang_pred, score)``: learns from labelled documents with crc32(doc_id) mod 3 other than 1."""
+    """``(doc_id, held_out, lang_pred, score)``: learns from labelled documents with crc32(doc_id) mod 3 other than 1.
+
+    Null texts and texts without a letter are ``und`` with score 0, as is everything if nothing is labelled. Rows with a
+    null id are not learned from and not held out; repeated rows and ids stay, ties go to the language that sorts first,
+    very long texts are read whole, columns of any other name are not read, and an empty table gives an empty one.
+    """
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
     labelled = documents.where(fold != 1).select("text", "lang", F.xxhash64("doc_id").alias("h"))
     out = predict(documents, train(labelled))

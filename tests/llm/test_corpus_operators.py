@@ -49,6 +49,30 @@ def test_language_odd_rows(spark):
     assert langid.identify(empty(docs)).count() == 0
 
 
+def test_network_responses_are_a_convolution():
+    """Tables over byte pairs against the plain sum over the places of each filter, and pooling over windows by hand."""
+    net = langid.Network(["a", "b", "c"], np.random.default_rng(5)).prepared()
+    x = np.random.default_rng(6).integers(0, 256, (3, 40)).astype(np.uint8)
+    wide = np.concatenate([x, np.full((3, 4), 0x20, np.uint8)], axis=1)
+    plain = np.zeros((3, 40, net.w.shape[2]))
+    for f in range(net.w.shape[2]):
+        width = langid.WIDTHS[f // langid.FILTERS]
+        for row in range(3):
+            for at in range(40):
+                plain[row, at, f] = sum(float(net.w[k, wide[row, at + k], f]) for k in range(width))
+    assert np.allclose(net.responses(x), plain, atol=1e-4)
+    hidden = np.maximum(plain.max(axis=1) + net.bias, 0)
+    z = np.exp(hidden @ net.top + net.base)
+    assert np.allclose(net.probabilities(x), z / z.sum(axis=1, keepdims=True), atol=1e-4)
+
+
+def test_every_language_is_learned(spark):
+    """More languages than any fixed number of classes, and many rows of one id."""
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} " * 20, f"l{i}") for i in range(300)]
+    net = langid.train(spark.createDataFrame([(t, lang, i) for i, t, lang in rows for _ in range(2)], "text string, lang string, h long"), rows=1)
+    assert len(net.classes) == 300
+
+
 # 6
 
 
@@ -186,7 +210,7 @@ def test_join_odd_tables(spark):
 def test_adaptive_prefix_lengthens_for_frequent_shingles():
     none = np.zeros(0, np.int64)
     assert ngram_join._prefix(100, none, 75)[0] == 0  # nothing is shared
-    assert ngram_join._prefix(100, np.full(100, 2), 75)[:2] == (25 + ngram_join._most(100), 26) and ngram_join._prefix(100, np.full(75, 2), 75)[2] == 1
+    assert ngram_join._prefix(100, np.full(100, 2), 75)[:2] == (25 + ngram_join._most(100), 26)
     upto, base, matches = ngram_join._prefix(1000, np.full(1000, 5000), 75)
     assert base == 251 and matches > 4 and upto == 250 + ngram_join._most(1000)
     # Shingles that stand alone come first: the prefix holds fewer others.
@@ -254,11 +278,10 @@ def test_decontamination(spark):
     items = [(i, " ".join(r.choice(vocabulary) for _ in range(n))) for i, n in enumerate([40, 25, 14, 9, 6, 3])] + [(90, None), (91, "")]
     noise = lambda n: [r.choice(vocabulary) for _ in range(n)]
     docs, want = [], set()
-    for i, text in items[:6]:  # the last, of three words, says nothing
+    for i, text in items[:6]:
         w = text.split()
         docs.append((10 + i, " ".join(noise(50) + w + noise(40)).upper().replace("V", "v")))
-        if len(w) >= 6:
-            want.add((10 + i, i))
+        want.add((10 + i, i))
         if len(w) > 12:
             changed = [x if j % 9 else "changed" for j, x in enumerate(w)]  # substitutions
             docs.append((20 + i, " ".join(noise(5) + changed)))
@@ -272,6 +295,47 @@ def test_decontamination(spark):
     assert decontam.contaminated(empty(frame), bench).count() == decontam.contaminated(frame, empty(bench)).count() == 0
 
 
+def brute_overlaps(docs, items, min_share=0.5, min_words=6, penalty=2.0):
+    """Every document and item that some alignment lays side by side well enough, by trying all."""
+    out = set()
+    split = lambda t: [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", (t or "").lower()) if w]
+    for d, text in docs:
+        words_ = split(text)
+        for i, item in items:
+            item_ = split(item)
+            for start in range(-len(item_) + 1, len(words_)):
+                best = run = 0.0, 0
+                for j, w in enumerate(item_):
+                    at = start + j
+                    if not 0 <= at < len(words_):
+                        continue
+                    same = words_[at] == w
+                    run = (run[0] + (1.0 if same else -penalty), run[1] + same)
+                    run = run if run[0] >= 0 else (0.0, 0)
+                    best = max(best, run)
+                equal = best[1]
+                if item_ and equal >= min(min_words, len(item_)) and (equal >= min_share * len(item_) or equal >= 4 * min_words):
+                    out.add((d, i))
+    return out
+
+
+def test_short_items_and_substitutions_against_all_alignments(spark):
+    """Items of one to thirteen words, whole and with one word substituted at any inner place; longer ones with every ninth."""
+    r = random.Random(8)
+    vocabulary = [f"u{i}" for i in range(2000)]
+    noise = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    items, docs = [], []
+    for n in [*range(1, 14), 20, 33]:
+        w = [f"item{n}w{j}" for j in range(n)]
+        items.append((n, " ".join(w)))
+        docs.append((len(docs), " ".join(noise(9) + w + noise(9))))
+        for gap in range(1, n - 1) if n < 14 else [5]:
+            docs.append((len(docs), " ".join(noise(9) + [x if j % 9 != gap % 9 or (n < 14 and j != gap) else "other" for j, x in enumerate(w)] + noise(9))))
+    want = brute_overlaps(docs, items)
+    got = {(x["id"], x["item"]) for x in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and {i for _, i in want} == {i for i, _ in items}
+
+
 def test_leaks_in_the_documents(spark):
     """Against brute force: documents that hold a whole benchmark text."""
     docs, bench = (spark.read.parquet(f"{MIDDLE}/{t}.parquet") for t in ("documents", "benchmark"))
