@@ -25,7 +25,8 @@ PARAGRAPH = SURGE // WINDOW
 #: Share of link text from which a line is a link list.
 LINKS = 0.5
 
-# Element names of HTML, and words of class, id and role that name what is no main text.
+# Element names of HTML, and words of class, id and role that name what is no main text. A name of several
+# words, such as cookie-notice or ad-slot, counts if all its words are of these or say no more than where or how.
 RAW = frozenset("script style noscript template textarea iframe object svg math canvas audio video xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
@@ -37,17 +38,49 @@ WORDS = frozenset(
     "nav navbar navigation newsletter notice notices notification overlay pagination popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
     "subscription teaser toolbar topbar widget widgets complementary".split()
 )
+NEUTRAL = frozenset(
+    "area bar block body bottom box button buttons col column container content entry field fixed floating footer form group header heading holder inner item items label large left link links list main mobile outer panel primary "
+    "region right row secondary section site slot small sticky text title top unit wrap wrapper".split()
+)
 #: Words that rule out an article or main element.
 ARTICLE_WORDS = frozenset("ad ads advert advertisement comment comments promo promoted related replies reply sponsored teaser".split())
-_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]{0,8192}+"|'[^']{0,8192}+')*+)>""")
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
+_QUOTE = re.compile(r"""[>"']""")
 _NAMES = re.compile(r"""(?:^|[\s/"'])(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|[\s"'])hidden(?:$|[\s=/])|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
 
-def _names(attributes: str) -> set[str]:
+def _named(attributes: str, words: frozenset[str]) -> bool:
+    """Whether a class, id, role or label of an element is made of ``words``, and of neutral ones besides."""
     if not attributes or "=" not in attributes:
-        return set()
-    return {w for x in _NAMES.findall(attributes) for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", x).lower()) if w}
+        return False
+    for names in _NAMES.findall(attributes):
+        for name in names.strip("\"'").split():
+            parts = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w and not w.isdigit()]
+            if not words.isdisjoint(parts) and all(w in words or w in WORDS or w in NEUTRAL for w in parts):
+                return True
+    return False
+
+
+def _tag_end(page: str, at: int, failed: set[int]) -> int:
+    """Where the tag whose name ends at ``at`` ends; -1 if a quote in it stays open or nothing closes it.
+
+    ``failed`` keeps the quotes that searches without success have opened: a later search that comes to one of them is
+    lost as well, so that all searches of a page together are linear in its length.
+    """
+    opened = []
+    while found := _QUOTE.search(page, at):
+        at = found.end()
+        if found[0] == ">":
+            return at
+        if at in failed:
+            break
+        opened.append(at)
+        at = page.find(found[0], at) + 1
+        if not at:
+            break
+    failed.update(opened)
+    return -1
 
 
 def lines_of(page: str) -> tuple[list[tuple[str, bool, bool, int, bool]], bool]:
@@ -58,6 +91,8 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, bool, int, bool]], bool]:
     held: list[str] = []
     links, in_link, off, paragraph, marked = 0, 0, False, False, False
     at, n = 0, len(page)
+    failed: set[int] = set()
+    final = page.rfind(">")
 
     def flush():
         nonlocal held, links, off, paragraph
@@ -83,17 +118,17 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, bool, int, bool]], bool]:
             end = page.find(">", open_)
             at = n if end < 0 else end + 1
             continue
-        tag = _TAG.match(page, open_)
+        tag = _NAME.match(page, open_)
         if not tag:
-            if re.match(r"</?[A-Za-z]", page[open_ : open_ + 3]):  # a tag cut off, or with a quote left open
-                end = page.find(">", open_)
-                at = n if end < 0 else end + 1
-            else:
-                held.append("<")
-                at = open_ + 1
+            held.append("<")
+            at = open_ + 1
             continue
-        at = tag.end()
-        closing, name, attributes = tag[1], tag[2].lower(), tag[3]
+        at = _tag_end(page, tag.end(), failed) if open_ < final else -1
+        if at < 0:  # a tag cut off, or with a quote left open
+            end = page.find(">", open_)
+            at = n if end < 0 else end + 1
+            continue
+        closing, name, attributes = tag[1], tag[2].lower(), page[tag.end() : at - 1]
         if name in RAW and not closing:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
@@ -107,7 +142,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, bool, int, bool]], bool]:
                 if stack and stack[-1][0] == name:
                     stack.pop()
                     opened[name] -= 1
-            elif name not in VOID and (not WORDS.isdisjoint(_names(attributes)) or _HIDDEN.search(attributes)):
+            elif name not in VOID and (_named(attributes, WORDS) or _HIDDEN.search(attributes)):
                 stack.append((name, True, bool(stack and stack[-1][2])))
                 opened[name] += 1
             continue
@@ -125,10 +160,10 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, bool, int, bool]], bool]:
             continue
         skipped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         if name in ("article", "main"):
-            named = not ARTICLE_WORDS.isdisjoint(_names(attributes))
+            named = _named(attributes, ARTICLE_WORDS)
             inside, marked = inside or not (named or skipped), marked or not (named or skipped)
         else:
-            named = name in SKIPPED or (name == "header" and not inside) or (name not in ("html", "body") and not WORDS.isdisjoint(_names(attributes)))
+            named = name in SKIPPED or (name == "header" and not inside) or (name not in ("html", "body") and _named(attributes, WORDS))
         if attributes and _HIDDEN.search(attributes):
             named = True
         if name in CONTAINERS or name in SKIPPED:
@@ -172,7 +207,12 @@ def _dense(lines: list[tuple[str, bool, bool, int, bool]]) -> list[str]:
 
 
 def extract(pages: DataFrame, html_col: str = "html", carry: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """``carry`` and ``text``, ``n_chars`` of every row of pages. Null and empty html give an empty text; rows repeat as they come; only the named columns are read."""
+    """``carry`` and ``text``, ``n_chars`` of every row of pages.
+
+    Null and empty html, and pages without text, give an empty text; very long pages, lines and attributes are read
+    whole; ids may be null and rows repeat as they come; an empty table gives an empty one. Only the named columns are
+    read, so that others may have any name.
+    """
     some = pages.select(*carry, F.col(html_col).alias("__html"))
 
     def run(batches):

@@ -60,6 +60,73 @@ def test_windows_decide_inside_a_marked_article():
     assert html_extract.main_text('<main><li><a href="/">Only link</a></li></main>') == "Only link"
 
 
+def test_names_are_whole_and_attributes_have_any_length():
+    page = "<body><article><h1>Title of the story</h1>{}<p>The story goes on for a while here.</p></article></body>"
+    for kept in ('<p class="related-work">Earlier studies.</p>', '<div class="share-price">The price fell.</div>', '<section id="search-results">Found.</section>', '<p class="advertising-history">Of posters.</p>'):
+        assert "\n" + re.sub("<[^>]*>", "", kept) + "\n" in html_extract.main_text(page.format(kept))
+    for gone in ('<p class="cookie-notice">We.</p>', '<div class="ad-slot-3">Buy.</div>', '<div class="commentList">Nice.</div>', '<div class="big Sidebar left">See.</div>', f'<div class="sidebar" data-x="{"a>" * 9000}">See.</div>'):
+        assert html_extract.main_text(page.format(gone)) == "Title of the story\nThe story goes on for a while here."
+    assert html_extract.main_text(page.format(f'<p>A<img alt="{"> x" * 9000}">b.</p>')).split("\n")[1] == "Ab."
+
+
+def test_open_quotes_are_linear():
+    for broken in ('<a "' * 200_000, "<a '\"" * 200_000, "<" * 500_000, '<p title="x>' * 100_001, "<a b='\">" * 100_000):
+        html_extract.main_text("<article><p>Start of it all." + broken)
+
+
+class Naive(__import__("html.parser").parser.HTMLParser):
+    """Lines of a page by the standard parser, for pages whose elements all stand by their names alone."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.lines, self.held, self.depth, self.off, self.raw, self.kind, self.inside = [], "", [], 0, 0, None, 0
+
+    def line(self, kind=None):
+        if text := " ".join(self.held.split()):
+            self.lines.append((text, self.kind))
+        self.held, self.kind = "", kind
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "title"):
+            self.raw += 1
+        elif tag == "br":
+            self.held += " "
+        elif tag not in ("b", "a", "i", "em", "strong", "span", "meta"):
+            self.line(tag)
+            if tag == "article":
+                self.inside += 1
+            if tag in ("nav", "footer", "aside", "form") or (tag == "header" and not self.inside) or (tag == "div" and attrs):
+                self.depth.append(tag)
+            elif self.depth and tag == self.depth[-1]:
+                self.depth.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "title"):
+            self.raw -= 1
+        elif tag not in ("b", "a", "i", "em", "strong", "span"):
+            self.line()
+            if self.depth and self.depth[-1] == tag:
+                self.depth.pop()
+            if tag == "article":
+                self.inside -= 1
+
+    def handle_data(self, data):
+        if self.inside and not self.depth and not self.raw:
+            self.held += data
+
+
+def test_real_pages_against_a_naive_version(spark):
+    """Every page of a table: lines by the standard parser, and each window of three summed anew."""
+    for row in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        naive = Naive()
+        naive.feed(row["html"])
+        naive.line()
+        weights = [len(t) + 30 * (kind in ("p", "h1", "h2", "h3")) for t, kind in naive.lines]
+        windows = [range(i, min(i + 3, len(weights))) for i in range(max(1, len(weights) - 2))]
+        kept = [t for i, (t, _) in enumerate(naive.lines) if any(i in w and sum(weights[j] for j in w) >= 90 for w in windows)] or [t for t, _ in naive.lines]
+        assert html_extract.main_text(row["html"]) == "\n".join(kept), row["url"]
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 6), (2, None, None, 6), (None, "v", "", 7)], "page_id long, url string, html string, text int")
     got = html_extract.extract(pages).collect()
