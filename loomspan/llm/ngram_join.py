@@ -4,7 +4,8 @@ Each text is a set of word shingles. All sets are ordered by one global order: b
 shingle, counted exactly, then by hash. Two sets of similarity t or more share at least o shingles, o = ceil(t * size),
 so the first ``size - o + m`` of each hold at least m common ones. m = 1 gives the shortest prefix. Where a prefix holds
 frequent shingles, so that it would draw many candidates, a longer one with a larger m is cheaper: each document takes
-the m with the least estimated cost, and its partners must then share m prefix shingles before anything is verified.
+the m with the least estimated cost, and a pair must share as many prefix shingles as the smaller of its two m before
+anything is verified.
 
 Shingles that no other document holds are in no intersection. A first pass therefore counts, in packed blocks, how many
 shingles of each text stand alone, and texts with too many of these, which can't have a partner, go no further; the
@@ -182,11 +183,12 @@ def _prefix(n: int, df: np.ndarray, percent: int) -> tuple[int, int, int]:
     overlap = -(-percent * n // 100)
     base, alone = n - overlap + 1, n - len(df)
     upto = min(n, base - 1 + _most(n)) - alone
-    most = min(overlap, _most(overlap))  # the smallest partner has `overlap` shingles
-    matches = np.arange(1, most + 1)
+    matches = np.arange(1, min(overlap, _most(n)) + 1)
     sums = np.concatenate([[0], np.cumsum(df)])
-    drawn = sums[np.clip(base - 1 + matches - alone, 0, len(df))]
-    cost = base - 1 + matches + drawn * (1 + VERIFY_COST / matches**2)
+    # A partner of equal size must share more than the smallest one, which leaves fewer places for its matches.
+    places = n - -(-2 * percent * n // (100 + percent)) + matches
+    drawn = sums[np.clip(places - alone, 0, len(df))]
+    cost = places + drawn * (1 + VERIFY_COST / matches**2)
     return max(0, upto), base, int(np.argmin(cost)) + 1
 
 
@@ -235,14 +237,13 @@ def _ordered(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(shared: DataFrame, first: DataFrame, percent: int) -> DataFrame:
-    """The candidate pairs (a, b) of nodes that ``first`` (node, component) doesn't connect: they share as many prefix shingles as the larger one asks for, at places that allow the similarity."""
+    """The candidate pairs (a, b) of nodes that ``first`` (node, component) doesn't connect: they share as many prefix shingles as the more modest one asks for, at places that allow the similarity."""
     open_ = written(shared.join(first.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")), "open")
     parts = open_.groupBy("token", "component").agg(F.count("*").alias("many"))
     major = parts.groupBy("token").agg(F.max(F.struct("many", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
     mixed_ = written(open_.join(major.select("token", F.col("top.component").alias("major")), "token"), "mixed")
     u, v = mixed_.where("component <> major").alias("u"), mixed_.alias("v")
-    u_larger = (F.col("u.n") > F.col("v.n")) | ((F.col("u.n") == F.col("v.n")) & (F.col("u.key") > F.col("v.key")))
-    asked = F.when(u_larger, F.col("u.matches")).otherwise(F.col("v.matches"))
+    asked = F.least("u.matches", "v.matches")  # both answer it, and neither draws more than it has reckoned with
     meet = (
         (F.col("u.token") == F.col("v.token"))
         & (F.col("u.component") != F.col("v.component"))
