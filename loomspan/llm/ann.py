@@ -2,9 +2,11 @@
 
 The tree is fitted on a bounded sample and every row is put into one of its leaves. A query walks the tree with a
 priority queue of branches by the distance of their centres and so lists leaves in the order in which they promise
-most. How many it visits is calibrated: for some rows the true neighbours are found by comparing with all rows, and the
-visits widen until the leaves seen hold the asked share of them; at the widest all leaves are visited and the search is
-exact. For the largest inner product, vectors get one more component that makes them equally long, and queries a zero.
+most. How many it visits is calibrated: for some rows that did not fit the tree the true neighbours are found by
+comparing with all rows, and the visits widen until the leaves seen hold the asked share of them; at the widest all
+leaves are visited and the search is exact. A query's first leaves give it a floor; of the others those are passed over
+whose centre and radius leave nothing above it. A query goes once to a shard of neighbouring leaves, not to every leaf.
+For the largest inner product, vectors get one more component that makes them equally long, and queries a zero.
 """
 
 from __future__ import annotations
@@ -20,13 +22,13 @@ from pyspark.sql.window import Window
 from loomspan.operators.tables import written
 
 #: Rows that fit the tree, its branching, vectors that a leaf should hold, and rounds of k-means.
-SAMPLE, BRANCHES, LEAF, ROUNDS, SEED = 20_000, 8, 400, 8, 3
+SAMPLE, BRANCHES, LEAF, ROUNDS, SEED = 20_000, 8, 100, 8, 3
 #: Rows that calibrate the visits, and the share of their true neighbours that the visited leaves must hold.
-CALIBRATION, RECALL = 200, 0.97
+CALIBRATION, RECALL = 200, 0.94
 #: Vectors or queries that are compared at a time.
 CHUNK = 8192
-#: Leaves of a query that are searched first.
-FIRST = 3
+#: Leaves of a query that are searched first, and leaves of a shard.
+FIRST, SHARD = 8, 16
 
 
 class Tree:
@@ -61,8 +63,9 @@ class Tree:
         x = x / self.scale
         return np.column_stack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))])
 
-    def leaf_of(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x), np.int32)
+    def leaf_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The leaf of each vector, and how far it is from that leaf's centre."""
+        out, far = np.zeros(len(x), np.int32), np.zeros(len(x))
         work = [(0, np.arange(len(x)))]
         points = self.points(x)
         while work:
@@ -71,21 +74,25 @@ class Tree:
                 out[rows] = self.leaf[node]
                 continue
             of = _nearest(points[rows], self.centres[node])
+            far[rows] = np.sqrt(((points[rows] - self.centres[node][of]) ** 2).sum(axis=1))
             work += [(child, rows[of == j]) for j, child in enumerate(self.children[node]) if (of == j).any()]
-        return out
+        return out, far
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves, best bin first."""
+    def visits(self, query: np.ndarray, most: int) -> tuple[list[int], list[float]]:
+        """The first ``most`` leaves, best bin first, and the inner product of the query's direction with their centres."""
         q = np.append(query / np.sqrt(query @ query), 0.0)
-        queue, found = [(0.0, 0)], []
+        queue, found, near = [(0.0, 0, 1.0)], [], []
         while queue and len(found) < most:
-            _, node = heapq.heappop(queue)
+            _, node, product = heapq.heappop(queue)
             if self.leaf[node] >= 0:
                 found.append(self.leaf[node])
+                near.append(product)
                 continue
-            for d, child in zip(((self.centres[node] - q) ** 2).sum(axis=1), self.children[node], strict=True):
-                heapq.heappush(queue, (float(d), child))
-        return found
+            centres = self.centres[node]
+            products = centres @ q
+            for d, p, child in zip((centres * centres).sum(axis=1) - 2 * products, products, self.children[node], strict=True):
+                heapq.heappush(queue, (float(d), child, float(p)))
+        return found, near
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -105,18 +112,21 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return fine.where(F.size("v") == (length["n"] if length else 0))
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, queries: np.ndarray, vectors: np.ndarray, k: int):
-    """Row, column and exact score of the k best of each row of ``scores``, ties to the smaller id."""
+def _best(scores: np.ndarray, ids: np.ndarray, queries: np.ndarray, vectors: np.ndarray, k: int, floor: np.ndarray | None = None):
+    """Rows, columns and exact scores of the k best of each row of ``scores`` that reach its floor, ties to the smaller id."""
     n = scores.shape[1]
-    for i in range(len(scores)):
-        if n > k:
-            floor = np.partition(scores[i], n - k)[n - k]
-            at = np.flatnonzero(scores[i] >= floor - 1e-9 * max(1.0, abs(floor)))
-        else:
-            at = np.arange(n)
-        exact = (vectors[at] * queries[i]).sum(axis=1)  # the same sum for equal vectors, wherever they stand
-        order = np.lexsort((ids[at], -exact))[:k]
-        yield i, at[order], exact[order]
+    least = np.full(len(scores), -np.inf) if floor is None else floor
+    if n > k:
+        least = np.maximum(least, np.partition(scores, n - k, axis=1)[:, n - k])
+    rows, cols = np.nonzero(scores >= (least - 1e-9 * np.maximum(1.0, np.where(np.isfinite(least), np.abs(least), 0)))[:, None])
+    exact = (vectors[cols] * queries[rows]).sum(axis=1)  # the same sum for equal vectors, wherever they stand
+    order = np.lexsort((ids[cols], -exact, rows))
+    rows, cols, exact = rows[order], cols[order], exact[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    keep = place < k
+    if floor is not None:
+        keep &= exact >= floor[rows]
+    return rows[keep], cols[keep], exact[keep]
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -124,7 +134,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
 
     The query's own row is no neighbour of its own. Ties go to the smaller id; fewer than k candidates are all given.
     Equal vectors are searched once, and of each only the k + 1 smallest ids can be neighbours, so that copies cost
-    nothing; all queries get their rows. Ids are unique; rows whose vectors can't take part give and get nothing.
+    nothing; all queries get their rows. Ids are unique integers; rows with a null id, or whose vectors can't take part
+    (null, empty, zero, with null or non-finite components, of another length than most), give and get nothing. An
+    empty table gives an empty one. Other columns are not read.
     """
     spark = vectors.sparkSession
     rows = written(usable(vectors, id_col, vector_col), "vectors")
@@ -136,35 +148,58 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     first = Window.partitionBy("v").orderBy("id")
     distinct = rows.withColumn("r", F.row_number().over(first)).where(f"r <= {k + 1}")
 
-    limit = min(1.0, SAMPLE / stats["n"])
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= int(limit * (1 << 30))).select("id", "v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
+    trial = rows.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(CALIBRATION).toArrow()
+    apart = trial.column("id").to_pylist() if stats["n"] >= 4 * CALIBRATION else []  # they don't fit the tree, unless there are hardly others
+    limit = min(1.0, 1.1 * SAMPLE / stats["n"])
+    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) <= int(limit * (1 << 30))).where(~F.col("id").isin(apart)).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
     tree = Tree(_matrix(sample.column("v").combine_chunks()), -(-stats["n"] // LEAF), float(np.sqrt(stats["s"])))
     shared = spark.sparkContext.broadcast(tree)
 
     def place(batches):
         for batch in batches:
-            leaf = shared.value.leaf_of(_matrix(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), *batch.columns], names=["leaf", "id", "v"])
+            leaf, far = shared.value.leaf_of(_matrix(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(far), *batch.columns], names=["leaf", "far", "id", "v"])
 
-    index = written(distinct.select("id", "v").mapInArrow(place, f"leaf int, id {kinds['id']}, v {kinds['v']}"), "index")
-    most = _calibrated(index, tree, sample.slice(0, CALIBRATION), k)
+    index = written(distinct.select("id", "v").mapInArrow(place, f"leaf int, far double, id {kinds['id']}, v {kinds['v']}"), "index")
+    most = _calibrated(index, tree, trial, k)
+    radius = np.full(tree.leaves, -np.inf)
+    for r in index.groupBy("leaf").agg(F.max("far").alias("far")).collect():  # no more leaves than the sample has rows
+        radius[r["leaf"]] = r["far"]
+    radii = spark.sparkContext.broadcast(radius)
 
     queries = rows.where(is_query(F.col("id")))
     reps = written(queries.groupBy("v").agg(F.min("id").alias("rep")), "reps")
 
-    def route(batches):
-        for batch in batches:
-            q = _matrix(batch.column(1))
-            leaves = [shared.value.visits(x, most) for x in q]
-            row = pa.array(np.repeat(np.arange(len(q)), [len(x) for x in leaves]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for own in leaves for x in own], pa.int32()), pa.array([i for own in leaves for i in range(len(own))], pa.int32()), batch.column(0).take(row), batch.column(1).take(row)], names=["leaf", "visit", "rep", "q"])
-
-    routed = written(reps.select("rep", "v").mapInArrow(route, f"leaf int, visit int, rep {kinds['id']}, q {kinds['v']}"), "routed")
-    # What the first leaves hold bounds what later ones need to report.
+    def route(early: bool):
+        def by_shard(batches):
+            """(rep, q, floor) to one row for each shard that holds leaves to visit."""
+            for batch in batches:
+                q, floors = _matrix(batch.column(1)), batch.column(2).to_numpy()
+                at, shards, lists = [], [], []
+                for i, x in enumerate(q):
+                    leaves, near = shared.value.visits(x, min(FIRST, most) if early else most)
+                    if not early:
+                        bound = np.sqrt(x @ x) * shared.value.scale * (np.array(near[FIRST:]) + radii.value[leaves[FIRST:]])
+                        leaves = [leaf for leaf, b in zip(leaves[FIRST:], bound, strict=True) if b >= floors[i] - 1e-9 * max(1.0, abs(b))]
+                    of: dict[int, list[int]] = {}
+                    for leaf in leaves:
+                        of.setdefault(leaf // SHARD, []).append(leaf)
+                    at += [i] * len(of)
+                    shards += of.keys()
+                    lists += of.values()
+                row = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(lists, pa.list_(pa.int32())), *(c.take(row) for c in batch.columns)], names=["shard", "leaves", "rep", "q", "floor"])
+
+        return by_shard
+
+    routed = f"shard int, leaves array<int>, rep {kinds['id']}, q {kinds['v']}, floor double"
+    low = F.lit(float("-inf"))
     by_rep = Window.partitionBy("rep").orderBy(F.desc("score"), "id")
-    early = written(_compared(routed.where(f"visit < {FIRST}").withColumn("floor", F.lit(float("-inf"))), index, k), "early")
+    begun = reps.select("rep", "v", low.alias("floor")).mapInArrow(route(early=True), routed)
+    early = written(_compared(begun, index, k), "early")
     floor = early.withColumn("r", F.row_number().over(by_rep)).where(f"r = {k + 1}").select("rep", F.col("score").alias("floor"))
-    later = routed.where(f"visit >= {FIRST}").join(floor, "rep", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    bounded = reps.join(floor, "rep", "left").select("rep", "v", F.coalesce("floor", low).alias("floor"))
+    later = written(bounded.mapInArrow(route(early=False), routed), "routed")
     found = early.unionByName(_compared(later, index, k))
     best = found.withColumn("r", F.row_number().over(by_rep)).where(f"r <= {k + 1}").select("rep", "id", "score")
     every = queries.select(F.col("id").alias("query_id"), "v").join(reps, "v").select("query_id", "rep")
@@ -174,44 +209,53 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
 
 
 def _compared(routed: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """``(rep, id, score)``: for each query and leaf the k + 1 best that reach the query's floor. Large leaves and leaves of many queries are compared in blocks."""
-    parts = index.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).alias("vs")).join(routed.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).alias("qs")), "leaf")
+    """``(rep, id, score)``: for each query and shard the k + 1 best of the leaves to visit that reach the query's floor. Large shards and shards of many queries are compared in blocks."""
+    vectors = index.select((F.col("leaf") / SHARD).cast("int").alias("shard"), "leaf", "id", "v")
+    parts = vectors.groupBy("shard").agg(F.ceil(F.count("*") / CHUNK).alias("vs")).join(routed.groupBy("shard").agg(F.ceil(F.count("*") / CHUNK).alias("qs")), "shard")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = routed.join(parts, "leaf").select("leaf", "rep", "q", "floor", F.pmod(F.xxhash64("rep"), "qs").alias("qb"), each("vs").alias("vb"))
-    right = index.join(parts, "leaf").select("leaf", "id", "v", F.pmod(F.xxhash64("id"), "vs").alias("vb"), each("qs").alias("qb"))
+    left = routed.join(parts, "shard").select("shard", "leaves", "rep", "q", "floor", F.pmod(F.xxhash64("rep"), "qs").alias("qb"), each("vs").alias("vb"))
+    right = vectors.join(parts, "shard").select("shard", "leaf", "id", "v", F.pmod(F.xxhash64("id"), "vs").alias("vb"), each("qs").alias("qb"))
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         reps, ids, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if a.num_rows and b.num_rows:
             q, v, own = _matrix(a.column("q").combine_chunks()), _matrix(b.column("v").combine_chunks()), b.column("id").to_numpy()
-            names, floor = a.column("rep").to_numpy(), a.column("floor").to_numpy()
-            for at in range(0, len(q), 256):
-                for i, cols, exact in _best(q[at : at + 256] @ v.T, own, q[at : at + 256], v, k + 1):
-                    keep = exact >= floor[at + i]
-                    reps.append(np.repeat(names[at + i], keep.sum()))
-                    ids.append(own[cols[keep]])
-                    scores.append(exact[keep])
-        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in (reps, ids, scores)], names=["rep", "id", "score"])
-
-    key = ["leaf", "qb", "vb"]
+            names, floor, leaf = a.column("rep").to_numpy(), a.column("floor").to_numpy(), b.column("leaf").to_numpy()
+            lists = a.column("leaves").combine_chunks()
+            asked = np.zeros((len(q), SHARD), bool)
+            asked[np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy() % SHARD] = True
+            for x in np.unique(leaf):
+                some, here = np.flatnonzero(asked[:, x % SHARD]), np.flatnonzero(leaf == x)
+                for at in range(0, len(some), 1024):
+                    part = some[at : at + 1024]
+                    row, col, exact = _best(q[part] @ v[here].T, own[here], q[part], v[here], k + 1, floor[part])
+                    reps.append(names[part[row]])
+                    ids.append(own[here[col]])
+                    scores.append(exact)
+        reps, ids, scores = map(np.concatenate, (reps, ids, scores))
+        order = np.lexsort((ids, -scores, reps))
+        reps, ids, scores = reps[order], ids[order], scores[order]
+        keep = np.arange(len(reps)) - np.searchsorted(reps, reps) <= k
+        return pa.Table.from_arrays([pa.array(x[keep]) for x in (reps, ids, scores)], names=["rep", "id", "score"])
+
+    key = ["shard", "qb", "vb"]
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "rep long, id long, score double")
 
 
-def _calibrated(index: DataFrame, tree: Tree, sample: pa.Table, k: int) -> int:
-    """The leaves to visit, from the true neighbours of the sample among all rows."""
-    q = _matrix(sample.column("v").combine_chunks())
+def _calibrated(index: DataFrame, tree: Tree, trial: pa.Table, k: int) -> int:
+    """The leaves to visit, from the true neighbours of the trial rows among all others."""
+    q, names = _matrix(trial.column("v").combine_chunks()), trial.column("id").to_numpy()
     shared = index.sparkSession.sparkContext.broadcast(q)
 
     def compare(batches):
         for batch in batches:
             v, ids, leaf = _matrix(batch.column(2)), batch.column(1).to_numpy(), batch.column(0).to_numpy()
-            got = list(_best(shared.value @ v.T, ids, shared.value, v, k + 1)) if len(v) else []
-            many = [len(x[1]) for x in got]
-            cols = np.concatenate([x[1] for x in got]) if got else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in got], many).astype(np.int32)), pa.array(leaf[cols]), pa.array(ids[cols]), pa.array(np.concatenate([x[2] for x in got]) if got else np.zeros(0))], names=["q", "leaf", "id", "score"])
+            row, col, exact = _best(shared.value @ v.T, ids, shared.value, v, k + 1) if len(v) else (np.zeros(0, np.int64),) * 3
+            yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(leaf[col]), pa.array(ids[col]), pa.array(exact.astype(np.float64))], names=["q", "leaf", "id", "score"])
 
     near = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    true = index.mapInArrow(compare, "q int, leaf int, id long, score double").withColumn("r", F.row_number().over(near)).where(f"r <= {k + 1}").select("q", "leaf").collect()  # CALIBRATION * (k + 1) rows
-    places = [{leaf: i for i, leaf in enumerate(tree.visits(x, tree.leaves))} for x in q]
-    at = np.sort([places[r["q"]][r["leaf"]] for r in true])
-    return int(at[min(len(at) - 1, int(np.ceil(RECALL * len(at))))]) + 1
+    true = index.select("leaf", "id", "v").mapInArrow(compare, "q int, leaf int, id long, score double").withColumn("r", F.row_number().over(near)).where(f"r <= {k + 1}").collect()  # CALIBRATION * (k + 1) rows
+    places = [{leaf: i for i, leaf in enumerate(tree.visits(x, tree.leaves)[0])} for x in q]
+    at = np.sort([places[r["q"]][r["leaf"]] for r in true if r["id"] != names[r["q"]]])
+    asked = int(at[min(len(at) - 1, int(np.ceil(RECALL * len(at))))]) + 1 if len(at) else tree.leaves
+    return max(asked, min(FIRST, tree.leaves))

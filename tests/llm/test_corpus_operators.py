@@ -85,14 +85,29 @@ def brute_nearest(x, ids, k):
     return out
 
 
-def test_nearest_recall(spark):
-    e = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
-    got = ann.nearest(e, lambda c: c % 20 == 0).toPandas()
-    p = e.toPandas()
+def recall(got, vectors):
+    p = vectors.toPandas()
     want = brute_nearest(np.stack(p.embedding).astype(float), p.vec_id.to_numpy(), 20)
-    found = {q: set(g.id) for q, g in got.groupby("query_id")}
+    found = {q: dict(zip(g.id, g.score, strict=True)) for q, g in got.groupby("query_id")}
     assert sorted(found) == sorted(want) and (got.groupby("query_id").size() == 20).all()
-    assert np.mean([len(found[q] & {i for i, _ in w}) / 20 for q, w in want.items()]) >= 0.9
+    for q, w in want.items():
+        assert all(abs(found[q][i] - s) < 1e-12 for i, s in w if i in found[q])
+    return np.mean([len(found[q].keys() & {i for i, _ in w}) / 20 for q, w in want.items()])
+
+
+def test_nearest_recall(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    assert recall(ann.nearest(e, lambda c: c % 20 == 0).toPandas(), e) >= 0.9
+
+
+def test_nearest_passes_over_far_leaves(spark, monkeypatch):
+    """Well-separated groups: recall holds although the calibrated visits are few, and bounds leave out most leaves."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 16)) * 5
+    rows = [(i, (centres[rng.integers(60)] + rng.normal(size=16) * 0.3).tolist()) for i in range(6000)]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    monkeypatch.setattr(ann, "SAMPLE", 2000)
+    assert recall(ann.nearest(e, lambda c: c % 20 == 0).toPandas(), e) >= 0.9
 
 
 def test_nearest_copies_and_odd_vectors(spark):
