@@ -44,11 +44,45 @@ def unmatched_routes(routes: DataFrame, matches: DataFrame, services: DataFrame)
     return left.withColumn("strict", S.normalize_path(F.col("path"))).join(strict, "strict", "left_anti").select(*routes.columns)
 
 
+def unregistered_routes(unmatched: DataFrame) -> DataFrame:
+    """``(method, path, file, severity, confidence)``: unmatched routes ``(method, path, file)`` that a file in a routes directory defines outside the API prefix: their router is likely mounted nowhere."""
+    inside = F.translate("file", "\\", "/").rlike("/routes/")
+    path = S.normalize_path(F.col("path"))
+    return unmatched.where(inside & (path != "api") & ~path.startswith("api/")).select("method", "path", "file", F.lit("high").alias("severity"), F.lit(85).alias("confidence"))
+
+
+def _alike_segments(x: DataFrame, y: DataFrame, least: float) -> DataFrame:
+    """``(a, b)``: the distinct segments of ``x(a)`` and ``y(b)`` that are equal or have a similarity of ``least`` or more.
+
+    Such segments share a key: one holds the other, or they begin with the same letters to ``least`` of the shorter, or
+    so few edits part them that of as many pieces and one more, one stands whole in the other. So all stretches of each
+    side's segments meet the whole segments, first letters and pieces of the other's.
+    """
+
+    def stretches(df, c):
+        n, low = F.char_length(c), F.lower(c)
+        every = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.greatest(n - i + 1, F.lit(1))), lambda k: F.substring(low, i, k))))
+        return df.select(c, F.explode(F.array_distinct(every)).alias("key"))
+
+    def keys(df, c):
+        n, low = F.char_length(c), F.lower(c)
+        pieces = F.floor(F.lit((1 - least) / least) * n).cast("int") + 1
+        start = lambda i: F.floor(i * n / pieces).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.substring(low, start(i) + 1, start(i + 1) - start(i)))
+        return df.select(c, F.explode(F.array_distinct(F.concat(F.array(low, F.substring(low, F.lit(1), F.ceil(least * n).cast("int"))), cut))).alias("key"))
+
+    some = lambda df, c: df.where(F.char_length(c) > 0)
+    met = stretches(some(x, "a"), "a").join(keys(some(y, "b"), "b"), "key").select("a", "b").unionByName(keys(some(x, "a"), "a").join(stretches(some(y, "b"), "b"), "key").select("a", "b")).distinct()
+    near = met.where((F.col("a") == F.col("b")) | (S.segment_similarity(F.col("a"), F.col("b")) >= least)).select("a", "b")
+    return near.unionByName(x.where("a = ''").join(y.where("b = ''"), F.col("a") == F.col("b")).select("a", "b")).distinct()
+
+
 def similar_route(services: DataFrame, routes: DataFrame, least: float = 0.7) -> DataFrame:
     """``(service, route, similarity, same_path)``: the nearest route with as many segments.
 
     The same path counts 1; else segments score 1 if equal, 0.6 against a parameter, their similarity from 0.5 on, and
-    the mean must reach ``least``. Routes meet services by number of segments and first segment or parameter.
+    the mean must reach ``least``. So one segment at least must, and paths meet only where they have alike segments at
+    the same place; these are found once among the distinct segments.
     """
     split = lambda c: F.split(S.strip_api_prefix(F.col(c)), "/")
     a = services.select("service", S.strip_api_prefix(F.col("path")).alias("p"), split("path").alias("x")).withColumn("n", F.size("x"))
@@ -60,9 +94,13 @@ def similar_route(services: DataFrame, routes: DataFrame, least: float = 0.7) ->
         return F.when(x == y, 1.0).when(param(x) | param(y), 0.6).when(near >= 0.5, near).otherwise(0.0)
 
     mean = F.aggregate(F.zip_with("x", "y", score), F.lit(0.0), lambda acc, v: acc + v) / F.col("n")
-    pairs = a.join(b, "n").withColumn("similarity", F.when(F.col("p") == F.col("q"), 1.0).otherwise(F.round(mean, 9))).where(F.col("similarity") >= least)
-    best = pairs.groupBy("service").agg(F.min_by(F.struct("route", "similarity", (F.col("p") == F.col("q")).alias("same_path")), F.struct(-F.col("similarity"), F.col("route"))).alias("b"))
-    return best.select("service", "b.*")
+    paths, targets = a.select("p", "x", "n").distinct(), b.select("q", "y", "n").distinct()
+    at_x, at_y = paths.select("p", "n", F.posexplode("x").alias("at", "a")), targets.select("q", "n", F.posexplode("y").alias("at", "b"))
+    alike = _alike_segments(at_x.select("a").distinct(), at_y.select("b").distinct(), least)
+    met = at_x.join(alike, "a").join(at_y, ["n", "at", "b"]).select("p", "q").distinct()
+    scored = met.join(paths, "p").join(targets.drop("n"), "q").withColumn("similarity", F.when(F.col("p") == F.col("q"), 1.0).otherwise(F.round(mean, 9))).where(F.col("similarity") >= least).select("p", "q", "similarity")
+    best = scored.join(b.select("q", "route"), "q").groupBy("p").agg(F.min_by(F.struct("route", "similarity", (F.col("p") == F.col("q")).alias("same_path")), F.struct(-F.col("similarity"), F.col("route"))).alias("b"))
+    return a.select("service", "p").join(best, "p").select("service", "b.*")
 
 
 def unmatched_services(matches: DataFrame, similar: DataFrame) -> DataFrame:
@@ -79,19 +117,28 @@ def match_models(fields: DataFrame, least_same: float = 0.1, least: float = 0.7)
     """``(owner, model, tier, overlap)`` from ``fields(owner, side, field)``, side 0 the callers' types, side 1 the models.
 
     Tier 1 is the same name, 2 the same without case and underscores, both with an overlap of fields of at least
-    ``least_same`` where both have fields; tier 3 the largest overlap above ``least``. Overlaps come from shared fields
-    joined on equality, so that types without a common field never meet.
+    ``least_same`` where both have fields; tier 3 the largest overlap above ``least``. A null field names a type whose
+    fields are unknown; it matches by name alone, with overlap 0. Types meet by name, and for tier 3 by one of their
+    rarest fields: two with an overlap above ``least`` share one among the first ``n - ceil(least * n) + 1`` of each,
+    so that fields that all types have bring no pairs.
     """
     norm = S.normalize_name(F.col("field"), hyphens=True)
-    own = fields.select("owner", "side", norm.alias("f")).distinct()
-    size = own.groupBy("owner", "side").agg(F.count("*").alias("n"))
-    x, y = own.where("side = 0").select(F.col("owner").alias("owner"), "f"), own.where("side = 1").select(F.col("owner").alias("model"), "f")
-    common = x.join(y, "f").groupBy("owner", "model").agg(F.count("*").alias("c"))
-    sized = common.join(size.where("side = 0").select("owner", F.col("n").alias("a")), "owner").join(size.where("side = 1").select(F.col("owner").alias("model"), F.col("n").alias("b")), "model")
-    scored = sized.withColumn("overlap", F.col("c") / (F.col("a") + F.col("b") - F.col("c")))
-    same = F.col("owner") == F.col("model")
-    alike = S.normalize_name(F.col("owner"), True) == S.normalize_name(F.col("model"), True)
-    tier = F.when(same & (F.col("overlap") >= least_same), 1).when(alike & (F.col("overlap") >= least_same), 2).when(F.col("overlap") > least, 3)
+    own = fields.where("field is not null").select("owner", "side", norm.alias("f")).distinct()
+    types = fields.select("owner", "side").distinct().join(own.groupBy("owner", "side").agg(F.count("*").alias("n")), ["owner", "side"], "left").fillna(0, ["n"])
+    alike = S.normalize_name(F.col("owner"), True)
+    front, back = (types.where(f"side = {i}").select(F.col("owner").alias(c), F.col("n").alias(k), alike.alias("name")) for i, c, k in ((0, "owner", "a"), (1, "model", "b")))
+    by_name = front.join(back, "name").select("owner", "model")
+    place = F.row_number().over(Window.partitionBy("owner", "side").orderBy("df", "f"))
+    first = own.join(own.groupBy("f").agg(F.count("*").alias("df")), "f").join(types, ["owner", "side"]).withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(least * F.col("n")) + 1)
+    by_field = first.where("side = 0").select("owner", "f").join(first.where("side = 1").select(F.col("owner").alias("model"), "f"), "f").select("owner", "model")
+    met = by_name.unionByName(by_field).distinct()
+    common = met.join(own.where("side = 0").select("owner", "f"), "owner").join(own.where("side = 1").select(F.col("owner").alias("model"), "f"), ["model", "f"]).groupBy("owner", "model").agg(F.count("*").alias("c"))
+    sized = met.join(common, ["owner", "model"], "left").fillna(0, ["c"]).join(front.select("owner", "a"), "owner").join(back.select("model", "b"), "model")
+    both = (F.col("a") > 0) & (F.col("b") > 0)
+    scored = sized.withColumn("overlap", F.when(both, F.col("c") / (F.col("a") + F.col("b") - F.col("c"))).otherwise(0.0))
+    fits = ~both | (F.col("overlap") >= least_same)
+    named = S.normalize_name(F.col("owner"), True) == S.normalize_name(F.col("model"), True)
+    tier = F.when((F.col("owner") == F.col("model")) & fits, 1).when(named & fits, 2).when(F.col("overlap") > least, 3)
     rank = F.row_number().over(Window.partitionBy("owner").orderBy("tier", F.desc("overlap"), "model"))
     return scored.withColumn("tier", tier).where("tier is not null").withColumn("r", rank).where("r = 1").select("owner", "model", "tier", "overlap")
 

@@ -64,40 +64,42 @@ def line_diff(versions: DataFrame) -> DataFrame:
 
 
 def line_runs(versions: DataFrame, look_ahead: int = 10) -> DataFrame:
-    """``(file, change_type, start, end)``: runs of added, deleted and modified lines, by a greedy walk that looks ahead ``look_ahead`` lines on the new side, then the old.
-
-    One group is the two versions of one file.
+    """``(file, change_type, start, end)``: runs of added, deleted and modified lines between a file's old and new version.
+
+    Both versions are walked together. Where they differ, the old line is looked for in the next ``look_ahead - 1`` new
+    lines and the new line among as many old ones. Found on both sides, the place with the smaller line number decides:
+    on the old side it is a deletion up to there, else an addition; found on the new side alone it is an addition; on
+    the old side alone, or not at all, one line is modified. What is left at the end is one addition or deletion.
+    Additions are numbered on the new side, deletions and modifications on the old, from 1, both ends included. A file
+    with one version only is all added or all deleted; null texts count as missing. One group is the two versions of
+    one file.
     """
 
     def walk(key: tuple, sides: pd.DataFrame) -> pd.DataFrame:
         text = dict(zip(sides["side"], sides["text"], strict=True))
-        old, new = ((text.get(s) or "").split("\n") if text.get(s) is not None else [] for s in ("old", "new"))
+        old, new = (text[s].split("\n") if text.get(s) is not None else [] for s in ("old", "new"))
+        found = lambda lines, at, line: next((n for n in range(at + 1, min(at + look_ahead, len(lines))) if lines[n] == line), None)
         i = j = 0
-        found = []
-        while i < len(old) or j < len(new):
-            if i < len(old) and j < len(new) and old[i] == new[j]:
+        out = []
+        while i < len(old) and j < len(new):
+            if old[i] == new[j]:
                 i, j = i + 1, j + 1
                 continue
-            ahead = next((n for n in range(1, look_ahead + 1) if i < len(old) and j + n < len(new) and new[j + n] == old[i]), None)
-            behind = next((n for n in range(1, look_ahead + 1) if j < len(new) and i + n < len(old) and old[i + n] == new[j]), None)
-            if i >= len(old) or (ahead is not None and j < len(new)):
-                n = ahead or len(new) - j
-                found.append(("addition", j + 1, j + n))
-                j += n
-            elif j >= len(new) or behind is not None:
-                n = behind or len(old) - i
-                found.append(("deletion", j + 1, j + 1))
-                i += n
-            else:
-                found.append(("modification", j + 1, j + 1))
+            in_old, in_new = found(old, i, new[j]), found(new, j, old[i])
+            if in_new is None:
+                out.append(("modification", i + 1, i + 1))
                 i, j = i + 1, j + 1
-        merged: list[list] = []
-        for kind, a, b in found:
-            if merged and merged[-1][0] == kind and kind != "deletion" and merged[-1][2] + 1 == a:
-                merged[-1][2] = b
+            elif in_old is not None and in_old < in_new:
+                out.append(("deletion", i + 1, in_old))
+                i = in_old
             else:
-                merged.append([kind, a, b])
-        return pd.DataFrame([(key[0], *m) for m in merged], columns=["file", "change_type", "start", "end"])
+                out.append(("addition", j + 1, in_new))
+                j = in_new
+        if i < len(old):
+            out.append(("deletion", i + 1, len(old)))
+        if j < len(new):
+            out.append(("addition", j + 1, len(new)))
+        return pd.DataFrame([(key[0], *m) for m in out], columns=["file", "change_type", "start", "end"])
 
     kind = versions.schema["file"].dataType.simpleString()
     return versions.groupBy("file").applyInPandas(walk, f"file {kind}, change_type string, start long, end long")

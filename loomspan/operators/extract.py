@@ -86,8 +86,8 @@ def extract_routes(files: DataFrame) -> DataFrame:
 
 
 def extract_services(files: DataFrame) -> DataFrame:
-    """``(file, line, client, method, path)``: calls of a client's verbs, and of fetch, with a literal endpoint."""
-    verbs, fetch = rf"""\b(axios|http|client|api|apiClient|requests|httpx|this\.http)\.({VERBS})(?:<[^>]*>)?\(\s*f?['"`]([^'"`]+)['"`]""", r"""\b(fetch)\(\s*['"`]([^'"`]+)['"`](?:.*method:\s*['"](\w+)['"])?"""
+    """``(file, line, client, method, path)``: calls of a client's verbs, and of fetch, with a literal endpoint. Any name that ends in Client, Api or Service is a client."""
+    verbs, fetch = rf"""\b(axios|http|client|api|requests|httpx|this\.http|[A-Za-z]+(?:Client|Api|Service))\.({VERBS})(?:<[^>]*>)?\(\s*f?['"`]([^'"`]+)['"`]""", r"""\b(fetch)\(\s*['"`]([^'"`]+)['"`](?:.*method:\s*['"](\w+)['"])?"""
     get = lambda i: F.regexp_extract("text", verbs, i)
     fetched = F.regexp_extract("text", fetch, 2)
     method = F.when(get(2) != "", F.upper(get(2))).otherwise(F.upper(F.coalesce(F.nullif(F.regexp_extract("text", fetch, 3), F.lit("")), F.lit("GET"))))

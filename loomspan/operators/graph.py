@@ -28,8 +28,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int = 5, direction: str = "both") -> DataFrame:
-    """``(seed, node, depth, direction)`` along imports, against them (importedBy), or each."""
-    depth = min(depth, 5)
+    """``(seed, node, depth, direction)`` along imports, against them (importedBy), or each; as deep as asked."""
     parts = []
     if direction in ("imports", "both"):
         parts.append(reach(edges, seeds, depth).withColumn("direction", F.lit("imports")))
@@ -69,7 +68,8 @@ def cycles(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
 
     Nodes without incoming or without outgoing edges are trimmed until none is left. Then every node learns the largest
     node that reaches it; the node that keeps its own number heads a component, and what reaches it backwards among
-    nodes of its colour is that component. Found components leave, and the rest goes again.
+    nodes of its colour is that component. Found components leave, and the rest goes again. Each walk is a job a step;
+    one of more than ``max_rounds`` steps raises an error, so that no component is ever cut.
     """
     left = written(edges.where("src <> dst").select("src", "dst").distinct(), "scc")
     loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
@@ -86,11 +86,16 @@ def cycles(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         found = part if found is None else found.unionByName(part)
         gone = members.select("node")
         left = written(left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "scc")
+    else:
+        raise RuntimeError(_LONGER)
     if found is None:
         found = edges.where("false").select(F.col("src").alias("node"), F.col("src").alias("component"))
     return found.unionByName(loops.join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
 
 
+_LONGER = "a walk of more steps than max_rounds"
+
+
 def _trimmed(edges: DataFrame, rounds: int) -> DataFrame:
     before = -1
     for _ in range(rounds):
@@ -98,9 +103,9 @@ def _trimmed(edges: DataFrame, rounds: int) -> DataFrame:
         edges = written(kept.select("src", "dst"), "scc")
         now = edges.count()
         if now == before:
-            break
+            return edges
         before = now
-    return edges
+    raise RuntimeError(_LONGER)
 
 
 def _largest_reaching(edges: DataFrame, rounds: int) -> DataFrame:
@@ -111,8 +116,8 @@ def _largest_reaching(edges: DataFrame, rounds: int) -> DataFrame:
         new = written(colour.join(sent, "node", "left").select("node", F.greatest("colour", F.coalesce("got", "colour")).alias("colour"), (F.coalesce("got", "colour") > F.col("colour")).alias("moved")), "scc")
         colour = new.select("node", "colour")
         if new.where("moved").isEmpty():
-            break
-    return colour
+            return colour
+    raise RuntimeError(_LONGER)
 
 
 def _backwards(same: DataFrame, heads: DataFrame, rounds: int) -> DataFrame:
@@ -122,9 +127,9 @@ def _backwards(same: DataFrame, heads: DataFrame, rounds: int) -> DataFrame:
         new = same.join(frontier.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct().join(seen, ["node", "colour"], "left_anti")
         frontier = written(new, "scc")
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(frontier)
-    return seen
+    raise RuntimeError(_LONGER)
 
 
 def ancestors(tree: DataFrame, max_depth: int = 64) -> DataFrame:

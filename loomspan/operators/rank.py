@@ -72,11 +72,35 @@ def suggest_similar(targets: DataFrame, names: DataFrame, k: int = 3, least: flo
 
 
 def levenshtein_neighbours(names: DataFrame, distance: int = 3) -> DataFrame:
-    """``(a, b, d)``: distinct names within an edit distance. Pairs meet by length band, and the distance stops at the threshold."""
-    own = names.select("name").where("name is not null").distinct().withColumn("len", F.char_length("name"))
-    near = own.select(F.col("name").alias("b"), F.explode(F.sequence(F.col("len") - distance, F.col("len") + distance)).alias("len"))
-    d = F.levenshtein("a", "b", distance)
-    return own.select(F.col("name").alias("a"), "len").join(near, "len").where("a <> b").select("a", "b", d.alias("d")).where("d >= 0")
+    """``(a, b, d)``: distinct names within an edit distance.
+
+    A name cut into ``distance + 1`` pieces leaves at least one of them whole after that many edits, moved by no more
+    than ``distance`` places. Names meet where a piece of one is the same as a stretch of the other near that place;
+    only these pairs are measured, and the measure stops at the threshold. Of two names the shorter is cut. Names of up
+    to ``distance`` letters have empty pieces, and meet all that are short enough.
+    """
+    own = names.select("name").where("name is not null").distinct()
+    n, parts = F.char_length("name"), distance + 1
+    pieces = F.sequence(F.lit(0), F.lit(distance))
+    start = lambda i, size: F.floor(i * size / parts).cast("int")
+    cut = lambda i: F.struct(n.alias("size"), i.alias("i"), F.substring("name", start(i, n) + 1, start(i + 1, n) - start(i, n)).alias("piece"))
+    index = own.select(F.col("name").alias("a"), F.explode(F.transform(pieces, cut)).alias("k")).select("a", "k.*")
+
+    def near(size):
+        """All stretches of a name that may be a piece of one with ``size`` letters."""
+
+        def of_piece(i):
+            at, width = start(i, size), start(i + 1, size) - start(i, size)
+            places = F.sequence(F.greatest(F.lit(0), at - distance), F.greatest(F.lit(0), F.least(at + distance, n - width)))
+            return F.transform(F.filter(places, lambda p: p + width <= n), lambda p: F.struct(size.alias("size"), i.alias("i"), F.substring("name", p + 1, width).alias("piece")))
+
+        return F.flatten(F.transform(pieces, of_piece))
+
+    sizes = F.sequence(F.greatest(F.lit(0), n - distance), n)
+    probes = own.select(F.col("name").alias("b"), F.explode(F.array_distinct(F.flatten(F.transform(sizes, near)))).alias("k")).select("b", "k.*")
+    pairs = index.join(probes, ["size", "i", "piece"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    close = pairs.select("a", "b", F.levenshtein("a", "b", distance).alias("d")).where("d >= 0")
+    return close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
 
 
 def score_relevance(signals: DataFrame, k: int = 200, least: float = 0.3) -> DataFrame:

@@ -172,11 +172,19 @@ def unknown_types(type_refs: DataFrame, types: DataFrame, builtins: list[str]) -
 
 
 def find_symbol(requests: DataFrame, symbols: DataFrame) -> DataFrame:
-    """For each request ``(id, name, file, scope)`` the best definition ``symbol``: same file and scope, same file, same scope, else the first by file and symbol."""
-    pairs = requests.join(symbols.select("name", F.col("file").alias("__f"), F.col("scope").alias("__s"), "symbol"), "name")
-    same_file, same_scope = F.col("file") == F.col("__f"), F.col("scope").eqNullSafe(F.col("__s"))
-    rank = F.when(same_file & same_scope, 0).when(same_file, 1).when(same_scope, 2).otherwise(3)
-    return pairs.groupBy("id").agg(F.min_by("symbol", F.struct(rank, F.col("__f"), F.col("symbol"))).alias("symbol"))
+    """For each request ``(id, name, file, scope)`` the best definition ``symbol``: same file and scope, same file, same scope, else the first by file and symbol.
+
+    Each of the four is one join with the first definition of its key, so that a frequent name costs a request no more
+    than a rare one. Requests whose name nobody defines give no row; a null scope is a scope of its own.
+    """
+    scoped = lambda df: df.withColumn("scope", F.coalesce(F.concat(F.lit("="), F.col("scope").cast("string")), F.lit("-")))
+    out, found = scoped(requests).select("id", "name", "file", "scope"), scoped(symbols)
+    ways = (["name", "file", "scope"], ["name", "file"], ["name", "scope"], ["name"])
+    for i, keys in enumerate(ways):
+        out = out.join(found.groupBy(*keys).agg(F.min(F.struct("file", "symbol")).alias(f"__{i}")), keys, "left")
+    # A request that is there more than once keeps its best way.
+    best = F.coalesce(*(F.when(F.col(f"__{i}").isNotNull(), F.struct(F.lit(i).alias("way"), F.col(f"__{i}.file").alias("f"), F.col(f"__{i}.symbol").alias("symbol"))) for i in range(len(ways))))
+    return out.withColumn("best", best).where("best is not null").groupBy("id").agg(F.min("best").alias("best")).select("id", "best.symbol")
 
 
 def closed_namespaces(usages: DataFrame, members: DataFrame) -> DataFrame:

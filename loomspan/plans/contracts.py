@@ -37,14 +37,22 @@ def match_endpoints(spark, sf_dir):
 @query(
     "select method, path from v_routes r where not exists (select 1 from m where m.route = r.path and m.route_method = r.method) and string_split(regexp_replace(r.path, '^/|/$', '', 'g'), '/')[1] in (select string_split(strip, '/')[1] from (select " + _STRIP + " as strip from s)) "
     "and regexp_replace(r.path, '^/|/$', '', 'g') not in (select regexp_replace(path, '^/|/$', '', 'g') from s)",
-    ("s", _SERVICES + " where page_id % 7 = 0"), ("m", _MATCHES),
+    ("s", _SERVICES + " where method = 'GET'"), ("m", _MATCHES),
 )
 def unmatched_routes(spark, sf_dir):
-    services = _services(spark, sf_dir).where("service % 7 = 0")
+    """Routes that the reading callers leave unused."""
+    services = _services(spark, sf_dir).where("method = 'GET'")
     routes = table(spark, sf_dir, "v_routes")
     return C.unmatched_routes(routes, C.match_endpoints(services, routes), services).select("method", "path")
 
 
+@query("select method, path, file, 'high' as severity, 85 as confidence from (select distinct method, case when page_id % 2 = 0 then path else '/api' || path end as path, case when page_id % 5 < 3 then 'src/routes/r.ts' else 'src/pages/p.ts' end as file from v_paths) where file like '%/routes/%' and regexp_replace(path, '^/|/$', '', 'g') <> 'api' and regexp_replace(path, '^/|/$', '', 'g') not like 'api/%'")
+def unregistered_routes(spark, sf_dir):
+    """Every page as a route of a router or of a page; every other one under the prefix."""
+    routes = table(spark, sf_dir, "v_paths").select("method", F.expr("case when page_id % 2 = 0 then path else concat('/api', path) end").alias("path"), F.expr("case when page_id % 5 < 3 then 'src/routes/r.ts' else 'src/pages/p.ts' end").alias("file")).distinct()
+    return C.unregistered_routes(routes)
+
+
 _SEGMENTS = (
     "select service, route, same, unnest(x) as a, unnest(y) as b from (select service, r.path as route, sp = rp as same, string_split(sp, '/') as x, string_split(rp, '/') as y from (select service, " + _STRIP + " as sp from s) s join (select distinct path, " + _STRIP + " as rp from routes) r on len(string_split(sp, '/')) = len(string_split(rp, '/')))"
 )
@@ -56,9 +64,9 @@ _NEAR = (
 _BEST = "select service, b.route as route, b.similarity as similarity, b.same as same_path from (select service, arg_min({'route': route, 'similarity': similarity, 'same': same}, (-similarity, route)) as b from near where similarity >= 0.7 group by 1)"
 
 
-@query("select * from best", ("s", _SERVICES + " where page_id % 2 = 0"), ("routes", "select * from v_routes"), ("seg", _SEGMENTS), ("near", _NEAR), ("best", _BEST), doubles=("similarity",))
+@query("select * from best", ("s", _SERVICES), ("routes", "select * from v_routes"), ("seg", _SEGMENTS), ("near", _NEAR), ("best", _BEST), doubles=("similarity",))
 def similar_route(spark, sf_dir):
-    return C.similar_route(_services(spark, sf_dir).where("service % 2 = 0"), table(spark, sf_dir, "v_routes"))
+    return C.similar_route(_services(spark, sf_dir), table(spark, sf_dir, "v_routes"))
 
 
 @query(
@@ -135,7 +143,7 @@ def type_compat(spark, sf_dir):
     return out.select("id", F.when(F.col("p").isNotNull(), F.concat_ws(" ", "p.severity", "p.problem")).alias("problem"))
 
 
-_SENT = "select distinct l_suppkey as endpoint, l_partkey % 40 as param, l_returnflag as ptype from lineitem where l_orderkey % 50 = 0 and l_linenumber = 1"
+_SENT = "select distinct l_suppkey as endpoint, l_partkey % 40 as param, l_returnflag as ptype from lineitem"
 _DECL = "select distinct s_suppkey as endpoint, n_nationkey + s_suppkey % 9 as param, case n_nationkey % 3 when 0 then 'A' when 1 then 'N' else 'R' end as ptype, n_nationkey % 2 = 0 as required from supplier join nation on n_nationkey % 4 = s_suppkey % 5"
 
 

@@ -93,9 +93,9 @@ def relevant_symbols(spark, sf_dir):
     return G.relevant_symbols(imported, related).withColumn("score", F.col("score").cast("double"))
 
 
-@query("select l_orderkey as src, l_suppkey as dst, list(distinct l_partkey order by l_partkey) as symbols from lineitem where l_orderkey % 5 = 0 group by 1, 2")
+@query("select l_orderkey as src, l_suppkey as dst, list(distinct l_partkey order by l_partkey) as symbols from lineitem group by 1, 2")
 def file_edges(spark, sf_dir):
-    return G.file_edges(table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_partkey").alias("name")))
+    return G.file_edges(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_partkey").alias("name")))
 
 
 @query("select doc_id as file, n_chars from documents where doc_id in (select dst from v_edges where src % 10 = 0)")
@@ -196,14 +196,14 @@ def edge_changes(spark, sf_dir):
 
 
 @query(
-    "select * from (select 'brokenReference' as risk, 'critical' as severity, count(*) as n from v_usages where file % 10 = 0 and symbol_id not in (select id from v_after) union all select 'removedReference', 'high', count(*) from v_usages where file % 10 = 0 and symbol_id in (select id from d where change_type = 'removed') "
-    "union all select 'manyReferences', 'medium', (select count(*) from v_usages where file % 10 = 0)) where n > 0 and (risk <> 'manyReferences' or n > 3 * (select count(*) from d where change_type = 'added'))",
+    "select * from (select 'brokenReference' as risk, 'critical' as severity, count(*) as n from v_usages where symbol_id not in (select id from v_after) union all select 'removedReference', 'high', count(*) from v_usages where symbol_id in (select id from d where change_type = 'removed') "
+    "union all select 'manyReferences', 'medium', (select count(*) from v_usages)) where n > 0 and (risk <> 'manyReferences' or n > 3 * (select count(*) from d where change_type = 'added'))",
     ("d", _DIFF),
 )
 def diff_risk(spark, sf_dir):
     before, after = (table(spark, sf_dir, v) for v in ("v_before", "v_after"))
     changes = D.snapshot_diff(before, after, ["id", "name"], ["sig"]).select(F.col("id").cast("string").alias("name"), "change_type")
-    references = table(spark, sf_dir, "v_usages").where("file % 10 = 0").select(F.col("symbol_id").cast("string").alias("name"))
+    references = table(spark, sf_dir, "v_usages").select(F.col("symbol_id").cast("string").alias("name"))
     return D.diff_risk(references, changes, after.select(F.col("id").cast("string").alias("name")))
 
 

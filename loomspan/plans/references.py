@@ -98,10 +98,12 @@ def type_only_misuse(spark, sf_dir):
     return R.type_only_misuse(imports, table(spark, sf_dir, "v_usages").withColumnRenamed("symbol_id", "name"), ("call", "methodCall", "reference")).withColumnRenamed("name", "symbol_id")
 
 
-@query("select symbol_id, file from v_catalog where exported and symbol_id not in (select symbol_id from v_imports) and symbol_id not in (select symbol_id from v_usages where usage_type = 'call' and file % 9 = 0)")
+@query("select c_custkey as symbol_id, c_nationkey as file from customer where c_acctbal > 0 and c_custkey not in (select o_custkey from orders where o_orderstatus = 'P') and c_custkey not in (select o_custkey from orders where o_orderpriority like '1%')")
 def unused_exports(spark, sf_dir):
-    usages = table(spark, sf_dir, "v_usages").where("usage_type = 'call' and file % 9 = 0")
-    return R.unused_exports(table(spark, sf_dir, "v_catalog"), table(spark, sf_dir, "v_imports"), [usages]).select("symbol_id", "file")
+    """Customers as exported symbols: orders in process import them, urgent ones call them."""
+    exports = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("symbol_id"), F.col("c_nationkey").alias("file"), (F.col("c_acctbal") > 0).alias("exported"))
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "symbol_id")
+    return R.unused_exports(exports, orders.where("o_orderstatus = 'P'"), [orders.where("o_orderpriority like '1%'")]).select("symbol_id", "file")
 
 
 @query(
@@ -114,13 +116,14 @@ def orphan_files(spark, sf_dir):
     return R.orphan_files(files, edges, exports, exports.where("name % 97 = 0"), F.col("file") % 11 == 0)
 
 
-_TOKENS = "select doc_id as file, unnest(string_split_regex(lower(text), '[^a-z]+')) as name from documents where lang = 'en'"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TOKENS = f"select doc_id as file, unnest(string_split_regex({_LOWER}, '[^a-z]+')) as name from documents"
 
 
-@query("select file, name from (select distinct file, name from t where length(name) = 4) s where name not like 'use%' and (file, name) not in (select (file, name) from t group by file, name having count(*) > 1)", ("t", _TOKENS))
+@query("select file, name from (select distinct file, name from t where length(name) > 2) s where name not like 'use%' and (file, name) not in (select (file, name) from t group by file, name having count(*) > 1)", ("t", _TOKENS))
 def unused_definitions(spark, sf_dir):
-    tokens = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("file"), F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("name"))
-    symbols = tokens.where("length(name) = 4 and name not like 'use%'").distinct().withColumn("exported", F.lit(False))
+    tokens = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.explode(F.split(F.expr(_LOWER), "[^a-z]+")).alias("name"))
+    symbols = tokens.where("length(name) > 2 and name not like 'use%'").distinct().withColumn("exported", F.lit(False))
     return R.unused_definitions(symbols, tokens).select("file", "name")
 
 
@@ -195,10 +198,10 @@ def scope_metrics(spark, sf_dir):
     return metrics(closure(spark, sf_dir), scope_symbols(spark, sf_dir))
 
 
-@query("select distinct a.page_id as src, b.page_id as dst, a.path as name, cast(0.9 as double) as confidence from v_paths a join v_paths b on a.path = b.path and a.page_id <> b.page_id where b.page_id % 3 = 0 and b.path like '/%'", doubles=("confidence",))
+@query("select distinct a.page_id as src, b.page_id as dst, a.path as name, cast(0.9 as double) as confidence from v_paths a join v_paths b on a.path = b.path and a.page_id <> b.page_id where b.path like '/%'", doubles=("confidence",))
 def bridge_edges(spark, sf_dir):
     paths = table(spark, sf_dir, "v_paths").select(F.col("path").alias("name"), F.col("page_id").alias("file"))
-    return R.bridge_edges(paths.where("file % 3 = 0"), paths)
+    return R.bridge_edges(paths, paths)
 
 
 @query("select c_custkey as symbol, coalesce((select list(distinct src order by src) from v_edges where dst = c_custkey), []) as callers, coalesce((select list(distinct dst order by dst) from v_edges where src = c_custkey), []) as callees from customer")
@@ -214,11 +217,11 @@ def unknown_types(spark, sf_dir):
 
 @query(
     "select r.o_orderkey as id, arg_min(s.p_partkey, (case when s.p_brand = r.file and s.p_type = r.scope then 0 when s.p_brand = r.file then 1 when s.p_type = r.scope then 2 else 3 end, s.p_brand, s.p_partkey)) as symbol "
-    "from (select o.o_orderkey, p.p_name as name, q.p_brand as file, q.p_type as scope from orders o join part p on p.p_partkey = o.o_orderkey % 1000 join part q on q.p_partkey = o.o_custkey % 1000 where o.o_orderkey % 20 = 0) r join part s on s.p_name = r.name group by 1"
+    "from (select o.o_orderkey, p.p_name as name, q.p_brand as file, q.p_type as scope from orders o join part p on p.p_partkey = o.o_orderkey % 1000 join part q on q.p_partkey = o.o_custkey % 1000) r join part s on s.p_name = r.name group by 1"
 )
 def find_symbol(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("id"), F.expr("o_orderkey % 1000 as a"), F.expr("o_custkey % 1000 as b"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr("o_orderkey % 1000 as a"), F.expr("o_custkey % 1000 as b"))
     requests = orders.join(part.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("name")), "a").join(part.select(F.col("p_partkey").alias("b"), F.col("p_brand").alias("file"), F.col("p_type").alias("scope")), "b").drop("a", "b")
     return R.find_symbol(requests, part.select(F.col("p_name").alias("name"), F.col("p_brand").alias("file"), F.col("p_type").alias("scope"), F.col("p_partkey").alias("symbol")))
 
@@ -284,21 +287,13 @@ def file_history(spark, sf_dir):
     return U.file_history(table(spark, sf_dir, "v_commit_files"), F.expr("timestamp'2024-02-01'"))
 
 
-@query("select a.file, b.file as partner, count(*) as n from v_commit_files a join v_commit_files b on a.commit_id = b.commit_id and a.file <> b.file where a.author % 4 = 0 and b.author % 4 = 0 group by 1, 2")
+@query("select a.file, b.file as partner, count(*) as n from v_commit_files a join v_commit_files b on a.commit_id = b.commit_id and a.file <> b.file group by 1, 2")
 def co_change(spark, sf_dir):
-    return U.co_change(table(spark, sf_dir, "v_commit_files").where("author % 4 = 0"))
+    return U.co_change(table(spark, sf_dir, "v_commit_files"))
 
 
 _FILE_SYMBOLS = "select distinct file, symbol_id from v_usages"
 _CO = "select x.symbol_id as a, y.symbol_id as b, count(*) as n from fsym x join fsym y on x.file = y.file and x.symbol_id <> y.symbol_id group by 1, 2 having count(*) >= 2"
-_USE = "select symbol_id, count(distinct caller) as usage from v_usages where file % 3 = 0 group by 1"
-_RITUALS = "select a as symbol, b as expected, n / usage as frequency, case when usage > 10 then 0.9 else 0.7 end as confidence from co join uses on symbol_id = a where usage >= 3 and n / usage > 0.15"
-
-
-def _rituals(spark, sf_dir):
-    usages = table(spark, sf_dir, "v_usages")
-    use = usages.where("file % 3 = 0").groupBy("symbol_id").agg(F.countDistinct("caller").alias("usage"))
-    return U.usage_rituals(U.co_occurrence(usages.select("file", "symbol_id")), use, 3, 0.15)
 
 
 @query("select a, b, n from co", ("fsym", _FILE_SYMBOLS), ("co", _CO))
@@ -306,24 +301,40 @@ def co_occurrence(spark, sf_dir):
     return U.co_occurrence(table(spark, sf_dir, "v_usages").select("file", "symbol_id"))
 
 
-@query("select symbol, expected, frequency, cast(confidence as double) as confidence from rituals", ("fsym", _FILE_SYMBOLS), ("co", _CO), ("uses", _USE), ("rituals", _RITUALS), doubles=("frequency", "confidence",))
+# Rituals: what each user does in a week of events; a "file" is a user's week.
+_WEEKS = "select distinct user_id * 100 + extract(week from ts) as file, event_type as symbol_id from events"
+_USE = "select symbol_id, count(*) as usage from fsym group by 1"
+_RITUALS = "select a as symbol, b as expected, n / usage as frequency, case when usage > 10 then 0.9 else 0.7 end as confidence from co join uses on symbol_id = a where usage >= 3 and n / usage > 0.5"
+
+
+def _weeks(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.expr("user_id * 100 + extract(week from ts)").alias("file"), F.col("event_type").alias("symbol_id")).distinct()
+
+
+def _rituals(weeks):
+    use = weeks.groupBy("symbol_id").agg(F.count("*").alias("usage"))
+    return U.usage_rituals(U.co_occurrence(weeks), use)
+
+
+@query("select symbol, expected, frequency, cast(confidence as double) as confidence from rituals", ("fsym", _WEEKS), ("co", _CO), ("uses", _USE), ("rituals", _RITUALS), doubles=("frequency", "confidence",))
 def usage_rituals(spark, sf_dir):
-    return _rituals(spark, sf_dir)
+    return _rituals(_weeks(spark, sf_dir))
 
 
-@query("select w.file, w.symbol, w.expected from (select f.file, r.symbol, r.expected from fsym f join rituals r on r.symbol = f.symbol_id where r.frequency > 0.25) w left join fsym g on g.file = w.file and g.symbol_id = w.expected where g.file is null", ("fsym", _FILE_SYMBOLS), ("co", _CO), ("uses", _USE), ("rituals", _RITUALS))
+@query("select w.file, w.symbol, w.expected from (select f.file, r.symbol, r.expected from fsym f join rituals r on r.symbol = f.symbol_id where r.frequency > 0.8) w left join fsym g on g.file = w.file and g.symbol_id = w.expected where g.file is null", ("fsym", _WEEKS), ("co", _CO), ("uses", _USE), ("rituals", _RITUALS))
 def ritual_deviations(spark, sf_dir):
-    return U.ritual_deviations(table(spark, sf_dir, "v_usages").select("file", "symbol_id"), _rituals(spark, sf_dir), 0.25)
+    weeks = _weeks(spark, sf_dir)
+    return U.ritual_deviations(weeks, _rituals(weeks))
 
 
 _KEYWORDS = (
-    "select doc_id as file, w as keyword, count(*) as n, row_number() over (partition by doc_id order by count(*) desc, w) as r from (select doc_id, unnest(regexp_extract_all(lower(text), '\\b[a-z][a-z0-9_]{2,}\\b')) as w from documents where lang = 'en') "
+    "select doc_id as file, w as keyword, count(*) as n, row_number() over (partition by doc_id order by count(*) desc, w) as r from (select doc_id, unnest(regexp_extract_all(lower(text), '\\b[a-z][a-z0-9_]{2,}\\b')) as w from documents) "
     "where length(w) > 3 and w not in (" + ", ".join(f"'{w}'" for w in U.STOP_WORDS) + ") group by 1, 2"
 )
 
 
 def _keywords(spark, sf_dir):
-    return U.file_keywords(table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("file"), F.col("text").alias("content")))
+    return U.file_keywords(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.col("text").alias("content")))
 
 
 @query("select file, keyword, n from k where r <= 15", ("k", _KEYWORDS))

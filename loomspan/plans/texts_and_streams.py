@@ -15,10 +15,16 @@ def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.lit("js").alias("language"), F.col("text").alias("content"))
 
 
-@query("select source, count(*) as n, sum(n_chars) as chars from documents where source not in ('src1', 'src2') group by 1")
+@query("select source, cast(sum(octet_length(encode(coalesce(text, ''))) + 1) as bigint) as size, cast(sum(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1) as bigint) as n_lines from documents where source not in ('src1', 'src2') group by 1")
 def scan_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(~S.is_excluded(F.col("source"), ["src1", "src2"]))
-    return docs.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    """The documents as text files in a folder for each source, scanned without two of the folders."""
+    from loomspan.operators.tables import new_path
+
+    path = new_path(spark, "files")
+    table(spark, sf_dir, "documents").select("source", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("source").text(path)
+    found = R.scan_files(spark, path, [".txt"], ["source=src1", "source=src2"])
+    lines = F.char_length("content") - F.char_length(F.replace("content", F.lit("\n"), F.lit("")))
+    return found.groupBy(F.regexp_extract("file", "/source=([^/]*)/", 1).alias("source")).agg(F.sum("size").alias("size"), F.sum(lines.cast("long")).alias("n_lines"))
 
 
 @query("select commit_id, author, ts, file from v_commit_files where commit_id in (select commit_id from (select distinct commit_id, ts from v_commit_files) order by ts desc, commit_id desc limit 50)")
@@ -26,22 +32,20 @@ def read_commits(spark, sf_dir):
     return R.read_commits(table(spark, sf_dir, "v_commit_files"))
 
 
-@query("select project_id as run_id, count(*) as n, min(event_id) as first from v_findings where project_id % 2 = 0 group by 1")
+@query("select project_id as run_id, count(*) as n, min(event_id) as first from v_findings group by 1")
 def findings_round_trip(spark, sf_dir):
     from loomspan.operators.tables import new_path
 
     path = new_path(spark, "findings")
     R.write_findings(table(spark, sf_dir, "v_findings").withColumn("run_id", F.col("project_id")).repartition("run_id"), path)
-    stored = R.read_findings(spark, path).where("run_id % 2 = 0")
+    stored = R.read_findings(spark, path)
     return stored.groupBy(F.col("run_id").cast("long").alias("run_id")).agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
 
 
-@query("select p_partkey as id, p_brand in (select p_brand from part where p_size = 3) as known, regexp_matches(p_name, '^[a-c]') as suspicious from part")
+@query("select p_partkey as id, p_name in (select p_name from part where p_size = 3) as known, regexp_matches(p_name, '^[a-c][a-z]* ') as suspicious from part")
 def registry_lookup(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
-    packages = part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("package"), F.regexp_extract("p_name", "^[a-c]", 0).alias("lead"))
-    known = R.registry_lookup(packages, part.where("p_size = 3").select(F.col("p_brand").alias("package")))
-    return known.select("id", "known", (F.col("lead") != "").alias("suspicious"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.replace("p_name", F.lit(" "), F.lit("-")).alias("package"), "p_size")
+    return R.registry_lookup(part.drop("p_size"), part.where("p_size = 3"), fake="^[a-c][a-z]*-").select("id", "known", "suspicious")
 
 
 @query("select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as target from pages")
@@ -62,11 +66,11 @@ def scan_rules(spark, sf_dir):
 
 
 @query(
-    "select file, cast(line as int) as line, usage_type, count(*) as n from (select doc_id as file, line, 'call' as usage_type, unnest(regexp_extract_all(t, '[A-Za-z_$][A-Za-z0-9_$]*\\(')) as x from (select *, unnest(string_split(replace(replace(text, ', ', '('), '. ', '('), chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as line from documents where lang = 'en' and doc_id % 3 = 0) "
+    "select file, cast(line as int) as line, usage_type, count(*) as n from (select doc_id as file, line, 'call' as usage_type, unnest(regexp_extract_all(t, '[A-Za-z_$][A-Za-z0-9_$]*\\(')) as x from (select *, unnest(string_split(replace(replace(text, ', ', '('), '. ', '('), chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as line from documents) "
     "where not regexp_matches(t, '^\\s*(//|#|\\*|/\\*)')) where x not in (" + ", ".join(f"'{k}('" for k in X.KEYWORDS) + ") and not regexp_matches(x, '\\.') group by all"
 )
 def extract_usages(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en' and doc_id % 3 = 0")
+    docs = table(spark, sf_dir, "documents")
     prose = docs.select(F.col("doc_id").alias("file"), F.lit("js").alias("language"), F.expr("replace(replace(text, ', ', '('), '. ', '(')").alias("content"))
     return X.extract_usages(prose).where("usage_type = 'call'").groupBy("file", "line", "usage_type").agg(F.count("*").alias("n"))
 
@@ -105,25 +109,39 @@ def debounce_batch(spark, sf_dir):
     return T.debounce(edits, "2 hours").drop("start", "end")
 
 
-_WINDOWS = (
-    "select agent, w as window_end, sum(n) as n, arg_max(dir, (n, length(dir), dir)) as focus from (select agent, w, dir, count(*) as n from (select agent, regexp_extract(path, '^(.*)/', 1) as dir, unnest(range(date_trunc('hour', ts) + interval 1 hour, date_trunc('hour', ts) + interval 7 hour, interval 1 hour)) as w from v_edits) group by 1, 2, 3) group by 1, 2"
-)
+_LANGUAGE = "case when substr(path, 4, 1) < '3' then 'ts' else 'py' end"
+_WINDOWS = f"select *, regexp_extract(path, '^(.*)/', 1) as dir, {_LANGUAGE} as language, unnest(range(date_trunc('hour', ts) + interval 1 hour, date_trunc('hour', ts) + interval 7 hour, interval 1 hour)) as w from v_edits"
+_MOST = "select agent, w, arg_max({0}, (n, length({0}), {0})) as {0} from (select agent, w, {0}, count(*) as n from wide group by 1, 2, 3) group by 1, 2"
 
 
-@query("select agent, window_end, cast(n as bigint) as n, focus from (" + _WINDOWS + ") where window_end <= (select max(ts) from v_edits) - interval 10 minute")
+@query(
+    "select a.agent, a.w as window_end, a.n, d.dir as focus, l.language, a.symbols from (select agent, w, count(*) as n, list(distinct symbol order by symbol) as symbols from wide group by 1, 2) a join dirs d using (agent, w) join langs l using (agent, w) where a.w <= (select max(ts) from v_edits) - interval 10 minute",
+    ("wide", _WINDOWS), ("dirs", _MOST.format("dir")), ("langs", _MOST.format("language")),
+)
 def recent_intent(spark, sf_dir):
     """Windows that the last watermark has passed."""
-    counts = T.run_once(T.recent_intent(_edit_stream(spark, sf_dir), "6 hours", "1 hour"))
+    edits = _edit_stream(spark, sf_dir).withColumn("language", F.expr(_LANGUAGE))
+    counts = T.run_once(T.recent_intent(edits, "6 hours", "1 hour"))
     return T.intent_focus(counts).withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
 
 
+_NEWEST = "select *, regexp_extract(path, '^(.*)/', 1) as dir from (select *, row_number() over (partition by agent order by ts desc, event_id desc) as r from v_edits where ts > timestamp '2024-01-20' - interval 14400 minute and ts <= timestamp '2024-01-20') where r <= 50"
+
+
 @query(
-    "select agent, path, greatest(0.5, 1 - 0.1 * (row_number() over (partition by agent order by r) - 1))::double as relevance from (select agent, path, min(r) as r from (select *, row_number() over (partition by agent order by ts desc, event_id desc) as r from v_edits where ts > timestamp '2024-01-20' - interval 14400 minute and ts <= timestamp '2024-01-20') where r <= 50 group by 1, 2)",
-    doubles=("relevance",),
-)
+    "select agent, path, greatest(0.5, 1 - 0.1 * (row_number() over (partition by agent order by r) - 1))::double as relevance from (select agent, path, min(r) as r from newest group by 1, 2) union all select f.agent, p.path, 0.5::double from (select agent, arg_max(dir, (n, length(dir), dir)) as dir from (select agent, dir, count(*) as n from newest group by 1, 2) group by 1) f "
+    "join (select distinct path, regexp_extract(path, '^(.*)/', 1) as dir from v_edits) p using (dir) where (f.agent, p.path) not in (select (agent, path) from newest)",
+    ("newest", _NEWEST), doubles=("relevance",),
+)
 def file_relevance(spark, sf_dir):
     edits = table(spark, sf_dir, "v_edits").withColumn("ts", F.col("ts").cast("timestamp"))
-    return T.file_relevance(edits, F.expr("timestamp'2024-01-20'"), 14400).withColumn("relevance", F.col("relevance").cast("double"))
+    return T.file_relevance(edits, F.expr("timestamp'2024-01-20'"), 14400, files=edits.select("path"))
+
+
+@query("select distinct agent, symbol, 0.8::double as relevance from newest", ("newest", _NEWEST), doubles=("relevance",))
+def symbol_relevance(spark, sf_dir):
+    edits = table(spark, sf_dir, "v_edits").withColumn("ts", F.col("ts").cast("timestamp"))
+    return T.symbol_relevance(edits, F.expr("timestamp'2024-01-20'"), 14400)
 
 
 @query("select path, event_id, row_number() over (partition by path order by ts, event_id) as version, change_type from v_edits")
@@ -136,12 +154,30 @@ def alert_state(spark, sf_dir):
     return T.alert_state(_finding_stream(spark, sf_dir).select("project_id", "file", "event_id", "severity"))
 
 
-@query("select event_id, u.symbol_id from (select event_id, event_id % 2500 as symbol_id, change_type from v_edits) u where change_type <> 'unlink' and symbol_id not in (select symbol_id from v_catalog)")
+@query("select cast(project_id as bigint) as project_id, file, count(*) as n, count(*) filter (where severity = 'critical') as critical, count(*) filter (where severity = 'high') as high, count(*) filter (where severity = 'medium') as medium, count(*) filter (where severity = 'low') as low from v_findings group by 1, 2")
+def write_alerts(spark, sf_dir):
+    """All findings as alerts, written and read again."""
+    from loomspan.operators.tables import new_path
+
+    path = new_path(spark, "alert-files")
+    T.write_alerts(table(spark, sf_dir, "v_findings").repartition("project_id"), path)
+    return spark.read.schema("project_id long, file string, n long, critical long, high long, medium long, low long").json(path)
+
+
+_CHANGED = "select cast(floor(event_id / 2) as bigint) as file, max(event_id) as event_id from v_edits group by 1 having arg_max(change_type, event_id) <> 'unlink'"
+
+
+@query(
+    "select u.file, c.event_id, u.symbol_id, 'unresolvedReference' as type from (select distinct file, symbol_id from v_usages) u join c using (file) where u.symbol_id not in (select symbol_id from v_catalog) union all select i.file, c.event_id, i.symbol_id, 'unusedImport' from i join c using (file) where (i.file, i.symbol_id) not in (select (file, symbol_id) from v_usages) "
+    "union all select s.symbol_id, c.event_id, s.symbol_id, 'unusedExport' from v_catalog s join c on c.file = s.symbol_id where s.exported and s.symbol_id not in (select symbol_id from i)",
+    ("c", _CHANGED), ("i", "select distinct o_orderkey as file, o_custkey as symbol_id from orders where o_orderpriority like '1%'"),
+)
 def incremental_validate(spark, sf_dir):
-    """Each batch of changed files against the static catalog: a stream-static anti-join."""
-    edits = _edit_stream(spark, sf_dir).where("change_type <> 'unlink'").select("event_id", F.expr("event_id % 2500 as symbol_id"))
-    catalog = table(spark, sf_dir, "v_catalog").select("symbol_id").distinct().withColumn("known", F.lit(True))
-    return T.run_once(edits.join(catalog, "symbol_id", "left").where("known is null").select("event_id", "symbol_id"))
+    """Every file changes twice; modules define one symbol each; urgent orders import their customers' numbers."""
+    edits = _edit_stream(spark, sf_dir).select("event_id", F.floor(F.col("event_id") / 2).alias("file"), "change_type")
+    catalog = table(spark, sf_dir, "v_catalog").select("symbol_id", F.col("symbol_id").alias("file"), "exported")
+    imports = table(spark, sf_dir, "orders").where("o_orderpriority like '1%'").select(F.col("o_orderkey").alias("file"), F.col("o_custkey").alias("symbol_id"))
+    return T.incremental_validate(edits, catalog, imports, table(spark, sf_dir, "v_usages"))
 
 
 @query("select project_id, case when d = 0 then 'none' when d < t then 'partial' else 'full' end as coverage from (select project_id, count(*) filter (where s) as d, count(*) as t from (select project_id, file, bool_or(severity = 'low') as s from v_findings group by 1, 2) group by 1)")
@@ -150,13 +186,12 @@ def scan_status(spark, sf_dir):
 
 
 @query(
-    "select 'f' as kind, path as a, '' as b from (select distinct path from v_edits) where path not in (select path from g) union all select 'e', src, dst from (select distinct path as src, lead(path) over (order by event_id) as dst from v_edits where event_id % 9 = 0) where dst is not null and src not in (select path from g) and dst not in (select path from g)",
+    "select 'f' as kind, path as a, '' as b from (select distinct path from v_edits) where path not in (select path from g) union all select 'e', src, dst from (select distinct path as src, lead(path) over (order by event_id) as dst from v_edits) where dst is not null and src not in (select path from g) and dst not in (select path from g)",
     ("g", "select path from v_edits group by 1 having arg_max(change_type, (ts, event_id)) = 'unlink'"),
 )
 def unlink_cascade(spark, sf_dir):
     edits = table(spark, sf_dir, "v_edits")
-    ninth = edits.where("event_id % 9 = 0")
-    edges = ninth.select(F.col("path").alias("src"), (F.col("event_id") + 9).alias("e")).join(ninth.select(F.col("path").alias("dst"), F.col("event_id").alias("e")), "e").select("src", "dst").distinct()
+    edges = edits.select(F.col("path").alias("src"), (F.col("event_id") + 1).alias("e")).join(edits.select(F.col("path").alias("dst"), F.col("event_id").alias("e")), "e").select("src", "dst").distinct()
     files, kept = T.unlink_cascade(edits.select("path").distinct(), edges, edits)
     return files.select(F.lit("f").alias("kind"), F.col("path").alias("a"), F.lit("").alias("b")).unionByName(kept.select(F.lit("e").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")))
 

@@ -41,9 +41,9 @@ def run_stateful(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out).select(*stream.columns)
 
 
-def run_batches(stream: DataFrame, upsert: Callable[[DataFrame, int], None], mode: str = "update") -> None:
-    """Runs ``upsert`` for each batch of all the data there is."""
-    checkpoint = new_path(stream.sparkSession, "checkpoint")
+def run_batches(stream: DataFrame, upsert: Callable[[DataFrame, int], None], mode: str = "update", checkpoint: str | None = None) -> None:
+    """Runs ``upsert`` for each batch of all the data there is; from where the last run ended if the checkpoint is the same."""
+    checkpoint = checkpoint or new_path(stream.sparkSession, "checkpoint")
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(upsert).trigger(availableNow=True).start().awaitTermination()
 
 
@@ -56,27 +56,51 @@ def debounce(edits: DataFrame, gap: str, delay: str = "1 minute") -> DataFrame:
 
 
 def recent_intent(edits: DataFrame, width: str = "5 minutes", slide: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
-    """``(agent, window_end, n, files, focus)``: per agent and sliding window, the number of edits and files, and the directory with most edits (ties: the longer, then the later name)."""
+    """``(agent, window_end, dir, language, n, symbols)``: edits of each agent and sliding window by directory and language, and the distinct symbols in them; works on streams and tables.
+
+    ``intent_focus`` makes the intent of a window from these.
+    """
     base = edits.withWatermark("ts", delay) if edits.isStreaming else edits
-    dirs = base.groupBy("agent", F.window("ts", width, slide).alias("w"), F.regexp_extract("path", "^(.*)/", 1).alias("dir")).agg(F.count("*").alias("n"), F.approx_count_distinct("path").alias("f") if edits.isStreaming else F.countDistinct("path").alias("f"))
-    if edits.isStreaming:
-        return dirs.select("agent", F.col("w.end").alias("window_end"), "dir", "n")
-    best = dirs.groupBy("agent", F.col("w.end").alias("window_end")).agg(F.sum("n").alias("n"), F.sum("f").alias("files"), F.max_by("dir", F.struct("n", F.char_length("dir"), "dir")).alias("focus"))
-    return best
+    out = base.groupBy("agent", F.window("ts", width, slide).alias("w"), F.regexp_extract("path", "^(.*)/", 1).alias("dir"), "language").agg(F.count("*").alias("n"), F.collect_set("symbol").alias("symbols"))
+    return out.select("agent", F.col("w.end").alias("window_end"), "dir", "language", "n", "symbols")
 
 
 def intent_focus(counts: DataFrame) -> DataFrame:
-    """The focus of each agent and window from the stream's counts by directory."""
-    return counts.groupBy("agent", "window_end").agg(F.sum("n").alias("n"), F.max_by("dir", F.struct("n", F.char_length("dir"), "dir")).alias("focus"))
+    """``(agent, window_end, n, focus, language, symbols)``: the directory and language with most edits (ties: the longer name, then the later) and the sorted symbols."""
+    most = lambda c: counts.groupBy("agent", "window_end", c).agg(F.sum("n").alias("n")).groupBy("agent", "window_end").agg(F.max_by(c, F.struct("n", F.char_length(c), c)).alias(c))
+    symbols = counts.groupBy("agent", "window_end").agg(F.sum("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("symbols")))).alias("symbols"))
+    return symbols.join(most("dir").withColumnRenamed("dir", "focus"), ["agent", "window_end"]).join(most("language"), ["agent", "window_end"]).select("agent", "window_end", "n", "focus", "language", "symbols")
 
 
-def file_relevance(edits: DataFrame, as_of: Column, width_minutes: int = 5, most: int = 50) -> DataFrame:
-    """``(agent, path, relevance)`` of the files edited in the last minutes: max(0.5, 1 - 0.1 * place), the newest first; at most ``most`` edits each."""
+def _newest(edits: DataFrame, as_of: Column, width_minutes: int, most: int) -> DataFrame:
+    """The last ``most`` edits of each agent in the minutes before ``as_of``, the newest with r = 1."""
     recent = edits.where((F.col("ts") <= as_of) & (F.col("ts") > as_of - F.expr(f"interval {width_minutes} minutes")))
-    newest = recent.withColumn("r", F.row_number().over(Window.partitionBy("agent").orderBy(F.desc("ts"), F.desc("event_id")))).where(f"r <= {most}")
-    files = newest.groupBy("agent", "path").agg(F.min("r").alias("r"))
+    return recent.withColumn("r", F.row_number().over(Window.partitionBy("agent").orderBy(F.desc("ts"), F.desc("event_id")))).where(f"r <= {most}")
+
+
+def file_relevance(edits: DataFrame, as_of: Column, width_minutes: int = 5, most: int = 50, files: DataFrame | None = None) -> DataFrame:
+    """``(agent, path, relevance)``: max(0.5, 1 - 0.1 * place) of the files edited in the last minutes, the newest first; at most ``most`` edits each.
+
+    ``files(path)`` adds those in or below the directory with most of these edits (ties: the longer name, then the
+    later), with 0.5. All other files have 0 and are left out.
+    """
+    newest = _newest(edits, as_of, width_minutes, most)
+    own = newest.groupBy("agent", "path").agg(F.min("r").alias("r"))
     place = F.row_number().over(Window.partitionBy("agent").orderBy("r")) - 1
-    return files.select("agent", "path", F.greatest(F.lit(0.5), 1 - 0.1 * place).alias("relevance"))
+    out = own.select("agent", "path", F.greatest(F.lit(0.5), 1 - 0.1 * place).cast("double").alias("relevance"))
+    if files is None:
+        return out
+    by_dir = newest.withColumn("dir", F.regexp_extract("path", "^(.*)/", 1)).where("dir <> ''").groupBy("agent", "dir").agg(F.count("*").alias("n"))
+    focus = by_dir.groupBy("agent").agg(F.max_by("dir", F.struct("n", F.char_length("dir"), "dir")).alias("dir"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    inside = files.select("path").where(F.col("path").contains("/")).distinct().select("path", F.explode(above).alias("dir")).join(focus, "dir")
+    return out.unionByName(inside.join(own, ["agent", "path"], "left_anti").select("agent", "path", F.lit(0.5).alias("relevance")))
+
+
+def symbol_relevance(edits: DataFrame, as_of: Column, width_minutes: int = 5, most: int = 50) -> DataFrame:
+    """``(agent, symbol, relevance)``: 0.8 for each symbol of the last edits; all others have 0 and are left out."""
+    return _newest(edits, as_of, width_minutes, most).where("symbol is not null").select("agent", "symbol").distinct().withColumn("relevance", F.lit(0.8))
 
 
 class _LatestVersion(StatefulProcessor):
@@ -107,36 +131,61 @@ def latest_version(edits: DataFrame) -> DataFrame:
     return keyed.groupBy("path").transformWithStateInPandas(_LatestVersion(), "path string, event_id long, version long, change_type string", "Update", "None")
 
 
-class KeyedTable:
-    """A table in the shared folder that batches replace by key: every version is a folder of its own, and readers keep the one they have."""
-
-    def __init__(self, spark: SparkSession, name: str, schema: str):
-        self.spark, self.schema, self.name = spark, schema, name
-        self.path: str | None = None
-        self.batch = -1
-
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path) if self.path else self.spark.createDataFrame([], self.schema)
-
-    def replace(self, changed: DataFrame, keys: DataFrame, on: list[str], batch: int) -> None:
-        """Rows of ``keys`` go and ``changed`` come; a batch that runs again changes nothing."""
-        if batch <= self.batch:
-            return
-        path = new_path(self.spark, self.name)
-        self.read().join(keys.select(*on).distinct(), on, "left_anti").unionByName(changed).write.parquet(path)
-        self.path, self.batch = path, batch
-
-
-def alert_state(stream: DataFrame, severe: tuple[str, ...] = ("critical", "high")) -> DataFrame:
-    """The alerts ``(project_id, file, event_id, severity)`` after all batches: a file's last finding stands if it is severe, else the file is clear."""
-    table = KeyedTable(stream.sparkSession, "alerts", "project_id long, file string, event_id long, severity string")
-
-    def upsert(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy("project_id", "file").agg(F.max_by(F.struct("event_id", "severity"), "event_id").alias("e")).select("project_id", "file", "e.*")
-        table.replace(last.where(F.col("severity").isin(*severe)), last, ["project_id", "file"], number)
-
-    run_batches(stream, upsert, "append")
-    return table.read()
+def _logged(stream: DataFrame, folder: str, schema: str) -> DataFrame:
+    """Runs a stream in update mode into a log with a folder a batch, and reads the whole log. A batch that runs again replaces its own folder; a later call with the same folder goes on from the checkpoint beside it."""
+    run_batches(stream, lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/batch={number}"), "update", f"{folder}-checkpoint")
+    return stream.sparkSession.read.schema(schema).parquet(folder)
+
+
+def alert_state(stream: DataFrame, severe: tuple[str, ...] = ("critical", "high"), folder: str | None = None) -> DataFrame:
+    """The alerts ``(project_id, file, event_id, severity)`` after all batches: a file's finding with the largest event id stands if it is severe, else the file is clear.
+
+    The newest event of each file is Spark's state, by key, so that late batches with older events change nothing.
+    Only files that a batch has touched are written. With a ``folder`` of its own a stopped stream goes on where it was.
+    """
+    newest = F.max_by(F.struct("event_id", "severity"), "event_id")
+    state = stream.groupBy("project_id", "file").agg(newest.alias("e")).select("project_id", "file", "e.*")
+    log = _logged(state, folder or new_path(stream.sparkSession, "alerts"), "project_id long, file string, event_id long, severity string")
+    return log.groupBy("project_id", "file").agg(newest.alias("e")).select("project_id", "file", "e.*").where(F.col("severity").isin(*severe))
+
+
+def write_alerts(alerts: DataFrame, path: str, severities: tuple[str, ...] = ("critical", "high", "medium", "low")) -> None:
+    """Writes the alerts of each project as JSON, one row ``(file, n, critical, high, medium, low)`` a file; a new set replaces the old."""
+    counts = [F.count_if(F.col("severity") == s).alias(s) for s in severities]
+    alerts.groupBy("project_id", "file").agg(F.count("*").alias("n"), *counts).write.mode("overwrite").partitionBy("project_id").json(path)
+
+
+def incremental_validate(edits: DataFrame, catalog: DataFrame, imports: DataFrame, usages: DataFrame, folder: str | None = None) -> DataFrame:
+    """``(file, event_id, symbol_id, type)``: findings on the files that a stream of edits ``(event_id, file, change_type)`` has changed, as of each file's newest event.
+
+    Each batch joins its changed files with the static tables: references to nothing in the catalog, imports that their
+    file doesn't use, and exported symbols of changed files that nobody imports. ``catalog(symbol_id, file, exported)``,
+    ``imports`` and ``usages`` ``(file, symbol_id)``. A deleted file is clear. Findings of an older event than a file's
+    newest are void whatever batch brought them.
+    """
+    spark = edits.sparkSession
+    folder = folder or new_path(spark, "validated")
+    schema = "file long, event_id long, symbol_id long, type string"
+    used = usages.select("file", "symbol_id").distinct()
+
+    def check(batch: DataFrame, number: int) -> None:
+        changed = batch.groupBy("file").agg(F.max_by(F.struct("event_id", "change_type"), "event_id").alias("e")).select("file", "e.*").persist()
+        live = changed.where("change_type <> 'unlink'").select("file", "event_id")
+        found = [
+            (used.join(live, "file").join(catalog.select("symbol_id"), "symbol_id", "left_anti"), "unresolvedReference"),
+            (imports.select("file", "symbol_id").distinct().join(live, "file").join(used, ["file", "symbol_id"], "left_anti"), "unusedImport"),
+            (catalog.where("exported").select("file", "symbol_id").distinct().join(live, "file").join(imports.select("symbol_id"), "symbol_id", "left_anti"), "unusedExport"),
+        ]
+        rows = changed.select("file", "event_id", F.lit(None).cast("long").alias("symbol_id"), F.lit("checked").alias("type"))
+        for df, kind in found:
+            rows = rows.unionByName(df.select("file", "event_id", "symbol_id", F.lit(kind).alias("type")))
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        changed.unpersist()
+
+    run_batches(edits, check, "append", f"{folder}-checkpoint")
+    log = spark.read.schema(schema).parquet(folder)
+    newest = log.where("type = 'checked'").groupBy("file").agg(F.max("event_id").alias("event_id"))
+    return log.where("type <> 'checked'").join(newest, ["file", "event_id"]).select("file", "event_id", "symbol_id", "type").distinct()
 
 
 def scan_status(events: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Small fixtures whose results are known, and properties."""
 
 import itertools
+import random
 
 import pytest
 from hypothesis import given
@@ -180,8 +181,41 @@ def test_suggest_similar(spark):
 
 
 def test_line_runs(spark):
-    v = [("add", "old", "a\nb"), ("add", "new", "a\nb\nc"), ("del", "old", "a\nb\nc"), ("del", "new", "a\nc"), ("mod", "old", "a\nb\nc"), ("mod", "new", "a\nx\nc"), ("same", "old", "a"), ("same", "new", "a")]
-    assert rows(D.line_runs(spark.createDataFrame(v, "file string, side string, text string"))) == [("add", "addition", 3, 3), ("del", "deletion", 2, 2), ("mod", "modification", 2, 2)]
+    v = [("add", "old", "a\nb"), ("add", "new", "a\nb\nc"), ("del", "old", "a\nb\nc\nd\ne"), ("del", "new", "a\nc\nb\nd\ne"), ("mod", "old", "a\nb\nc"), ("mod", "new", "a\nx\nc"), ("same", "old", "a"), ("same", "new", "a"), ("gone", "old", "a\nb"), ("one", "old", "a\nb\nc"), ("one", "new", "a\nc")]
+    got = rows(D.line_runs(spark.createDataFrame(v, "file string, side string, text string")))
+    # Found on the old side alone: the line counts as modified, and the rest of the old side as deleted.
+    assert got == [("add", "addition", 3, 3), ("del", "addition", 2, 2), ("del", "deletion", 5, 5), ("del", "modification", 3, 3), ("del", "modification", 4, 4), ("gone", "deletion", 1, 2), ("mod", "modification", 2, 2), ("one", "deletion", 3, 3), ("one", "modification", 2, 2)]
+
+
+def naive_runs(old, new):
+    """The same rule, written down by cases with whole-list searches."""
+    out, i, j = [], 0, 0
+    while True:
+        if i >= len(old) or j >= len(new):
+            out += [("addition", j + 1, len(new))] if i >= len(old) and j < len(new) else []
+            out += [("deletion", i + 1, len(old))] if i < len(old) else []
+            return out
+        in_old = old[i : i + 10].index(new[j]) + i if new[j] in old[i : i + 10] else -1
+        in_new = new[j : j + 10].index(old[i]) + j if old[i] in new[j : j + 10] else -1
+        if old[i] == new[j]:
+            i, j = i + 1, j + 1
+        elif in_old >= 0 and in_old < in_new:
+            out.append(("deletion", i + 1, in_old))
+            i = in_old
+        elif in_new >= 0:
+            out.append(("addition", j + 1, in_new))
+            j = in_new
+        else:
+            out.append(("modification", i + 1, i + 1))
+            i, j = i + 1, j + 1
+
+
+def test_line_runs_against_a_naive_version(spark):
+    r = random.Random(3)
+    pairs = [([r.choice("abcdefgh") for _ in range(r.randint(1, 30))], [r.choice("abcdefgh") for _ in range(r.randint(1, 30))]) for _ in range(200)]
+    v = [(i, side, "\n".join(x)) for i, pair in enumerate(pairs) for side, x in zip(("old", "new"), pair, strict=True)]
+    got = rows(D.line_runs(spark.createDataFrame(v, "file long, side string, text string")))
+    assert got == sorted((i, *x) for i, pair in enumerate(pairs) for x in naive_runs(*pair))
 
 
 def test_carry_over(spark):
@@ -194,9 +228,112 @@ def test_carry_over(spark):
 def test_intent_window(spark):
     make = lambda m, p: (m, "a", f"2024-01-01 00:{m:02d}:00", p)
     edits = spark.createDataFrame([make(1, "src/old/x"), make(10, "src/components/a"), make(11, "src/components/b"), make(12, "src/components/a"), make(12, "src/utils/u")], "event_id long, agent string, t string, path string").withColumn("ts", F.col("t").cast("timestamp"))
-    got = T.recent_intent(edits).where("window_end = timestamp'2024-01-01 00:14:00'").first()
-    assert (got["focus"], got["n"]) == ("src/components", 4)
-    assert {r["path"] for r in T.file_relevance(edits, F.expr("timestamp'2024-01-01 00:13:00'")).collect()} == {"src/components/a", "src/components/b", "src/utils/u"}
+    edits = edits.withColumn("language", F.when(F.col("path").contains("utils"), "py").otherwise("ts")).withColumn("symbol", F.substring("path", -1, 1))
+    got = T.intent_focus(T.recent_intent(edits)).where("window_end = timestamp'2024-01-01 00:14:00'").first()
+    assert (got["focus"], got["n"], got["language"], got["symbols"]) == ("src/components", 4, "ts", ["a", "b", "u"])
+    at = F.expr("timestamp'2024-01-01 00:13:00'")
+    assert {r["path"] for r in T.file_relevance(edits, at).collect()} == {"src/components/a", "src/components/b", "src/utils/u"}
+    files = spark.createDataFrame([("src/components/deep/z",), ("src/components/a",), ("src/other",), ("top",)], "path string")
+    assert {r["path"]: r["relevance"] for r in T.file_relevance(edits, at, files=files).collect()}["src/components/deep/z"] == 0.5
+    assert {(r["symbol"], r["relevance"]) for r in T.symbol_relevance(edits, at).collect()} == {("a", 0.8), ("b", 0.8), ("u", 0.8)}
+
+
+def test_alerts_survive_late_batches_and_restarts(spark, tmp_path):
+    """The newest event of a file wins whatever batch brings it, and a second run goes on from the first one's checkpoint."""
+    schema = "project_id long, file string, event_id long, severity string"
+    source, folder = str(tmp_path / "in"), str(tmp_path / "alerts")
+    add = lambda *rows_: spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(source)
+    run = lambda: rows(T.alert_state(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), folder=folder))
+    add((1, "a", 10, "critical"), (1, "b", 11, "low"))
+    add((1, "a", 5, "low"), (1, "b", 4, "high"))  # older events in a later batch
+    assert run() == [(1, "a", 10, "critical")]
+    add((1, "b", 20, "high"), (1, "a", 21, "low"))
+    assert run() == [(1, "b", 20, "high")]
+    assert run() == [(1, "b", 20, "high")]
+
+
+def test_validation_by_batches(spark, tmp_path):
+    """Three checks for each batch; a deletion clears, and a late batch with older events is void."""
+    schema = "event_id long, file long, change_type string"
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    catalog = spark.createDataFrame([(1, 1, True), (2, 2, True)], "symbol_id long, file long, exported boolean")
+    imports = spark.createDataFrame([(1, 2), (3, 2)], "file long, symbol_id long")
+    usages = spark.createDataFrame([(1, 7), (3, 2), (2, 1)], "file long, symbol_id long")
+    add = lambda *rows_: spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(source)
+    run = lambda: rows(T.incremental_validate(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), catalog, imports, usages, folder))
+    add((1, 1, "change"), (2, 2, "add"), (3, 3, "change"))
+    assert run() == [(1, 1, 1, "unusedExport"), (1, 1, 2, "unusedImport"), (1, 1, 7, "unresolvedReference")]
+    add((9, 1, "unlink"))
+    add((4, 1, "change"))
+    assert run() == []
+
+
+def test_names_within_an_edit_distance(spark):
+    r = random.Random(4)
+    names = sorted({"".join(r.choice("abc") for _ in range(r.randint(0, 9))) for _ in range(150)})
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    frame = spark.createDataFrame([(n,) for n in [*names, names[0], None]], "name string")
+    for most in (1, 3):
+        want = sorted((a, b, d) for a in names for b in names if a != b and (d := distance(a, b)) <= most)
+        assert rows(K.levenshtein_neighbours(frame, most)) == want
+
+
+def test_similar_routes_against_all_pairs(spark):
+    r = random.Random(5)
+    words = ["users", "user", "orders", "order-items", "{id}", "reports", "report", "search", "a", "ab", "settings", "setting"]
+    path = lambda: "/" + "/".join(r.choice(words) for _ in range(r.randint(1, 4)))
+    services, routes = [(i, path()) for i in range(60)], sorted({path() for _ in range(60)})
+    s, t = spark.createDataFrame(services, "service long, path string"), spark.createDataFrame([(p,) for p in routes], "path string")
+    got = {x["service"]: (x["route"], round(x["similarity"], 6)) for x in C.similar_route(s, t).collect()}
+    segments = [(a, b) for a in words for b in words]
+    near = {(x["a"], x["b"]): x["s"] for x in spark.createDataFrame(segments, "a string, b string").withColumn("s", S.segment_similarity(F.col("a"), F.col("b"))).collect()}
+    want = {}
+    for i, p in services:
+        x, best = p[1:].split("/"), []
+        for q in routes:
+            y = q[1:].split("/")
+            if len(x) == len(y):
+                marks = [1.0 if a == b else 0.6 if "{" in a + b else near[a, b] if near[a, b] >= 0.5 else 0.0 for a, b in zip(x, y, strict=True)]
+                if (mean := 1.0 if p == q else round(sum(marks) / len(marks), 9)) >= 0.7:
+                    best.append((-mean, q))
+        if best:
+            want[i] = (min(best)[1], round(-min(best)[0], 6))
+    assert got == want
+
+
+def test_models_meet_by_name_and_by_rare_fields(spark):
+    rows_ = [("User", 0, None), ("user", 1, "id"), ("user", 1, "mail"), ("Order", 0, "id"), ("Order", 0, "total"), ("Order", 1, "name"), ("Bill", 0, "id"), ("Bill", 0, "sum"), ("Bill", 0, "due"), ("Invoice", 1, "id"), ("Invoice", 1, "sum"), ("Invoice", 1, "due"), ("Loner", 0, "id")]
+    rows_ += [(f"M{i}", 1, f) for i in range(20) for f in ("id", f"x{i}", f"y{i}")]
+    got = {(x["owner"], x["model"], x["tier"]) for x in C.match_models(spark.createDataFrame(rows_, "owner string, side int, field string")).collect()}
+    assert got == {("User", "user", 2), ("Bill", "Invoice", 3)}
+
+
+def test_unregistered_routes(spark):
+    df = spark.createDataFrame([("GET", "/users", "src/routes/u.ts"), ("GET", "/api/users", "src/routes/u.ts"), ("GET", "/users", "src/u.ts"), ("PUT", "/x", "src\\routes\\x.ts"), ("PUT", "/y", None)], "method string, path string, file string")
+    assert [r[:2] for r in rows(C.unregistered_routes(df))] == [("GET", "/users"), ("PUT", "/x")]
+
+
+def test_walks_are_never_cut(spark):
+    ring = spark.createDataFrame([(i, (i + 1) % 12) for i in range(12)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        G.cycles(ring, max_rounds=4)
+    assert len(rows(G.cycles(ring))) == 12
+    chain = spark.createDataFrame([(i, i + 1) for i in range(9)], "src long, dst long")
+    assert G.neighbourhood(chain, spark.createDataFrame([(0,)], "seed long"), 9, "imports").agg(F.max("depth")).first()[0] == 9
+
+
+def test_find_symbol_takes_the_nearest(spark):
+    symbols = spark.createDataFrame([("f", "a", "s", 1), ("f", "a", "t", 2), ("f", "b", "s", 3), ("f", "b", None, 4), ("g", "z", None, 5)], "name string, file string, scope string, symbol long")
+    asked = [(1, "f", "a", "t"), (2, "f", "b", "x"), (3, "f", "c", "s"), (4, "f", "c", "x"), (5, "f", "c", None), (6, "h", "a", "s"), (7, "g", "a", "s")]
+    assert rows(R.find_symbol(spark.createDataFrame(asked, "id long, name string, file string, scope string"), symbols)) == [(1, 2), (2, 3), (3, 1), (4, 1), (5, 4), (7, 5)]
 
 
 def test_contract_scores_of_events(spark):
