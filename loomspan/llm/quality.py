@@ -15,11 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.words import _SPACE, mixed, pieces, raw, word_hashes
+from loomspan.operators.tables import written
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 #: Labelled rows that the linear model is fitted on, and the part of them that calibrates it.
 ROWS, CALIBRATION = 4000, 4
+#: Bytes of their sets that may reach the driver; very long texts leave fewer rows.
+SAMPLE_BYTES = 128 << 20
 COST, EPOCHS, SMOOTH, SEED = 1.0, 20, 1.0, 11
 
 # Kinds of bytes for word shapes: white space, small, capital, digit, other ASCII, beyond ASCII.
@@ -40,11 +43,15 @@ def _word_shapes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     edge[offsets[:-1][offsets[:-1] < len(data)]] = True
     starts = np.flatnonzero(solid & edge)
     kinds = _KIND[data]
+    some = np.flatnonzero(np.diff(cuts))
+    final = cuts[some + 1] - 1  # the last word of each row: nothing behind its row counts
     stop = np.append(starts[1:], len(data))
+    stop[final] = offsets[some + 1]
     last = np.maximum.reduceat(np.where(solid, np.arange(len(data)), 0)[starts[0] :], starts - starts[0])
     seen = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), kinds)[starts[0] :] * solid[starts[0] :], starts - starts[0])
     length = np.minimum(stop - starts, 31).astype(np.uint64) // np.uint64(8)
     again = np.append(False, words[1:] == words[:-1])
+    again[cuts[some]] = False
     return kinds[starts] | kinds[last] << np.uint64(3) | seen << np.uint64(6) | length << np.uint64(12) | again.astype(np.uint64) << np.uint64(16), cuts
 
 
@@ -125,7 +132,7 @@ def train(labelled: DataFrame, sample_of=None) -> tuple[np.ndarray, float]:
     """Weights by bucket and intercept, so that the score is the logistic of their sum over a set by the root of its size.
 
     ``labelled`` has text, label (0 or 1) and a hash h. All of its rows are counted for the ratios; at most ``ROWS``,
-    those with the smallest hashes, fit the model. ``sample_of(limit)`` gives the rows with ``h % 2**30 <= limit`` where
+    those with the smallest hashes, and of these as many as ``SAMPLE_BYTES`` hold, fit the model. ``sample_of(limit)`` gives the rows with ``h % 2**30 <= limit`` where
     there is a cheaper way to them. With one class only, its share alone is learned.
     """
     shaped = lambda df: df.where("label in (0, 1)").select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int").alias("label"), "h")
@@ -139,8 +146,10 @@ def train(labelled: DataFrame, sample_of=None) -> tuple[np.ndarray, float]:
     freq = sums[:, :-1] + SMOOTH
     ratio = np.log(freq[1] / freq[1].sum() / (freq[0] / freq[0].sum()))
     limit = int(min(1.0, ROWS * 1.2 / rows.sum()) * (1 << 30))
-    sample = shaped(sample_of(limit)).mapInArrow(_sets, "x binary, label int, h long").collect()  # about ROWS rows
-    sample = sorted(sample, key=lambda r: (r["h"] % (1 << 30), r["h"], r["x"]))[:ROWS]
+    drawn = written(shaped(sample_of(limit)).mapInArrow(_sets, "x binary, label int, h long"), "sample").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "x").limit(ROWS)
+    sizes = np.cumsum([r["n"] for r in drawn.select(F.length("x").alias("n")).collect()])  # at most ROWS numbers
+    sample = drawn.limit(max(1, int(np.searchsorted(sizes, SAMPLE_BYTES, side="right")))).collect()
+    sample = sorted(sample, key=lambda r: (r["h"] % (1 << 30), r["h"], r["x"]))
     x = [np.frombuffer(r["x"], np.uint16) for r in sample]
     y = np.array([1.0 if r["label"] else -1.0 for r in sample])
     rng = np.random.default_rng(SEED)
@@ -171,7 +180,13 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], id_col: str = "
 
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)``: learns from labels of documents with crc32(doc_id) mod 5 other than 0."""
+    """``(doc_id, held_out, score, predicted)``: learns from labels of documents with crc32(doc_id) mod 5 other than 0.
+
+    Null and empty texts are empty sets and have the score of the intercept. Labels that are null, no 0 or 1, or of an
+    unknown or null id teach nothing; without any, every score is 0.5. Rows with a null id are not held out; repeated
+    rows and ids stay, repeated labels count as often; very long texts are read whole, other columns are not read, and
+    an empty table gives an empty one.
+    """
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     known = labels.where(fold != 0).select("doc_id", F.col("quality").alias("label"), F.xxhash64("doc_id").alias("h"))
     texts = documents.select("doc_id", "text")

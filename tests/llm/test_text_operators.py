@@ -213,6 +213,55 @@ def test_pii_base_spans(spark):
         assert sum(got[i][f"n_{k}"] for k in KINDS) == (want.count(":") // 2)
 
 
+def brute_added(texts, generalise=0.6, remove=0.8, support=3):
+    """The added spans of each text, by counting every entity with every term."""
+    from math import log2
+
+    word = __import__("regex").compile(r"[\p{L}\p{M}]+")
+    spans = [[tuple(x.split(":")) for x in brute_spans(t).split(",") if x] for t in texts]
+    entities = [{t[int(a) : int(b)].lower() for _, a, b in s} for t, s in zip(texts, spans, strict=True)]
+    terms = [{w for w in word.findall(t.lower()) if len(w) >= 3} for t in texts]
+    once = {t: i for i, t in enumerate(texts) if entities[i]}
+    keep = [i for i in range(len(texts)) if not entities[i] or once[texts[i]] == i]
+    total = len(keep)
+    df = lambda term: sum(term in terms[i] for i in keep)
+    told = {}
+    for e in set().union(*entities):
+        own = [i for i in keep if e in entities[i]]
+        for term in set().union(*(terms[i] for i in own)):
+            n, both = df(term), sum(term in terms[i] for i in own)
+            share = (both + support * n / total) / (len(own) + support)
+            content = log2(total / len(own))
+            told[e, term] = log2(share * total / n) / content if content > 0 else 0.0
+    out = []
+    for t, s, own in zip(texts, spans, entities, strict=True):
+        found = []
+        for m in word.finditer(t):
+            best = max((told.get((e, m[0].lower()), 0.0) for e in own), default=0.0)
+            if best >= generalise and not any(m.start() < int(b) and int(a) < m.end() for _, a, b in s):
+                found.append((m.start(), m.end(), best >= remove))
+        out.append(found)
+    return out
+
+
+def test_pii_added_spans_against_counting(spark):
+    r = random.Random(6)
+    common = "the report of this week says that all is well with our plan".split()
+    people = [(f"name{c}", f"{c}x@mail.org", f"city{c}") for c in "abcdef"]
+    texts = []
+    for _ in range(80):
+        name, mail, city = r.choice(people)
+        words_ = r.choices(common, k=r.randint(4, 12)) + [name] * r.randint(0, 2) + [city] * r.randint(0, 1) + [mail] * (r.random() < 0.5)
+        r.shuffle(words_)
+        texts.append(" ".join(words_))
+    texts += [texts[0], texts[0], ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["id"]: [(a["start"], a["end"], a["kind"] == "reveal") for a in x["added"]] for x in pii.find(df).collect()}
+    want = brute_added(texts)
+    loose = lambda spans: [(a, b) for a, b, _ in spans]
+    assert [loose(got[i]) for i in range(len(texts))] == [loose(w) for w in want] and sum(map(len, want)) > 20
+
+
 def test_pii_long_runs(spark):
     texts = ["a" * 100000, "1" * 100000, "1 " * 50000, "+1" + "-" * 100000, "a@b" + ".c" * 50000]
     got = {x["id"]: x["spans"] for x in pii.digest(pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
