@@ -32,7 +32,11 @@ def _restored(df: DataFrame, names: dict[str, str], columns: list[str]) -> DataF
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a learned language; fills a missing ``lang``."""
+    """Keeps documents in a learned language; fills a missing ``lang`` where the table has that column.
+
+    Null and empty texts and texts without a letter go; very long ones are judged whole. Repeated rows and null ids stay
+    as they are; without labels in the table every text is in no learned language and goes; an empty table stays empty.
+    """
     ship(spark)
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
     net = langid.train(docs.where(fold != 1).select("text", "lang", F.xxhash64("doc_id").alias("h")))
@@ -46,18 +50,32 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document with the smallest id; of rows of one id, the first by text."""
+    """Keeps of each group of near duplicates the document with the smallest id, a null id last.
+
+    Rows are told apart by id and text, so that rows of one id with unrelated texts all stay, and of rows that repeat
+    both one does. Null, empty and blank texts are nobody's duplicates and all stay. Very long texts count whole; an
+    empty table gives an empty one; ties go by the row's key.
+    """
     ship(spark)
-    groups = ngram_join.jaccard_components(docs)
-    kept = written(groups.where("id = component").select(F.col("id").alias("doc_id")).distinct(), "kept")
-    some = docs.join(kept, "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    one = some.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
-    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    groups = written(ngram_join.jaccard_components(keyed.select("__key", "text"), id_col="__key"), "groups")
+    of = groups.where("n_shingles > 0").groupBy("id", "component").agg(F.count("*").alias("times"))
+    named = of.join(keyed.select(F.col("__key").alias("id"), "doc_id").distinct(), "id")
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id", "times")).alias("x")).select(F.col("x.id").alias("__key"), "x.times")
+    first = written(first, "first")
+    once = keyed.join(first.where("times = 1").select("__key"), "__key", "left_semi")
+    same = Window.partitionBy("__key").orderBy(F.xxhash64(*docs.columns))
+    again = keyed.join(first.where("times > 1").select("__key"), "__key", "left_semi").withColumn("__r", F.row_number().over(same)).where("__r = 1").drop("__r")
+    blank = keyed.join(groups.where("n_shingles = 0").select(F.col("id").alias("__key")).distinct(), "__key", "left_semi")
+    return once.unionByName(again).unionByName(blank).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark passage."""
+    """Drops documents that hold a benchmark passage.
+
+    Null and empty texts hold none and stay; very long texts are searched whole; rows that repeat an id go or stay
+    together, rows with a null id by their text; an empty table or benchmark drops nothing.
+    """
     ship(spark)
     keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("no id: "), F.sha2("text", 256))))
     found = decontam.contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__key")
@@ -66,7 +84,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data, and the terms that give it away, in the texts; ``n_chars`` is counted anew."""
+    """Replaces personal data, and the terms that give it away, in the texts; ``n_chars`` is counted anew.
+
+    Every row stays, with repeated rows, null ids and null, empty or very long texts as they are but for the
+    replacements (a null text becomes empty); an empty table stays empty.
+    """
     ship(spark)
     moved, names = _carried(docs)
     clean = pii.sanitised(pii.find(moved, keep_text=True, carry=tuple(names.values())))
@@ -76,7 +98,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids, ids_sha256, decoded_sha256)`` of every document."""
+    """``(doc_id, n_tokens, ids, ids_sha256, decoded_sha256)`` of every document; null and empty texts have no tokens, repeated rows and null ids stay, very long texts are encoded whole."""
     import public_tokenizers
 
     ship(spark)

@@ -10,19 +10,31 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_DELETED_AT_END: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a folder of our own only where that is unset (tests, local runs)."""
+    """The folder named in ``spark.checkpoint.dir``; a folder of our own only where that is unset and the master is local (tests)."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="loomspan-"))
     return _OWN[0]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/loomspan/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the application's folder, which goes when the driver ends."""
+    context = spark.sparkContext
+    folder = f"{shared_folder(spark)}/loomspan/{context.applicationId}"
+    if folder not in _DELETED_AT_END:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _DELETED_AT_END.add(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
