@@ -69,9 +69,15 @@ def is_config(path: Column) -> Column:
     return F.lower(file_name(path)).rlike(CONFIG_NAMES)
 
 
-def is_entry_point(path: Column) -> Column:
-    low = F.lower(path)
-    return F.lower(file_name(path)).rlike(f"^({ENTRY_NAMES})") | low.rlike("^src/[^/]+$") | low.contains("/bin/")
+def is_entry_point(path: Column, frameworks: tuple[str, ...] = ()) -> Column:
+    """Whether a file starts a program, or is a page or service of one of the ``frameworks`` (nextjs, fastapi) that a project uses."""
+    low, name = F.lower(path), file_name(path)
+    found = F.lower(name).rlike(f"^({ENTRY_NAMES})") | low.rlike("^src/[^/]+$") | low.contains("/bin/")
+    if "nextjs" in frameworks:
+        found = found | (path.contains("/app/") & name.isin("page.tsx", "page.ts", "layout.tsx")) | (path.contains("/pages/") & ~name.startswith("_"))
+    if "fastapi" in frameworks:
+        found = found | name.isin("main.py", "app.py") | (path.contains("/api/") & name.endswith(".py"))
+    return found
 
 
 def map_kind(kind: Column, function: tuple = ("function",), class_: tuple = ("class", "interface", "type", "enum"), method: tuple = ("method",)) -> Column:

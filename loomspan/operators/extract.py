@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomspan.functions.rules import RULES
+
 _NAME = r"([A-Za-z_$][A-Za-z0-9_$]*)"
 # Declarations by kind and language; group 1 is the name.
 SYMBOLS = [
@@ -115,6 +119,36 @@ def scan_rules(files: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return lines(files).select("file", "line", F.explode(hits).alias("rule"))
 
 
+def _line_ends(text: Column) -> Column:
+    return F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def _match_lines(text: Column, pattern: str) -> Column:
+    """The lines, from 1, on which the matches of a pattern begin: each match is taken with the gap before it."""
+    moved = re.sub(r"\\([1-9])", lambda m: f"\\{int(m[1]) + 2}", pattern)  # two groups stand before those of the pattern
+    whole = F.lit(rf"((?s:.*?))(?:({moved})|\z)")
+    steps = F.zip_with(F.regexp_extract_all(text, whole, F.lit(1)), F.regexp_extract_all(text, whole, F.lit(2)), lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
+
+    def step(acc, x):
+        line = acc["line"] + _line_ends(x["gap"])
+        return F.struct((line + _line_ends(x["hit"])).alias("line"), F.when(x["hit"] == "", acc["found"]).otherwise(F.concat(acc["found"], F.array(line))).alias("found"))
+
+    return F.aggregate(steps, F.struct(F.lit(1).alias("line"), F.expr("cast(array() as array<int>)").alias("found")), step, lambda acc: acc["found"])
+
+
+def rule_matches(files: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
+    """``(file, rule, severity, line)``: every match of a rule ``(id, severity, languages, pattern)`` of the file's language, with the line that it begins on.
+
+    Patterns may reach over lines, so each is tried on the whole text. Null contents have no matches.
+    """
+
+    def hits(name, severity, languages, pattern):
+        lines_ = F.when(F.col("language").isin(*languages) & F.col("content").rlike(pattern), _match_lines(F.col("content"), pattern))
+        return F.transform(F.coalesce(lines_, F.expr("cast(array() as array<int>)")), lambda n: F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), n.alias("line")))
+
+    return files.select("file", F.explode(F.concat(*(hits(*rule) for rule in rules))).alias("x")).select("file", "x.*")
+
+
 def log_only_catch(files: DataFrame) -> DataFrame:
     """``(file, n)``: catch blocks that only log."""
     rule = r"catch\s*(?:\([^)]*\))?\s*\{\s*console\.\w+\([^;{}]*\);?\s*\}"

@@ -92,12 +92,21 @@ def ritual_deviations(file_symbols: DataFrame, rituals: DataFrame, share: float
     return wanted.join(own.select("file", F.col("symbol").alias("expected")), ["file", "expected"], "left_anti")
 
 
-def file_keywords(files: DataFrame, k: int = 15) -> DataFrame:
-    """``(file, keyword, n)``: the k most frequent words of each text that are no stop words and longer than three letters; ties by word."""
+def file_keywords(files: DataFrame, k: int = 15, path: str | None = None) -> DataFrame:
+    """``(file, keyword, n)``: the k most frequent words of each text that are no stop words and longer than three letters; ties by word.
+
+    ``path`` names a column whose parts, without suffix and those that begin with a dot, are keywords as well; n is 0
+    for those that are not among the words.
+    """
     words = F.explode(F.regexp_extract_all(F.lower("content"), F.lit("(?<![a-z0-9_])[a-z][a-z0-9_]{2,}(?![a-z0-9_])"), F.lit(0)))
     counts = files.select("file", words.alias("keyword")).where((F.char_length("keyword") > 3) & ~F.col("keyword").isin(*STOP_WORDS)).groupBy("file", "keyword").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("n"), "keyword"))
-    return counts.withColumn("r", rank).where(f"r <= {k}").drop("r")
+    top = counts.withColumn("r", rank).where(f"r <= {k}").drop("r")
+    if path is None:
+        return top
+    parts = F.filter(F.split(F.translate(path, "\\", "/"), "/"), lambda p: (p != "") & ~p.startswith("."))
+    named = files.select("file", F.explode(F.transform(parts, lambda p: F.regexp_replace(F.lower(p), r"\.[^.]+$", ""))).alias("keyword")).distinct()
+    return top.unionByName(named.join(top, ["file", "keyword"], "left_anti").withColumn("n", F.lit(0).cast("long")))
 
 
 def keyword_index(keywords: DataFrame) -> DataFrame:

@@ -334,15 +334,18 @@ _KEYWORDS = (
 
 
 def _keywords(spark, sf_dir):
-    return U.file_keywords(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.col("text").alias("content")))
+    return U.file_keywords(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.col("text").alias("content"), F.concat_ws("/", "source", F.concat(F.coalesce("lang", F.lit("any")), F.lit(".txt"))).alias("path")), path="path")
 
 
-@query("select file, keyword, n from k where r <= 15", ("k", _KEYWORDS))
+_PARTS = "select file, keyword, n from words where r <= 15 union all (select file, keyword, 0 from (select doc_id as file, source as keyword from documents where source is not null union select doc_id, coalesce(lang, 'any') from documents) where (file, keyword) not in (select (file, keyword) from words where r <= 15))"
+
+
+@query("select file, keyword, n from k", ("words", _KEYWORDS), ("k", _PARTS))
 def file_keywords(spark, sf_dir):
     return _keywords(spark, sf_dir)
 
 
-@query("select keyword, count(distinct file) as n, min(file) as first_file from k where r <= 15 group by 1", ("k", _KEYWORDS))
+@query("select keyword, count(distinct file) as n, min(file) as first_file from k group by 1", ("words", _KEYWORDS), ("k", _PARTS))
 def keyword_index(spark, sf_dir):
     return U.keyword_index(_keywords(spark, sf_dir))
 

@@ -404,3 +404,50 @@ def test_scalars(spark):
     got = df.select(S.is_test(F.col("p")), S.extension(F.col("p")), S.parent_directory(F.col("p")), S.naming_convention(F.col("n")), S.path_params(F.col("r")), S.generic_params(F.col("r"))).first()
     assert tuple(got) == (True, ".tsx", "src/pages", "PascalCase", ["id", "user_id"], "/users/{param}/x/{param}")
     assert S.glob_to_regex("src/**/*.ts") == r"^src/(?:.*/)?[^/]*\.ts$"
+
+
+def test_rule_table_against_a_plain_scan(spark):
+    """All rules on a source of each language, against another engine's matches and their line numbers."""
+    import regex
+
+    from loomspan.functions.rules import RULES
+
+    js = """import { one } from './one'
+import lone from './other'
+const a_b = 5
+const x = fetchAll(1).then(y => y)
+try { f(200) } catch (e) { }
+try { g() } catch (e) {
+  console.log(e)
+}
+function check(input) {
+  return input
+}
+// TODO later
+const p = { a: 1 };
+const q = { a: 2 };
+let n: any = fs.readFileSync('x')
+for (let i = 0; i < 3; i++) { s += 'x' }
+class Box extends React.Component { }
+useEffect(() => { load() }, [])
+if (a) { if (b) { if (c) { if (d) { } } } }
+run((a) => { go((b) => { stop((c) => 1) }) })
+function long(a, b) {
+""" + "  step();\n" * 90 + "}\n"
+    py = "global state\ndef f(a=[]):\n    try:\n        g(404)\n    except:\n        pass  # TODO\n"
+    files = [("a.ts", "typescript", js), ("a.js", "javascript", js), ("b.py", "python", py), ("c.py", "python", None), ("d.py", "python", "")]
+    want = []
+    for file, language, text in files:
+        for name, severity, languages, pattern in RULES:
+            if language in languages:
+                want += [(file, name, severity, 1 + text[: m.start()].count("\n")) for m in regex.finditer(pattern, text or "")]
+    got = rows(X.rule_matches(spark.createDataFrame(files, "file string, language string, content string")))
+    assert got == sorted(want) and {r[0] for r in RULES} - {w[1] for w in want} <= {"AP-024"}
+
+
+def test_keywords_of_paths_and_entry_points_of_frameworks(spark):
+    files = spark.createDataFrame([(1, "alpha alpha beta", "src/Users/.cache/alpha.test.ts"), (2, None, None)], "file long, content string, path string")
+    assert rows(U.file_keywords(files, path="path")) == [(1, "alpha", 2), (1, "alpha.test", 0), (1, "beta", 1), (1, "src", 0), (1, "users", 0)]
+    paths = spark.createDataFrame([("web/app/x/page.tsx",), ("web/pages/a.tsx",), ("web/pages/_app.tsx",), ("srv/api/u.py",), ("lib/u.py",)], "p string")
+    found = lambda f: [r[0] for r in paths.select(S.is_entry_point(F.col("p"), f)).collect()]
+    assert found(("nextjs",)) == [True, True, False, False, False] and found(("fastapi",)) == [False, False, False, True, False]
