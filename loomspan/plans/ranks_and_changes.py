@@ -107,7 +107,20 @@ def affected_sources(spark, sf_dir):
 # Rankings.
 
 
-@query()
+_GRAMS = "list_transform(range(1, greatest(2, length({0}) - 1)), lambda i: substr({0}, i, 3))"
+_LIKE = [
+    ("names", "select distinct replace(p_name, ' ', '_') as name from part"), ("targets", "select distinct array_to_string(list_reverse(string_split(p_name, ' ')), '_') as target from part where p_partkey % 10 = 0"),
+    ("pairs", "select target as a, name as b from targets, names where target <> name and (list_has_any(" + _GRAMS.format("target") + ", " + _GRAMS.format("name") + ") or list_has_any(string_split(target, '_'), string_split(name, '_')) or substr(target, 1, 2) = substr(name, 1, 2))"),
+    # Each letter of a takes the first free one of b within reach.
+    ("walk", "select a, b, 0 as i, cast([] as bigint[]) as taken, '' as l, cast(null as bigint) as j from pairs union all select a, b, i + 1, case when j2 is null then taken else list_append(taken, j2) end, case when j2 is null then l else l || substr(a, i + 1, 1) end, j2 from (select *, list_filter(range(greatest(1, i + 1 - reach), least(length(b), i + 1 + reach) + 1), lambda j: b[j] = a[i + 1] and not list_contains(taken, j))[1] as j2 "
+        "from (select *, greatest(0, greatest(length(a), length(b)) // 2 - 1) as reach from walk where i < length(a)))"),
+    ("jaro", "select a, b, case when m = 0 then 0.0::double else (m::double / length(a) + m::double / length(b) + (m - len(list_filter(range(1, m + 1), lambda k: l[k] <> r[k])) / 2.0::double) / m) / 3 end as jaro from (select *, length(l) as m, array_to_string(list_transform(list_sort(taken), lambda j: b[j]), '') as r from walk where i = length(a))"),
+    ("prefixed", "select *, coalesce(list_position(list_transform(range(1, least(length(a), length(b)) + 1), lambda i: a[i] <> b[i]), true) - 1, least(length(a), length(b))) as p from jaro"),
+    ("scored", "select a as target, b as name, 50 * (jaro + case when jaro > 0 then least(p, 4) else 0 end * 0.1::double * (1 - jaro)) + case when contains(a, b) or contains(b, a) then 30 else 0 end + case when len(list_filter(string_split(a, '_'), lambda x: len(list_filter(string_split(b, '_'), lambda y: contains(x, y) or contains(y, x))) > 0)) > 0 then 20 else 0 end + 5 * p + case when length(a) = length(b) then 10 else 0 end as score from prefixed"),
+]
+
+
+@query("select * from (select *, cast(row_number() over (partition by target order by score desc, name) as int) as rank from scored where score > 25) where rank <= 3", *_LIKE, recursive=True, doubles=("score",))
 def suggest_similar(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     targets = part.where("p_partkey % 10 = 0").select(F.concat_ws("_", F.reverse(F.split("p_name", " "))).alias("target"))
@@ -236,7 +249,17 @@ def line_diff(spark, sf_dir):
     return D.line_diff(versions)
 
 
-@query()
+_WALK = (
+    "select file, 0::bigint as i, 0::bigint as j, null::varchar as kind, 0::bigint as s, 0::bigint as e from v union all select file, case when kind = 'deletion' then e when kind = 'addition' then i else i + 1 end, case when kind = 'deletion' then j when kind = 'addition' then e else j + 1 end, kind, s, e from (select file, i, j, kind, case when kind = 'addition' then j + 1 else i + 1 end as s, "
+    "case when kind = 'addition' then case when i >= len(o) then len(n) else to_new end when kind = 'deletion' then case when j >= len(n) then len(o) else to_old end else i + 1 end as e from (select *, case when i >= len(o) then 'addition' when j >= len(n) then 'deletion' when o[i + 1] = n[j + 1] then null when to_new is null then 'modification' when to_old < to_new then 'deletion' else 'addition' end as kind "
+    "from (select w.file, w.i, w.j, v.o, v.n, list_filter(range(i + 1, least(i + 10, len(o))), lambda x: o[x + 1] = n[j + 1])[1] as to_old, list_filter(range(j + 1, least(j + 10, len(n))), lambda x: n[x + 1] = o[i + 1])[1] as to_new from walk w join v using (file) where i < len(o) or j < len(n))))"
+)
+
+
+@query(
+    "select file, kind as change_type, s as \"start\", e as \"end\" from walk where kind is not null",
+    ("o1", _OLD), ("n1", _NEW), ("v", "select o1.file, string_split(o1.content, chr(10)) as o, string_split(n1.content, chr(10)) as n from o1 join n1 using (file)"), ("walk", _WALK), recursive=True,
+)
 def line_runs(spark, sf_dir):
     old, new = _versions(spark, sf_dir)
     both = old.join(new.select("file"), "file", "left_semi")

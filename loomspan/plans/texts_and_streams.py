@@ -205,3 +205,13 @@ def mode_switch(spark, sf_dir):
 def snapshot_expiry(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("agent"), "ts")
     return T.snapshot_expiry(events, F.expr("timestamp_ntz'2024-01-30'"), 600)
+
+
+@query(
+    "select agent, first, last, n from (select agent, min(ts) as first, max(ts) as last, count(*) as n from (select *, sum(fresh) over (partition by agent order by ts, event_id) as s from (select user_id as agent, ts, event_id, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= interval 600 minute then 0 else 1 end as fresh from events)) group by agent, s) "
+    "where last + interval 600 minute <= (select max(ts) from events) - interval 1 minute"
+)
+def session_expiry(spark, sf_dir):
+    """Sessions that the last watermark has passed."""
+    events = T.events_stream(spark, sf_dir).select(F.col("user_id").alias("agent"), "ts")
+    return T.run_once(T.session_expiry(events, 600)).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first", "last")})

@@ -211,3 +211,14 @@ def snapshot_expiry(events: DataFrame, as_of: Column, minutes: int = 30, most: i
     """``(agent, last)``: the newest ``most`` sessions whose last event is at most ``minutes`` old."""
     last = events.groupBy("agent").agg(F.max("ts").alias("last"))
     return last.where(F.col("last") >= as_of - F.expr(f"interval {minutes} minutes")).orderBy(F.desc("last"), "agent").limit(most)
+
+
+def session_expiry(events: DataFrame, minutes: int = 30, delay: str = "1 minute") -> DataFrame:
+    """``(agent, first, last, n)``: the sessions of each agent, which expire ``minutes`` after their last event.
+
+    On a stream a session is state that each event keeps alive; it is given and dropped once the watermark has passed
+    its expiry. On a table all sessions are given. Events with a null time are ignored.
+    """
+    base = events.withWatermark("ts", delay) if events.isStreaming else events
+    out = base.groupBy("agent", F.session_window("ts", f"{minutes} minutes").alias("w")).agg(F.max("ts").alias("last"), F.count("*").alias("n"))
+    return out.select("agent", F.col("w.start").alias("first"), "last", "n")
