@@ -118,8 +118,12 @@ class Network:
         return {"w": self.w, "bias": self.bias, "top": self.top, "base": self.base}
 
     def _gradients(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> dict[str, np.ndarray]:
-        self.prepared()
-        response = self.responses(x)
+        wide = np.concatenate([x, np.full((len(x), max(WIDTHS) - 1), 0x20, np.uint8)], axis=1)
+        n = x.shape[1]
+        response = np.take(self.w[0], wide[:, :n], axis=0)  # the weights change with every batch: no tables
+        for k in range(1, max(WIDTHS)):
+            first = FILTERS * sum(width <= k for width in WIDTHS)  # narrower filters have no weights here
+            response[:, :, first:] += np.take(self.w[k][:, first:], wide[:, k : n + k], axis=0)
         at = response.argmax(axis=1)
         pooled = np.take_along_axis(response, at[:, None, :], axis=1)[:, 0, :] + self.bias
         keep = (rng.random(pooled.shape) > 0.3) / np.float32(0.7)
@@ -128,7 +132,6 @@ class Network:
         error[np.arange(len(y)), y] -= 1
         error /= len(y)
         back = (error @ self.top.T) * keep * (pooled > 0)
-        wide = np.concatenate([x, np.full((len(x), max(WIDTHS) - 1), 0x20, np.uint8)], axis=1)
         grad = np.zeros_like(self.w)
         filters = np.broadcast_to(np.arange(back.shape[1]), back.shape)
         for k in range(max(WIDTHS)):
