@@ -10,7 +10,32 @@ EXCLUDED = (
     "node_modules venv .venv env __pycache__ dist build .next coverage .git vendor .cache .npm .yarn bower_components jspm_packages .tox .nox .pytest_cache .mypy_cache eggs .eggs site-packages"
 ).split()
 # Endpoint patterns that clients don't call (webhooks, admin, internal, sign-in callbacks, documentation).
-IGNORED_ENDPOINTS = "(?i)/(webhook|stripe/webhook|paypal/webhook|github/webhook|slack/webhook|admin|api/admin|management|api/management|debug|internal|api/internal|health|ping|metrics|ready|alive|auth/callback|oauth|callback|docs|swagger|openapi|redoc)"
+IGNORED_ENDPOINTS = (
+    "/webhook",
+    "/stripe/webhook",
+    "/paypal/webhook",
+    "/github/webhook",
+    "/slack/webhook",
+    "/admin",
+    "/api/admin",
+    "/management",
+    "/api/management",
+    "/debug",
+    "/internal",
+    "/api/internal",
+    "/health",
+    "/ping",
+    "/metrics",
+    "/ready",
+    "/alive",
+    "/auth/callback",
+    "/oauth",
+    "/callback",
+    "/docs",
+    "/swagger",
+    "/openapi",
+    "/redoc",
+)
 # Verbs that stand for a method in a function's name, in the order in which they are tried.
 VERBS = {
     "GET": "get|fetch|load|retrieve|read|list|find|search",
@@ -97,8 +122,12 @@ def _escaped(word: str) -> str:
     return "".join("\\" + c if c in r".\+*?^$()[]{}|" else c for c in word)
 
 
+def ignored_endpoints_pattern() -> str:
+    return "(?i)" + "|".join(IGNORED_ENDPOINTS)
+
+
 def ignored_endpoint(path: Column) -> Column:
-    return path.rlike(IGNORED_ENDPOINTS)
+    return path.rlike(ignored_endpoints_pattern())
 
 
 def naming_convention(name: Column) -> Column:

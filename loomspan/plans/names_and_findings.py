@@ -69,7 +69,7 @@ def lenient_filter(spark, sf_dir):
     return O.lenient_filter(table(spark, sf_dir, "v_findings")).select("event_id", "type")
 
 
-@query(f"select page_id, regexp_matches(url, '{S.IGNORED_ENDPOINTS}') as ignored from pages")
+@query(f"select page_id, regexp_matches(url, '{S.ignored_endpoints_pattern()}') as ignored from pages")
 def ignore_endpoints(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", S.ignored_endpoint(F.col("url")).alias("ignored"))
 
