@@ -31,6 +31,19 @@ def _restored(df: DataFrame, names: dict[str, str], columns: list[str]) -> DataF
     return df.select(*(F.col(back[c]).alias(c) for c in columns))
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _own(docs: DataFrame) -> list:
+    """The columns of the documents, whatever their names."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a learned language; fills a missing ``lang`` where the table has that column.
 
@@ -57,17 +70,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     empty table gives an empty one; ties go by the row's key.
     """
     ship(spark)
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    groups = written(ngram_join.jaccard_components(keyed.select("__key", "text"), id_col="__key"), "groups")
+    key, rank = _fresh(docs, "__key"), _fresh(docs, "__rank")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    groups = written(ngram_join.jaccard_components(keyed.select(key, "text"), id_col=key), "groups")
     of = groups.where("n_shingles > 0").groupBy("id", "component").agg(F.count("*").alias("times"))
-    named = of.join(keyed.select(F.col("__key").alias("id"), "doc_id").distinct(), "id")
-    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id", "times")).alias("x")).select(F.col("x.id").alias("__key"), "x.times")
+    named = of.join(keyed.select(F.col(key).alias("id"), "doc_id").distinct(), "id")
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id", "times")).alias("x")).select(F.col("x.id").alias(key), "x.times")
     first = written(first, "first")
-    once = keyed.join(first.where("times = 1").select("__key"), "__key", "left_semi")
-    same = Window.partitionBy("__key").orderBy(F.xxhash64(*docs.columns))
-    again = keyed.join(first.where("times > 1").select("__key"), "__key", "left_semi").withColumn("__r", F.row_number().over(same)).where("__r = 1").drop("__r")
-    blank = keyed.join(groups.where("n_shingles = 0").select(F.col("id").alias("__key")).distinct(), "__key", "left_semi")
-    return once.unionByName(again).unionByName(blank).select(*docs.columns)
+    once = keyed.join(first.where("times = 1").select(key), key, "left_semi")
+    same = Window.partitionBy(key).orderBy(F.to_json(F.struct(*_own(docs))))
+    again = keyed.join(first.where("times > 1").select(key), key, "left_semi").withColumn(rank, F.row_number().over(same)).where(F.col(rank) == 1).drop(rank)
+    blank = keyed.join(groups.where("n_shingles = 0").select(F.col("id").alias(key)).distinct(), key, "left_semi")
+    return once.unionByName(again).unionByName(blank).select(*_own(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,10 +91,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     together, rows with a null id by their text; an empty table or benchmark drops nothing.
     """
     ship(spark)
-    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("no id: "), F.sha2("text", 256))))
-    found = decontam.contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__key")
-    leaks = written(found.select(F.col("id").alias("__key")).distinct(), "leaks")
-    return keyed.join(leaks, "__key", "left_anti").select(*docs.columns)
+    key = _fresh(docs, "__key")
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("no id: "), F.sha2("text", 256))))
+    found = decontam.contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key)
+    leaks = written(found.select(F.col("id").alias(key)).distinct(), "leaks")
+    return keyed.join(leaks, key, "left_anti").select(*_own(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,6 +67,7 @@ def co_occurrence(file_symbols: DataFrame, min_count: int = 2, max_group: int |
 
 
 def _pairs(members: DataFrame, group: str, item: str, max_group: int | None) -> DataFrame:
+    """All pairs of a group's items, counted over groups. A large group's rows are split by adaptive execution (skew join), as each pair is made by itself; counts are combined before they are shuffled."""
     if max_group is not None:
         members = members.join(members.groupBy(group).count().where(F.col("count") <= max_group).select(group), group, "left_semi")
     x, y = members.select(group, F.col(item).alias("x")), members.select(group, F.col(item).alias("y"))
