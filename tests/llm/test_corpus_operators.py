@@ -415,7 +415,7 @@ def test_pipeline_stages(spark, tmp_path):
     leak = " ".join(f"bench{j}" for j in range(30))
     rows = [(i, text(i), "en" if i % 2 else None, "s", 5, "more") for i in range(40)]
     rows += [(100, "12 34", "en", "s", 5, "m"), (101, None, "en", "s", 5, "m"), (102, text(0) + " extra", "en", "s", 5, "m"), (103, text(50) + " " + leak, "en", "s", 5, "m"), (104, text(60) + " a.b@c.org", "en", "s", 5, "m"), (1, text(1), "en", "s", 5, "more"), (1, text(90), "en", "s", 5, "more"), (None, text(70), "en", "s", 5, "m"), (None, text(70) + " again", "en", "s", 5, "m"), (None, text(80) + " " + leak, "en", "s", 5, "m")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id string").withColumn("__key", F.lit("mine")).withColumn("a.b", F.create_map(F.lit("k"), F.col("source")))
     spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for name, stage in cp.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
@@ -425,6 +425,7 @@ def test_pipeline_stages(spark, tmp_path):
         docs = spark.read.parquet(path)
         assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
     got = {r["doc_id"]: r for r in docs.collect()}
+    assert all(r["__key"] == "mine" and r["a.b"] == {"k": "s"} for r in got.values())
     assert set(got) == {*range(40), 104, None} and docs.count() == 43  # id 1 with an unrelated text is a document of its own
     assert got[104]["text"].endswith(" [EMAIL]") and got[104]["n_chars"] == len(got[104]["text"]) and got[0]["lang"] == "en"
     assert cp.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 43
