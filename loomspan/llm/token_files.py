@@ -35,7 +35,7 @@ BLOCK, PERCENT = 1024, 95
 #: Token ids after which a file is closed and the next begun.
 FILE_TOKENS = 1 << 21
 #: Words and pieces that a worker keeps encoded.
-KEPT = 1 << 20
+KEPT = 1 << 19
 
 
 def pack(values: np.ndarray) -> bytes:
