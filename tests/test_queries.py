@@ -32,6 +32,5 @@ def test_same_rows_as_sql(spark, duck, name):
     assert in_order(got) == in_order(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs_without_sql(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
