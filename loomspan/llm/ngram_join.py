@@ -298,7 +298,8 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     of_key = live.select("key", "id")
     links = near.unionByName(more).join(of_key.select(F.col("key").alias("a"), F.col("id").alias("x")), "a").join(of_key.select(F.col("key").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
     # An id with several texts is in the sets of all of them.
-    several = rows.groupBy("id").agg(F.count("*").alias("texts")).where("texts > 1").select("id")
+    text = F.struct(*digest)
+    several = listed.where("id is not null").groupBy("id").agg(F.min(text).alias("lo"), F.max(text).alias("hi")).where("lo <> hi").select("id")
     own = rows.join(several, "id").select(*digest, F.col("id").alias("x")).join(nodes.select(*digest, F.col("id").alias("y")), digest).select("x", "y")
     joined = written(connected_components(links.unionByName(own), "x", "y"), "components")
 
