@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspan.functions import scalars as S
+from loomspan.operators.tables import written
 
 # Type names of the two sides that fit each other.
 COMPATIBLE = {"string": "str string text email uuid", "number": "int float integer", "boolean": "bool boolean", "any": "any", "unknown": "any"}
@@ -123,15 +124,16 @@ def match_models(fields: DataFrame, least_same: float = 0.1, least: float = 0.7)
     so that fields that all types have bring no pairs.
     """
     norm = S.normalize_name(F.col("field"), hyphens=True)
-    own = fields.where("field is not null").select("owner", "side", norm.alias("f")).distinct()
-    types = fields.select("owner", "side").distinct().join(own.groupBy("owner", "side").agg(F.count("*").alias("n")), ["owner", "side"], "left").fillna(0, ["n"])
+    every = written(fields.select("owner", "side", norm.alias("f")).distinct(), "fields")
+    own = every.where("f is not null")
+    types = written(every.groupBy("owner", "side").agg(F.count("f").alias("n")), "types")
     alike = S.normalize_name(F.col("owner"), True)
     front, back = (types.where(f"side = {i}").select(F.col("owner").alias(c), F.col("n").alias(k), alike.alias("name")) for i, c, k in ((0, "owner", "a"), (1, "model", "b")))
     by_name = front.join(back, "name").select("owner", "model")
     place = F.row_number().over(Window.partitionBy("owner", "side").orderBy("df", "f"))
     first = own.join(own.groupBy("f").agg(F.count("*").alias("df")), "f").join(types, ["owner", "side"]).withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(least * F.col("n")) + 1)
     by_field = first.where("side = 0").select("owner", "f").join(first.where("side = 1").select(F.col("owner").alias("model"), "f"), "f").select("owner", "model")
-    met = by_name.unionByName(by_field).distinct()
+    met = written(by_name.unionByName(by_field).distinct(), "met")
     common = met.join(own.where("side = 0").select("owner", "f"), "owner").join(own.where("side = 1").select(F.col("owner").alias("model"), "f"), ["model", "f"]).groupBy("owner", "model").agg(F.count("*").alias("c"))
     sized = met.join(common, ["owner", "model"], "left").fillna(0, ["c"]).join(front.select("owner", "a"), "owner").join(back.select("model", "b"), "model")
     both = (F.col("a") > 0) & (F.col("b") > 0)
