@@ -82,6 +82,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
 
 
+def op12_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from loomspan.llm.hmm import score
+
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10
+    out = score(_table(spark, sf_dir, "documents"), fold != 0)
+    return out.select(F.col("id").alias("doc_id"), (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 OP9_SQL = """
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
 f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) else page_id end as first from p)
@@ -115,6 +125,7 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,
+    "op12_hidden_markov": op12_hidden_markov,
 }
 
 ORACLE_SQL = {"op8_ngram_jaccard_join": OP8_SQL, "op9_warc": OP9_SQL}
