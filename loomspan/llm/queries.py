@@ -82,6 +82,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"id": "doc_id", "item": "item_id"})
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from loomspan.llm.whitening import whiten
+
+    rows = _table(spark, sf_dir, "embeddings")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    far = float(1 << 53)
+    vector = F.transform("embedding", lambda x: F.floor(F.least(F.greatest(64 * x.cast("double"), F.lit(-far)), F.lit(far))) + 1_000_000)
+    out = whiten(rows.where(finite).select("vec_id", vector.alias("vector")))
+    return out.withColumn("deviation", F.expr("try_cast(deviation as long)")).withColumnRenamed("id", "vec_id")
+
+
 def op12_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -92,6 +105,20 @@ def op12_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op13_shared_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from loomspan.llm.negatives import mine
+
+    rows = _table(spark, sf_dir, "embeddings")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vector = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    rows = rows.where(finite).select("vec_id", label.alias("label"), vector.alias("vector"))
+    out = mine(rows, F.col("vec_id") % 50 == 0)
+    return out.withColumnsRenamed({"anchor": "anchor_id", "positive": "positive_id", "negative": "negative_id"})
+
+
 OP9_SQL = """
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
 f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest) else page_id end as first from p)
@@ -114,6 +141,17 @@ select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, r.c as componen
 from documents d left join n using (doc_id) join (select a, min(b) as c from reach group by 1) r on r.a = d.doc_id
 """
 
+OP13_SQL = """
+with r as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.vec_id as a, b.vec_id as b, a.label = b.label as same, cast(list_inner_product(cast(a.v as double[]), cast(b.v as double[])) as bigint) as score from r a join r b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0
+), p as (select * from (select *, row_number() over (partition by a order by score desc, b) as r from s where same) where r <= 5
+), n as (select p.a, p.b as p, s.b as n, p.score as ps, s.score as ns, row_number() over (partition by p.a, p.b order by s.score desc, s.b) as rank from p join s on s.a = p.a and not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score)
+select a as anchor_id, p as positive_id, cast(rank as int) as rank, n as negative_id, ps as positive_score, ns as negative_score from n where rank <= 3
+"""
+
 QUERIES = {
     "op1_line_blocks": op1_line_blocks,
     "op2_byte_bpe": op2_byte_bpe,
@@ -125,7 +163,9 @@ QUERIES = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_warc": op9_warc,
     "op10_decontamination": op10_decontamination,
+    "op11_whitening": op11_whitening,
     "op12_hidden_markov": op12_hidden_markov,
+    "op13_shared_lists": op13_shared_lists,
 }
 
-ORACLE_SQL = {"op8_ngram_jaccard_join": OP8_SQL, "op9_warc": OP9_SQL}
+ORACLE_SQL = {"op8_ngram_jaccard_join": OP8_SQL, "op9_warc": OP9_SQL, "op13_shared_lists": OP13_SQL}
