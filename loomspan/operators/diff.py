@@ -1,4 +1,4 @@
-"""Snapshots, changes, carry-over."""
+"""Snapshots, changes, carry-over. ``keys`` names the columns that tell projects apart; where a key or columns are given, they go there."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+Keys = tuple[str, ...]
+
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: list[str], compared: list[str]) -> DataFrame:
     """``key`` and ``change_type``: added, removed, modified; nulls compare as values."""
@@ -23,47 +25,51 @@ def edge_changes(before: DataFrame, after: DataFrame, columns: list[str]) -> Dat
     return added.unionByName(old.exceptAll(new).withColumn("change_type", F.lit("removed")))
 
 
-def diff_risk(references: DataFrame, changes: DataFrame, catalog: DataFrame, fake: str = "(?i)^(foo|fake|dummy|todo)") -> DataFrame:
+def diff_risk(references: DataFrame, changes: DataFrame, catalog: DataFrame, fake: str = "(?i)^(foo|fake|dummy|todo)", keys: Keys = ()) -> DataFrame:
     """``(risk, n)`` of new references ``(name)``: to nothing (critical), to something removed (high), to names that look made up (high), and more than three times as many as new symbols (medium)."""
-    names = catalog.select("name").distinct()
+    own = [*keys, "name"]
     counts = [
-        ("brokenReference", "critical", references.join(names, "name", "left_anti")),
-        ("removedReference", "high", references.join(changes.where("change_type = 'removed'").select("name").distinct(), "name", "left_semi")),
+        ("brokenReference", "critical", references.join(catalog.select(*own).distinct(), own, "left_anti")),
+        ("removedReference", "high", references.join(changes.where("change_type = 'removed'").select(*own).distinct(), own, "left_semi")),
         ("fakeName", "high", references.where(F.col("name").rlike(fake))),
     ]
-    parts = [df.agg(F.count("*").alias("n")).select(F.lit(r).alias("risk"), F.lit(s).alias("severity"), "n") for r, s, df in counts]
-    many = references.agg(F.count("*").alias("refs")).join(changes.where("change_type = 'added'").agg(F.count("*").alias("added")))
-    parts.append(many.where("refs > 3 * added").select(F.lit("manyReferences").alias("risk"), F.lit("medium").alias("severity"), F.col("refs").alias("n")))
+    parts = [df.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, F.lit(r).alias("risk"), F.lit(s).alias("severity"), "n") for r, s, df in counts]
+    marked = references.select(*keys, F.lit(1).alias("r"), F.lit(0).alias("a")).unionByName(changes.where("change_type = 'added'").select(*keys, F.lit(0).alias("r"), F.lit(1).alias("a")))
+    many = marked.groupBy(*keys).agg(F.sum("r").alias("refs"), F.sum("a").alias("added"))
+    parts.append(many.where("refs > 3 * added").select(*keys, F.lit("manyReferences").alias("risk"), F.lit("medium").alias("severity"), F.col("refs").alias("n")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out.where("n > 0")
 
 
-def changed_files(old: DataFrame, new: DataFrame) -> DataFrame:
+def changed_files(old: DataFrame, new: DataFrame, keys: Keys = ()) -> DataFrame:
     """``(file, change_type)`` by a fingerprint of the content."""
     print_ = F.sha2(F.col("content").cast("binary"), 256).alias("fingerprint")
-    return snapshot_diff(old.select("file", print_), new.select("file", print_), ["file"], ["fingerprint"])
+    own = [*keys, "file"]
+    return snapshot_diff(old.select(*own, print_), new.select(*own, print_), own, ["fingerprint"])
 
 
-def merge_changed(base: DataFrame, changed: DataFrame, removed: DataFrame | None = None, key: str = "file") -> DataFrame:
+def merge_changed(base: DataFrame, changed: DataFrame, removed: DataFrame | None = None, key: str = "file", keys: Keys = ()) -> DataFrame:
     """``base`` with all rows of changed files replaced, and those of removed files gone."""
-    gone = changed.select(key) if removed is None else changed.select(key).unionByName(removed.select(key))
-    return base.join(gone.distinct(), key, "left_anti").unionByName(changed)
+    own = [*keys, key]
+    gone = changed.select(*own) if removed is None else changed.select(*own).unionByName(removed.select(*own))
+    return base.join(gone.distinct(), own, "left_anti").unionByName(changed)
 
 
-def line_diff(versions: DataFrame) -> DataFrame:
+def line_diff(versions: DataFrame, keys: Keys = ()) -> DataFrame:
     """``(file, side, line, text)``: lines of one side only, by text and how often it has come before. ``versions(file, side, text)``, side old or new."""
-    lines = versions.select("file", "side", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-    nth = F.row_number().over(Window.partitionBy("file", "side", "text").orderBy("pos"))
+    own = [*keys, "file"]
+    lines = versions.select(*own, "side", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    nth = F.row_number().over(Window.partitionBy(*own, "side", "text").orderBy("pos"))
     marked = lines.withColumn("nth", nth).withColumn("h", F.xxhash64("text"))
-    keys = ["file", "h", "nth"]
+    met = [*own, "h", "nth"]
     old, new = marked.where("side = 'old'"), marked.where("side = 'new'")
-    out = old.join(new.select(*keys), keys, "left_anti").unionByName(new.join(old.select(*keys), keys, "left_anti"))
-    return out.select("file", "side", (F.col("pos") + 1).alias("line"), "text")
+    out = old.join(new.select(*met), met, "left_anti").unionByName(new.join(old.select(*met), met, "left_anti"))
+    return out.select(*own, "side", (F.col("pos") + 1).alias("line"), "text")
 
 
-def line_runs(versions: DataFrame, look_ahead: int = 10) -> DataFrame:
+def line_runs(versions: DataFrame, look_ahead: int = 10, keys: Keys = ()) -> DataFrame:
     """``(file, change_type, start, end)``: runs of added, deleted and modified lines between a file's old and new version.
 
     Both versions are walked together. Where they differ, the old line is looked for in the next ``look_ahead - 1`` new
@@ -99,17 +105,19 @@ def line_runs(versions: DataFrame, look_ahead: int = 10) -> DataFrame:
             out.append(("deletion", i + 1, len(old)))
         if j < len(new):
             out.append(("addition", j + 1, len(new)))
-        return pd.DataFrame([(key[0], *m) for m in out], columns=["file", "change_type", "start", "end"])
+        return pd.DataFrame([(*key, *m) for m in out], columns=[*own, "change_type", "start", "end"])
 
-    kind = versions.schema["file"].dataType.simpleString()
-    return versions.groupBy("file").applyInPandas(walk, f"file {kind}, change_type string, start long, end long")
+    own = [*keys, "file"]
+    kinds = ", ".join(f"{c} {versions.schema[c].dataType.simpleString()}" for c in own)
+    return versions.groupBy(*own).applyInPandas(walk, f"{kinds}, change_type string, start long, end long")
 
 
-def carry_over(findings: DataFrame, changes: DataFrame, n_lines: DataFrame, most: float = 0.3) -> DataFrame:
+def carry_over(findings: DataFrame, changes: DataFrame, n_lines: DataFrame, most: float = 0.3, keys: Keys = ()) -> DataFrame:
     """Findings ``(file, line)`` on lines that did not change ``(file, start, end)``, of files of which at most ``most`` of the lines changed."""
-    share = changes.groupBy("file").agg(F.sum(F.col("end") - F.col("start") + 1).alias("changed")).join(n_lines, "file")
-    redo = share.where(F.col("changed") > most * F.col("n_lines")).select("file")
-    kept = findings.join(redo, "file", "left_anti")
-    c = changes.select(F.col("file").alias("__f"), "start", "end")
-    return kept.join(c, (F.col("file") == F.col("__f")) & F.col("line").between(F.col("start"), F.col("end")), "left_anti")
-
+    own = [*keys, "file"]
+    share = changes.groupBy(*own).agg(F.sum(F.col("end") - F.col("start") + 1).alias("changed")).join(n_lines, own)
+    redo = share.where(F.col("changed") > most * F.col("n_lines")).select(*own)
+    kept = findings.join(redo, own, "left_anti")
+    c = changes.select(*(F.col(x).alias(f"__{x}") for x in own), "start", "end")
+    same = [F.col(x) == F.col(f"__{x}") for x in own]
+    return kept.join(c, [*same, F.col("line").between(F.col("start"), F.col("end"))], "left_anti")

@@ -132,20 +132,6 @@ def levenshtein_neighbours(spark, sf_dir):
     return K.levenshtein_neighbours(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")), 4)
 
 
-@query(
-    "select symbol, round(sum(score), 9) as score, list(distinct reason order by reason) as reasons from ((select symbol, least(0.4, n / 100) as score, 'popularity' as reason from (select symbol_id as symbol, count(*) as n from v_usages group by 1 order by n desc, symbol limit 100)) "
-    "union all select distinct symbol_id, 1.0, 'imported' from v_imports union all select distinct p_partkey, 0.7, 'current' from part where p_brand = 'Brand#11' union all select distinct symbol_id, 0.6, 'recent' from v_usages where file % 500 = 0) group by 1 having sum(score) >= 0.3 - 1e-9 order by 2 desc, 1 limit 200",
-    doubles=("score",),
-)
-def score_relevance(spark, sf_dir):
-    usages, as_symbol = table(spark, sf_dir, "v_usages"), lambda df, c: df.select(F.col(c).alias("symbol"))
-    usage = usages.groupBy(F.col("symbol_id").alias("symbol")).agg(F.count("*").alias("usage"))
-    current = as_symbol(table(spark, sf_dir, "part").where("p_brand = 'Brand#11'"), "p_partkey")
-    signals = K.signals_of(usage, imported=(as_symbol(table(spark, sf_dir, "v_imports"), "symbol_id"), 1.0), current=(current, 0.7), recent=(as_symbol(usages.where("file % 500 = 0"), "symbol_id"), 0.6))
-    out = K.score_relevance(signals.withColumn("score", F.col("score").cast("decimal(20,10)")))
-    return out.withColumn("score", F.col("score").cast("double"))
-
-
 _HISTORY = "select file, count(distinct commit_id) as commits, case when max(ts) < timestamp '2024-02-01' then count(distinct commit_id) / ((epoch_us(timestamp '2024-02-01') - epoch_us(max(ts))) / 86400000000) else 0.0 end as frequency from v_commit_files group by 1"
 
 
@@ -182,6 +168,34 @@ def lineage_score(spark, sf_dir):
     return out.withColumn("score", F.round("score", 9))
 
 
+_LEGS = [
+    ("h", _HISTORY), ("recent", _RECENT), ("hot", "select file, frequency from h where frequency >= 0.001 order by frequency desc, file limit 20"),
+    ("lineage", "select file, place, least(1.0, coalesce(0.8 - 0.05 * place, 0) + case when hot.file is not null then 0.4 else 0 end + least(0.2, commits / 100)) as score from recent join h using (file) left join hot using (file) order by place, file limit 10"),
+    ("alike", "select file, count(distinct symbol_id) as n from v_imports group by 1 order by n desc, file limit 5"),
+    ("defined", "select distinct file, symbol_id as symbol from v_usages"),
+    ("signals", "select symbol, least(0.4, n / 100) as score, 'popular' as reason from (select symbol_id as symbol, count(*) as n from v_usages group by 1 order by n desc, symbol limit 100) union all select distinct symbol_id, 1.0, 'imported' from v_imports "
+        "union all select symbol, 0.8, 'related' from (select dst as symbol, count(*) as n from v_edges group by 1 order by n desc, symbol limit 50) union all select symbol, 0.7, 'current' from defined where file % 1000 = 7 union all select symbol, 0.9, 'recentFile' from defined where file % 500 = 0 "
+        "union all select p_partkey, 0.6, 'recentSymbol' from part where p_size = 1 union all select symbol, score * 0.5, 'lineage' from defined join lineage using (file) union all select symbol, 0.35, 'hotspot' from defined join (select file from hot order by frequency desc, file limit 5) using (file) "
+        "union all select symbol, 0.3, 'similar' from defined join alike using (file)"),
+]
+
+
+@query("select symbol, round(sum(score), 9) as score, list(distinct reason order by reason) as reasons from signals group by 1 having sum(score) >= 0.3 - 1e-9 order by 2 desc, 1 limit 200", *_LEGS, doubles=("score",))
+def score_relevance(spark, sf_dir):
+    """All nine signals of a symbol's relevance."""
+    usages, imports, history = table(spark, sf_dir, "v_usages"), table(spark, sf_dir, "v_imports"), _history(spark, sf_dir)
+    commits, hot = table(spark, sf_dir, "v_commit_files"), K.hotspots(history, 0.001)
+    recent = K.recently_modified(commits)
+    signals = K.relevance_signals(
+        usages.select("file", F.col("symbol_id").alias("symbol")), usages.groupBy(F.col("symbol_id").alias("symbol")).agg(F.count("*").alias("usage")),
+        imported=imports.select(F.col("symbol_id").alias("symbol")), related=table(spark, sf_dir, "v_edges").groupBy(F.col("dst").alias("symbol")).agg(F.count("*").alias("score")),
+        current=usages.where("file % 1000 = 7"), recent_files=usages.where("file % 500 = 0"), recent_symbols=table(spark, sf_dir, "part").where("p_size = 1").select(F.col("p_partkey").alias("symbol")),
+        lineage=K.lineage_score(history, recent, hot).join(recent, "file"), hot=hot, similar=K.similar_files(imports, imports),
+    )
+    out = K.score_relevance(signals.withColumn("score", F.col("score").cast("decimal(20,10)")))
+    return out.withColumn("score", F.col("score").cast("double"))
+
+
 @query("select file, count(distinct symbol_id) as n from v_imports where symbol_id % 3 = 0 group by 1")
 def similar_files(spark, sf_dir):
     imports = table(spark, sf_dir, "v_imports")
