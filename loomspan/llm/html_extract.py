@@ -1,10 +1,14 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped so that each block element is a line. A line counts with the length of its text; lines of menus,
-notices, forms and the like, of link lists, and, where the page marks its article, of anything outside it count
-nothing. The sums over sliding windows of ``WINDOW`` lines surge where the main text begins and dive to nothing where
-it ends; the lines between a surge and the dive after it are kept. Inside a marked article, where paragraphs and
-headings count ``PARAGRAPH`` more, each line must be in a window that reaches the surge by itself.
+Markup is stripped so that each block element is a line. Lines of menus, notices, forms and the like, and, where the page
+marks its article, of anything outside it, are no text. Of the others, those of one list or table are one unit, every
+other line is its own; a unit counts with the length of its text, and with ``PARAGRAPH`` more for each line that an
+element names as text: headings, paragraphs, quotes, items, cells. Link lists count nothing. The sums over sliding windows
+of ``WINDOW`` units surge where the main text begins and dive where it ends.
+
+Inside a marked article everything that an element names as text stays whatever its length; windows decide about
+lines of bare containers, which stay where a window with them reaches the surge. Without a marked article the text is
+the units in windows that reach the surge, less bare short lines at both ends of such a stretch.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,9 +25,9 @@ from pyspark.sql import functions as F
 WINDOW = 3
 #: Characters in a window at a surge.
 SURGE = 90
-#: What a paragraph or heading of a marked article counts besides its text: three of them are a surge, however short.
+#: What a line that an element names as text counts besides its length: three of them are a surge, however short.
 PARAGRAPH = SURGE // WINDOW
-#: Share of link text from which a line is a link list.
+#: Share of link text from which a list of two lines or more, or a line of two links or more, is a link list.
 LINKS = 0.5
 
 # Element names of HTML, and words of class, id and role that name what is no main text. A name of several
@@ -32,7 +37,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 CONTAINERS = frozenset("html body head div section article main nav header footer aside form ul ol dl table tbody thead tfoot tr figure fieldset menu dialog select details center blockquote hgroup address search".split())
 SKIPPED = frozenset("head nav footer aside form menu dialog select button fieldset search title".split())
-PARAGRAPHS = frozenset("p pre h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXTS = HEADINGS | frozenset("p pre li td th dt dd figcaption caption summary".split())
+LISTS = frozenset("ul ol dl table".split())
 WORDS = frozenset(
     "ad ads adv advert advertisement adverts advertising alert aside banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disqus footer gdpr hidden login masthead menu menus modal "
     "nav navbar navigation newsletter notice notices notification overlay pagination popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
@@ -42,6 +49,8 @@ NEUTRAL = frozenset(
     "area bar block body bottom box button buttons col column container content entry field fixed floating footer form group header heading holder inner item items label large left link links list main mobile outer panel primary "
     "region right row secondary section site slot small sticky text title top unit wrap wrapper".split()
 )
+#: Marks at the end of a sentence.
+SENTENCE_ENDS = ".!?:;\u2026\u3002\uff01\uff1f\"'\u201d\u2019)"
 #: Words that rule out an article or main element.
 ARTICLE_WORDS = frozenset("ad ads advert advertisement comment comments promo promoted related replies reply sponsored teaser".split())
 _NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)")
@@ -83,31 +92,42 @@ def _tag_end(page: str, at: int, failed: set[int]) -> int:
     return -1
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, bool, bool, int, bool]], bool]:
-    """Lines ``(text, skipped, in article, link characters, paragraph or heading)`` of a page, and whether it marks an article."""
-    lines: list[tuple[str, bool, bool, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, skipped, in article: of the element and all around it
+class Line(NamedTuple):
+    text: str
+    skipped: bool
+    inside: bool  #: of a marked article
+    linked: int  #: characters of links
+    links: int
+    element: str  #: the element that names it as text; empty for bare containers
+    block: int  #: the number of the outermost list or table around it; -1 without
+
+
+def lines_of(page: str) -> tuple[list[Line], bool]:
+    """The lines of a page, and whether it marks an article."""
+    lines: list[Line] = []
+    stack: list[tuple[str, bool, bool, int, bool]] = []  # name; skipped, in article, list or table, quoted: of the element and all around it
     opened: Counter[str] = Counter()
     held: list[str] = []
-    links, in_link, off, paragraph, marked = 0, 0, False, False, False
+    linked, links, in_link, off, element, marked, blocks = 0, 0, 0, False, "", False, 0
     at, n = 0, len(page)
     failed: set[int] = set()
     final = page.rfind(">")
 
     def flush():
-        nonlocal held, links, off, paragraph
+        nonlocal held, linked, links, off, element
         if held:
             text = " ".join(html.unescape("".join(held)).split())
-            lines.append((text, off or bool(stack and stack[-1][1]), bool(stack and stack[-1][2]), links, paragraph))
-            held, links = [], 0
-        off = paragraph = False
+            _, skipped, inside, block, quoted = stack[-1] if stack else ("", False, False, -1, False)
+            lines.append(Line(text, off or skipped, inside, linked, links, element or ("li" if block >= 0 else "blockquote" if quoted else ""), block))
+            held, linked, links = [], 0, 0
+        off, element = False, ""
 
     while at < n:
         open_ = page.find("<", at)
         end = n if open_ < 0 else open_
         if end > at and not (stack and stack[-1][1] and stack[-1][0] in INLINE):
             held.append(page[at:end])
-            links += (end - at) * (in_link > 0)
+            linked += (end - at) * (in_link > 0)
         if open_ < 0:
             break
         if page.startswith("<!--", open_):
@@ -135,6 +155,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, bool, int, bool]], bool]:
             continue
         if name == "a":
             in_link = 0 if closing else 1
+            links += in_link
         if name in INLINE:
             if name == "br":
                 held.append(" ")
@@ -143,7 +164,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, bool, int, bool]], bool]:
                     stack.pop()
                     opened[name] -= 1
             elif name not in VOID and (_named(attributes, WORDS) or _HIDDEN.search(attributes)):
-                stack.append((name, True, bool(stack and stack[-1][2])))
+                stack.append((name, True, *(stack[-1][2:] if stack else (False, -1, False))))
                 opened[name] += 1
             continue
         flush()
@@ -158,7 +179,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, bool, int, bool]], bool]:
             continue
         if name in VOID:
             continue
-        skipped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        _, skipped, inside, block, quoted = stack[-1] if stack else ("", False, False, -1, False)
         if name in ("article", "main"):
             named = _named(attributes, ARTICLE_WORDS)
             inside, marked = inside or not (named or skipped), marked or not (named or skipped)
@@ -167,43 +188,71 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool, bool, int, bool]], bool]:
         if attributes and _HIDDEN.search(attributes):
             named = True
         if name in CONTAINERS or name in SKIPPED:
-            stack.append((name, skipped or named, inside))
+            if name in LISTS and block < 0:
+                block, blocks = blocks, blocks + 1
+            stack.append((name, skipped or named, inside, block, quoted or name == "blockquote"))
             opened[name] += 1
         else:
-            off, paragraph = named, name in PARAGRAPHS
+            off, element = named, name if name in TEXTS else ""
     flush()
     return lines, marked
 
 
+def _units(lines: list[Line]) -> list[list[Line]]:
+    """Lines in order, those of one list or table together."""
+    units: list[list[Line]] = []
+    for line in lines:
+        if units and line.block >= 0 and units[-1][0].block == line.block:
+            units[-1].append(line)
+        else:
+            units.append([line])
+    return units
+
+
+def _link_list(unit: list[Line]) -> bool:
+    """Whether a unit is a list of links: two lines or two links at least, most of whose text they are, no heading; or a bare line that is a link."""
+    if unit[0].element in HEADINGS:
+        return False
+    some = len(unit) > 1 or unit[0].links > 1 or not unit[0].element
+    return some and sum(x.linked for x in unit) > LINKS * sum(len(x.text) for x in unit)
+
+
 def main_text(page: str | None) -> str:
     """The kept lines, joined by line ends; empty for null and empty pages and pages without text."""
     if not page:
         return ""
     lines, marked = lines_of(page)
+    some = [x for x in lines if x.text and not x.skipped and (x.inside or not marked)]
+    units = [u for u in _units(some) if not _link_list(u)]
+    weights = [sum(len(x.text) + PARAGRAPH * bool(x.element) for x in u) for u in units]
+    dense = [False] * len(units)
+    for i in range(max(1, len(units) - WINDOW + 1)):
+        if sum(weights[i : i + WINDOW]) >= SURGE:
+            dense[i : i + WINDOW] = [True] * len(dense[i : i + WINDOW])
     if marked:
-        return "\n".join(_dense([x for x in lines if x[2] and not x[1] and x[0]]))
-
-    weights = [0 if skipped or links > LINKS * len(text) else len(text) for text, skipped, _, links, _ in lines]
-    kept: list[str] = []
-    running = False
-    for i in range(len(lines)):
-        window = sum(weights[i : i + WINDOW])
-        running = window > 0 if running else window >= SURGE
-        if running and weights[i]:
-            kept.append(lines[i][0])
-    if not kept:
-        kept = [x[0] for x, w in zip(lines, weights, strict=True) if w]
-    return "\n".join(kept)
-
-
-def _dense(lines: list[tuple[str, bool, bool, int, bool]]) -> list[str]:
-    """Of an article's lines but its link lists, those in a window that reaches the surge; where none does, all of them, and the link lists if there is nothing else."""
-    own = [(x[0], len(x[0]) + PARAGRAPH * x[4]) for x in lines if x[3] <= LINKS * len(x[0])]
-    kept: dict[int, str] = {}
-    for i in range(max(1, len(own) - WINDOW + 1)):
-        if sum(w for _, w in own[i : i + WINDOW]) >= SURGE:
-            kept |= {j: own[j][0] for j in range(i, min(i + WINDOW, len(own)))}
-    return list(kept.values()) or [t for t, _ in own] or [x[0] for x in lines]
+        kept = [u for u, d in zip(units, dense, strict=True) if d or u[0].element]
+    else:
+        kept = _trimmed(units, dense)
+    return "\n".join(x.text for u in kept or units or [some] for x in u)
+
+
+def _trimmed(units: list[list[Line]], dense: list[bool]) -> list[list[Line]]:
+    """The stretches of dense units without the bare lines at their ends that are short and no sentence."""
+    kept: list[list[Line]] = []
+    at = 0
+    while at < len(units):
+        end = at
+        while end < len(units) and dense[end]:
+            end += 1
+        first, last = at, end
+        weak = lambda u: not u[0].element and len(u[0].text) < PARAGRAPH and u[0].text[-1] not in SENTENCE_ENDS
+        while first < last and weak(units[first]):
+            first += 1
+        while first < last and weak(units[last - 1]):
+            last -= 1
+        kept += units[first:last]
+        at = end + 1
+    return kept
 
 
 def extract(pages: DataFrame, html_col: str = "html", carry: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
