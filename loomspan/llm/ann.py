@@ -105,11 +105,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``(id, v)`` of the vectors that take part: none null or zero, no null or non-finite component, of the commonest length."""
+    """``(id, v)`` of the vectors that take part, each row once: none null or zero, no null or non-finite component; filled up with zeros to the longest."""
     some = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null and size(v) > 0")
     fine = some.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0))
-    length = fine.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return fine.where(F.size("v") == (length["n"] if length else 0))
+    sizes = fine.agg(F.min(F.size("v")).alias("a"), F.max(F.size("v")).alias("b")).first()
+    if sizes["a"] != sizes["b"]:
+        zero = F.lit(0).cast(fine.schema["v"].dataType.elementType)
+        fine = fine.withColumn("v", F.concat("v", F.array_repeat(zero, F.lit(sizes["b"]) - F.size("v"))))
+    return fine.distinct()
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, queries: np.ndarray, vectors: np.ndarray, k: int, floor: np.ndarray | None = None):
@@ -134,9 +137,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
 
     The query's own row is no neighbour of its own. Ties go to the smaller id; fewer than k candidates are all given.
     Equal vectors are searched once, and of each only the k + 1 smallest ids can be neighbours, so that copies cost
-    nothing; all queries get their rows. Ids are unique integers; rows with a null id, or whose vectors can't take part
-    (null, empty, zero, with null or non-finite components, of another length than most), give and get nothing. An
-    empty table gives an empty one. Other columns are not read.
+    nothing; all queries get their rows. Ids are integers. A row that is there more than once counts once; an id with
+    several vectors is searched with each, and none of them is a neighbour of another. A vector shorter than the longest
+    counts as filled up with zeros. Rows with a null id, or whose vectors can't take part (null, empty, zero, with null or
+    non-finite components), give and get nothing. An empty table gives an empty one. Other columns are not read.
     """
     spark = vectors.sparkSession
     rows = written(usable(vectors, id_col, vector_col), "vectors")
@@ -167,7 +171,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
         radius[r["leaf"]] = r["far"]
     radii = spark.sparkContext.broadcast(radius)
 
-    queries = rows.where(is_query(F.col("id")))
+    queries = rows.where(is_query(F.col("id"))).withColumn("key", F.monotonically_increasing_id())
     reps = written(queries.groupBy("v").agg(F.min("id").alias("rep")), "reps")
 
     def route(early: bool):
@@ -202,8 +206,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     later = written(bounded.mapInArrow(route(early=False), routed), "routed")
     found = early.unionByName(_compared(later, index, k))
     best = found.withColumn("r", F.row_number().over(by_rep)).where(f"r <= {k + 1}").select("rep", "id", "score")
-    every = queries.select(F.col("id").alias("query_id"), "v").join(reps, "v").select("query_id", "rep")
-    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    every = queries.select("key", F.col("id").alias("query_id"), "v").join(reps, "v").select("key", "query_id", "rep")
+    by_query = Window.partitionBy("key").orderBy(F.desc("score"), "id")
     ranked = every.join(best, "rep").where("id <> query_id").withColumn("rank", F.row_number().over(by_query)).where(f"rank <= {k}")
     return ranked.select("query_id", "rank", "id", "score")
 

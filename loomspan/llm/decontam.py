@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomspan.llm.words import _ODD, mixed, pieces, raw, word_hashes
 from loomspan.operators.tables import written
@@ -25,6 +26,8 @@ LEAVE_OUT = 7
 PENALTY = 2.0
 #: Bits of the filter of benchmark hashes.
 BITS = 1 << 26
+#: Hits or seeds of one hash that are compared in a task, and items that come to a document at a time.
+TILE, ITEMS = 4096, 256
 
 
 def masks(short: list[int]) -> list[list[int]]:
@@ -141,20 +144,24 @@ def overlap(words: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, in
 
 
 def _verify(min_share: float, min_words: int):
+    """(id, words, items) to (id, of, start_word, ...) for each item of the list that overlaps."""
+
     def verify(batches):
         for batch in batches:
-            keep, starts, lengths, equal, shares = [], [], [], [], []
-            for i, row in enumerate(zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("words", "item_words", "diagonals")), strict=True)):
-                words, item, diagonals = (np.asarray(x.values) for x in row)
-                best = max((overlap(words, item, int(d)) for d in diagonals), key=lambda x: (x[2], -x[1], -x[0]), default=(0, 0, 0))
-                share = best[2] / max(1, len(item))
-                if best[2] >= min(min_words, len(item)) and (share >= min_share or best[2] >= 4 * min_words):
-                    keep.append(i)
-                    for to, x in zip((starts, lengths, equal, shares), (*best, share), strict=True):
-                        to.append(x)
-            at = pa.array(keep, pa.int64())
-            pick = lambda c: batch.column(batch.schema.get_field_index(c)).take(at)  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([pick("id"), pick("item"), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(equal, pa.int64()), pa.array(shares, pa.float64())], names=["id", "item", "start_word", "n_words", "n_equal", "item_share"])
+            rows, texts, starts, lengths, equal, shares = [], [], [], [], [], []
+            for i in range(batch.num_rows):
+                words = np.asarray(batch.column(1)[i].values)
+                for asked in batch.column(2)[i]:
+                    item = np.asarray(asked["item_words"].values)
+                    best = max((overlap(words, item, int(d)) for d in np.asarray(asked["diagonals"].values)), key=lambda x: (x[2], -x[1], -x[0]), default=(0, 0, 0))
+                    share = best[2] / max(1, len(item))
+                    if best[2] >= min(min_words, len(item)) and (share >= min_share or best[2] >= 4 * min_words):
+                        rows.append(i)
+                        texts.append(asked["text"].as_py())
+                        for to, x in zip((starts, lengths, equal, shares), (*best, share), strict=True):
+                            to.append(x)
+            ids = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(equal, pa.int64()), pa.array(shares, pa.float64())], names=["id", "of", "start_word", "n_words", "n_equal", "item_share"])
 
     return verify
 
@@ -185,7 +192,28 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     filter_ = documents.sparkSession.sparkContext.broadcast(bits)
     probed = written(docs.mapInArrow(_probe(short, filter_), f"id {kinds['id']}, key string, hashes array<bigint>, places array<int>, words array<bigint>"), "probed")
     hits = probed.select("key", F.explode(F.arrays_zip("hashes", "places")).alias("h")).select("key", F.col("h.hashes").alias("hash"), F.col("h.places").alias("at"))
-    pairs = hits.join(seeds, "hash").groupBy("key", "item").agg(F.collect_set(F.col("at") - F.col("pos")).alias("diagonals"))
-    items = index.where("words is not null").select(F.col("item").alias("of"), F.col("words").alias("item_words"))
-    laid = pairs.join(probed.select("id", "key", "words"), "key").join(items, F.col("item").eqNullSafe(F.col("of")))
-    return laid.select("id", "item", "words", "item_words", "diagonals").mapInArrow(_verify(min_share, min_words), f"id {kinds['id']}, item {kinds['item']}, start_word long, n_words long, n_equal long, item_share double")
+    # Items with the same words are laid once; whoever has one has all of them.
+    texts = index.where("words is not null").select("item", F.col("words").alias("item_words"), F.sha2(F.to_json("words"), 256).alias("text"))
+    of_text = texts.select("item", "text")
+    one = written(texts.groupBy("text").agg(F.first("item_words").alias("item_words")), "texts")
+    seeds = written(seeds.join(of_text.withColumnRenamed("item", "own"), F.col("item").eqNullSafe(F.col("own"))).select("text", "hash", "pos").distinct(), "seeds")
+    # A hash of many documents and items is cut into tiles, so that no key is one task.
+    pairs = _met(hits, seeds).groupBy("key", "text").agg(F.collect_set(F.col("at") - F.col("pos")).alias("diagonals"))
+    # The words of a document go with it once: its items come as a list of bounded parts.
+    part = F.floor((F.row_number().over(Window.partitionBy("key").orderBy("text")) - 1) / ITEMS)
+    asked = pairs.join(one, "text").withColumn("part", part).groupBy("key", "part").agg(F.collect_list(F.struct("text", "item_words", "diagonals")).alias("items"))
+    laid = asked.join(probed.select("id", "key", "words"), "key").select("id", "words", "items")
+    found = laid.mapInArrow(_verify(min_share, min_words), f"id {kinds['id']}, of string, start_word long, n_words long, n_equal long, item_share double")
+    return found.join(of_text, found["of"] == of_text["text"]).select("id", "item", "start_word", "n_words", "n_equal", "item_share")
+
+
+def _met(hits: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``(key, text, at, pos)`` of hits and seeds with the same hash. A hash of more than ``TILE`` of either is dealt: its hits into blocks, each of which meets every block of its seeds."""
+    blocks = lambda df, n: df.groupBy("hash").agg(F.ceil(F.count("*") / TILE).alias(n)).where(f"{n} > 1")
+    one = F.lit(1).cast("long")
+    x, y = blocks(hits, "x"), blocks(seeds, "y")
+    sized = lambda df: df.join(x, "hash", "left").join(y, "hash", "left").withColumns({"x": F.coalesce("x", one), "y": F.coalesce("y", one)})
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = sized(hits).select("key", "hash", "at", F.pmod(F.xxhash64("key", "at"), "x").alias("i"), each("y").alias("j"))
+    right = sized(seeds).select("text", "hash", "pos", F.pmod(F.xxhash64("text", "pos"), "y").alias("j"), each("x").alias("i"))
+    return left.join(right, ["hash", "i", "j"]).select("key", "text", "at", "pos")

@@ -247,7 +247,7 @@ def _packs(active: DataFrame) -> DataFrame:
                         stream.write_batch(rows)
                     yield pa.RecordBatch.from_arrays([pa.array([int(c)], pa.int32()), rows.column(0).slice(0, 1), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["cluster", "pack", "members"])
 
-    dealt = active.select("cluster", *columns).repartitionByRange(-(-active.count() // (4 * PACK)), "cluster", "key")
+    dealt = active.select("cluster", *columns).repartitionByRange(max(1, -(-active.count() // (4 * PACK))), "cluster", "key")
     return written(dealt.mapInArrow(pack, "cluster int, pack long, members binary"), "packs")
 
 

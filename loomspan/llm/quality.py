@@ -190,8 +190,10 @@ def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     known = labels.where(fold != 0).select("doc_id", F.col("quality").alias("label"), F.xxhash64("doc_id").alias("h"))
     texts = documents.select("doc_id", "text")
-    # Labels grow with the documents, so they meet by sorting; the sample's labels are bounded by ROWS and go everywhere.
-    few = lambda limit: texts.join(F.broadcast(known.where(F.pmod("h", F.lit(1 << 30)) <= limit)), "doc_id")
+    # Labels may be many more than documents: only those of documents go on, found by ids alone, without texts. They
+    # grow with the documents and meet these by sorting. The sample's labels are left to Spark, which knows their size.
+    known = written(known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi"), "labels")
+    few = lambda limit: texts.join(written(known.where(F.pmod("h", F.lit(1 << 30)) <= limit), "few"), "doc_id")
     out = score(documents, train(texts.join(known.hint("merge"), "doc_id"), few))
     held = F.coalesce(F.crc32(F.col("id").cast("string")) % 5 == 0, F.lit(False))
     return out.select(F.col("id").alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

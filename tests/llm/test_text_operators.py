@@ -116,15 +116,30 @@ class Naive(__import__("html.parser").parser.HTMLParser):
 
 
 def test_real_pages_against_a_naive_version(spark):
-    """Every page of a table: lines by the standard parser, and each window of three summed anew."""
+    """Every page of a table, from the contract alone: all lines of the article but its marked-off parts."""
     for row in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
         naive = Naive()
         naive.feed(row["html"])
         naive.line()
-        weights = [len(t) + 30 * (kind in ("p", "h1", "h2", "h3")) for t, kind in naive.lines]
-        windows = [range(i, min(i + 3, len(weights))) for i in range(max(1, len(weights) - 2))]
-        kept = [t for i, (t, _) in enumerate(naive.lines) if any(i in w and sum(weights[j] for j in w) >= 90 for w in windows)] or [t for t, _ in naive.lines]
-        assert html_extract.main_text(row["html"]) == "\n".join(kept), row["url"]
+        assert html_extract.main_text(row["html"]) == "\n".join(t for t, _ in naive.lines), row["url"]
+
+
+def test_articles_stay_whole():
+    text = lambda page: html_extract.main_text(page).split("\n")
+    long = "A long paragraph that goes on for more than ninety characters, so that it is a surge all by itself, and then some."
+    assert text('<article><h1><a href="/x">The title of it</a></h1><p>First paragraph.</p><ul><li><a href="/s">See also this</a></li></ul></article>') == ["The title of it", "First paragraph.", "See also this"]
+    assert text(f"<article><h1>T</h1><p>One.</p><ul><li>milk</li><li>egg</li><li>rye</li></ul><p>{long}</p></article>") == ["T", "One.", "milk", "egg", "rye", long]
+    cells = "".join(f"<tr><td>{a}</td><td>{b}</td></tr>" for a, b in (("Ann", 3), ("Bo", 4), ("Cy", 5)))
+    assert text(f"<article><p>{long}</p><table>{cells}</table></article>") == [long, "Ann", "3", "Bo", "4", "Cy", "5"]
+    assert text(f"<article><p>{long}</p><ul><li>One</li><li>Two</li></ul><pre>x = 1</pre><blockquote>Yes.</blockquote></article>") == [long, "One", "Two", "x = 1", "Yes."]
+    menu = "".join(f'<li><a href="/{i}">Part {i}</a></li>' for i in range(4))
+    assert text(f"<article><ul>{menu}</ul><p>Short.</p><p><a href='/y'>A linked paragraph.</a></p></article>") == ["Short.", "A linked paragraph."]
+
+
+def test_menus_after_the_text_go_without_article():
+    long = "A long paragraph that goes on for more than ninety characters, so that it is a surge all by itself, and then some."
+    page = f"<body><div>Home</div><div>{long}</div><div>{long}</div><div>Subscribe to our list</div><div>Terms Privacy</div></body>"
+    assert html_extract.main_text(page) == f"{long}\n{long}"
 
 
 def test_extract_rows(spark):
