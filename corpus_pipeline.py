@@ -16,8 +16,8 @@ from loomspan.operators.tables import ship, written
 #: A document goes if it has no letter, or if its best language's score times the share of its trigrams that learning met
 #: is less than this part of the value that all but one in a thousand of the labelled texts kept from learning have.
 LANGUAGE_PART, LANGUAGE_QUANTILE = 0.6, 0.001
-#: Bytes of a text from which it is judged; shorter ones show too little and stay.
-LANGUAGE_BYTES = 64
+#: A share counted over few trigrams is uncertain: the bound is lower by this over the root of the text's bytes, about three standard errors.
+LANGUAGE_ERRORS = 1.5
 
 
 def _carried(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -45,7 +45,7 @@ def _own(docs: DataFrame) -> list:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a learned language; fills a missing ``lang`` where the table has that column.
+    """Keeps documents in a learned language, and fills a missing ``lang``, the column that it learns from.
 
     Null and empty texts and texts without a letter go; very long ones are judged whole. Repeated rows and null ids stay
     as they are; without labels in the table every text is in no learned language and goes; an empty table stays empty.
@@ -58,14 +58,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     held_out = langid.predict(docs.where((fold == 1) & F.col("lang").isNotNull()).select("doc_id", "text", "lang"), net, carry=["lang"])
     low = held_out.where("lang_pred = lang").agg(F.percentile_approx(sure, F.lit(LANGUAGE_QUANTILE), F.lit(10_000))).first()[0]
     found = langid.predict(moved, net, carry=list(names.values()))
-    kept = found.where((F.col("lang_pred") != "und") & ((sure >= LANGUAGE_PART * (low or 0.0)) | (F.octet_length("text") < LANGUAGE_BYTES)))
+    bound = LANGUAGE_PART * (low or 0.0) - LANGUAGE_ERRORS / F.sqrt(F.octet_length("text"))
+    kept = found.where((F.col("lang_pred") != "und") & (sure >= bound))
     return _restored(kept.withColumn(names["lang"], F.coalesce(names["lang"], "lang_pred")), names, docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates the document with the smallest id, a null id last.
 
-    Rows are told apart by id and text, so that rows of one id with unrelated texts all stay, and of rows that repeat
+    Rows are told apart by a 64-bit hash of id and text, so that rows of one id with unrelated texts all stay, and of rows that repeat
     both one does. Null, empty and blank texts are nobody's duplicates and all stay. Very long texts count whole; an
     empty table gives an empty one; ties go by the row's key.
     """
