@@ -435,7 +435,7 @@ def test_pipeline_rejects_languages_that_it_did_not_learn(spark):
     import corpus_pipeline as cp
 
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
-    odd = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", "Все люди рождаются свободными и равными в своем достоинстве и правах.", "人人生而自由在尊严和权利上一律平等他们赋有理性和良心", "bqz xkvw qqzt zzkx vjhq wpqz xxqj kzvq qjxw zkqv " * 2]
+    odd = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", "Все люди рождаются свободными и равными в своем достоинстве и правах.", "人人生而自由在尊严和权利上一律平等他们赋有理性和良心", "bqz xkvw qqzt zzkx vjhq wpqz xxqj kzvq qjxw zkqv " * 2, "Привет мир", "人人生而自由"]
     more = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string")
     kept = {r["doc_id"] for r in cp.language_id(spark, docs.unionByName(more), SF).collect()}
     lettered = {r["doc_id"] for r in docs.where("text rlike '[a-zA-Z]'").collect()}
