@@ -289,7 +289,9 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     # Every node against the hub that it shares most with.
     met = shared.where("key <> hub").groupBy("key", "n", "hub", "hub_n").agg(F.count("*").alias("c"))
     best = met.groupBy("key", "n").agg(F.max(F.struct("c", "hub", "hub_n")).alias("best")).select(F.col("key").alias("b"), "n", F.col("best.hub").alias("a"), "best.hub_n", "best.c")
-    near = written(_verified(best.where(_may_link("n", "hub_n", "1", percent)).select("a", "b"), ordered, percent), "near")
+    # Written first, so that Spark knows how few these are before it plans the joins with the sets.
+    tried = written(best.where(_may_link("n", "hub_n", "1", percent)).select("a", "b"), "tried")
+    near = written(_verified(tried, ordered, percent), "near")
     first = written(connected_components(near), "first")
     # All pairs of nodes that are not connected yet.
     across = written(_across(shared.drop("hub", "hub_n"), first, percent), "across")
