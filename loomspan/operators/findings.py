@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomspan.operators.tables import numbered
+
 # Points that an issue of each severity costs, and confidence by type of finding.
 WEIGHTS = {"critical": 25, "high": 15, "medium": 8, "low": 3, "warning": 3}
 OTHER_WEIGHT, DEAD_MEDIUM, DEAD_OTHER = 5, 5, 2
@@ -108,16 +110,24 @@ def report_summary(findings: DataFrame, keys: list[str]) -> DataFrame:
 
 def page(findings: DataFrame, order: list[str], limit: int = 25, offset: int = 0, severity: str | None = None, type_: str | None = None, file_part: str | None = None) -> DataFrame:
     """One page of the filtered findings in a unique order."""
+    return _filtered(findings, severity, type_, file_part).orderBy(*order).offset(offset).limit(limit)
+
+
+def _filtered(findings: DataFrame, severity: str | None = None, type_: str | None = None, file_part: str | None = None) -> DataFrame:
     for column, value in (("severity", severity), ("type", type_)):
         findings = findings.where(F.col(column) == value) if value is not None else findings
-    findings = findings.where(F.col("file").contains(file_part)) if file_part is not None else findings
-    return findings.orderBy(*order).offset(offset).limit(limit)
+    return findings.where(F.col("file").contains(file_part)) if file_part is not None else findings
+
+
+def page_with_total(findings: DataFrame, order: list[str], limit: int = 25, offset: int = 0, **filters: str | None) -> DataFrame:
+    """One page of the filtered findings, as ``page`` gives it, with ``total``, how many pass the filters, and ``has_more``, whether any comes after the page."""
+    total = _filtered(findings, **filters).agg(F.count("*").alias("total"))
+    return page(findings, order, limit, offset, **filters).crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + limit)  # total is one row
 
 
 def chunks(findings: DataFrame, run: str, order: list[str], size: int = 25) -> DataFrame:
-    """Findings with the number of the chunk of ``size`` that they fall in, per run."""
-    rank = F.row_number().over(Window.partitionBy(run).orderBy(*order))
-    return findings.withColumn("chunk", F.floor((rank - 1) / size))
+    """Findings with the number of the chunk of ``size`` that they fall in, per run. A large run is spread over tasks."""
+    return numbered(findings, [run], order, "chunk").withColumn("chunk", F.floor(F.col("chunk") / size))
 
 
 def list_reports(findings: DataFrame, run: str, when: str) -> DataFrame:
@@ -155,6 +165,38 @@ def verify(findings: DataFrame, refuted: dict[str, DataFrame], on: list[str], su
     return joined.withColumn("status", status).drop("__refuted")
 
 
+# How a finding of a type is confirmed, how surely, and how surely if its file has changes that are not committed.
+CONFIRMED = {
+    "nonExistentFunction": ("static_analysis", 95, 90), "nonExistentClass": ("static_analysis", 95, 90), "undefinedVariable": ("static_analysis", 95, 90), "nonExistentImport": ("module_resolution", 98, 98),
+    "dependencyHallucination": ("registry_check", 99, 99), "missingDependency": ("manifest_check", 70, 70), "wrongParamCount": ("signature_analysis", 92, 92), "unusedImport": ("usage_analysis", 95, 95),
+}
+# How surely each kind of evidence refutes a finding, in the order in which they are asked.
+REFUTED = {"local_scope": 95, "cross_reference": 90, "future_feature_detection": 85, "module_resolution": 80, "registry_check": 85, "subdirectory_manifest_check": 98, "signature_analysis": 88, "dependency_graph": 98, "usage_analysis": 90, "symbol_lookup": 90}
+
+
+def verify_with_methods(findings: DataFrame, evidence: DataFrame, on: list[str], changed: DataFrame | None = None) -> DataFrame:
+    """Findings with ``status``, ``method`` and ``adjusted``, the confidence after verification.
+
+    ``evidence(type, *on, method)`` refutes: the finding is a false positive by the first method in the order of
+    ``REFUTED``. Else a type that can be confirmed is, by its own method; findings in files of ``changed(file)`` a little
+    less surely where the code may be of a planned feature. Other types stay uncertain with the confidence they had.
+    """
+    order = {m: i for i, m in enumerate(REFUTED)}
+    lookup = lambda table, c: F.create_map(*(F.lit(x) for k, v in table.items() for x in (k, v)))[F.col(c)]
+    best = evidence.where(F.col("method").isin(*REFUTED)).groupBy("type", *on).agg(F.min_by("method", lookup(order, "method")).alias("__by"))
+    out = findings.join(best, ["type", *on], "left")
+    if changed is not None:
+        out = out.join(changed.select("file").distinct().withColumn("__changed", F.lit(True)), "file", "left")
+    else:
+        out = out.withColumn("__changed", F.lit(None).cast("boolean"))
+    no, known = F.col("__by").isNotNull(), F.col("type").isin(*CONFIRMED)
+    column = lambda i: lookup({k: v[i] for k, v in CONFIRMED.items()}, "type")
+    return out.select(
+        *findings.columns, F.when(no, "false_positive").when(known, "confirmed").otherwise("uncertain").alias("status"), F.when(no, F.col("__by")).when(known, column(0)).otherwise("none").alias("method"),
+        F.when(no, lookup(REFUTED, "__by")).when(known & F.col("__changed"), column(2)).when(known, column(1)).otherwise(F.col("confidence")).cast("int").alias("adjusted"),
+    )
+
+
 def verification_stats(verified: DataFrame) -> DataFrame:
     return verified.groupBy("status").agg(F.count("*").alias("n"))
 

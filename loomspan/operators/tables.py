@@ -8,6 +8,8 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _OWN: list[str] = []
 _DELETED_AT_END: set[str] = set()
@@ -44,6 +46,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, keys: list[str], order: list, to: str = "place") -> DataFrame:
+    """``df`` with each row's place within its key, from 0, in an order without ties.
+
+    The table is sorted over all tasks by ranges of key and order; a place is the number of the key's rows in ranges
+    before plus the place within the range. So a key of any size is spread over as many tasks as it fills.
+    """
+    ranged = written(df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()), "ranged")
+    own = [*keys, "__part"]
+    counts = ranged.groupBy(*own).agg(F.count("*").alias("__n"))
+    # As many rows as keys and, for keys in several ranges, ranges.
+    before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))).select(*own, F.coalesce("__before", F.lit(0)).alias("__before"))
+    within = ranged.withColumn("__r", F.row_number().over(Window.partitionBy(*own).orderBy(*order)))
+    same = [within[c].eqNullSafe(before[c]) for c in own]
+    return within.join(before, same).select(*(within[c] for c in df.columns), (F.col("__before") + F.col("__r") - 1).alias(to))
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, for clusters on which it is not installed; once a context."""
     context = spark.sparkContext

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from loomspan.operators.pairs import BLOCK, pairs_of
 from loomspan.operators.rank import best_rows
-from loomspan.operators.tables import written
+from loomspan.operators.tables import numbered
 
 Keys = tuple[str, ...]
 
@@ -38,18 +38,12 @@ def index_by(symbols: DataFrame, key: str, value: str, keys: Keys = ()) -> DataF
 def postings(symbols: DataFrame, key: str, value: str, size: int = 1024, keys: Keys = ()) -> DataFrame:
     """``(key, chunk, first, n, values)``: the distinct values of each key in order, cut into lists of at most ``size``.
 
-    ``first`` makes the rows a directory: a value is looked up in the last chunk whose ``first`` is not above it. The
-    place of a value within its key is the number of values before its range and its place within it: ranges come from
-    sorting the table over all tasks, so that a key of any size is spread over as many as it fills.
+    ``first`` makes the rows a directory: a value is looked up in the last chunk whose ``first`` is not above it. No key is
+    one task, whatever its size.
     """
     own = [*keys, key]
     distinct = symbols.select(*own, F.col(value).alias("value")).where("value is not null").distinct()
-    ordered = written(distinct.repartitionByRange(*own, "value").withColumn("part", F.spark_partition_id()), "postings")
-    counts = ordered.groupBy(*own, "part").agg(F.count("*").alias("n"))
-    # As many rows as keys and, for keys in several ranges, ranges.
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy(*own).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select(*own, "part", F.coalesce("before", F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy(*own, "part").orderBy("value"))
-    placed = ordered.withColumn("r", within).join(before, [*own, "part"]).withColumn("chunk", F.floor((F.col("before") + F.col("r") - 1) / size))
+    placed = numbered(distinct, own, ["value"]).withColumn("chunk", F.floor(F.col("place") / size))
     return placed.groupBy(*own, "chunk").agg(F.min("value").alias("first"), F.count("*").alias("n"), F.array_sort(F.collect_list("value")).alias("values"))
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
-from loomspan.operators.tables import new_path
+from loomspan.operators.tables import new_path, written
+from loomspan.streaming.logs import ChangeLog
 
 
 def watch_files(spark: SparkSession, path: str, schema, max_files: int = 16) -> DataFrame:
@@ -104,55 +105,272 @@ def symbol_relevance(edits: DataFrame, as_of: Column, width_minutes: int = 5, mo
 
 
 class _LatestVersion(StatefulProcessor):
-    """Keeps the newest (ts, event) of a key and a count; passes only events newer than it."""
+    """Keeps the newest (ts, event) of a key and a count; passes only events newer than it. With ``idle`` milliseconds a key's state goes once the watermark is so far behind its newest event."""
+
+    def __init__(self, idle: int | None):
+        self.idle = idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("latest", "us long, event_id long, version long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
         us, event, version = self.state.get() if self.state.exists() else (-1, -1, 0)
-        taken = []
+        taken, before = [], us
+        if self.idle is not None and us >= 0 and us // 1000 + self.idle <= timerValues.getCurrentWatermarkInMs():
+            us, event, version = -1, -1, 0  # timers run after a batch's rows, but the state is as good as gone
         for part in rows:
             for r in part.sort_values(["us", "event_id"]).itertuples(index=False):
                 if (r.us, r.event_id) > (us, event):
                     us, event, version = int(r.us), int(r.event_id), version + 1
                     taken.append((key[0], event, version, r.change_type))
         self.state.update((us, event, version))
+        if self.idle is not None and us != before:
+            if before >= 0:
+                self.handle.deleteTimer(before // 1000 + self.idle)
+            self.handle.registerTimer(us // 1000 + self.idle)
         yield pd.DataFrame(taken, columns=["path", "event_id", "version", "change_type"])
 
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        self.state.clear()
+        yield pd.DataFrame([], columns=["path", "event_id", "version", "change_type"])
+
     def close(self) -> None:
         pass
 
 
-def latest_version(edits: DataFrame) -> DataFrame:
-    """A stream of ``(path, event_id, version, change_type)``: each accepted event with its path's version; an event older than the path's latest is dropped."""
-    edits.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    keyed = edits.select("path", "event_id", "change_type", F.unix_micros("ts").alias("us"))
-    return keyed.groupBy("path").transformWithStateInPandas(_LatestVersion(), "path string, event_id long, version long, change_type string", "Update", "None")
+def _with_rocks(stream: DataFrame) -> DataFrame:
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return stream
+
+
+def latest_version(edits: DataFrame, idle_minutes: int | None = None, delay: str = "1 minute") -> DataFrame:
+    """A stream of ``(path, event_id, version, change_type)``: each accepted event with its path's version; an event older than the path's latest is dropped.
+
+    With ``idle_minutes`` the state of a path goes, by an event-time timer, once the watermark has passed its newest event
+    by so much; a later event begins again with version 1.
+    """
+    base = edits.withWatermark("ts", delay) if idle_minutes is not None else edits
+    keyed = _with_rocks(base.select("path", "event_id", "change_type", F.unix_micros("ts").alias("us"), *(["ts"] if idle_minutes is not None else [])))
+    processor = _LatestVersion(None if idle_minutes is None else idle_minutes * 60_000)
+    return keyed.groupBy("path").transformWithStateInPandas(processor, "path string, event_id long, version long, change_type string", "Update", "None" if idle_minutes is None else "EventTime")
 
 
-def _logged(stream: DataFrame, folder: str, schema: str) -> DataFrame:
-    """Runs a stream in update mode into a log with a folder a batch, and reads the whole log. A batch that runs again replaces its own folder; a later call with the same folder goes on from the checkpoint beside it."""
-    run_batches(stream, lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/batch={number}"), "update", f"{folder}-checkpoint")
-    return stream.sparkSession.read.schema(schema).parquet(folder)
+class _Sessions(StatefulProcessor):
+    """One open session a key: first, last and number of its events. It ends with an event after ``gap`` milliseconds, or when the watermark passes its expiry."""
 
+    def __init__(self, gap: int):
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("open", "first long, last long, n long")
+
+    def _row(self, key: tuple, first: int, last: int, n: int) -> tuple:
+        return key[0], first, last, n
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        ended = []
+        before = now = self.state.get() if self.state.exists() else None
+        times = sorted(int(t) for part in rows for t in part["us"])
+        for us in times:
+            if now is not None and us - now[1] > self.gap * 1000:
+                ended.append(self._row(key, *now))
+                now = None
+            # An event that comes late widens the session that is open.
+            now = (us, us, 1) if now is None else (min(now[0], us), max(now[1], us), now[2] + 1)
+        if now is not None and now != before:
+            if before is not None:
+                self.handle.deleteTimer(before[1] // 1000 + self.gap)
+            self.handle.registerTimer(now[1] // 1000 + self.gap)
+            self.state.update(tuple(now))
+        yield pd.DataFrame(ended, columns=["agent", "first", "last", "n"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        ended = [self._row(key, *self.state.get())] if self.state.exists() else []
+        self.state.clear()
+        yield pd.DataFrame(ended, columns=["agent", "first", "last", "n"])
+
+    def close(self) -> None:
+        pass
+
+
+def session_state(events: DataFrame, minutes: int = 30, delay: str = "1 minute") -> DataFrame:
+    """A stream of ``(agent, first, last, n)``, the sessions of each agent as they end. Only open sessions are state: an event-time timer gives and drops a session once the watermark passes its expiry."""
+    keyed = _with_rocks(events.where("ts is not null").withWatermark("ts", delay).select("agent", "ts", F.unix_micros("ts").alias("us")))
+    kind = dict(keyed.dtypes)["agent"]
+    out = keyed.groupBy("agent").transformWithStateInPandas(_Sessions(minutes * 60_000), f"agent {kind}, first long, last long, n long", "Append", "EventTime")
+    return out.select("agent", *(F.timestamp_micros(c).alias(c) for c in ("first", "last")), "n")
+
+
+class _NewestSessions(StatefulProcessor):
+    """A map of a key's sessions and their last events, ``most`` at most. The oldest is given and dropped when one more comes; with ``gap`` milliseconds, also those that the watermark has passed by it."""
+
+    def __init__(self, most: int, gap: int | None):
+        self.most, self.gap = most, gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sessions = handle.getMapState("sessions", "session string", "us long, event_id long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        held = {k[0]: tuple(v) for k, v in self.sessions.iterator()}
+        before, gone = dict(held), []
+        if self.gap is not None:  # timers run after a batch's rows, but these have expired before them
+            due = timerValues.getCurrentWatermarkInMs() - self.gap
+            gone = [(key[0], s, at[0], "expired") for s, at in held.items() if at[0] // 1000 <= due]
+            held = {s: at for s, at in held.items() if at[0] // 1000 > due}
+        for r in pd.concat(list(rows)).sort_values(["us", "event_id"]).itertuples(index=False):
+            held[r.session] = max(held.get(r.session, (-1, -1)), (int(r.us), int(r.event_id)))
+            if len(held) > self.most:
+                oldest = min(held, key=lambda s: held[s])
+                gone.append((key[0], oldest, held.pop(oldest)[0], "evicted"))
+        for session in before.keys() - held.keys():
+            self.sessions.removeKey((session,))
+        for session, at in held.items():
+            if before.get(session) != at:
+                self.sessions.updateValue((session,), at)
+                if self.gap is not None:
+                    self.handle.registerTimer(at[0] // 1000 + self.gap)
+        yield pd.DataFrame(gone, columns=["project_id", "session", "last", "reason"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
+        # A timer of a session that has gone on, or has gone already, finds nothing to drop.
+        due = expiredTimerInfo.getExpiryTimeInMs() - self.gap
+        gone = [(key[0], k[0], v[0], "expired") for k, v in self.sessions.iterator() if v[0] // 1000 <= due]
+        for _, session, _, _ in gone:
+            self.sessions.removeKey((session,))
+        yield pd.DataFrame(gone, columns=["project_id", "session", "last", "reason"])
+
+    def close(self) -> None:
+        pass
 
-def alert_state(stream: DataFrame, severe: tuple[str, ...] = ("critical", "high"), folder: str | None = None) -> DataFrame:
+
+def newest_sessions(events: DataFrame, most: int = 10, minutes: int | None = 30, delay: str = "1 minute") -> DataFrame:
+    """A stream of ``(project_id, session, last, reason)``: the sessions that leave a project's state, of ``events(project_id, session, ts, event_id)``.
+
+    The state of a project is its ``most`` newest sessions: the oldest goes when one more comes (evicted), and any goes when
+    the watermark has passed its last event by ``minutes`` (expired). Without ``minutes`` only the number counts.
+    """
+    base = events.where("ts is not null").withColumn("us", F.unix_micros("ts"))
+    base = base.withWatermark("ts", delay) if minutes is not None else base
+    keyed = _with_rocks(base.select("project_id", F.col("session").cast("string").alias("session"), "us", "event_id", *(["ts"] if minutes is not None else [])))
+    kind = dict(keyed.dtypes)["project_id"]
+    processor = _NewestSessions(most, None if minutes is None else minutes * 60_000)
+    out = keyed.groupBy("project_id").transformWithStateInPandas(processor, f"project_id {kind}, session string, last long, reason string", "Append", "None" if minutes is None else "EventTime")
+    return out.withColumn("last", F.timestamp_micros("last"))
+
+
+def alert_state(stream: DataFrame, severe: tuple[str, ...] = ("critical", "high"), folder: str | None = None, every: int = 20) -> DataFrame:
     """The alerts ``(project_id, file, event_id, severity)`` after all batches: a file's finding with the largest event id stands if it is severe, else the file is clear.
 
     The newest event of each file is Spark's state, by key, so that late batches with older events change nothing.
-    Only files that a batch has touched are written. With a ``folder`` of its own a stopped stream goes on where it was.
+    Only files that a batch has touched are written, into a log that is compacted after ``every`` batches. With a
+    ``folder`` of its own a stopped stream goes on where it was.
     """
     newest = F.max_by(F.struct("event_id", "severity"), "event_id")
     state = stream.groupBy("project_id", "file").agg(newest.alias("e")).select("project_id", "file", "e.*")
-    log = _logged(state, folder or new_path(stream.sparkSession, "alerts"), "project_id long, file string, event_id long, severity string")
-    return log.groupBy("project_id", "file").agg(newest.alias("e")).select("project_id", "file", "e.*").where(F.col("severity").isin(*severe))
+    folder = folder or new_path(stream.sparkSession, "alerts")
+    log = ChangeLog(stream.sparkSession, folder, "project_id long, file string, event_id long, severity string", ("project_id", "file"), "event_id", every)
+    run_batches(state, log.write, "update", f"{folder}-checkpoint")
+    return log.read().where(F.col("severity").isin(*severe))
 
 
-def write_alerts(alerts: DataFrame, path: str, severities: tuple[str, ...] = ("critical", "high", "medium", "low")) -> None:
-    """Writes the alerts of each project as JSON, one row ``(file, n, critical, high, medium, low)`` a file; a new set replaces the old."""
+def scrubbed(initial: DataFrame, live: DataFrame) -> DataFrame:
+    """The rows of an initial scan ``(project_id, file, ...)`` that no live check has cleared since: ``live(project_id, file, clean)``.
+
+    A clean check of a file clears the scan's rows of the same path, or of one of which it is the end, or that is its end;
+    paths are compared with forward slashes and without leading steps up. So each path meets the ends of the other.
+    """
+    plain = F.regexp_replace(F.translate("file", "\\", "/"), r"^(\.\./)+", "")
+    parts = F.split(F.col("__path"), "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    own = initial.withColumn("__path", plain)
+    clean = live.where("clean").select("project_id", plain.alias("__path")).distinct()
+    paths = own.select("project_id", "__path").distinct()
+    met = paths.withColumn("end", F.explode(ends)).join(clean.select("project_id", F.col("__path").alias("end")), ["project_id", "end"]).select("project_id", "__path")
+    met = met.unionByName(clean.select("project_id", F.explode(ends).alias("__path")).join(paths, ["project_id", "__path"]))
+    return own.join(met.distinct(), ["project_id", "__path"], "left_anti").drop("__path")
+
+
+def write_alerts(alerts: DataFrame, path: str, severities: tuple[str, ...] = ("critical", "high", "medium", "low"), touched: DataFrame | None = None) -> None:
+    """Writes the alerts of each project as JSON, one row ``(file, n, critical, high, medium, low)`` a file; a new set replaces the old.
+
+    With ``touched(project_id)`` only the files of these projects are replaced, and those of all others stay as they are;
+    one without alerts gets a row without a file. ``read_alerts`` reads what is there.
+    """
     counts = [F.count_if(F.col("severity") == s).alias(s) for s in severities]
-    alerts.groupBy("project_id", "file").agg(F.count("*").alias("n"), *counts).write.mode("overwrite").partitionBy("project_id").json(path)
+    if touched is None:
+        alerts.groupBy("project_id", "file").agg(F.count("*").alias("n"), *counts).write.mode("overwrite").partitionBy("project_id").json(path)
+        return
+    some = touched.select("project_id").distinct()
+    rows = alerts.join(some, "project_id", "left_semi").groupBy("project_id", "file").agg(F.count("*").alias("n"), *counts)
+    none = some.join(rows.select("project_id"), "project_id", "left_anti").select("project_id", F.lit(None).cast("string").alias("file"), *(F.lit(0).cast("long").alias(c) for c in ("n", *severities)))
+    rows.unionByName(none).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").json(path)
+
+
+def read_alerts(spark: SparkSession, path: str, severities: tuple[str, ...] = ("critical", "high", "medium", "low")) -> DataFrame:
+    """What ``write_alerts`` has written."""
+    return spark.read.schema(f"project_id long, file string, n long, {', '.join(f'{s} long' for s in severities)}").json(path).where("file is not null")
+
+
+def maintained_findings(edits: DataFrame, folder: str | None = None, every: int = 20) -> DataFrame:
+    """``(project_id, file, symbol_id, type)``: what is wrong with the newest versions of all files, kept up by a stream of edits that also change definitions and imports.
+
+    ``edits(project_id, file, event_id, change_type, definitions, imports, uses)``: with each event the file's new
+    content, ``definitions`` an array of structs ``(symbol_id, exported)``, the others of symbols; unlink removes the
+    file. The findings are uses of symbols that no file defines, imports that their file doesn't use, and exported
+    definitions that no file imports.
+
+    A batch takes the newest event of each file that is newer than what the tables have. The symbols that these files
+    define or import, before or now, are the delta: a symbol that is now defined, or no longer, changes the findings of
+    the files that use it, and one that is now imported, or no longer, those of the files that define it. These files
+    and the changed ones are checked again, and no others. Events may come in any order; the end is that of a full run.
+    All tables are logs with snapshots, and a batch that runs again reads what was before it.
+    """
+    spark = edits.sparkSession
+    folder = folder or new_path(spark, "maintained")
+    kinds = {c: t for c, t in edits.dtypes}
+    key = f"project_id {kinds['project_id']}, file {kinds['file']}"
+    log = lambda name, schema, version: ChangeLog(spark, f"{folder}/{name}", f"{key}, {schema}", ("project_id", "file"), version, every)
+    facts = log("facts", "event_id long, fact string, symbol_id long", "event_id")
+    findings = log("findings", "batch long, symbol_id long, type string", "batch")
+    own, on = ["project_id", "file"], ["project_id", "symbol_id"]
+
+    def check(batch: DataFrame, number: int) -> None:
+        old = written(facts.read(before=number), "facts")
+        newest = batch.groupBy(*own).agg(F.max_by(F.struct("event_id", "change_type", "definitions", "imports", "uses"), "event_id").alias("e")).select(*own, "e.*")
+        known = old.groupBy(*own).agg(F.max("event_id").alias("known"))
+        taken = written(newest.join(known, own, "left").where("known is null or event_id > known").drop("known"), "taken")
+        live = taken.where("change_type <> 'unlink'")
+        some = lambda c, fact, symbol=F.col("s"), df=live: df.select(*own, "event_id", F.explode(c).alias("s")).select(*own, "event_id", F.lit(fact).alias("fact"), symbol.alias("symbol_id"))
+        new = some("definitions", "define", F.col("s.symbol_id")).unionByName(some(F.filter("definitions", lambda d: d["exported"]), "export", F.col("s.symbol_id"))).unionByName(some("imports", "import")).unionByName(some("uses", "use"))
+        # A file without facts, or removed, keeps a row that says which event it is at.
+        new = new.unionByName(taken.select(*own, "event_id", F.lit("file").alias("fact"), F.lit(None).cast("long").alias("symbol_id"))).distinct()
+        facts.write(new, number)
+        now = written(old.join(taken.select(*own), own, "left_anti").unionByName(new), "facts")
+
+        def flipped(fact: str) -> DataFrame:
+            """Symbols that some file gave as this fact and none does now, or the other way round; asked of the changed files' symbols only."""
+            asked = old.join(taken.select(*own), own, "left_semi").unionByName(new).where(F.col("fact") == fact).select(*on).distinct()
+            there = lambda df, c: df.where(F.col("fact") == fact).join(asked, on, "left_semi").select(*on).distinct().withColumn(c, F.lit(True))
+            return asked.join(there(old, "a"), on, "left").join(there(now, "b"), on, "left").where("a is null or b is null").select(*on)
+
+        by = lambda fact: now.where(F.col("fact") == fact).select(*own, "symbol_id").distinct()
+        again = taken.select(*own).unionByName(by("use").join(flipped("define"), on, "left_semi").select(*own)).unionByName(by("export").join(flipped("import"), on, "left_semi").select(*own)).distinct()
+        again = written(again, "again")
+        of = lambda fact: by(fact).join(again, own, "left_semi")
+        rows = again.select(*own, F.lit(None).cast("long").alias("symbol_id"), F.lit("checked").alias("type"))
+        for df, kind in (
+            (of("use").join(by("define").select(*on), on, "left_anti"), "unresolvedReference"),
+            (of("import").join(by("use"), [*own, "symbol_id"], "left_anti"), "unusedImport"),
+            (of("export").join(by("import").select(*on), on, "left_anti"), "unusedExport"),
+        ):
+            rows = rows.unionByName(df.select(*own, "symbol_id", F.lit(kind).alias("type")))
+        findings.write(rows.withColumn("batch", F.lit(number).cast("long")), number)
+
+    run_batches(edits, check, "append", f"{folder}-checkpoint")
+    return findings.read().where("type <> 'checked'").select(*own, "symbol_id", "type")
 
 
 def incremental_validate(edits: DataFrame, catalog: DataFrame, imports: DataFrame, usages: DataFrame, folder: str | None = None) -> DataFrame:

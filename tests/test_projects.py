@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from loomspan.operators import contracts as C
 from loomspan.operators import diff as D
+from loomspan.operators import extract as X
 from loomspan.operators import graph as G
 from loomspan.operators import rank as K
 from loomspan.operators import resolve as R
@@ -87,6 +89,23 @@ def _as_symbol(df, k):
     return df.select(*k, F.col("symbol_id").alias("symbol")).distinct()
 
 
+def _services(t, k):
+    return t["usages"].select(*k, F.col("line").alias("service"), F.lit("GET").alias("method"), F.concat(F.lit("/api/things/item"), F.col("symbol_id")).alias("path")).distinct()
+
+
+def _routes(t, k):
+    return t["imports"].select(*k, F.when(F.col("is_type_only"), "GET").otherwise("PUT").alias("method"), F.concat(F.lit("/things/item"), F.col("symbol_id")).alias("path")).distinct()
+
+
+def _fields(t, k):
+    side = lambda i, suffix, df: df.select(*k, F.concat(F.substring("name", 1, 1), F.lit(suffix)).alias("owner"), F.lit(i).alias("side"), F.concat(F.lit("f"), F.col("symbol_id") % 4).alias("field"), F.lit("int").alias("ftype"), F.lit(1).alias("required")).distinct()
+    return side(0, "x", t["imports"]).unionByName(side(1, "y", t["imports"].where("file > 1")))
+
+
+def _code(t, k):
+    return t["imports"].select(*k, F.col("symbol_id").cast("string").alias("file"), F.lit("js").alias("language"), F.concat(F.lit("interface "), F.col("package"), F.lit(" {\n}\nrun."), F.col("name"), F.lit("()")).alias("content")).distinct()
+
+
 CASES = {
     "unresolved": lambda t, k: R.unresolved_references(t["usages"], t["catalog"], t["imports"].where("file < 2"), kinds=("call", "reference"), keys=k),
     "unresolved_strict": lambda t, k: R.unresolved_references(t["usages"], t["catalog"], t["imports"], strict=True, keys=k),
@@ -141,6 +160,16 @@ CASES = {
     "relevance": lambda t, k: K.score_relevance(K.relevance_signals(t["usages"].select(*k, "file", F.col("symbol_id").alias("symbol")), _usage(t, k).withColumnRenamed("symbol_id", "symbol"), imported=_as_symbol(t["imports"], k), hot=_history(t, k), similar=K.similar_files(t["imports"], t["imports"].where("symbol_id < 5"), keys=k), keys=k).withColumn("score", F.col("score").cast("decimal(20,8)")), 6, keys=k),
     "diff_risk": lambda t, k: D.diff_risk(t["imports"], t["catalog"].select(*k, "name", F.when(F.col("exported"), "added").otherwise("removed").alias("change_type")), t["catalog"], "^a", keys=k),
     "changed_files": lambda t, k: D.changed_files(t["files"].where("file < 'src/c'"), t["files"].where("file > 'a'").withColumn("content", F.concat("content", "language")), keys=k),
+    "extracted": lambda t, k: X.extract_usages(_code(t, k), keys=k),
+    "single_use": lambda t, k: X.single_use_interface(_code(t, k), keys=k),
+    "endpoints": lambda t, k: C.match_endpoints(_services(t, k), _routes(t, k), keys=k, methods=True),
+    "unmatched_routes": lambda t, k: C.unmatched_routes(_routes(t, k), C.match_endpoints(_services(t, k).where("service < 9"), _routes(t, k), keys=k), _services(t, k), keys=k),
+    "similar_routes": lambda t, k: C.similar_route(_services(t, k), _routes(t, k), keys=k),
+    "models": lambda t, k: C.match_models(_fields(t, k), 0.0, 0.1, keys=k),
+    "field_diff": lambda t, k: C.field_diff(C.match_models(_fields(t, k), 0.0, 0.1, keys=k), _fields(t, k), keys=k),
+    "coverage": lambda t, k: C.field_coverage(C.match_models(_fields(t, k), 0.0, 0.1, keys=k), _fields(t, k), C.match_models(_fields(t, k), 0.0, 0.1, keys=k), keys=k),
+    "events": lambda t, k: C.event_contract(t["imports"].select(*k, F.col("name").alias("event"), F.lit("emit").alias("action")), t["catalog"].select(*k, F.col("name").alias("event"), F.lit("server-to-client").alias("direction")), keys=k),
+    "contract_summary": lambda t, k: C.contract_summary(t["usages"].select(*k, F.lit("high").alias("severity")), C.match_endpoints(_services(t, k), _routes(t, k), keys=k), keys=k),
     "line_diff": lambda t, k: D.line_diff(t["files"].select(*k, F.substring("file", 1, 1).alias("file"), F.when(F.col("language") == "ts", "old").otherwise("new").alias("side"), F.translate("content", " ", "\n").alias("text")), keys=k),
 }
 
