@@ -33,10 +33,13 @@ _COLUMNS = {
     "services": ("line", "client", "method", "path"), "routes": ("line", "method", "path", "router", "handler"), "usages": ("line", "usage_type", "object", "name"),
 }
 
-#: A text for each rule that it matches once, on its last line or the line given; {k} is the part's key.
+#: A text for each rule, which matches it once, on the line given; {k} is the part's key.
 RULE_TEXTS: dict[str, tuple[str, str, int]] = {
     "AP-001": ("javascript", "try { f{k}() } catch (e) { }", 1), "AP-006": ("javascript", "f{k}()\nconsole.log (x)", 2), "AP-007": ("python", "x{k}\n# TODO later", 2), "AP-017": ("javascript", "x\ny{k}\nfs.existsSync(p)", 3),
     "AP-019": ("python", "try:\n  f{k}()\nexcept:\n  pass", 3), "AP-020": ("python", "def f{k}(a, b=[]):", 1), "AP-021": ("python", "def f():\n  global g{k}", 2), "AP-016": ("typescript", "let a{k}: any", 1),
+    "AP-002": ("javascript", "try { f{k}() } catch (e) { console.log(e) }", 1), "AP-003": ("javascript", "wait()\nsleep( 404 ) // {k}x", 2), "AP-005": ("javascript", "f(x)\nconst unused{k} = f()", 2), "AP-008": ("javascript", "function long{k}() { " + "x " * 300 + "}", 1),
+    "AP-009": ("python", "if (a{k}) { if (b) { if (c) { if", 1), "AP-010": ("javascript", "const a = { x: {k} };\nlet b = { y: 1 };", 1), "AP-011": ("javascript", "function g{k}(a) {\n}", 1), "AP-013": ("javascript", "import { Thing{k} } from './m'", 1),
+    "AP-015": ("typescript", "function h{k}(a) {", 1), "AP-018": ("javascript", "load{k}()\nfetchIt(a).then(b)", 2), "AP-022": ("javascript", "for (const x of y) { s{k} += 'a' }", 1), "AP-024": ("javascript", "function W{k}() { useState(1) }", 1),
     "AP-014": ("javascript", "f(a{k})\nconst my_name = f(my_name{k})", 2), "AP-012": ("javascript", "f{k}((a) => { g((b) => { h((c) => c) }) })", 1), "AP-025": ("javascript", "useEffect(() => { f{k}() }, [])", 1), "AP-023": ("javascript", "class V{k} extends React.Component {}", 1),
 }
 
@@ -128,7 +131,7 @@ _RULE_IDS = sorted(RULE_TEXTS)
 
 @query(" union all ".join(f"select p_partkey as file, '{r}' as rule, '{next(x[1] for x in RULES if x[0] == r)}' as severity, {RULE_TEXTS[r][2]} as line from part where p_partkey % {len(_RULE_IDS)} = {i}" for i, r in enumerate(_RULE_IDS)))
 def rule_shapes(spark, sf_dir):
-    """Texts of twelve rules, scanned with the rule that each is of."""
+    """A text of each rule in turn; the matches of the rule that a text is of."""
     part = table(spark, sf_dir, "part")
     texts = part.select(F.col("p_partkey").alias("file"), _chosen(_RULE_IDS, lambda r: F.lit(r)).alias("meant"), _chosen(_RULE_IDS, lambda r: F.lit(RULE_TEXTS[r][0])).alias("language"), _chosen(_RULE_IDS, lambda r: _filled(RULE_TEXTS[r][1])).alias("content"))
     return X.rule_matches(texts, keys=("meant",)).where("rule = meant").drop("meant")
