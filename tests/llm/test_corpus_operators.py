@@ -400,9 +400,26 @@ def test_leaks_in_the_documents(spark):
     """Against brute force: documents that hold a whole benchmark text."""
     docs, bench = (spark.read.parquet(f"{MIDDLE}/{t}.parquet") for t in ("documents", "benchmark"))
     items = [" ".join(x["text"].split()).lower() for x in bench.collect()]
-    want = {d["doc_id"] for d in docs.collect() if any(i in " ".join(d["text"].split()).lower() for i in items)}
+    texts = {d["doc_id"]: " ".join(d["text"].split()).lower() for d in docs.collect()}
+    want = {d for d, text in texts.items() if any(i in text for i in items)}
     got = {x["id"] for x in decontam.contaminated(docs, bench).collect()}
-    assert want <= got and len(got - want) <= 4
+    assert want <= got
+
+    def equal(words, item):
+        """Most equal words of the item's best stretch over all ways to lay it along the text."""
+        best = 0
+        for at in range(1 - len(item), len(words)):
+            score = run = 0
+            for a, b in zip(words[max(0, at) :], item[max(0, -at) :]):
+                score, run = (score + 1, run + 1) if a == b else (score - 2, run)
+                if score <= 0:
+                    score = run = 0
+                best = max(best, run)
+        return best
+
+    # Documents beyond these hold an item with substituted words.
+    for d in got - want:
+        assert any(equal(texts[d].split(), i.split()) >= max(min(6, len(i.split())), min(24, len(i.split()) / 2)) for i in items), d
 
 
 # pipeline
@@ -440,3 +457,43 @@ def test_pipeline_rejects_languages_that_it_did_not_learn(spark):
     kept = {r["doc_id"] for r in cp.language_id(spark, docs.unionByName(more), SF).collect()}
     lettered = {r["doc_id"] for r in docs.where("text rlike '[a-zA-Z]'").collect()}
     assert kept == lettered
+
+
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    """All stages of run() over a small table against plain Python: copies by all pairs, passages by containment, addresses by a pattern, tokens by the library."""
+    import hashlib
+    import re
+
+    import corpus_pipeline as cp
+    import public_tokenizers
+    import tiktoken
+
+    r = random.Random(9)
+    common = "the of and to in that is was for with as his they at be this have from or one had by word but not what all were we when".split()
+    other = "der die und das ein zu den mit sich auf ist im dem nicht eine als auch es an werden aus er hat dass sie nach wird bei".split()
+    text = lambda words, n: " ".join(r.choices(words, k=n))
+    passage = " ".join(f"quiz{i}" for i in range(20))
+    rows = [(i, text(common if i % 2 else other, 60), "en" if i % 2 else "de") for i in range(80)]
+    for i in range(80, 100):
+        words_ = rows[r.randrange(80)][1].split()
+        if i % 2:
+            words_[r.randrange(60)] = "changed"
+        rows.append((i, " ".join(words_), None))
+    rows += [(100, f"{text(common, 20)} {passage} {text(common, 20)}", "en"), (101, f"{text(common, 30)} mail a.b@c.org {text(common, 30)}", "en"), (102, "12 34", "en"), (103, None, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    kept = {i: t for i, t, _ in rows if t and re.search("[a-z]", t)}
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in kept.items()}
+    root = {i: i for i in kept}
+    for _ in kept:
+        for a in kept:
+            for b in kept:
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    kept = {i: re.sub(r"\S+@\S+", "[EMAIL]", t) for i, t in kept.items() if root[i] == i and passage not in t}
+    ranks = {__import__("base64").b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {i: (len(ids := encoding.encode_ordinary(t)), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()) for i, t in kept.items()}
+    got = {x["doc_id"]: (x["n_tokens"], x["ids_sha256"]) for x in cp.run(spark, str(tmp_path)).collect()}
+    assert set(got) == set(want) and {i for i in got if got[i] != want[i]} <= {101}  # the address's own text may lose more terms with it
