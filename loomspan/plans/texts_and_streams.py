@@ -66,14 +66,19 @@ def scan_rules(spark, sf_dir):
     return X.scan_rules(_docs(spark, sf_dir), _RULES)
 
 
+_CALLED = r"(?:\\bnew\\s+|\\bfunction\\s+|\\bdef\\s+|\\bclass\\s+)?(?:[A-Za-z_$][A-Za-z0-9_$]*\\.)*[A-Za-z_$][A-Za-z0-9_$]*\\s*\\(".replace("\\\\", "\\")
+
+
 @query(
-    "select file, cast(line as int) as line, usage_type, count(*) as n from (select doc_id as file, line, 'call' as usage_type, unnest(regexp_extract_all(t, '[A-Za-z_$][A-Za-z0-9_$]*\\(')) as x from (select *, unnest(string_split(replace(replace(text, ', ', '('), '. ', '('), chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as line from documents) "
-    "where not regexp_matches(t, '^\\s*(//|#|\\*|/\\*)')) where x not in (" + ", ".join(f"'{k}('" for k in X.KEYWORDS) + ") and not regexp_matches(x, '\\.') group by all"
+    "select file, cast(line as int) as line, usage_type, count(*) as n from (select file, line, case when regexp_matches(x, '^new\\s') then 'instantiation' when contains(target, '.') then 'methodCall' else 'call' end as usage_type, regexp_extract(target, '[^.]*$') as name from (select *, regexp_replace(regexp_replace(x, '^new\\s+', ''), '\\s*\\($', '') as target "
+    "from (select doc_id as file, line, unnest(regexp_extract_all(t, '" + _CALLED + "')) as x from (select *, unnest(string_split(replace(replace(text, ', ', '('), '. ', '('), chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as line from documents) where not regexp_matches(t, '^\\s*(//|#|\\*|/\\*)')) "
+    "where not regexp_matches(x, '^(function|def|class)\\s'))) where name not in (" + ", ".join(f"'{k}'" for k in X.KEYWORDS) + ") group by all"
 )
 def extract_usages(spark, sf_dir):
+    """All kinds of usages, of prose in which every comma and full stop opens a call."""
     docs = table(spark, sf_dir, "documents")
     prose = docs.select(F.col("doc_id").alias("file"), F.lit("js").alias("language"), F.expr("replace(replace(text, ', ', '('), '. ', '(')").alias("content"))
-    return X.extract_usages(prose).where("usage_type = 'call'").groupBy("file", "line", "usage_type").agg(F.count("*").alias("n"))
+    return X.extract_usages(prose).groupBy("file", "line", "usage_type").agg(F.count("*").alias("n"))
 
 
 # Streams: the stream runs over all events that there are and is held against SQL over the same table.
