@@ -146,13 +146,13 @@ def _shrunk(edges: DataFrame, own: list[str]) -> tuple[DataFrame, DataFrame, Dat
         edges = written(_without(edges, gone, own), "scc")
         rings = rings.unionByName(ring)
         now = edges.count()
-        if not now or now > 0.9 * before:  # what little could still go, goes with the next components
+        if not now or now > 0.7 * before:  # what little could still go, goes with the next components
             return edges, ahead.unionByName(turned(behind)), rings
         before = now
 
 
 def _chains(edges: DataFrame, own: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Jumps of 2, 4, 8, ... steps along nodes with one successor; nodes that lead nowhere or are on a ring of such nodes; and the rings.
+    """Jumps of 4, 16, 64, ... steps along nodes with one successor; nodes that lead nowhere or are on a ring of such nodes; and the rings.
 
     A node's jump is doubled by that of the node it leads to, until it leaves the chain. What is still on a chain after
     as many steps as there are such nodes is on a ring, or leads to one, and its jump stands on the ring.
@@ -160,18 +160,22 @@ def _chains(edges: DataFrame, own: list[str]) -> tuple[DataFrame, DataFrame, Dat
     on = [*own, "node"]
     single = edges.groupBy(*own, F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("dst").alias("jump")).where("n = 1").select(*on, "jump")
     sinks = edges.select(*own, F.col("dst").alias("node")).distinct().join(edges.select(*own, F.col("src").alias("node")), on, "left_anti")
-    chained = written(single.unionByName(sinks.withColumn("jump", F.lit(None).cast(dict(edges.dtypes)["dst"]))), "scc")
-    size = chained.count()
+    chained = single.unionByName(sinks.withColumn("jump", F.lit(None).cast(dict(edges.dtypes)["dst"])))
     marks = chained.select(*own, F.col("node").alias("jump"), F.lit(True).alias("on"))
     state = written(chained.join(marks, [*own, "jump"], "left").select(*on, "jump", F.col("on").isNull().alias("done"), F.col("node").alias("low")), "scc")
+    size = state.count()
     jumps = edges.where("false").select(*own, "src", "dst")
+
+    def doubled(state: DataFrame) -> DataFrame:
+        further = state.select(*own, F.col("node").alias("jump"), F.col("jump").alias("jump2"), F.col("done").alias("done2"), F.col("low").alias("low2"))
+        moved = state.where("not done").join(further, [*own, "jump"]).select(*on, F.col("jump2").alias("jump"), F.col("done2").alias("done"), F.least("low", "low2").alias("low"))
+        return state.where("done").unionByName(moved)
+
     steps = 1
     while steps <= size and not state.where("not done").isEmpty():
-        on_from = state.select(*own, F.col("node").alias("jump"), F.col("jump").alias("jump2"), F.col("done").alias("done2"), F.col("low").alias("low2"))
-        moved = state.where("not done").join(on_from, [*own, "jump"]).select(*on, F.col("jump2").alias("jump"), F.col("done2").alias("done"), F.least("low", "low2").alias("low"))
-        state = written(state.where("done").unionByName(moved), "scc")
+        state = written(doubled(doubled(state)), "scc")  # twice for each table that is written
         jumps = jumps.unionByName(state.where("jump is not null").select(*own, F.col("node").alias("src"), F.col("jump").alias("dst")))
-        steps *= 2
+        steps *= 4
     dead = state.where("done and jump is null").select(*on)
     ring = state.join(state.where("not done").select(*own, F.col("jump").alias("node")).distinct(), on, "left_semi").where("not done").select(*on, F.col("low").alias("component"))
     return jumps.where("src <> dst").distinct(), dead.unionByName(ring.select(*on)), ring

@@ -28,7 +28,7 @@ def best_rows(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     return top_k(df, keys, order, k).drop("rank") if keys else df.orderBy(*order).limit(k)
 
 
-def jaro_winkler(a: list[str], b: list[str]) -> np.ndarray:
+def jaro_winkler_pairs(a: list[str], b: list[str]) -> np.ndarray:
     """Jaro similarity of each pair with the bonus of up to four common leading characters, always given; transpositions are halved, not rounded.
 
     All pairs at once: the places of the first names are walked together, and each takes the first free equal letter
@@ -72,6 +72,11 @@ def jaro_winkler(a: list[str], b: list[str]) -> np.ndarray:
     return np.where(equal, 1.0, out) if len(a) else out
 
 
+def jaro_winkler(a: str, b: str) -> float:
+    """The same for one pair."""
+    return float(jaro_winkler_pairs([a], [b])[0])
+
+
 def _letters(names: list[str]) -> np.ndarray:
     """Code points of the names, one row each, filled up with zeros."""
     sizes = np.array([len(x) for x in names])
@@ -82,7 +87,7 @@ def _letters(names: list[str]) -> np.ndarray:
 
 @F.pandas_udf(DoubleType())
 def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(jaro_winkler([x or "" for x in a], [x or "" for x in b]), dtype="float64")
+    return pd.Series(jaro_winkler_pairs([x or "" for x in a], [x or "" for x in b]), dtype="float64")
 
 
 def _name_keys(df: DataFrame, column: str, keys: Keys) -> DataFrame:

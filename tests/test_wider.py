@@ -98,7 +98,7 @@ def test_jaro_winkler_of_many_pairs():
     r = random.Random(2)
     names = ["", "a", "ab", "ba", "getUser", "getUsers", "üser", "x" * 40] + ["".join(r.choices("abcé", k=r.randrange(1, 12))) for _ in range(60)]
     a, b = zip(*[(x, y) for x in names for y in names], strict=True)
-    assert np.allclose(K.jaro_winkler(list(a), list(b)), [plain_jaro_winkler(x, y) if x and y or x == y else 0.0 for x, y in zip(a, b, strict=True)])
+    assert np.allclose(K.jaro_winkler_pairs(list(a), list(b)), [plain_jaro_winkler(x, y) if x and y or x == y else 0.0 for x, y in zip(a, b, strict=True)])
 
 
 def test_suggestions_score_few_pairs(spark):
