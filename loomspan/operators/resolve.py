@@ -94,8 +94,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | N
 
     ``module`` is the path that the import names, from the project's root (relative ones are resolved before). With
     ``aliases(prefix, target)`` a module that names no file itself is tried behind the longest alias it begins with, then
-    the next shorter one; so each module is exploded into the prefixes that some alias has the length of, which meet the
-    aliases on equality. With ``dotted`` a module like ``a.b.c`` is tried as a Python module below the source roots.
+    the next shorter one; so each module is exploded into its beginnings, which meet the aliases on equality. With ``dotted`` a module like ``a.b.c`` is tried as a Python module below the source roots.
     Candidates are exploded with their place and joined on equality, so that no import is compared with every file.
     """
     js = F.regexp_replace("module", r"\.js$", "")
@@ -109,9 +108,10 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame | N
     each = exploded(modules, 0, F.array(*names)).withColumn("short", F.lit(0))
     if aliases is not None:
         known = aliases.select(*keys, "prefix", F.col("target").alias("base")).where("prefix <> '' and base is not null").groupBy(*keys, "prefix").agg(F.min("base").alias("base"))
-        sizes = known.select(*keys, F.char_length("prefix").alias("n")).distinct()
-        # A module meets its prefixes of the lengths that its project's aliases have: few, as projects have few aliases.
-        near = (modules.join(sizes, list(keys)) if keys else modules.crossJoin(F.broadcast(sizes.agg(F.collect_set("n").alias("ns")))).select("module", F.explode("ns").alias("n"))).where("n <= length(module)")
+        # A module meets the aliases by each of its beginnings that is no longer than the longest alias.
+        longest = known.agg(F.max(F.char_length("prefix")).alias("n")).first()["n"] or 0
+        upto = F.least(F.char_length("module"), F.lit(longest))
+        near = modules.where(upto > 0).select(*keys, "module", F.explode(F.sequence(F.lit(1), upto)).alias("n"))
         near = near.withColumn("prefix", F.expr("substring(module, 1, n)")).join(known, [*keys, "prefix"])
         path = F.regexp_replace(F.regexp_replace(F.concat_ws("/", "base", F.expr("substring(module, n + 1)")), "/+", "/"), "^/", "")
         behind = near.select(*keys, "module", "n", F.regexp_replace(path, "/$", "").alias("path"))
