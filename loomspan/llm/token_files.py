@@ -233,7 +233,7 @@ def write_corpus(documents: DataFrame, tokenizer: str, end_id: int, id_col: str
         if ids:
             yield close()
 
-    ranged = docs.repartitionByRange("id").sortWithinPartitions("id", "text")
+    ranged = docs.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", "text")  # rows of one id, or of none, are several tasks
     manifest = written(ranged.mapInArrow(write, "part int, seq int, uri string, n_docs long, n_tokens long"), "manifest")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return written(manifest.select("uri", "n_docs", "n_tokens", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start")), "starts")
