@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
-from loomspan.operators.tables import new_path, written
+from loomspan.operators.tables import Scratch, new_path
 from loomspan.streaming.logs import ChangeLog
 
 
@@ -326,7 +326,8 @@ def maintained_findings(edits: DataFrame, folder: str | None = None, every: int
     define or import, before or now, are the delta: a symbol that is now defined, or no longer, changes the findings of
     the files that use it, and one that is now imported, or no longer, those of the files that define it. These files
     and the changed ones are checked again, and no others. Events may come in any order; the end is that of a full run.
-    All tables are logs with snapshots, and a batch that runs again reads what was before it.
+    All tables are logs with snapshots, and a batch that runs again reads what was before it. A batch takes a
+    copy of the table of facts, which it compares with the new one; copies go with the batch.
     """
     spark = edits.sparkSession
     folder = folder or new_path(spark, "maintained")
@@ -338,17 +339,21 @@ def maintained_findings(edits: DataFrame, folder: str | None = None, every: int
     own, on = ["project_id", "file"], ["project_id", "symbol_id"]
 
     def check(batch: DataFrame, number: int) -> None:
-        old = written(facts.read(before=number), "facts")
+        with Scratch(spark, "batch") as kept:
+            checked(batch, number, kept)
+
+    def checked(batch: DataFrame, number: int, kept: Scratch) -> None:
+        old = kept(facts.read(before=number))
         newest = batch.groupBy(*own).agg(F.max_by(F.struct("event_id", "change_type", "definitions", "imports", "uses"), "event_id").alias("e")).select(*own, "e.*")
         known = old.groupBy(*own).agg(F.max("event_id").alias("known"))
-        taken = written(newest.join(known, own, "left").where("known is null or event_id > known").drop("known"), "taken")
+        taken = kept(newest.join(known, own, "left").where("known is null or event_id > known").drop("known"))
         live = taken.where("change_type <> 'unlink'")
         some = lambda c, fact, symbol=F.col("s"), df=live: df.select(*own, "event_id", F.explode(c).alias("s")).select(*own, "event_id", F.lit(fact).alias("fact"), symbol.alias("symbol_id"))
         new = some("definitions", "define", F.col("s.symbol_id")).unionByName(some(F.filter("definitions", lambda d: d["exported"]), "export", F.col("s.symbol_id"))).unionByName(some("imports", "import")).unionByName(some("uses", "use"))
         # A file without facts, or removed, keeps a row that says which event it is at.
-        new = new.unionByName(taken.select(*own, "event_id", F.lit("file").alias("fact"), F.lit(None).cast("long").alias("symbol_id"))).distinct()
+        new = kept(new.unionByName(taken.select(*own, "event_id", F.lit("file").alias("fact"), F.lit(None).cast("long").alias("symbol_id"))).distinct())
         facts.write(new, number)
-        now = written(old.join(taken.select(*own), own, "left_anti").unionByName(new), "facts")
+        now = old.join(taken.select(*own), own, "left_anti").unionByName(new)
 
         def flipped(fact: str) -> DataFrame:
             """Symbols that some file gave as this fact and none does now, or the other way round; asked of the changed files' symbols only."""
@@ -358,7 +363,7 @@ def maintained_findings(edits: DataFrame, folder: str | None = None, every: int
 
         by = lambda fact: now.where(F.col("fact") == fact).select(*own, "symbol_id").distinct()
         again = taken.select(*own).unionByName(by("use").join(flipped("define"), on, "left_semi").select(*own)).unionByName(by("export").join(flipped("import"), on, "left_semi").select(*own)).distinct()
-        again = written(again, "again")
+        again = kept(again)
         of = lambda fact: by(fact).join(again, own, "left_semi")
         rows = again.select(*own, F.lit(None).cast("long").alias("symbol_id"), F.lit("checked").alias("type"))
         for df, kind in (
