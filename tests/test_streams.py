@@ -117,3 +117,26 @@ def test_clean_checks_scrub_the_initial_scan(spark):
     initial = spark.createDataFrame([(1, "src/a.ts", 1), (1, "src\\b.ts", 2), (1, "../x/src/c.ts", 3), (1, "d.ts", 4), (2, "src/a.ts", 5), (1, "xsrc/a.ts", 6)], "project_id long, file string, n int")
     live = spark.createDataFrame([(1, "src/a.ts", True), (1, "p/src/b.ts", True), (1, "c.ts", True), (1, "d.ts", False)], "project_id long, file string, clean boolean")
     assert sorted(r["n"] for r in T.scrubbed(initial, live).collect()) == [4, 5, 6]
+
+
+def test_versions_of_a_path_with_many_events(spark, tmp_path):
+    """More rows of one path than a part that Spark hands over holds, the newest first."""
+    n = 25_000
+    schema = "path string, event_id long, change_type string, ts timestamp"
+    source = str(tmp_path / "source")
+    late = F.lit(n - 1) - F.col("id")
+    spark.range(n).coalesce(1).select(F.lit("p").alias("path"), late.alias("event_id"), F.lit("change").alias("change_type"), F.timestamp_seconds(late / 10).alias("ts")).write.parquet(source)
+    out = T.run_stateful(T.latest_version(spark.readStream.schema(schema).parquet(source)))
+    assert out.where("version = event_id + 1").count() == out.count() == n
+
+
+def test_events_of_all_files_in_one_batch(spark, tmp_path):
+    """Files that are not in the order of time: no event is late."""
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    rows = [(i, at(60 * (20 - i)), 1, "click", 1.0, '{"k": 7}') for i in range(20)]
+    for i, row in enumerate(rows):
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    from loomspan.plans.all_queries import QUERIES
+
+    got = {(r["event_id"], r["version"]) for r in QUERIES["latest_version"](spark, str(tmp_path)).collect()}
+    assert got == {(i, 20 - i) for i in range(20)}
