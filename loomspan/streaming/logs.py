@@ -16,7 +16,8 @@ class ChangeLog:
     version, none of an older one, whatever the order in which batches come.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, schema: str, keys: tuple[str, ...], version: str, every: int = 20):
+    def __init__(self, spark: SparkSession, folder: str, schema: str, keys: tuple[str, ...], version: str, every: int = 20, form: str = "parquet"):
+        self.form = form
         self.spark, self.folder, self.keys, self.version, self.every = spark, folder.rstrip("/"), keys, version, every
         self.schema = StructType.fromDDL(schema)
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -34,7 +35,7 @@ class ChangeLog:
 
     def write(self, rows: DataFrame, number: int) -> None:
         """Adds the rows of a batch, and compacts where it is due."""
-        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.folder}/batch={number}")
+        rows.select(*self.schema.names).write.mode("overwrite").format(self.form).save(f"{self.folder}/batch={number}")
         snapshots, batches = self.parts()
         last = max(snapshots, default=-1)
         if number > last and len([b for b in batches if b > last]) >= self.every:
@@ -42,7 +43,11 @@ class ChangeLog:
 
     def compact(self, number: int) -> None:
         """Writes what is there up to a batch as a snapshot, then removes what it holds."""
-        self.read(before=number + 1).write.mode("overwrite").parquet(f"{self.folder}/snapshot={number}")
+        self.replace(self.read(before=number + 1), number)
+
+    def replace(self, rows: DataFrame, number: int) -> None:
+        """Writes rows, the newest of all keys, as a snapshot, then removes what is older."""
+        rows.select(*self.schema.names).write.mode("overwrite").format(self.form).save(f"{self.folder}/snapshot={number}")
         snapshots, batches = self.parts()
         gone = [f"snapshot={n}" for n in snapshots if n < number] + [f"batch={n}" for n in batches if n <= number]
         for name in gone:
@@ -60,6 +65,8 @@ class ChangeLog:
         sources = self.sources(before)
         if not sources:
             return self.spark.createDataFrame([], self.schema)
-        rows = self.spark.read.schema(self.schema).parquet(*sources)
+        rows = self.spark.read.schema(self.schema).format(self.form).load(sources)
+        if len(sources) == 1 and "/snapshot=" in sources[0][len(self.folder) :]:
+            return rows
         newest = rows.groupBy(*self.keys).agg(F.max(self.version).alias(self.version))
         return rows.join(newest, [*self.keys, self.version], "left_semi").distinct()

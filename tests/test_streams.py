@@ -140,3 +140,17 @@ def test_events_of_all_files_in_one_batch(spark, tmp_path):
 
     got = {(r["event_id"], r["version"]) for r in QUERIES["latest_version"](spark, str(tmp_path)).collect()}
     assert got == {(i, 20 - i) for i in range(20)}
+
+
+def test_files_of_alerts_follow_the_rows(spark, tmp_path):
+    """300 projects of two files each; a new full set, then touched projects, replace what was there."""
+    path = str(tmp_path / "alerts")
+    alerts = spark.range(600).selectExpr("id % 300 as project_id", "concat('f', id) as file", "'high' as severity")
+    T.write_alerts(alerts.where("project_id < 5"), path)
+    T.write_alerts(alerts, path)
+    assert len(list((tmp_path / "alerts").rglob("*.json"))) <= 8
+    assert T.read_alerts(spark, path).count() == 600
+    for p in range(25):  # more than a log holds before it is compacted
+        T.write_alerts(alerts.where("project_id = 299 and file = 'f299'"), path, touched=spark.createDataFrame([(p,), (299,)], "project_id long"))
+    got = T.read_alerts(spark, path).groupBy("project_id").count().collect()
+    assert {r["project_id"]: r["count"] for r in got} == {p: 2 for p in range(25, 299)} | {299: 1}
