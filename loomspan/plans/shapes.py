@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions.rules import RULES
 from loomspan.operators import extract as X
+from loomspan.operators.tables import spread
 from loomspan.plans.registry import query
 from loomspan.plans.views import table
 
@@ -63,7 +64,7 @@ def _chosen(values: list, of):
 
 
 def scripts(spark, sf_dir):
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"))
     return part.select(F.col("p_partkey").alias("file"), _chosen(SHAPES, lambda s: F.lit(s[0])).alias("language"), _chosen(SHAPES, lambda s: _filled("\n".join(s[1]))).alias("content"))
 
 
@@ -132,6 +133,6 @@ _RULE_IDS = sorted(RULE_TEXTS)
 @query(" union all ".join(f"select p_partkey as file, '{r}' as rule, '{next(x[1] for x in RULES if x[0] == r)}' as severity, {RULE_TEXTS[r][2]} as line from part where p_partkey % {len(_RULE_IDS)} = {i}" for i, r in enumerate(_RULE_IDS)))
 def rule_shapes(spark, sf_dir):
     """A text of each rule in turn; the matches of the rule that a text is of."""
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"))
     texts = part.select(F.col("p_partkey").alias("file"), _chosen(_RULE_IDS, lambda r: F.lit(r)).alias("meant"), _chosen(_RULE_IDS, lambda r: F.lit(RULE_TEXTS[r][0])).alias("language"), _chosen(_RULE_IDS, lambda r: _filled(RULE_TEXTS[r][1])).alias("content"))
     return X.rule_matches(texts, keys=("meant",)).where("rule = meant").drop("meant")

@@ -187,3 +187,14 @@ def test_changes_of_real_files(spark, tmp_path):
     seen.clear()
     run()
     assert seen == []
+
+
+def test_dear_rows_are_spread_over_tasks(spark):
+    """A small table is one split; rules and extractors take its rows in tasks of bounded size."""
+    from loomspan.operators.tables import spread
+    from loomspan.plans.all_queries import QUERIES
+    from tests.conftest import SF
+
+    assert spread(spark.range(25_001).coalesce(1)).rdd.getNumPartitions() == 6
+    for name in ("rule_shapes", "symbol_shapes"):
+        assert QUERIES[name](spark, SF).rdd.getNumPartitions() >= 4
