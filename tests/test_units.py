@@ -462,3 +462,23 @@ def test_files_of_findings_follow_the_rows(spark, tmp_path):
     assert len(list((tmp_path / "findings").rglob("*.parquet"))) <= 8
     got = R.read_findings(spark, path, since="2024-01-01").groupBy("run_id").count().collect()
     assert {r["run_id"]: r["count"] for r in got} == {f"{i:05d}": 4 if i < 10 else 2 for i in range(300)}
+
+
+def test_tasks_of_queries_are_bounded(spark):
+    """Whatever the session says, a query's tasks read a bounded size; what the session said comes back after."""
+    from loomspan.operators.tables import unbounded
+    from loomspan.plans.all_queries import QUERIES
+    from tests.conftest import SF
+
+    unbounded(spark)
+    key, parts = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1g")
+    try:
+        QUERIES["carry_over"](spark, SF)
+        QUERIES["hotspots"](spark, SF)
+        assert int(spark.conf.get(key)) == 4 << 20 and int(spark.conf.get(parts)) >= 2000
+        unbounded(spark)
+        assert spark.conf.get(key) == "1g" and spark.conf.get(parts, None) is None
+    finally:
+        spark.conf.set(key, before)
