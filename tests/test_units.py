@@ -482,3 +482,13 @@ def test_tasks_of_queries_are_bounded(spark):
         assert spark.conf.get(key) == "1g" and spark.conf.get(parts, None) is None
     finally:
         spark.conf.set(key, before)
+
+
+def test_words_are_counted_before_a_shuffle(spark):
+    """Texts are dealt by file once; their words, which are larger, are ranked where they are."""
+    from loomspan.operators import usage as U
+
+    files = spark.createDataFrame([("a", "word word other the_one 1abc abc xabcd9 word1"), ("a", "word more"), ("b", "WORD _nope 9word")], "file string, content string")
+    got = U.file_keywords(files, k=3)
+    assert sorted(map(tuple, got.collect())) == [("a", "more", 1), ("a", "other", 1), ("a", "word", 3), ("b", "word", 1)]
+    assert str(got.select("*")._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning") == 1
