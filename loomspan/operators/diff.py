@@ -77,13 +77,12 @@ def line_runs(versions: DataFrame, look_ahead: int = 10, keys: Keys = ()) -> Dat
     on the old side it is a deletion up to there, else an addition; found on the new side alone it is an addition; on
     the old side alone, or not at all, one line is modified. What is left at the end is one addition or deletion.
     Additions are numbered on the new side, deletions and modifications on the old, from 1, both ends included. A file
-    with one version only is all added or all deleted; null texts count as missing. One group is the two versions of
-    one file.
+    with one version only is all added or all deleted; null texts count as missing. A row is the two versions of one
+    file.
     """
 
-    def walk(key: tuple, sides: pd.DataFrame) -> pd.DataFrame:
-        text = dict(zip(sides["side"], sides["text"], strict=True))
-        old, new = (text[s].split("\n") if text.get(s) is not None else [] for s in ("old", "new"))
+    def walk(before: str | None, after: str | None) -> list[dict]:
+        old, new = (x.split("\n") if x is not None else [] for x in (before, after))
         found = lambda lines, at, line: next((n for n in range(at + 1, min(at + look_ahead, len(lines))) if lines[n] == line), None)
         i = j = 0
         out = []
@@ -105,11 +104,17 @@ def line_runs(versions: DataFrame, look_ahead: int = 10, keys: Keys = ()) -> Dat
             out.append(("deletion", i + 1, len(old)))
         if j < len(new):
             out.append(("addition", j + 1, len(new)))
-        return pd.DataFrame([(*key, *m) for m in out], columns=[*own, "change_type", "start", "end"])
+        return [dict(zip(("change_type", "start", "end"), m, strict=True)) for m in out]
+
+    @F.pandas_udf("array<struct<change_type:string,start:bigint,end:bigint>>")
+    def runs(old: pd.Series, new: pd.Series) -> pd.Series:
+        return pd.Series([walk(a, b) for a, b in zip(old, new, strict=True)], dtype="object")
 
     own = [*keys, "file"]
-    kinds = ", ".join(f"{c} {versions.schema[c].dataType.simpleString()}" for c in own)
-    return versions.groupBy(*own).applyInPandas(walk, f"{kinds}, change_type string, start long, end long")
+    side = lambda name: F.last(F.when(F.col("side") == name, F.col("text")), ignorenulls=True).alias(name)
+    # Equal versions have no runs and need no walk.
+    both = versions.groupBy(*own).agg(side("old"), side("new")).where(~F.col("old").eqNullSafe(F.col("new")))
+    return both.select(*own, F.explode(runs("old", "new")).alias("m")).select(*own, "m.*")
 
 
 def carry_over(findings: DataFrame, changes: DataFrame, n_lines: DataFrame, most: float = 0.3, keys: Keys = ()) -> DataFrame:

@@ -492,3 +492,13 @@ def test_words_are_counted_before_a_shuffle(spark):
     got = U.file_keywords(files, k=3)
     assert sorted(map(tuple, got.collect())) == [("a", "more", 1), ("a", "other", 1), ("a", "word", 3), ("b", "word", 1)]
     assert str(got.select("*")._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning") == 1
+
+
+def test_equal_versions_are_not_walked(spark):
+    """One row a file goes to Python, in batches, and only if its versions differ."""
+    from loomspan.operators import diff as D
+
+    rows = [(1, "old", "a\nb"), (1, "new", "a\nb"), (2, "old", "a\nb"), (2, "new", "a\nc\nb"), (3, "new", "x\ny"), (4, "old", None), (4, "new", None), (5, "old", ""), (5, "new", None)]
+    got = D.line_runs(spark.createDataFrame(rows, "file long, side string, text string"))
+    assert sorted(map(tuple, got.collect())) == [(2, "addition", 2, 2), (3, "addition", 1, 2), (5, "deletion", 1, 1)]
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
