@@ -122,7 +122,9 @@ _TOKENS = f"select doc_id as file, unnest(string_split_regex({_LOWER}, '[^a-z]+'
 
 @query("select file, name from (select distinct file, name from t where length(name) > 2) s where name not like 'use%' and (file, name) not in (select (file, name) from t group by file, name having count(*) > 1)", ("t", _TOKENS))
 def unused_definitions(spark, sf_dir):
-    tokens = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.explode(F.split(F.expr(_LOWER), "[^a-z]+")).alias("name"))
+    # Texts are dealt by file, so that names are counted before they are shuffled.
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), "text").repartition("file")
+    tokens = texts.select("file", F.explode(F.split(F.expr(_LOWER), "[^a-z]+")).alias("name"))
     symbols = tokens.where("length(name) > 2 and name not like 'use%'").distinct().withColumn("exported", F.lit(False))
     return R.unused_definitions(symbols, tokens).select("file", "name")
 
