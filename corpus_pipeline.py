@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspan.llm import bpe, decontam, langid, ngram_join, pii
+from loomspan.llm.memory import small_batches
 from loomspan.operators.tables import ship, written
 
 #: A document goes if it has no letter, or if its best language's score times the share of its trigrams that learning met
@@ -51,6 +52,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     as they are; without labels in the table every text is in no learned language and goes; an empty table stays empty.
     """
     ship(spark)
+    small_batches(spark)
     fold = F.crc32(F.col("doc_id").cast("string")) % 3
     net = langid.train(docs.where(fold != 1).select("text", "lang", F.xxhash64("doc_id").alias("h")))
     moved, names = _carried(docs)
@@ -71,6 +73,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     empty table gives an empty one; ties go by the row's key.
     """
     ship(spark)
+    small_batches(spark)
     key, rank = _fresh(docs, "__key"), _fresh(docs, "__rank")
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     groups = written(ngram_join.jaccard_components(keyed.select(key, "text"), id_col=key), "groups")
@@ -92,6 +95,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     together, rows with a null id by their text; an empty table or benchmark drops nothing.
     """
     ship(spark)
+    small_batches(spark)
     key = _fresh(docs, "__key")
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("no id: "), F.sha2("text", 256))))
     found = decontam.contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key)
@@ -106,6 +110,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     replacements (a null text becomes empty); an empty table stays empty.
     """
     ship(spark)
+    small_batches(spark)
     moved, names = _carried(docs)
     clean = pii.sanitised(pii.find(moved, keep_text=True, carry=tuple(names.values())))
     if "n_chars" in names:
@@ -118,6 +123,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ship(spark)
+    small_batches(spark)
     out = bpe.with_ids(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=("ids",))
     return out.withColumnRenamed("id", "doc_id")
 

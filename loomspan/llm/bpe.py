@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.llm.memory import tidy
+
 #: Code points of a leaf, and of the first window on each side of a border.
 LEAF, WINDOW = 512, 48
 #: A run is long if it holds a whole block of so many characters that begins at a multiple of it. Bytes of a leaf in a run.
@@ -187,4 +189,4 @@ def with_ids(documents: DataFrame, path: str, pattern: str, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ("ids" in keep) + ", decoded binary" * ("decoded" in keep)
-    return docs.mapInArrow(encode, schema)
+    return docs.mapInArrow(tidy(encode), schema)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomspan.llm.memory import tidy
 from loomspan.llm.words import _ODD, mixed, pieces, raw, word_hashes
 from loomspan.operators.tables import written
 
@@ -182,7 +183,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     kinds = {c: t for c, t in (*docs.dtypes, *bench.dtypes)}
     n_words = F.size(F.expr(r"filter(split(text, '[\\x20\\x09-\\x0D]+'), x -> x <> '')"))
     short = [r["n"] for r in bench.where("text is not null").select(n_words.alias("n")).where(f"n > 0 and n < {max(map(len, SEEDS))}").distinct().collect()]  # a few lengths
-    index = written(bench.mapInArrow(_index(short), f"item {kinds['item']}, hash long, pos int, words array<bigint>"), "seeds")
+    index = written(bench.mapInArrow(tidy(_index(short)), f"item {kinds['item']}, hash long, pos int, words array<bigint>"), "seeds")
     seeds = index.where("hash is not null").select("item", "hash", "pos")
     place = F.col("hash").bitwiseAND(F.lit(BITS - 1))
     parts = seeds.select(place.alias("bit")).distinct().groupBy(F.expr("bit div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("bit % 32768")).alias("bits")).collect()
@@ -190,7 +191,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     for part in parts:
         bits[part["part"] * 4096 : (part["part"] + 1) * 4096] = np.frombuffer(part["bits"], np.uint8)
     filter_ = documents.sparkSession.sparkContext.broadcast(bits)
-    probed = written(docs.mapInArrow(_probe(short, filter_), f"id {kinds['id']}, key string, hashes array<bigint>, places array<int>, words array<bigint>"), "probed")
+    probed = written(docs.mapInArrow(tidy(_probe(short, filter_)), f"id {kinds['id']}, key string, hashes array<bigint>, places array<int>, words array<bigint>"), "probed")
     hits = probed.select("key", F.explode(F.arrays_zip("hashes", "places")).alias("h")).select("key", F.col("h.hashes").alias("hash"), F.col("h.places").alias("at"))
     # Items with the same words are laid once; whoever has one has all of them.
     texts = index.where("words is not null").select("item", F.col("words").alias("item_words"), F.sha2(F.to_json("words"), 256).alias("text"))
@@ -203,7 +204,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     part = F.floor((F.row_number().over(Window.partitionBy("key").orderBy("text")) - 1) / ITEMS)
     asked = pairs.join(one, "text").withColumn("part", part).groupBy("key", "part").agg(F.collect_list(F.struct("text", "item_words", "diagonals")).alias("items"))
     laid = asked.join(probed.select("id", "key", "words"), "key").select("id", "words", "items")
-    found = laid.mapInArrow(_verify(min_share, min_words), f"id {kinds['id']}, of string, start_word long, n_words long, n_equal long, item_share double")
+    found = laid.mapInArrow(tidy(_verify(min_share, min_words)), f"id {kinds['id']}, of string, start_word long, n_words long, n_equal long, item_share double")
     return found.join(of_text, found["of"] == of_text["text"]).select("id", "item", "start_word", "n_words", "n_equal", "item_share")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomspan.llm.memory import tidy
 from loomspan.llm.words import pieces, raw
 
 WINDOW = 256
@@ -231,7 +232,7 @@ def predict(documents: DataFrame, net: Network | None, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "lang_pred", "score", "known", *carry] if carry else ["id", "lang_pred", "score"])
 
     kinds = dict(docs.dtypes)
-    return docs.mapInArrow(score, ", ".join([f"id {kinds['id']}", *(["text string"] if carry else []), "lang_pred string", "score double", *(["known double"] if carry else []), *(f"`{c}` {kinds[c]}" for c in carry or [])]))
+    return docs.mapInArrow(tidy(score), ", ".join([f"id {kinds['id']}", *(["text string"] if carry else []), "lang_pred string", "score double", *(["known double"] if carry else []), *(f"`{c}` {kinds[c]}" for c in carry or [])]))
 
 
 def identify(documents: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.llm.memory import tidy, tidy_group
 from loomspan.llm.words import mixed, shingle_sets
 from loomspan.operators.components import connected_components
 from loomspan.operators.tables import written
@@ -149,9 +150,9 @@ def _lonely(docs: DataFrame, k: int, percent: int, shingles: int) -> DataFrame:
     only leave more sets to the exact count that follows.
     """
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shingles // BUCKET))
-    packed = docs.where("id is not null").select("text").mapInArrow(_pack(k, buckets), "bucket long, chunk string, tokens binary, texts binary, more binary")
-    alone = packed.groupBy("bucket").applyInArrow(_alone, "chunk string, texts binary, many binary, digests binary")
-    return alone.groupBy("chunk").applyInArrow(_without_partner(percent), "h1 long, h2 long, n long").distinct()
+    packed = docs.where("id is not null").select("text").mapInArrow(tidy(_pack(k, buckets)), "bucket long, chunk string, tokens binary, texts binary, more binary")
+    alone = packed.groupBy("bucket").applyInArrow(tidy_group(_alone), "chunk string, texts binary, many binary, digests binary")
+    return alone.groupBy("chunk").applyInArrow(tidy_group(_without_partner(percent)), "h1 long, h2 long, n long").distinct()
 
 
 def _sets(k: int):
@@ -269,7 +270,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     """
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    listed = written(docs.mapInArrow(_digests(k), f"id {kind}, h1 long, h2 long, n long"), "digests")
+    listed = written(docs.mapInArrow(tidy(_digests(k)), f"id {kind}, h1 long, h2 long, n long"), "digests")
     digest = ["h1", "h2", "n"]
     rows = listed.where("n > 0 and id is not null").groupBy(*digest, "id").agg(F.count("*").alias("times"))
     nodes = written(rows.groupBy(*digest).agg(F.min(F.struct("id", "times")).alias("x")).select(*digest, "x.id", "x.times"), "nodes")
@@ -279,11 +280,11 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     # Keys are fixed by writing them. Nodes of one id with several texts have a key each.
     live = written(nodes.join(lonely, digest, "left_anti").select("id", F.monotonically_increasing_id().alias("key"), *digest, "times"), "live")
     asked = docs.join(live, "id").select("id", "text", "key", "h1", "h2", "n", "times")
-    sets = written(asked.mapInArrow(_sets(k), "key long, n long, times long, items array<bigint>"), "sets")
+    sets = written(asked.mapInArrow(tidy(_sets(k)), "key long, n long, times long, items array<bigint>"), "sets")
     sets = sets.where("times = 1").unionByName(sets.where("times > 1").dropDuplicates(["key"]))
     ordered = written(_ordered(sets, percent), "ordered")
 
-    postings = written(ordered.mapInArrow(_postings(percent), "token long, key long, n long, pos long, entry long, matches long, share long"), "postings")
+    postings = written(ordered.mapInArrow(tidy(_postings(percent)), "token long, key long, n long, pos long, entry long, matches long, share long"), "postings")
     hubs = postings.groupBy("token").agg(F.count("*").alias("many"), F.max(F.struct("share", "key", "n")).alias("hub")).where("many > 1")
     shared = written(postings.drop("share").join(hubs.select("token", F.col("hub.key").alias("hub"), F.col("hub.n").alias("hub_n")), "token"), "shared")
     # Every node against the hub that it shares most with.

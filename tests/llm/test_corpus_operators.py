@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.llm import ann, decontam, langid, ngram_join, quality, words
+from loomspan.llm import ann, decontam, langid, memory, ngram_join, quality, words
 from loomspan.llm.queries import ORACLE_SQL, QUERIES
 from tests.conftest import SF
 from tests.test_queries import in_order, plain
@@ -448,6 +449,38 @@ def test_pipeline_stages(spark, tmp_path):
     assert cp.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 43
 
 
+def test_pipeline_batches_are_bounded_by_bytes(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.range(0, 48, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('ab cd ', 100000)").alias("text"))
+    try:
+        cp.tokens(spark, docs, SF)
+        got = [r["n"] for r in docs.select("text").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert sum(got) >= 48 * 600_000 and max(got) <= memory.BATCH_BYTES + 700_000
+
+
+def test_tasks_give_back_what_they_freed():
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(x.split()[1]) for x in f if x.startswith("Anonymous:")) / 1024
+
+    pins = []
+
+    def work(batches):
+        for batch in batches:
+            large = [np.ones(8_000) for _ in range(4_000)]  # 256 MB in blocks that the C library keeps while one behind them is in use
+            pins.append(np.ones(8_000))
+            del large
+            yield batch
+
+    before, untidy = held(), list(work([1]))
+    kept = held() - before
+    assert list(memory.tidy(work)([2])) == [2] and untidy == [1]
+    assert kept > 150 and held() - before < 60
+
+
 def test_pipeline_rejects_languages_that_it_did_not_learn(spark):
     import corpus_pipeline as cp
 
