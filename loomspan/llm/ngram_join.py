@@ -36,6 +36,8 @@ MATCHES, MATCHES_EVERY = 4, 64
 CHUNK_SHINGLES, CHUNK_TEXTS, BUCKET = 1 << 21, 1 << 16, 1 << 20
 #: Cost of verifying a candidate against that of reading one posting.
 VERIFY_COST = 8.0
+#: Ids for which the filter in front of the texts gets a row of 4 KB (32 bits an id), and its rows at most (8 MB).
+FILTER_IDS, FILTER_ROWS = 1024, 2048
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -155,6 +157,19 @@ def _lonely(docs: DataFrame, k: int, percent: int, shingles: int) -> DataFrame:
     return alone.groupBy("chunk").applyInArrow(tidy_group(_without_partner(percent)), "h1 long, h2 long, n long").distinct()
 
 
+def _perhaps(docs: DataFrame, live: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id may be one of ``live``: all that are, and few others, so that a join need not shuffle every text.
+
+    Ids are bits of a filter whose size doesn't go beyond 8 MB; where it is full, more texts pass and the join decides.
+    """
+    rows = min(FILTER_ROWS, live.count() // FILTER_IDS + 1)
+    place = F.pmod(F.xxhash64("id"), F.lit(rows << 15))
+    bits = live.select(place.alias("bit")).groupBy(F.expr("bit div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("bit % 32768")).alias("bits"))
+    held = F.expr("bit_get(cast(conv(hex(substring(bits, cast(bit % 32768 div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) = 1")
+    probed = docs.withColumn("bit", place).withColumn("part", F.expr("bit div 32768"))
+    return probed.join(F.broadcast(bits), "part").where(held).select(*docs.columns)
+
+
 def _sets(k: int):
     """(id, text, key, h1, h2, n, times) to (key, n, times, items) where the text's set is the one that is asked for."""
 
@@ -279,7 +294,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     lonely = written(_lonely(docs, k, percent, shingles), "lonely")
     # Keys are fixed by writing them. Nodes of one id with several texts have a key each.
     live = written(nodes.join(lonely, digest, "left_anti").select("id", F.monotonically_increasing_id().alias("key"), *digest, "times"), "live")
-    asked = docs.join(live, "id").select("id", "text", "key", "h1", "h2", "n", "times")
+    asked = _perhaps(docs, live).join(live, "id").select("id", "text", "key", "h1", "h2", "n", "times")
     sets = written(asked.mapInArrow(tidy(_sets(k)), "key long, n long, times long, items array<bigint>"), "sets")
     sets = sets.where("times = 1").unionByName(sets.where("times > 1").dropDuplicates(["key"]))
     ordered = written(_ordered(sets, percent), "ordered")

@@ -308,6 +308,51 @@ def test_join_of_ids_with_several_texts(spark):
     assert len(got) == len(rows) and all(x["component"] == want[x["id"]] for x in got) and want[9] == 1
 
 
+def shuffled(spark):
+    """Bytes that the session has shuffled so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = context.statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_join_does_not_shuffle_texts_without_partner(spark, monkeypatch):
+    """Where the asked ids are too many for a broadcast, only texts that may have a partner go through a shuffle."""
+    r = random.Random(4)
+    rows = [(i, " ".join(f"{r.getrandbits(40):x}" for _ in range(200))) for i in range(600)]
+    rows += [(1000 + i, text + " more") for i, text in rows[:10]]
+    moved, write = {}, ngram_join.written
+
+    def counted(df, name):
+        before = shuffled(spark)
+        out = write(df, name)
+        moved[name] = shuffled(spark) - before
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", counted)
+    given = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {x["id"]: x["component"] for x in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", given)
+    assert got == {i: i - 1000 if i >= 1000 else i for i, _ in rows}
+    assert 0 < moved["sets"] < sum(len(text) for _, text in rows) // 10
+
+
+@pytest.mark.parametrize("most", [1, 2048])
+def test_filter_of_ids_loses_none(spark, monkeypatch, most):
+    """Every asked id passes, also where the filter is too small for them; others hardly do where it is not."""
+    monkeypatch.setattr(ngram_join, "FILTER_ROWS", most)
+    docs = spark.range(-3000, 57_000).select("id", F.lit("x").alias("text")).unionByName(spark.createDataFrame([(None, "x")], "id long, text string"))
+    live = spark.range(-3000, 57_000, 4).toDF("id")
+    kept = [x["id"] for x in ngram_join._perhaps(docs, live).collect()]
+    wanted = set(range(-3000, 57_000, 4))
+    assert wanted <= set(kept) and len(kept) - len(set(kept)) == 0
+    assert len(kept) - len(wanted) < (45_000 if most == 1 else 2500)
+
+
 def test_first_pass_drops_the_same_sets_in_any_layout(spark):
     """Sets without a partner are found however the rows are dealt; chunks that end anywhere lose nothing."""
     docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
