@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from loomspan.llm import bpe, decontam, langid, ngram_join, pii
 from loomspan.llm.memory import small_batches
-from loomspan.operators.tables import ship, written
+from loomspan.operators.tables import new_path, passing, removed, settled, ship, written
 
 #: A document goes if it has no letter, or if its best language's score times the share of its trigrams that learning met
 #: is less than this part of the value that all but one in a thousand of the labelled texts kept from learning have.
@@ -76,7 +76,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     small_batches(spark)
     key, rank = _fresh(docs, "__key"), _fresh(docs, "__rank")
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
-    groups = written(ngram_join.jaccard_components(keyed.select(key, "text"), id_col=key), "groups")
+    groups = settled(spark, lambda: ngram_join.jaccard_components(keyed.select(key, "text"), id_col=key), "groups")
     of = groups.where("n_shingles > 0").groupBy("id", "component").agg(F.count("*").alias("times"))
     named = of.join(keyed.select(F.col(key).alias("id"), "doc_id").distinct(), "id")
     first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id", "times")).alias("x")).select(F.col("x.id").alias(key), "x.times")
@@ -98,8 +98,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     small_batches(spark)
     key = _fresh(docs, "__key")
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("no id: "), F.sha2("text", 256))))
-    found = decontam.contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key)
-    leaks = written(found.select(F.col("id").alias(key)).distinct(), "leaks")
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = settled(spark, lambda: decontam.contaminated(keyed, bench, id_col=key).select(F.col("id").alias(key)).distinct(), "leaks")
     return keyed.join(leaks, key, "left_anti").select(*_own(docs))
 
 
@@ -141,8 +141,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each result written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each result written and read again; what a stage has read or left goes when its result is there."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = new_path(spark, name)
+        with passing(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            removed(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomspan.operators.tables import written
+from loomspan.operators.tables import settled, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Starts and endings are tied down so that Java's matcher neither recurses nor tries a run of characters twice; the
@@ -121,18 +121,9 @@ def _places(texts: DataFrame) -> DataFrame:
     return each.select("d", F.lower("hit").alias("term"), (end - F.char_length("hit")).alias("start"), end.alias("end"))
 
 
-def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: tuple[str, ...] = (), generalise: float = 0.6, remove: float = 0.8, support: int = 3) -> DataFrame:
-    """``(id, base, added[, text][, columns of carry])``: per row the base spans and the spans that the method adds.
-
-    ``base`` is as from ``base_spans``; ``added`` holds ``struct<start, end, kind>`` with kind ``term`` (generalise) or
-    ``reveal`` (remove), by start, none inside a base span. Null and empty texts have none. Repeated rows and null ids
-    stay; other columns are not read.
-    """
-    docs = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry)
-    based = docs.withColumn("key", F.monotonically_increasing_id()).withColumn("base", base_spans(F.col("text")))
-    based = written(based if keep_text else based.withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "base")  # keys are fixed here
-
-    held = based.where(F.size("base") > 0).select("key", "text", F.xxhash64("text").alias("d"), F.array_distinct(F.transform("base", lambda x: F.lower(x["hit"]))).alias("entities"))
+def _added(docs: DataFrame, based: DataFrame, generalise: float, remove: float, support: int) -> DataFrame:
+    """``(d, added)``: for each distinct text with base spans, by hash, the places of the terms that give an entity of it away, also those inside base spans."""
+    held = based.where(F.size("base") > 0).select("text", F.xxhash64("text").alias("d"), F.array_distinct(F.transform("base", lambda x: F.lower(x["hit"]))).alias("entities"))
     once = written(held.groupBy("d").agg(F.first("text").alias("text"), F.first("entities").alias("entities"), (F.count("*") - 1).alias("copies")), "held")
     total = based.count() - int(once.agg(F.sum("copies")).first()[0] or 0)
     names = once.select("d", F.explode("entities").alias("entity"))
@@ -148,8 +139,26 @@ def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     kind = F.when(F.max("told") >= remove, "reveal").otherwise("term")
     marked = written(pairs.join(judged, ["entity", "term"]).groupBy("d", "term").agg(kind.alias("kind")), "marked")
     places = _places(once.join(marked.select("d").distinct(), "d", "left_semi").select("d", "text"))
-    spans = places.join(marked, ["d", "term"]).groupBy("d").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("added"))
-    out = based.join(held.select("key", "d").join(spans, "d").select("key", "added"), "key", "left")
+    return places.join(marked, ["d", "term"]).groupBy("d").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("added"))
+
+
+def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, carry: tuple[str, ...] = (), generalise: float = 0.6, remove: float = 0.8, support: int = 3) -> DataFrame:
+    """``(id, base, added[, text][, columns of carry])``: per row the base spans and the spans that the method adds.
+
+    ``base`` is as from ``base_spans``; ``added`` holds ``struct<start, end, kind>`` with kind ``term`` (generalise) or
+    ``reveal`` (remove), by start, none inside a base span. Null and empty texts have none. Repeated rows and null ids
+    stay; other columns are not read.
+    """
+    docs = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry)
+    based = docs.withColumn("key", F.monotonically_increasing_id()).withColumn("base", base_spans(F.col("text")))
+    based = written(based if keep_text else based.withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "base")  # keys are fixed here
+
+    held = based.where(F.size("base") > 0)
+    spans = settled(documents.sparkSession, lambda: _added(docs, based, generalise, remove, support), "spans")
+    of_key = held.select("key", F.xxhash64("text").alias("d")).join(spans, "d").select("key", "added")
+    # Rows without base spans have no others: their texts need no shuffle.
+    none = F.lit(None).cast("array<struct<start:int,end:int,kind:string>>")
+    out = held.join(of_key, "key", "left").unionByName(based.where(F.size("base") <= 0).withColumn("added", none))
     inside = lambda a: F.exists("base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"]))
     empty = F.expr("cast(array() as array<struct<start:int,end:int,kind:string>>)")
     out = out.withColumn("added", F.coalesce(F.filter("added", lambda a: ~inside(a)), empty))

@@ -1,5 +1,7 @@
 """Language, neighbours, quality, joins, decontamination, pipeline: brute force, held-out accuracy and odd inputs."""
 
+import glob
+import os
 import random
 
 import numpy as np
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm import ann, decontam, langid, memory, ngram_join, quality, words
 from loomspan.llm.queries import ORACLE_SQL, QUERIES
+from loomspan.operators.tables import new_path, passing, settled, written
 from tests.conftest import SF
 from tests.test_queries import in_order, plain
 
@@ -494,6 +497,59 @@ def test_pipeline_stages(spark, tmp_path):
     assert cp.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 43
 
 
+def _tables(spark):
+    """The tables in the application's part of the shared folder."""
+    return {os.path.basename(p) for p in glob.glob(os.path.dirname(new_path(spark, "x")).removeprefix("file:") + "/*")}
+
+
+def test_pipeline_stages_leave_only_what_their_results_read(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, left in (("language_id", []), ("near_duplicates", ["first", "groups"]), ("decontamination", ["leaks"]), ("personal_data", ["base", "spans"])):
+        before = _tables(spark)
+        out = dict(cp.STAGES)[name](spark, docs, SF)
+        assert sorted(x.rsplit("-", 1)[0] for x in _tables(spark) - before) == left, name
+        assert 0 < out.count() <= docs.count()
+    before = _tables(spark)
+    assert cp.run(spark, SF).count() > 0
+    assert [x.rsplit("-", 1)[0] for x in _tables(spark) - before] == ["personal_data"]
+
+
+def test_tables_of_a_block_go_also_if_it_fails(spark):
+    before = _tables(spark)
+    with pytest.raises(ZeroDivisionError), passing(spark):
+        assert written(spark.range(3), "inner").count() == 3 and len(_tables(spark) - before) == 1
+        inner = settled(spark, lambda: written(spark.range(5), "a").where("id > 1"), "nested")
+        assert inner.count() == 3
+        1 / 0  # noqa: B018
+    assert _tables(spark) == before
+    kept = settled(spark, lambda: written(spark.range(5), "a").where("id > 1"), "kept")
+    assert sorted(r["id"] for r in kept.collect()) == [2, 3, 4]
+    assert [x.rsplit("-", 1)[0] for x in _tables(spark) - before] == ["kept"]
+
+
+def test_personal_data_shuffles_no_text_without_any(spark):
+    """Of 400 texts of 20 KB two hold an address; words of two letters are no terms, so that nothing else is shuffled."""
+    import corpus_pipeline as cp
+
+    r = random.Random(3)
+    text = lambda: " ".join(r.choice("abcdefghijklmnop") + r.choice("abcdefghijklmnop") for _ in range(7000))
+    rows = [(i, text()) for i in range(398)] + [(1000, text() + " ann.b@c.org zanzibar"), (1001, None), (1002, text() + " zanzibar 10.0.0.1")]
+    docs = written(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "docs")
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before, given = shuffled(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = {x["doc_id"]: x["text"] for x in cp.personal_data(spark, docs, SF).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", given)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert shuffled() - before < 1_000_000
+    assert len(got) == len(rows) and all(got[i] == t for i, t in rows if i < 1000) and got[1001] == ""
+    assert "[EMAIL]" in got[1000] and got[1002].endswith("[IP]")
+
+
 def test_pipeline_batches_are_bounded_by_bytes(spark):
     import corpus_pipeline as cp
 
