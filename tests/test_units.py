@@ -502,3 +502,21 @@ def test_equal_versions_are_not_walked(spark):
     got = D.line_runs(spark.createDataFrame(rows, "file long, side string, text string"))
     assert sorted(map(tuple, got.collect())) == [(2, "addition", 2, 2), (3, "addition", 1, 2), (5, "deletion", 1, 1)]
     assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_every_related_symbol_counts(spark, tmp_path):
+    """The sums of relevance are over all related symbols of an imported one, also where it has more than ten."""
+    from loomspan.plans.all_queries import QUERIES
+
+    def table(name, rows_, schema):
+        spark.createDataFrame(rows_, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    table("customer", [(c,) for c in range(100)], "c_custkey long")
+    table("part", [(0,), (1,)], "p_partkey long")
+    table("orders", [(3 * i, 0, "F") for i in range(1, 26)], "o_orderkey long, o_custkey long, o_orderstatus string")  # 0 calls 3, 6, ... 75
+    table("lineitem", [(3, 1, 0, 1, "A", 1), (3, 2, 0, 2, "A", 1)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_quantity long")
+    assert rows(QUERIES["relevant_symbols"](spark, str(tmp_path))) == [(3 * i, 0.9) for i in range(1, 21)]
+    edges = spark.createDataFrame([(0, i) for i in range(1, 31)], "src long, dst long")
+    co = spark.createDataFrame([], "a long, b long, n long")
+    assert G.related_symbols(edges, co, None).where("symbol = 0").count() == 30
+    assert G.related_symbols(edges, co).where("symbol = 0").count() == 10
