@@ -349,7 +349,7 @@ def file_keywords(spark, sf_dir):
 
 @query("select keyword, count(distinct file) as n, min(file) as first_file from k group by 1", ("words", _KEYWORDS), ("k", _PARTS))
 def keyword_index(spark, sf_dir):
-    return U.keyword_index(_keywords(spark, sf_dir))
+    return U.keyword_files(U.keyword_index(_keywords(spark, sf_dir)))
 
 
 # Frequent words of four languages.

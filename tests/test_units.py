@@ -520,3 +520,16 @@ def test_every_related_symbol_counts(spark, tmp_path):
     co = spark.createDataFrame([], "a long, b long, n long")
     assert G.related_symbols(edges, co, None).where("symbol = 0").count() == 30
     assert G.related_symbols(edges, co).where("symbol = 0").count() == 10
+
+
+def test_keyword_index_holds_the_files(spark):
+    """The index names every file of a word, in lists of bounded size that can be looked up; counts come from the lists."""
+    words = [("hot", f) for f in range(150)] + [("hot", 7), ("rare", 3), ("both", None), ("both", 9), ("bare", None)]
+    keywords = spark.createDataFrame(words, "keyword string, file long")
+    index = U.keyword_index(keywords, 64)
+    lists = sorted((r["keyword"], r["chunk"], r["n"], r["values"]) for r in index.collect())
+    assert [(w, c, n) for w, c, n, _ in lists] == [("bare", 0, 0), ("both", 0, 1), ("hot", 0, 64), ("hot", 1, 64), ("hot", 2, 22), ("rare", 0, 1)]
+    assert sum((v for w, *_, v in lists if w == "hot"), []) == list(range(150)) and [v for w, *_, v in lists if w != "hot"] == [[], [9], [3]]
+    asked = spark.createDataFrame([("hot", 99), ("hot", 150), ("rare", 3), ("bare", 1)], "keyword string, value long")
+    assert rows(U.in_postings(index, asked, "keyword")) == [("hot", 99), ("rare", 3)]
+    assert rows(U.keyword_files(index)) == [("bare", 0, None), ("both", 1, 9), ("hot", 150, 0), ("rare", 1, 3)]
