@@ -205,3 +205,21 @@ def test_intent_state_holds_an_edit_once(spark, tmp_path):
     assert sum(p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress) == len(first + again) + 1
     got = focus_rows(T.intent_focus(spark.table("intent_state"), "6 hours", "1 hour", "10 minutes"))
     assert got == intent_by_hand(first + again + late[:1], 360, 60, passed=6620)
+
+
+@pytest.mark.parametrize("most", [None, 4])
+def test_intent_names_recent_files(spark, most):
+    """Each window has its files, the newest first; with ``most`` everything is of its last edits alone."""
+    edits = random_edits(7, 300, 1000, 1040) + [("a", 1020, "x/new", "ts", "f")] * 3
+    df = spark.createDataFrame(edits, EDITS).withColumn("ts", F.timestamp_seconds(F.col("minute") * 60))
+    want = []
+    for agent in "ab":
+        for end in range(1002, 1045, 2):
+            own = sorted(((at, path, language, symbol or "") for a, at, path, language, symbol in edits if a == agent and end - 6 <= at < end), reverse=True)[:most]
+            if own:
+                files = sorted({path: max(at for at, p, *_ in own if p == path) for _, path, *_ in own}.items(), key=lambda x: (x[1], x[0]), reverse=True)
+                of_one_window = [(agent, end - 1, *x[1:]) for x in own]
+                want.append((agent, end, *intent_by_hand(of_one_window, 2, 2)[0][2:], [f for f, _ in files]))
+    got = T.intent_focus(T.recent_intent(df, "6 minutes", "2 minutes"), "6 minutes", "2 minutes", most=most)
+    got = sorted(tuple(x) for x in got.select("agent", F.expr("unix_seconds(window_end) div 60"), "n", "focus", "language", "symbols", "files").collect())
+    assert got == sorted(want)
